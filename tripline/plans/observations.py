@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tripline.functions import scalars as S
 
+# How samples name their recording; a source with unique file names may leave the device out
+KEYS = ("device_id", "file_name")
+
 # Accuracy buckets in metres, conditions and labels of the accuracy report
 BUCKETS = (("le_2", 2.0), ("le_3_5", 3.5), ("le_6", 6.0), ("le_10", 10.0))
 NO_GPS_LABEL = "No GPS"
@@ -75,7 +78,7 @@ def before_inclusive_end(df: DataFrame, end: str, ts: str = "start_time") -> Dat
 # ── per recording ────────────────────────────────────────────────────────────
 
 
-def sample_agg(samples: DataFrame, keys: Sequence[str] = ("device_id", "file_name")) -> DataFrame:
+def sample_agg(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """AGG-01 .. AGG-03: one row per recording from its samples."""
     acc, valid = F.col("accuracy"), F.coalesce(F.col("valid") == 1, F.lit(False))
     known = acc.isNotNull()
@@ -118,17 +121,21 @@ def in_window(df: DataFrame, start: str | None, end: str | None, ts: str = "star
 
 
 def per_file(obs: DataFrame, samples: DataFrame, start: str | None = None, end: str | None = None,
-             devices: DataFrame | None = None) -> DataFrame:
+             devices: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """JOI-01: recordings with their sample aggregate, both sides cut to the same window.
 
     The sample side is filtered on the start time it inherited from its recording, so both
     scans prune.  Unmatched recordings have NULL counts.
     """
-    obs, samples = in_window(obs, start, end), in_window(samples, start, end)
+    obs = in_window(obs, start, end)
+    if "start_time" in samples.columns:
+        samples = in_window(samples, start, end)
     if devices is not None:
-        obs = obs.join(devices.select("device_id").distinct(), "device_id", "left_semi")
-        samples = samples.join(devices.select("device_id").distinct(), "device_id", "left_semi")
-    return durations(obs).join(sample_agg(samples), ["device_id", "file_name"], "left")
+        listed = devices.select("device_id").distinct()
+        obs = obs.join(listed, "device_id", "left_semi")
+        if "device_id" in keys:
+            samples = samples.join(listed, "device_id", "left_semi")
+    return durations(obs).join(sample_agg(samples, keys), list(keys), "left")
 
 
 def gps_observation_report(files: DataFrame, label: str, tenants: DataFrame | None = None,
@@ -196,15 +203,15 @@ def files_of(obs: DataFrame, keep: Sequence[str] = ("ota",)) -> DataFrame:
         F.min("start_time").alias("min_start"), F.max("start_time").alias("max_start"))
 
 
-def sample_counts(samples: DataFrame) -> DataFrame:
-    return samples.groupBy("device_id", "file_name").agg(F.count(F.lit(1)).alias("pts"))
+def sample_counts(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("pts"))
 
 
 def files_with_counts(obs: DataFrame, samples: DataFrame, where: Column | None = None,
-                      keep: Sequence[str] = ("ota",)) -> DataFrame:
+                      keep: Sequence[str] = ("ota",), keys: Sequence[str] = KEYS) -> DataFrame:
     """JOI-02: distinct recordings with the number of their samples, 0 without any."""
     files = files_of(obs if where is None else obs.filter(where), keep)
-    return (files.join(sample_counts(samples), ["device_id", "file_name"], "left")
+    return (files.join(sample_counts(samples, keys), list(keys), "left")
             .withColumn("pts", F.coalesce("pts", F.lit(0))))
 
 
@@ -216,17 +223,17 @@ def obs_with_samples(obs: DataFrame, samples: DataFrame, where: Column | None =
 
 
 def gps_kpis(obs: DataFrame, samples: DataFrame, where: Column | None = None, expected: int = 60,
-             levels: Sequence[str] = ("fleet", "device", "version")) -> DataFrame:
+             levels: Sequence[str] = ("fleet", "device", "version"), keys: Sequence[str] = KEYS) -> DataFrame:
     """AGG-07: accuracy KPIs for the fleet, per device and per version from one pass (grouping sets)."""
     n = max(1, min(expected, 600))
     acc = F.col("accuracy")
-    points = samples.groupBy("device_id", "file_name").agg(
+    points = samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pts"), F.count_if(acc > 0).alias("valid_acc"),
         F.count_if(acc.isNull() | (acc <= 0)).alias("invalid_acc"),
         *[F.count_if((acc > 0) & (acc <= limit)).alias(name) for name, limit in BUCKETS],
         F.count_if(acc > 10).alias("gt_10"), F.sum(F.when(acc > 0, acc)).alias("acc_sum"))
     counts = ["pts", "valid_acc", "invalid_acc", *[b for b, _ in BUCKETS], "gt_10"]
-    joined = files_of(obs if where is None else obs.filter(where)).join(points, ["device_id", "file_name"], "left")
+    joined = files_of(obs if where is None else obs.filter(where)).join(points, list(keys), "left")
     sets = {"fleet": [], "device": [F.col("device_id")], "version": [F.col("ota")]}
     total = F.count(F.lit(1)) * n
     missing = F.greatest(total - F.coalesce(F.sum("valid_acc"), F.lit(0)), F.lit(0))
@@ -252,8 +259,8 @@ def _frames() -> Column:
     return F.when(text.rlike("^[0-9]+$"), text.try_cast("bigint"))
 
 
-def _frames_per_file(obs: DataFrame, samples: DataFrame, where: Column | None) -> DataFrame:
-    files = files_with_counts(obs, samples, where, keep=("num_frames_out",))
+def _frames_per_file(obs: DataFrame, samples: DataFrame, where: Column | None, keys: Sequence[str]) -> DataFrame:
+    files = files_with_counts(obs, samples, where, ("num_frames_out",), keys)
     return files.select(
         "device_id", "file_name", F.col("min_start").alias("start_time"),
         F.coalesce(_frames(), F.nullif("pts", F.lit(0)), F.lit(0).cast("bigint")).alias("observed_frames"),
@@ -261,12 +268,13 @@ def _frames_per_file(obs: DataFrame, samples: DataFrame, where: Column | None) -
         .otherwise(0).alias("missing_signal"))
 
 
-def video_loss(obs: DataFrame, samples: DataFrame, where: Column | None = None, expected: int = 60) -> DataFrame:
+def video_loss(obs: DataFrame, samples: DataFrame, where: Column | None = None, expected: int = 60,
+               keys: Sequence[str] = KEYS) -> DataFrame:
     """AGG-08: frames seen against frames expected over all recordings."""
     n = max(1, min(expected, 600))
     total = F.count(F.lit(1)) * n
     missing = F.greatest(total - F.coalesce(F.sum("observed_frames"), F.lit(0)), F.lit(0))
-    return _frames_per_file(obs, samples, where).agg(
+    return _frames_per_file(obs, samples, where, keys).agg(
         F.count(F.lit(1)).alias("file_count"), F.min("start_time").alias("min_start_time"),
         F.max("start_time").alias("max_start_time"), F.sum("observed_frames").alias("observed_total"),
         total.alias("expected_total"), missing.alias("missing_total"),
@@ -275,11 +283,11 @@ def video_loss(obs: DataFrame, samples: DataFrame, where: Column | None = None,
 
 
 def loss_hotspots(obs: DataFrame, samples: DataFrame, where: Column | None = None, expected: int = 60,
-                  k: int = 10) -> DataFrame:
+                  k: int = 10, keys: Sequence[str] = KEYS) -> DataFrame:
     """TOP-01: the recordings that miss most frames, newest first on ties."""
     n = max(1, min(expected, 600))
     miss = F.greatest(F.lit(n) - F.col("observed_frames"), F.lit(0))
-    return (_frames_per_file(obs, samples, where)
+    return (_frames_per_file(obs, samples, where, keys)
             .select("device_id", "file_name", "start_time", "observed_frames", miss.alias("missing_frames"),
                     (miss * 100.0 / n).alias("missing_pct"))
             .orderBy(F.desc("missing_frames"), F.desc_nulls_last("start_time"), "device_id", "file_name").limit(k))
@@ -288,9 +296,10 @@ def loss_hotspots(obs: DataFrame, samples: DataFrame, where: Column | None = Non
 _HEALTH = ("ota", "ignition_status", "num_frames_out", "metadatastatus")
 
 
-def session_health(obs: DataFrame, samples: DataFrame, where: Column | None = None) -> DataFrame:
+def session_health(obs: DataFrame, samples: DataFrame, where: Column | None = None,
+                   keys: Sequence[str] = KEYS) -> DataFrame:
     """AGG-09: health of all recordings in one row."""
-    f = files_with_counts(obs, samples, where, keep=_HEALTH)
+    f = files_with_counts(obs, samples, where, _HEALTH, keys)
     return f.agg(
         F.count(F.lit(1)).alias("total_files"), F.countDistinct("device_id").alias("devices"),
         F.countDistinct("ota").alias("versions"), F.min("min_start").alias("earliest_start"),
@@ -305,9 +314,9 @@ def session_health(obs: DataFrame, samples: DataFrame, where: Column | None = No
 
 
 def session_health_by_device(obs: DataFrame, samples: DataFrame, where: Column | None = None,
-                             n: int = 20) -> DataFrame:
+                             n: int = 20, keys: Sequence[str] = KEYS) -> DataFrame:
     """AGG-10: health per device and version, the n with most recordings."""
-    f = files_with_counts(obs, samples, where, keep=_HEALTH).filter(F.col("device_id") != "")
+    f = files_with_counts(obs, samples, where, _HEALTH, keys).filter(F.col("device_id") != "")
     out = f.groupBy("device_id", "ota").agg(
         F.count(F.lit(1)).alias("file_count"), F.min("min_start").alias("first_session"),
         F.max("min_start").alias("last_session"),
@@ -319,13 +328,14 @@ def session_health_by_device(obs: DataFrame, samples: DataFrame, where: Column |
     return out.orderBy(F.desc("file_count"), "device_id", "ota").limit(max(1, min(n, 100)))
 
 
-def sample_overview(obs: DataFrame, samples: DataFrame, where: Column | None = None) -> DataFrame:
+def sample_overview(obs: DataFrame, samples: DataFrame, where: Column | None = None,
+                    keys: Sequence[str] = KEYS) -> DataFrame:
     """AGG-11: recordings with samples, sample totals and the speed range."""
-    points = samples.groupBy("device_id", "file_name").agg(
+    points = samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pts"), F.count_if(F.col("valid") == 1).alias("valid_pts"),
         F.min("speed").alias("lo"), F.max("speed").alias("hi"))
     files = (obs if where is None else obs.filter(where)).select("device_id", "file_name").distinct()
-    return files.join(points, ["device_id", "file_name"], "left").agg(
+    return files.join(points, list(keys), "left").agg(
         F.count(F.lit(1)).alias("files"), F.count_if(F.col("pts") > 0).alias("files_with_samples"),
         F.coalesce(F.sum("pts"), F.lit(0)).alias("samples"),
         F.coalesce(F.sum("valid_pts"), F.lit(0)).alias("valid_samples"),
