@@ -85,8 +85,6 @@ def _(spark, d):
     name = F.concat(F.lit("0_trip1_part2_"), n, F.lit(".25_-"), (F.col("k") + 1).cast("string"), F.lit(".5_0.0_"),
                     (F.lit(1500000000000) + F.col("event_id")).cast("string"), F.lit("_y.mp4"))
     f = X.media_name_fields(F.replace(name, F.lit("_y.mp4"), F.lit("_y")))
-    seven = X.media_name_fields(F.regexp_replace(name, "^0_trip1_", "0_a_trip1_"))["field7"]
-    del seven
     return ev(spark, d).select("event_id", *[f[c].alias(c) for c in ("rec_epoch", "lat", "lon", "no_fix")],
                                f["field7"].alias("field7"))
 

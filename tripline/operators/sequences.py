@@ -78,7 +78,7 @@ def _fold(df: DataFrame, by: Sequence[str], ts: str, limit_ms: int, tie: Sequenc
     runs = runs.withColumn("__us", epoch_us(runs, ts))
     keys = [*by, "__run"]
     spread = runs.repartition(*keys).sortWithinPartitions(*keys, ts, *tie)
-    limit = limit_ms * 1000
+    limit, columns = limit_ms * 1000, list(df.columns)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, anchor = None, 0
@@ -101,7 +101,7 @@ def _fold(df: DataFrame, by: Sequence[str], ts: str, limit_ms: int, tie: Sequenc
                     i = j
                 run = ids[lo]
             pdf[name] = anchors
-            yield pdf[[*df.columns, name]]
+            yield pdf[[*columns, name]]
 
     out = df.withColumn(name, F.lit(0).cast("bigint")).schema
     return spread.mapInPandas(fold, out)

@@ -365,13 +365,15 @@ def related_issues(rows: DataFrame, issues: DataFrame, k: int = 10) -> DataFrame
     phrases = (rows.filter(F.upper("type") == "ERROR").select(F.lower(X.search_phrase("description")).alias("phrase"))
                .filter("phrase != ''").distinct())
 
-    def grams(c: str, n: int) -> str:
-        return f"transform(sequence(1, greatest(length({c}) - {n - 1}, 1)), i -> substring({c}, i, {n}))"
+    def grams(c: str, n: int) -> Column:
+        # A look-ahead yields the overlapping grams in one pass over the text
+        return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
     texts = issues.select("issue_id", "created", F.lower("text").alias("text"))
-    index = texts.select("issue_id", F.explode(F.array_distinct(F.expr(
-        f"concat({grams('text', 1)}, {grams('text', 2)}, {grams('text', 3)})"))).alias("gram"))
-    wanted = phrases.select("phrase", F.explode(F.array_distinct(F.expr(grams("phrase", 3)))).alias("gram"))
+    index = texts.select("issue_id", F.explode(F.array_distinct(F.concat(
+        grams("text", 1), grams("text", 2), grams("text", 3)))).alias("gram"))
+    wanted = phrases.select("phrase", F.explode(F.array_distinct(F.when(
+        F.length("phrase") < 3, F.array("phrase")).otherwise(grams("phrase", 3)))).alias("gram"))
     counts = index.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"))
     rare = (wanted.join(counts, "gram", "left").groupBy("phrase")
