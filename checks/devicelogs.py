@@ -10,6 +10,7 @@ from tripline.operators.timeline import scan
 from tripline.plans import metrics as M
 from tripline.plans import patterns as P
 from tripline.plans import registry as R
+from tripline.session import settle
 
 T0 = 1_704_067_200_000
 
@@ -86,7 +87,7 @@ def registry_lines(spark, d):
 
 
 def hits(spark, d):
-    return P.extract_hits(registry_lines(spark, d), R.LINES)
+    return settle(P.extract_hits(registry_lines(spark, d), R.LINES))
 
 
 view("hit", f"""
@@ -94,10 +95,11 @@ SELECT device_id device, {_case(4)} AS hkey, {T0} + (epoch_us(ts) // 1000 - {T0}
   cast(k % 9 AS varchar) cam FROM ev""")
 
 
-def boots(spark, d):
+def boots(spark, d, h):
     """One boot per power monitor start."""
-    rows = hits(spark, d).filter("key = 'pm_start'").select("device", F.col("ts").alias("start"), F.lit(1).alias("one"))
+    rows = h.filter("key = 'pm_start'").select("device", F.col("ts").alias("start"), F.lit(1).alias("one"))
     out = scan(rows, ["device"], "start", lead={"end": "start"}, total={"boot_index": "one"})
+    out = settle(out)
     return out.select("device", "boot_index", "start", F.col("start").alias("eff_start"), "end", F.lit(None).cast("bigint").alias("anchor"),
                       (F.col("start") + 1000).alias("svc_start"), F.lit("4.6.1").alias("version"), F.lit(5).alias("drive_minutes"))
 
@@ -242,9 +244,10 @@ SELECT device, unit, arg_min(CASE k % 3 WHEN 0 THEN 'A_LOWPOWER' WHEN 1 THEN 'A_
 
 
 def _units(spark, d):
-    h, b = hits(spark, d), boots(spark, d)
-    p = M.power_ons(h)
-    u = M.with_units(h, p, b)
+    h = hits(spark, d)
+    b = boots(spark, d, h)
+    p = settle(M.power_ons(h))
+    u = settle(M.with_units(h, p, b))
     return h, b, p, u
 
 
@@ -290,7 +293,7 @@ SELECT device, metric, ts, round(value, 6) AS value FROM (SELECT z.*, y.seg seg_
 ASOF LEFT JOIN pwr y ON z.device = y.device AND z.ts >= y.p) WHERE metric <> 'down_lte_disconnect' OR seg_s IS NOT DISTINCT FROM seg_e""")
 def _(spark, d):
     h = hits(spark, d)
-    return _shape(M.pairs(h, M.power_ons(h)))
+    return _shape(M.pairs(h, settle(M.power_ons(h))))
 
 
 @check("kpi_since_power_on", """
@@ -365,7 +368,8 @@ def _(spark, d):
 SELECT device, 'crash_cam' || c || '_pct' AS metric, s AS ts, CASE WHEN EXISTS (SELECT 1 FROM hit h WHERE h.hkey = 'cam_crash' AND h.device = b.device AND h.k % 9 = c AND h.t >= b.s AND (b.e IS NULL OR h.t < b.e))
 THEN 1.0 ELSE 0.0 END AS value FROM hboot b, range(9) r(c)""")
 def _(spark, d):
-    return _shape(M.crash_share(hits(spark, d), boots(spark, d)))
+    h = hits(spark, d)
+    return _shape(M.crash_share(h, boots(spark, d, h)))
 
 
 view("alist", """
@@ -465,7 +469,7 @@ def _(spark, d):
 @check("kpi_outage_and_power")
 def _(spark, d):
     h, b, p, u = _units(spark, d)
-    h = h.unionByName(M.alive_points(registry_lines(spark, d)))
+    h = settle(h.unionByName(M.alive_points(registry_lines(spark, d))))
     r = M.unit_reasons(u)
     parts = [M.cyclic_uptime(h), M.abrupt_power(u, h), M.update_outage(h), M.watchdog(u, p, r, h), M.low_latency(h), M.package_sizes(h, b), M.boot_start(b), M.bands(h, b)]
     out = parts[0]
@@ -476,8 +480,8 @@ def _(spark, d):
 
 @check("kpi_all_samples")
 def _(spark, d):
-    h = hits(spark, d).unionByName(M.alive_points(registry_lines(spark, d)))
-    b = boots(spark, d)
+    h = settle(hits(spark, d).unionByName(M.alive_points(registry_lines(spark, d))))
+    b = boots(spark, d, h)
     return M.boot_samples(M.all_samples(h, b), h, b)
 
 

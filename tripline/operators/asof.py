@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,30 +44,24 @@ def asof_join(
     lefts = left.withColumns({_SIDE: F.lit(1)})
     ties = [f"__t{i}" for i in range(len(tie))]
 
-    def run(way: str) -> DataFrame:
-        # Right rows sort before left rows of the same time when they may match them
-        right_first = (way == "backward") == allow_exact
-        rights = payload.withColumns({_SIDE: F.lit(0 if right_first else 2)})
-        both = lefts_in.unionByName(rights, allowMissingColumns=True)
-        name = f"__{way}"
-        arg = {"last" if way == "backward" else "following": {name: "__match"}}
-        found = scan(both, by, ts, [_SIDE, *ties], width_s=width_s, **arg)
-        return found.filter(F.col(_SIDE) == 1).drop("__match", *ties)
-
-    lefts_in = lefts
-    if direction in ("backward", "forward"):
-        out = run(direction)
-        hit = F.col(f"__{direction}")
-    elif direction == "nearest":
-        lefts_in = run("backward")
-        out = run("forward")
-        back, ahead = F.col("__backward"), F.col("__forward")
+    # Right rows sort before left rows of the same time when they may match them.  For the
+    # nearest row one scan serves both ways: a row of the same time is found looking back.
+    back, ahead = direction in ("backward", "nearest"), direction in ("forward", "nearest")
+    if not (back or ahead):
+        raise ValueError(f"unknown direction {direction!r}")
+    right_first = (direction != "forward") == allow_exact
+    rights = payload.withColumns({_SIDE: F.lit(0 if right_first else 2)})
+    both = lefts.unionByName(rights, allowMissingColumns=True)
+    found = scan(both, by, ts, [_SIDE, *ties], width_s=width_s, last={"__back": "__match"} if back else None,
+                 following={"__ahead": "__match"} if ahead else None)
+    out = found.filter(F.col(_SIDE) == 1).drop("__match", *ties)
+    if direction == "nearest":
+        b, f = F.col("__back"), F.col("__ahead")
         here = epoch_us(left, ts)
-        out = out.withColumns({"__db": here - _us(back[right_ts], right, right_ts),
-                               "__df": _us(ahead[right_ts], right, right_ts) - here})
-        hit = F.when(F.col("__df").isNull() | (F.col("__db") <= F.col("__df")), back).otherwise(ahead)
+        before, after = here - _us(b[right_ts], right, right_ts), _us(f[right_ts], right, right_ts) - here
+        hit = F.when(after.isNull() | (before <= after), b).otherwise(f)
     else:
-        raise ValueError(f"unknown direction {direction!r}")
+        hit = F.col("__back" if back else "__ahead")
     out = out.withColumn("__hit", hit)
     if tolerance_ms is not None:
         away = F.abs(epoch_us(left, ts) - _us(F.col("__hit")[right_ts], right, right_ts))
@@ -82,6 +76,29 @@ def _us(value, df: DataFrame, ts: str):
     return value.cast("bigint") * 1000
 
 
+def asof_many(
+    left: DataFrame,
+    rights: Mapping[str, tuple[DataFrame, str]],
+    by: Sequence[str],
+    ts: str,
+    width_s: int = DAY_S,
+) -> DataFrame:
+    """Backward as-of matches against several right sides in one scan.
+
+    ``rights``: prefix -> (frame, time column).  Their columns arrive as ``<prefix><column>``.
+    """
+    by = list(by)
+    both = left.withColumn(_SIDE, F.lit(1))
+    names = {}
+    for prefix, (df, right_ts) in rights.items():
+        names[prefix] = [c for c in df.columns if c not in by]
+        both = both.unionByName(df.select(*by, F.col(right_ts).alias(ts), F.lit(0).alias(_SIDE),
+                                          F.struct(*names[prefix]).alias(f"__m_{prefix}")), allowMissingColumns=True)
+    found = scan(both, by, ts, [_SIDE], last={f"__l_{p}": f"__m_{p}" for p in rights}, width_s=width_s)
+    return found.filter(F.col(_SIDE) == 1).select(
+        *left.columns, *[F.col(f"__l_{p}")[c].alias(f"{p}{c}") for p in rights for c in names[p]])
+
+
 def assign_interval(
     events: DataFrame,
     intervals: DataFrame,
@@ -168,8 +185,9 @@ def pair_events(
     e = dense(e).select(*key, "end_ts")
     found = asof_join(dense(s), e, key, "start_ts", "end_ts", direction="forward", width_s=width_s)
     found = found.filter(F.col("end_ts").isNotNull())
-    tie = F.col("start_ts") == F.col("end_ts")
     pick = F.min if keep == "first" else F.max
-    streaks = found.filter(~tie).groupBy(*keys, "end_ts").agg(pick("start_ts").alias("start_ts"))
-    return streaks.select(*keys, "start_ts", "end_ts").unionByName(
-        found.filter(tie).select(*keys, "start_ts", "end_ts"))
+    tie = F.col("start_ts") == F.col("end_ts")
+    streaks = found.groupBy(*keys, "end_ts", tie.alias("__tie")).agg(
+        pick("start_ts").alias("start_ts"), F.count(F.lit(1)).alias("__n"))
+    times = F.sequence(F.lit(1).cast("bigint"), F.when(F.col("__tie"), F.col("__n")).otherwise(1))
+    return streaks.withColumn("__i", F.explode(times)).select(*keys, "start_ts", "end_ts")

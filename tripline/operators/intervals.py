@@ -38,9 +38,10 @@ def sweep(
         steps = cut if steps is None else steps.unionByName(cut)
     cuts = steps.groupBy(*by, "t").agg(*[F.sum(f"__d_{n}").alias(f"__d_{n}") for n in sets])
     run = scan(cuts, by, "t", total={f"__n_{n}": f"__d_{n}" for n in sets}, width_s=width_s)
-    on = run.select(*by, "t", inside({n: F.col(f"__n_{n}") > 0 for n in sets}).alias("on"))
-    edges = scan(on, by, "t", lag={"was": "on"}, width_s=width_s).filter(
-        F.col("on") != F.coalesce(F.col("was"), F.lit(False)))
+    # The state before a cut is its running count without the cut's own steps
+    on = inside({n: F.col(f"__n_{n}") > 0 for n in sets})
+    was = inside({n: F.col(f"__n_{n}") - F.col(f"__d_{n}") > 0 for n in sets})
+    edges = run.filter(on != was).select(*by, "t", on.alias("on"))
     return (scan(edges, by, "t", lead={"__end": "t"}, width_s=width_s).filter("on")
             .select(*by, F.col("t").alias(start), F.col("__end").alias(end)))
 

@@ -10,17 +10,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tripline.operators.timeline import DAY_S, epoch_us, scan
+from tripline.operators.timeline import DAY_S, block_of, epoch_us, scan
 
 
 def session_numbers(df: DataFrame, by: Sequence[str], ts: str, gap_ms: int, tie: Sequence[str] = (),
                     name: str = "session", width_s: int = DAY_S) -> DataFrame:
-    """Number of a row's gap session within its key: a gap above ``gap_ms`` to the row before starts one."""
-    us = df.withColumn("__us", epoch_us(df, ts))
-    seen = scan(us, by, ts, tie, lag={"__prev": "__us"}, width_s=width_s)
-    fresh = F.col("__prev").isNull() | (F.col("__us") - F.col("__prev") > gap_ms * 1000)
-    flagged = seen.withColumn("__new", fresh.cast("int")).drop("__us", "__prev")
-    return scan(flagged, by, ts, tie, total={name: "__new"}, width_s=width_s).drop("__new")
+    """Number of a row's gap session within its key: a gap above ``gap_ms`` to the row before starts one.
+
+    Sessions are counted inside time blocks; each block's first row is compared with the last
+    row of the block before, and the block totals are summed along the key.
+    """
+    by, gap = list(by), gap_ms * 1000
+    work = df.withColumns({"__us": epoch_us(df, ts), "__b": block_of(df, ts, width_s)})
+    w = W.partitionBy(*by, "__b").orderBy(F.col(ts), *[F.col(c) for c in tie])
+    rows = work.withColumn("__new", F.coalesce((F.col("__us") - F.lag("__us").over(w) > gap).cast("int"), F.lit(0)))
+    blocks = rows.groupBy(*by, "__b").agg(F.min("__us").alias("first"), F.max("__us").alias("last"), F.sum("__new").alias("inner"))
+    key = W.partitionBy(*by).orderBy("__b")
+    opens = F.coalesce((F.col("first") - F.lag("last").over(key) > gap).cast("int"), F.lit(1))
+    blocks = blocks.withColumn("opens", opens)
+    before = F.sum(F.col("opens") + F.col("inner")).over(key.rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.select(*by, "__b", (F.coalesce(before, F.lit(0)) + F.col("opens")).alias("__base"))
+    out = rows.join(blocks, [*by, "__b"])
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    return out.select(*df.columns, (F.col("__base") + F.sum("__new").over(upto)).alias(name))
 
 
 def gap_sessions(df: DataFrame, by: Sequence[str], ts: str, gap_ms: int = 5_000, tie: Sequence[str] = (),

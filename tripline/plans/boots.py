@@ -322,19 +322,28 @@ def drive_metrics(records: DataFrame, events: DataFrame) -> DataFrame:
     def kind(name: str) -> DataFrame:
         return events.filter(F.col("kind") == name)
 
-    rec = records.select("device", *_REC)
+    rec = records.select("device", *_REC).distinct()
+    key = rec.columns
     ranges = [("drive_start", "rtc_jump_from"), ("rtc_jump_to", "drive_end")]
-    out = count_in_ranges(kind("session_created"), rec.distinct(), by, "ts", ranges, "sessions_created")
-    out = count_in_ranges(kind("session_available"), out, by, "ts", ranges, "sessions_available")
+
+    def times(name: str, col: str) -> DataFrame:
+        return kind(name).select("device", F.col("ts").alias(col)).distinct()
+
     wake = kind("wakeup").groupBy("device", "ts").agg(F.min("a").alias("counter"))
-    out = asof_join(out, wake, by, "drive_start", "ts", direction="forward", prefix="w_")
-    out = asof_join(out, kind("pm_start").select("device", F.col("ts").alias("pm_start")).distinct(), by, "drive_start",
-                    "pm_start", direction="nearest", tolerance_ms=START_TOLERANCE)
-    out = asof_join(out, kind("pm_stop").select("device", F.col("ts").alias("pm_stop")).distinct(), by, "drive_end",
-                    "pm_stop", direction="nearest", tolerance_ms=STOP_TOLERANCE)
     low = kind("crank").filter("a = 0").select("device", F.col("ts").alias("crank_low_at")).distinct()
-    out = asof_join(out, low, by, "drive_end", "crank_low_at", tolerance_ms=CRANK_TOLERANCE)
-    repeats = rec.distinct().groupBy("device", "udid").agg((F.count(F.lit(1)) > 1).alias("repeated_udid"))
+    # Every part starts from the records and adds its columns; they meet again by record
+    parts = [
+        count_in_ranges(kind("session_created"), rec, by, "ts", ranges, "sessions_created"),
+        count_in_ranges(kind("session_available"), rec, by, "ts", ranges, "sessions_available"),
+        asof_join(rec, wake, by, "drive_start", "ts", direction="forward", prefix="w_"),
+        asof_join(rec, times("pm_start", "pm_start"), by, "drive_start", "pm_start", direction="nearest", tolerance_ms=START_TOLERANCE),
+        asof_join(rec, times("pm_stop", "pm_stop"), by, "drive_end", "pm_stop", direction="nearest", tolerance_ms=STOP_TOLERANCE),
+        asof_join(rec, low, by, "drive_end", "crank_low_at", tolerance_ms=CRANK_TOLERANCE),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, key)
+    repeats = rec.groupBy("device", "udid").agg((F.count(F.lit(1)) > 1).alias("repeated_udid"))
     minutes = F.floor((F.col("drive_end") - F.col("drive_start")) / 60_000)
     return (out.join(repeats, ["device", "udid"])
             .withColumns({

@@ -13,11 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripline.operators.asof import asof_join, assign_interval, pair_events
+from tripline.operators.asof import asof_join, asof_many, assign_interval, pair_events
 from tripline.operators.sequences import (anchor_clusters, carry_key, nth_in_session, request_batches, silence_points,
                                           unanswered)
 from tripline.operators.timeline import scan
 from tripline.plans import registry as R
+from tripline.session import settle
 
 # Fixed values (ms)
 CLUSTER = 5_000
@@ -95,9 +96,11 @@ def power_ons(hits: DataFrame) -> DataFrame:
 
 def with_units(hits: DataFrame, powers: DataFrame, boots: DataFrame) -> DataFrame:
     """Hits with their unit: the power-on they follow, or the boot on devices without power-ons."""
-    seg = asof_join(hits, powers.select("device", F.col("ts").alias("anchor"), "segment"), ["device"], "ts", "anchor")
-    b = boots.select("device", "boot_index", F.col("eff_start").alias("b_start"), F.col("end").alias("b_end"))
-    both = assign_interval(seg, b, ["device"], "ts", "b_start", "b_end")
+    b = boots.select("device", "boot_index", F.col("eff_start").alias("start"), "end")
+    seg = powers.select("device", F.col("ts").alias("anchor"), "segment")
+    both = asof_many(hits, {"": (seg, "anchor"), "b_": (b, "start")}, ["device"], "ts")
+    inside = F.col("b_start").isNotNull() & (F.col("b_end").isNull() | (F.col("ts") < F.col("b_end")))
+    both = both.withColumn("boot_index", F.when(inside, F.col("b_boot_index"))).drop("b_boot_index")
     has = powers.select("device").distinct().withColumn("has_power", F.lit(True))
     both = both.join(has, "device", "left")
     unit = F.when(F.col("has_power"), F.concat(F.lit("p"), F.col("segment").cast("string"))).otherwise(
@@ -194,10 +197,11 @@ def pairs(hits: DataFrame, powers: DataFrame) -> DataFrame:
                 for keep, test in (("first", ~F.col("metric").isin(*last)), ("last", F.col("metric").isin(*last)))])
     # One of them must not have a power-on between its ends
     seg = powers.select("device", F.col("ts").alias("p_ts"), "segment")
-    at_end = asof_join(out, seg, ["device"], "end_ts", "p_ts", prefix="e_")
+    free = F.col("metric") != "down_lte_disconnect"
+    at_end = asof_join(out.filter(~free), seg, ["device"], "end_ts", "p_ts", prefix="e_")
     both = asof_join(at_end, seg, ["device"], "start_ts", "p_ts", prefix="s_")
-    same = (F.col("metric") != "down_lte_disconnect") | F.col("e_segment").eqNullSafe(F.col("s_segment"))
-    return _samples(both.filter(same), F.col("metric"), (F.col("end_ts") - F.col("start_ts")) / 1000, ts="end_ts")
+    same = both.filter(F.col("e_segment").eqNullSafe(F.col("s_segment"))).select(*out.columns)
+    return _samples(out.filter(free).unionByName(same), F.col("metric"), (F.col("end_ts") - F.col("start_ts")) / 1000, ts="end_ts")
 
 
 def since_power_on(units: DataFrame, reasons: DataFrame) -> DataFrame:
@@ -593,11 +597,14 @@ def cameras(hits: DataFrame) -> DataFrame:
 
 
 def all_samples(hits: DataFrame, boots: DataFrame) -> DataFrame:
-    """Samples of every metric.  ``boots`` need eff_start, anchor, svc_start, version and drive_minutes."""
-    powers = power_ons(hits)
-    units = with_units(hits, powers, boots)
+    """Samples of every metric.  ``boots`` need eff_start, anchor, svc_start, version and drive_minutes.
+
+    The frames every family reads are settled once: power-ons, units and alert lists.
+    """
+    powers = settle(power_ons(hits))
+    units = settle(with_units(hits, powers, boots))
     reasons = unit_reasons(units)
-    lists = alert_lists(hits)
+    lists = settle(alert_lists(hits))
     keys = alert_keys(hits, lists)
     sessions = alert_sessions(hits, lists, keys)
     return _all([

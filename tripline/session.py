@@ -34,9 +34,12 @@ def build(app: str = "tripline", master: str | None = None, **conf: str) -> Spar
     return configure(builder.getOrCreate())
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 
+    Scans read their input twice and reports use one frame many times; a settled frame is
+    read again instead of computed again, also after an executor is lost.
+
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session
     without that setting and without a folder of its own (a test on one machine) gets a
     temporary one.
