@@ -228,9 +228,10 @@ def state_timeline(hits: DataFrame, boots: DataFrame, defaults: Mapping[str, str
     segments are clipped to the boot.
     """
     key = ["device", "boot_index", "dimension"]
-    pairs = [F.struct(F.lit(d), F.lit(v)) for d, vs in (once or {}).items() for v in vs]
-    if pairs:
-        single = F.array_contains(F.array(*pairs), F.struct(F.col("dimension"), F.col("value")))
+    if once:
+        single = F.lit(False)
+        for dim, values in once.items():
+            single = single | ((F.col("dimension") == dim) & F.col("value").isin(*values))
         firsts = hits.filter(single).groupBy(*key, "value").agg(F.min("ts").alias("ts"))
         hits = hits.filter(~single).select(*key, "value", "ts").unionByName(firsts.select(*key, "value", "ts"))
     hits = hits.select(*key, "value", "ts").distinct()

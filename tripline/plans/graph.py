@@ -16,7 +16,7 @@ class Graph:
     def __init__(self, nodes: DataFrame, edges: DataFrame):
         self.nodes, self.edges = nodes, edges
 
-    def label(self, name: str, prefix: str, **props: str) -> DataFrame:
+    def label(self, name: str, prefix: str, /, **props: str) -> DataFrame:
         """Nodes of a label: ``<prefix>_id`` and the asked properties as columns."""
         return self.nodes.filter(F.col("label") == name).select(
             F.col("id").alias(f"{prefix}_id"), *[F.try_element_at("props", F.lit(p)).alias(f"{prefix}_{c}") for c, p in props.items()])
