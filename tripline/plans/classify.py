@@ -165,7 +165,7 @@ def nearest_prototype(df: DataFrame, protos: DataFrame, key: str, vec: str = "em
     groups = [by] if by else []
     table = protos.groupBy(*groups).agg(F.array_sort(F.collect_list(
         F.struct(F.col(label).alias("label"), F.col(vec).alias("vec")))).alias("__protos"))
-    rows = df.join(table, by) if by else df.join(F.broadcast(table))
+    rows = df.join(table, by) if by else df.withColumn("__protos", table.scalar())
     scored = F.transform("__protos", lambda p: F.struct(
         (-F.round(S.cosine(F.col(vec), p["vec"]), 6)).alias("neg"), p["label"].alias("label")))
     ranked = rows.withColumn("__r", F.slice(F.array_sort(scored), 1, k))

@@ -34,9 +34,9 @@ def failed_keys(boots: DataFrame, keys: DataFrame, covered: DataFrame,
     The wanted keys ride along as one array per boot (a configuration has hundreds of keys),
     so boots and keys are never paired by a shuffle.
     """
-    wanted = keys.agg(F.collect_set("key").alias("wanted"))
+    wanted = keys.agg(F.collect_set("key"))
     named = covered.groupBy(*boot).agg(F.collect_set("key").alias("named"))
-    out = boots.select(*boot).distinct().join(named, list(boot), "left").join(F.broadcast(wanted))
+    out = boots.select(*boot).distinct().join(named, list(boot), "left").withColumn("wanted", wanted.scalar())
     miss = F.array_except("wanted", F.coalesce("named", F.array().cast("array<string>")))
     return out.select(*boot, F.explode(F.array_sort(miss)).alias("key"))
 
@@ -100,9 +100,8 @@ def condition_states(units: DataFrame, features: DataFrame, defaults: DataFrame,
     ``units`` carry ``version`` for the defaults.  Features are a short list; each unit gets the
     whole list as one array and explodes it.
     """
-    flist = features.agg(F.collect_list(F.struct("feature", "section", "key", "expected")).alias("__f"))
-    rows = units.select(*unit, "version").join(F.broadcast(flist)).select(*unit, "version", F.explode("__f").alias("f")).select(
-        *unit, "version", "f.*")
+    flist = features.agg(F.collect_list(F.struct("feature", "section", "key", "expected")))
+    rows = units.select(*unit, "version").withColumn("f", F.explode(flist.scalar())).select(*unit, "version", "f.*")
     rows = rows.join(values.select(*unit, "section", "key", F.col("value").alias("logged")), [*unit, "section", "key"], "left")
     rows = rows.join(overridden.select(*unit, "key").distinct().withColumn("ovr", F.lit(True)), [*unit, "key"], "left")
     rows = rows.join(defaults.select("version", "section", "key", F.col("value").alias("default")), ["version", "section", "key"], "left")
@@ -170,9 +169,8 @@ def remaining_conditions(features: DataFrame, plain: DataFrame, defaults: DataFr
                          unit: Sequence[str] = ("device",)) -> DataFrame:
     """CFG-08: feature keys a boot did not list as not overridden, with their default."""
     keys = features.select("section", "key").distinct()
-    flist = keys.agg(F.collect_list(F.struct("section", "key")).alias("__k"))
-    units = plain.select(*unit).distinct()
-    rows = units.join(F.broadcast(flist)).select(*unit, F.explode("__k").alias("k")).select(*unit, "k.*")
+    klist = keys.agg(F.collect_list(F.struct("section", "key")))
+    rows = plain.select(*unit).distinct().withColumn("k", F.explode(klist.scalar())).select(*unit, "k.*")
     return rows.join(plain.select(*unit, "key").distinct(), [*unit, "key"], "left_anti").join(
         defaults.select("section", "key", F.col("value").alias("default")), ["section", "key"], "left")
 
@@ -200,7 +198,7 @@ def feature_coverage(status: DataFrame) -> DataFrame:
 def feature_sets(status: DataFrame) -> DataFrame:
     """AGG-44: distinct sets of enabled features with their devices and the features they lack."""
     on = status.groupBy("device").agg(F.array_sort(F.collect_set(F.when(F.col("status") == "ON", F.col("feature")))).alias("features"))
-    names = feature_coverage(status).agg(F.array_sort(F.collect_list("feature")).alias("all_names"))
-    sets = on.groupBy("features").agg(F.count(F.lit(1)).alias("devices"))
-    return sets.join(F.broadcast(names)).select("features", "devices", F.array_except("all_names", "features").alias("missing"))
+    names = feature_coverage(status).agg(F.array_sort(F.collect_list("feature")))
+    sets = on.groupBy("features").agg(F.count(F.lit(1)).alias("devices")).withColumn("all_names", names.scalar())
+    return sets.select("features", "devices", F.array_except("all_names", "features").alias("missing"))
 

@@ -135,9 +135,9 @@ def issue_pairs(labels: DataFrame, k: int = 10, sample: int = 5) -> DataFrame:
 
 def concentration(ranked: DataFrame) -> DataFrame:
     """AGG-48: share of all points held by the top fifth of the devices (at least one)."""
-    n = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.count_if(F.col("multi_issue")).alias("multi"))
+    n = ranked.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.count_if(F.col("multi_issue")).alias("multi")))
     top = F.greatest(F.floor(F.col("n") / 5), F.lit(1))
-    return ranked.join(F.broadcast(n)).groupBy("n", "total", "multi").agg(
+    return ranked.withColumn("t", n.scalar()).select("rank", "score", "t.*").groupBy("n", "total", "multi").agg(
         F.sum(F.when(F.col("rank") <= top, F.col("score")).otherwise(0)).alias("held")).select(
         F.col("n").alias("devices_with_issues"), F.col("multi").alias("multi_issue_devices"), top.alias("top_devices"),
         F.round(100 * F.col("held") / F.greatest("total", F.lit(1))).alias("top_share_pct"))

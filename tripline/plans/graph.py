@@ -73,8 +73,8 @@ def symmetric_edges(g: Graph, kind: str) -> DataFrame:
     e = g.edges.filter(F.col("type") == kind)
     ends = e.filter("src != dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(
         F.countDistinct("src").alias("ways"))
-    pairs = ends.agg(F.count_if(F.col("ways") == 2).alias("symmetric_pairs"))
-    return e.agg(F.count(F.lit(1)).alias("edges")).join(F.broadcast(pairs))
+    pairs = ends.agg(F.count_if(F.col("ways") == 2))
+    return e.agg(F.count(F.lit(1)).alias("edges")).withColumn("symmetric_pairs", pairs.scalar())
 
 
 def graph_search(nodes: DataFrame, text: str, limit: int = 25) -> DataFrame:

@@ -652,7 +652,7 @@ def boot_samples(samples: DataFrame, hits: DataFrame, boots: DataFrame) -> DataF
 def metric_agg(samples: DataFrame, registry: DataFrame, by: Sequence[str]) -> DataFrame:
     """AGG-34: value per group and metric by the metric's kind; sums never go below 0."""
     v = F.col("value")
-    out = samples.join(F.broadcast(registry.select("metric", "unit", "agg")), "metric").groupBy(*by, "metric", "unit", "agg").agg(
+    out = samples.join(registry.select("metric", "unit", "agg"), "metric").groupBy(*by, "metric", "unit", "agg").agg(
         F.sum(v).alias("s"), F.avg(v).alias("m"), F.max(v).alias("x"),
         F.max_by(v, F.struct("ts", "value")).alias("l"), F.max_by("text", F.struct("ts", "text")).alias("text"),
         F.count(F.lit(1)).alias("samples"))
@@ -705,10 +705,10 @@ def check_baselines(values: DataFrame, baselines: DataFrame, overrides: DataFram
     """
     from tripline.functions.scalars import deviation
 
-    rows = values.join(F.broadcast(baselines), "metric")
+    rows = values.join(baselines, "metric")
     if overrides is not None:
         o = overrides.select("metric", "family", F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
-        rows = rows.join(F.broadcast(o), ["metric", "family"], "left")
+        rows = rows.join(o, ["metric", "family"], "left")
         has = F.col("o_lo").isNotNull() | F.col("o_hi").isNotNull()
         rows = rows.withColumns({"lo": F.when(has, F.col("o_lo")).otherwise(F.col("lo")),
                                  "hi": F.when(has, F.col("o_hi")).otherwise(F.col("hi"))}).drop("o_lo", "o_hi")

@@ -372,8 +372,8 @@ def table_health(df: DataFrame) -> DataFrame:
 
 def capped_groups(df: DataFrame, n: int, count: str, key: str) -> DataFrame:
     """TOP-02: the n largest groups, with the number of all groups and whether some are missing."""
-    total = df.agg(F.count(F.lit(1)).alias("total_groups"))
-    return (df.orderBy(F.desc(count), key).limit(n).join(F.broadcast(total))
+    total = df.agg(F.count(F.lit(1)))
+    return (df.orderBy(F.desc(count), key).limit(n).withColumn("total_groups", total.scalar())
             .withColumn("truncated", F.col("total_groups") > n))
 
 

@@ -8,7 +8,7 @@ literal text, regular expression.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,16 +38,29 @@ def _any(tests: Iterable[Column]) -> Column:
     return out
 
 
-def _guard(p: Pattern, line: Column) -> Column:
-    return F.col("service").isin(*p.services) & _any(F.contains(line, F.lit(x)) for x in p.literals)
+def _by_service(patterns: Sequence[Pattern], cell: Callable[[Pattern], Column]) -> Column:
+    """One array of cells per line: only the patterns of the line's service are tried."""
+    services: dict[str, list[Pattern]] = {}
+    for p in patterns:
+        for s in p.services:
+            services.setdefault(s, []).append(p)
+    out = None
+    for s, ps in services.items():
+        cells = F.array(*[cell(p) for p in ps])
+        test = F.col("service") == s
+        out = F.when(test, cells) if out is None else out.when(test, cells)
+    return out
 
 
 def match_lines(lines: DataFrame, patterns: Sequence[Pattern], line: str = "line") -> DataFrame:
     """TXT-10: lines with the keys of all patterns they match, ignoring case."""
     low = F.lower(F.col(line))
-    tests = [F.when(F.col("service").isin(*p.services) & _any(F.contains(low, F.lit(x.lower())) for x in p.literals)
-                    & F.col(line).rlike("(?i)" + p.regex), F.lit(p.key)) for p in patterns]
-    found = lines.withColumn("keys", F.filter(F.array(*tests), lambda k: k.isNotNull()))
+
+    def cell(p: Pattern) -> Column:
+        return F.when(_any(F.contains(low, F.lit(x.lower())) for x in p.literals) & F.col(line).rlike("(?i)" + p.regex), F.lit(p.key))
+
+    known = sorted({s for p in patterns for s in p.services})
+    found = lines.filter(F.col("service").isin(*known)).withColumn("keys", F.array_compact(_by_service(patterns, cell)))
     return found.filter(F.size("keys") > 0)
 
 
@@ -58,18 +71,18 @@ def extract_hits(lines: DataFrame, patterns: Sequence[Pattern], line: str = "lin
     """
     text = F.col(line)
 
-    def one(p: Pattern) -> Column:
-        pairs = [F.struct(F.lit(g).alias("key"), F.regexp_extract(text, p.regex, i).alias("value"))
-                 for i, g in enumerate(p.groups, start=1)]
-        groups = F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["value"] != "")) if pairs else (
-            F.expr("cast(map() as map<string,string>)"))
-        return F.when(_guard(p, text) & text.rlike(p.regex), F.struct(F.lit(p.key).alias("key"), groups.alias("groups")))
+    def cell(p: Pattern) -> Column:
+        values = [F.nullif(F.regexp_extract(text, p.regex, i), F.lit("")) for i in range(1, len(p.groups) + 1)]
+        test = _any(F.contains(text, F.lit(x)) for x in p.literals) & text.rlike(p.regex)
+        names = F.array(*[F.lit(g) for g in p.groups]).cast("array<string>")
+        return F.when(test, F.struct(F.lit(p.key).alias("key"), names.alias("names"), F.array(*values).cast("array<string>").alias("values")))
 
-    hits = lines.withColumn("h", F.explode(F.filter(F.array(*[one(p) for p in patterns]), lambda h: h.isNotNull())))
-    rows = hits.select("device", F.col("h.key").alias("key"), "ts", F.col("h.groups").alias("groups"))
-    # Maps cannot be grouped: compare their sorted entries
-    same = F.to_json(F.array_sort(F.map_entries("groups")))
-    return rows.withColumn("__g", same).dropDuplicates(["device", "key", "ts", "__g"]).drop("__g")
+    known = sorted({s for p in patterns for s in p.services})
+    cells = lines.filter(F.col("service").isin(*known)).select("device", "ts", F.explode(_by_service(patterns, cell)).alias("h"))
+    # Repeats are dropped while the groups are plain arrays, which can be compared
+    hits = cells.filter(F.col("h").isNotNull()).select("device", "ts", "h.*").dropDuplicates()
+    pairs = F.filter(F.arrays_zip("names", "values"), lambda e: e["values"].isNotNull())
+    return hits.select("device", "key", "ts", F.map_from_entries(pairs).alias("groups"))
 
 
 # The two error line formats
@@ -147,10 +160,10 @@ def grep_context(lines: DataFrame, pattern: str, n: int = 3, m: int = 20, by: Se
     """TOP-08: the first m (<= 50) matching lines in file order with n lines around each, and the total."""
     m = max(1, min(m, 50))
     hit = F.col(line).rlike("(?i)" + pattern)
-    total = lines.filter(hit).agg(F.count(F.lit(1)).alias("total_matches"))
+    total = lines.filter(hit).agg(F.count(F.lit(1)))
     first = lines.filter(hit).orderBy(*by, "line_no").limit(m).select(*by, F.col("line_no").alias("match_no"))
     around = first.withColumn("line_no", F.explode(F.sequence(F.col("match_no") - n, F.col("match_no") + n)))
-    return lines.join(F.broadcast(around), [*by, "line_no"]).join(F.broadcast(total))
+    return lines.join(F.broadcast(around), [*by, "line_no"]).withColumn("total_matches", total.scalar())
 
 
 # ── typed lines ──────────────────────────────────────────────────────────────

@@ -91,10 +91,9 @@ def evaluate_steps(hits: DataFrame, steps: DataFrame, boots: DataFrame, cursor:
     one of them (``any``) or all.  Boots without a hit of a test are judged without a fold.
     """
     tests = _test_table(steps)
-    table = tests.agg(F.collect_list(F.struct("test", "steps")).alias("__t"))
-    rows = boots.select(*_BOOT, *([cursor] if cursor else ["start"])).join(F.broadcast(table)).select(
-        *_BOOT, F.coalesce(F.col(cursor or "start"), F.lit(0)).alias("cursor"), F.explode("__t").alias("t")).select(
-        *_BOOT, "cursor", "t.test", "t.steps")
+    table = tests.agg(F.collect_list(F.struct("test", "steps")))
+    rows = boots.select(*_BOOT, F.coalesce(F.col(cursor or "start"), F.lit(0)).alias("cursor")).withColumn(
+        "t", F.explode(table.scalar())).select(*_BOOT, "cursor", "t.test", "t.steps")
     key = [*_BOOT, "test"]
     rows = rows.join(_step_arrays(hits, key), key, "left")
     none = F.create_map().cast("map<int,map<int,array<bigint>>>")
@@ -107,7 +106,7 @@ def evaluate_steps(hits: DataFrame, steps: DataFrame, boots: DataFrame, cursor:
 def applicable(verdicts: DataFrame, tests: DataFrame, boots: DataFrame) -> DataFrame:
     """WIN-41: tests not made for a boot's device type become NOT_APPLICABLE."""
     t = tests.select("test", "device_types")
-    rows = verdicts.join(F.broadcast(t), "test", "left").join(boots.select(*_BOOT, "device_type"), _BOOT)
+    rows = verdicts.join(t, "test", "left").join(boots.select(*_BOOT, "device_type"), _BOOT)
     fits = F.col("device_types").isNull() | F.col("device_type").isNull() | F.array_contains("device_types", F.col("device_type"))
     return rows.withColumns({"verdict": F.when(fits, F.col("verdict")).otherwise("NOT_APPLICABLE"),
                              "reason": F.when(fits, F.col("reason")).otherwise(F.concat(F.lit("Not run on "), "device_type"))}
@@ -123,13 +122,13 @@ def evaluate_in_windows(hits: DataFrame, steps: DataFrame, boots: DataFrame, win
     w = W.partitionBy(*_BOOT).orderBy("start")
     wins = windows.withColumn("w", F.row_number().over(w)).filter(F.col("w") <= MAX_WINDOWS)
     trigger = steps.filter("expect != 'absent'").groupBy("test").agg(F.min("step_no").alias("step_no"))
-    first = hits.join(F.broadcast(trigger), ["test", "step_no"], "left_semi").select(*_BOOT, "test", "ts").distinct()
+    first = hits.join(trigger, ["test", "step_no"], "left_semi").select(*_BOOT, "test", "ts").distinct()
     started = first.join(wins.select(*_BOOT, "w", F.col("start").alias("lo"), F.col("end").alias("hi")), _BOOT).filter(
         (F.col("ts") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("ts") < F.col("hi")))).select(*_BOOT, "test", "w", "lo").distinct()
     starts = boots.select(*_BOOT, F.coalesce("start", F.lit(0)).alias("b_start"))
     key = [*_BOOT, "test", "w"]
     rows = started.join(starts, _BOOT).withColumn("cursor", F.greatest("lo", "b_start"))
-    rows = rows.join(F.broadcast(_test_table(steps)), "test").join(_step_arrays(hits, [*_BOOT, "test"]), [*_BOOT, "test"])
+    rows = rows.join(_test_table(steps), "test").join(_step_arrays(hits, [*_BOOT, "test"]), [*_BOOT, "test"])
     judged = rows.withColumn("j", _judge(_walk(F.col("cursor")))).select(*key, "j.verdict", "j.reason").filter(
         F.col("verdict").isin("PASS", "FAIL"))
     best = judged.groupBy(*_BOOT, "test").agg(F.min_by(F.struct("verdict", "reason"), "w").alias("b"))
@@ -147,7 +146,7 @@ def evaluate_in_windows(hits: DataFrame, steps: DataFrame, boots: DataFrame, win
 
 def gate_by_features(verdicts: DataFrame, test_features: DataFrame, status: DataFrame) -> DataFrame:
     """WIN-43: tests whose named features are all OFF in a boot become CONDITION_NOT_MET."""
-    named = verdicts.select(*_BOOT, "test").join(F.broadcast(test_features.select("test", "feature")), "test")
+    named = verdicts.select(*_BOOT, "test").join(test_features.select("test", "feature"), "test")
     known = named.join(status.select(*_BOOT, "feature", "status"), [*_BOOT, "feature"], "left")
     off = known.groupBy(*_BOOT, "test").agg(F.bool_and(F.coalesce(F.col("status") == "OFF", F.lit(False))).alias("off"))
     out = verdicts.join(off, [*_BOOT, "test"], "left")
@@ -158,7 +157,7 @@ def gate_by_features(verdicts: DataFrame, test_features: DataFrame, status: Data
 def usable_requirements(requirements: DataFrame, rules: DataFrame) -> DataFrame:
     """WIN-44: required dimensions all of whose values some rule detects (test, dimension, values)."""
     known = rules.select("dimension", "value").distinct().withColumn("known", F.lit(True))
-    rows = requirements.select("test", "dimension", "value").distinct().join(F.broadcast(known), ["dimension", "value"], "left")
+    rows = requirements.select("test", "dimension", "value").distinct().join(known, ["dimension", "value"], "left")
     return rows.groupBy("test", "dimension").agg(F.array_sort(F.collect_list("value")).alias("values"),
                                                  F.bool_and(F.col("known").isNotNull()).alias("ok")).filter("ok").drop("ok")
 
@@ -170,7 +169,7 @@ def verdict_rollup(verdicts: DataFrame, test_features: DataFrame | None = None)
     """AGG-41: boots per verdict of every test (and feature group)."""
     rows, keys = verdicts, ["test"]
     if test_features is not None:
-        rows, keys = verdicts.join(F.broadcast(test_features.select("test", "feature")), "test"), ["feature", "test"]
+        rows, keys = verdicts.join(test_features.select("test", "feature"), "test"), ["feature", "test"]
     return rows.groupBy(*keys).agg(*[F.count_if(F.col("verdict") == v).alias(v.lower()) for v in VERDICTS[:4]])
 
 
@@ -181,8 +180,8 @@ def failing_boots(verdicts: DataFrame) -> DataFrame:
 
 def failing_keys(fails: DataFrame, boots_checked: DataFrame) -> DataFrame:
     """AGG-41: boots per failing key, with the number of boots checked."""
-    n = boots_checked.select(*_BOOT).distinct().agg(F.count(F.lit(1)).alias("boots_checked"))
-    return fails.groupBy("key").agg(F.count(F.lit(1)).alias("failed_boots")).join(F.broadcast(n))
+    n = boots_checked.select(*_BOOT).distinct().agg(F.count(F.lit(1)))
+    return fails.groupBy("key").agg(F.count(F.lit(1)).alias("failed_boots")).withColumn("boots_checked", n.scalar())
 
 
 def feature_level(rollup: DataFrame) -> DataFrame:

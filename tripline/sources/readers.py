@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from tripline.functions import text as X
+from tripline.operators.timeline import scan
 
 OBSERVATION_SCHEMA = T.StructType([
     T.StructField("deviceId", T.StringType()), T.StructField("app_ver", T.StringType()),
@@ -82,16 +82,12 @@ def check_pattern_map(rows: DataFrame, order: str) -> DataFrame:
 
 
 def ini_rows(lines: DataFrame, file: str = "file", value: str = "line", order: str = "line_no") -> DataFrame:
-    """SRC-09: (file, section, key, value) of INI lines; the first of a repeated key wins.
-
-    A configuration file is a few hundred lines of one window.
-    """
+    """SRC-09: (file, section, key, value) of INI lines; the first of a repeated key wins."""
     text = F.trim(value)
     head = F.regexp_extract(text, r"^\[([^\]]*)\]", 1)
-    w = W.partitionBy(file).orderBy(order)
     rows = lines.filter((text != "") & ~F.substring(text, 1, 1).isin(";", "#")).withColumns(
         {"__t": text, "__head": F.when(text.rlike(r"^\[[^\]]*\]"), F.trim(head))})
-    rows = rows.withColumn("section", F.last("__head", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = scan(rows, [file], order, last={"section": "__head"}, width_s=100)
     pairs = rows.filter(F.col("__head").isNull() & F.col("section").isNotNull() & F.contains("__t", F.lit("=")))
     key = F.trim(F.substring_index("__t", "=", 1))
     raw = F.expr("substring(__t, instr(__t, '=') + 1)")
@@ -139,10 +135,9 @@ def state_rules_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     Rule lines may repeat a value, so every line counts.
     """
     text = F.trim("line")
-    w = W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     head = F.when(text.rlike(r"^\[.*\]$"), F.trim(F.regexp_extract(text, r"^\[(.*)\]$", 1)))
     rows = lines.filter((text != "") & ~F.substring(text, 1, 1).isin(";", "#")).withColumn("__head", head)
-    rows = rows.withColumn("dimension", F.last("__head", ignorenulls=True).over(w)).filter("__head is null")
+    rows = scan(rows, ["file"], "line_no", last={"dimension": "__head"}, width_s=100).filter("__head is null")
     rows = rows.select("dimension", "line_no", F.trim(F.substring_index(text, "=", 1)).alias("name"),
                        F.trim(F.expr("substring(trim(line), instr(trim(line), '=') + 1)")).alias("rest"))
     setting = F.col("name").isin("default", "once")
