@@ -1,9 +1,8 @@
 """Log lines against pattern registries (TXT-09 .. TXT-16).
 
-A registry is a short fixed list, so it is compiled into column expressions: one array of
-guarded matches per line, evaluated where the line is read.  No line is joined to a pattern
-and nothing is shuffled before the hits exist.  Every test is ordered cheap first: service,
-literal text, regular expression.
+A registry is a short fixed list.  Lines are matched where they are read and nothing is
+shuffled before the hits exist.  Tests are ordered cheap first: service, literal text,
+regular expression.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripline.functions import text as X
@@ -64,24 +63,29 @@ def match_lines(lines: DataFrame, patterns: Sequence[Pattern], line: str = "line
     return found.filter(F.size("keys") > 0)
 
 
+def pattern_table(spark: SparkSession, patterns: Sequence[Pattern]) -> DataFrame:
+    """The registry as rows, one per service and literal text."""
+    rows = [(s, p.key, x, p.regex, list(p.groups)) for p in patterns for s in p.services for x in p.literals]
+    return spark.createDataFrame(rows, "service string, key string, literal string, regex string, names array<string>")
+
+
 def extract_hits(lines: DataFrame, patterns: Sequence[Pattern], line: str = "line") -> DataFrame:
     """TXT-11: (device, key, ts, groups) of every registry match; lines logged twice count once.
 
-    Empty groups are left out of the map.
+    The registry is a fixed list of about a hundred rows, so it is broadcast: every line meets
+    the patterns of its service inside the join, which tests the literal text before a row
+    exists; only then the regular expression runs.  (As one expression the registry outgrows a
+    generated method.)  Groups that took no part are left out of the map.
     """
-    text = F.col(line)
-
-    def cell(p: Pattern) -> Column:
-        values = [F.nullif(F.regexp_extract(text, p.regex, i), F.lit("")) for i in range(1, len(p.groups) + 1)]
-        test = _any(F.contains(text, F.lit(x)) for x in p.literals) & text.rlike(p.regex)
-        names = F.array(*[F.lit(g) for g in p.groups]).cast("array<string>")
-        return F.when(test, F.struct(F.lit(p.key).alias("key"), names.alias("names"), F.array(*values).cast("array<string>").alias("values")))
-
-    known = sorted({s for p in patterns for s in p.services})
-    cells = lines.filter(F.col("service").isin(*known)).select("device", "ts", F.explode(_by_service(patterns, cell)).alias("h"))
+    table = pattern_table(lines.sparkSession, patterns)
+    rows = lines.select("service", "device", "ts", F.col(line).alias("__line"))
+    met = rows.join(F.broadcast(table), (rows["service"] == table["service"]) & F.contains("__line", "literal"))
+    met = met.filter(F.expr("__line rlike regex"))
+    values = F.when(F.size("names") > 0, F.expr(
+        "transform(sequence(1, size(names)), i -> regexp_extract(__line, regex, i))")).otherwise(F.array().cast("array<string>"))
     # Repeats are dropped while the groups are plain arrays, which can be compared
-    hits = cells.filter(F.col("h").isNotNull()).select("device", "ts", "h.*").dropDuplicates()
-    pairs = F.filter(F.arrays_zip("names", "values"), lambda e: e["values"].isNotNull())
+    hits = met.select("device", "ts", "key", "names", values.alias("values")).dropDuplicates(["device", "ts", "key", "values"])
+    pairs = F.filter(F.arrays_zip("names", "values"), lambda e: e["values"] != "")
     return hits.select("device", "key", "ts", F.map_from_entries(pairs).alias("groups"))
 
 
