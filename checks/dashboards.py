@@ -588,3 +588,11 @@ def _(spark, d):
 def _(spark, d):
     e = ev(spark, d).select("event_id")
     return K.union_days(e.filter("event_id % 3 <> 0"), e.filter("event_id % 2 = 0"), e.filter("event_id % 6 in (1, 3, 5)"))
+
+
+@check("flt_safe_select", "SELECT version, count(*) AS n FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1000")
+def _(spark, d):
+    from tripline.plans.adhoc import safe_select
+
+    ev(spark, d).createOrReplaceTempView("critical_events")
+    return safe_select(spark, "select version, count(*) as n from critical_events group by version order by n desc, version", 5000)

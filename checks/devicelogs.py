@@ -400,10 +400,10 @@ def _(spark, d):
 
 
 @check("kpi_event_codes", """
-SELECT code, cast(sum(n) AS bigint) alerts, count(*) devices, quantile_cont(n, 0.9) p90 FROM (SELECT device, c AS code, count(*) AS n FROM (
+SELECT code, cast(sum(n) AS bigint) alerts, count(*) devices, round(quantile_cont(n, 0.9), 6) p90 FROM (SELECT device, c AS code, count(*) AS n FROM (
   SELECT device, unnest(['a.' || (k % 3), 'b']) c FROM alist WHERE k % 20 <> 0) GROUP BY 1, 2) GROUP BY 1""")
 def _(spark, d):
-    return M.event_codes(M.code_counts(M.alert_lists(hits(spark, d))))
+    return M.event_codes(M.code_counts(M.alert_lists(hits(spark, d)))).withColumn("p90", F.round("p90", 6))
 
 
 @check("kpi_session_calls", """
@@ -506,9 +506,9 @@ def _device_values(spark, d):
     return M.metric_agg(s, _registry(spark, d), ["device"])
 
 
-@check("agg_metric_agg", "SELECT device, metric, agg, round(value, 2) AS value, samples FROM dval")
+@check("agg_metric_agg", "SELECT device, metric, agg, cast(floor(value * 10 + 0.01) AS bigint) AS tenths, samples FROM dval")
 def _(spark, d):
-    return _device_values(spark, d).select("device", "metric", "agg", F.round("value", 2).alias("value"), "samples")
+    return _device_values(spark, d).select("device", "metric", "agg", F.floor(F.col("value") * 10 + 0.01).alias("tenths"), "samples")
 
 
 @check("agg_fleet_kpis", """

@@ -116,10 +116,10 @@ def _(spark, d):
 
 @check("agg_feature_level", """
 SELECT f AS feature, count(*) AS tests, count(*) FILTER (WHERE p + q > 0) AS triggered, count(*) FILTER (WHERE p > 0 AND q = 0) AS passed, count(*) FILTER (WHERE q > 0) AS failed, count(*) FILTER (WHERE p + q = 0) AS not_triggered,
-  0::bigint AS condition_not_met, 100.0 * count(*) FILTER (WHERE q > 0) / count(*) AS fail_pct FROM (SELECT f, test, count(*) FILTER (WHERE verdict = 'PASS') p, count(*) FILTER (WHERE verdict = 'FAIL') q
+  0::bigint AS condition_not_met, round(100.0 * count(*) FILTER (WHERE q > 0) / count(*), 6) AS fail_pct FROM (SELECT f, test, count(*) FILTER (WHERE verdict = 'PASS') p, count(*) FILTER (WHERE verdict = 'FAIL') q
   FROM verd JOIN (VALUES ('t1', 'fa'), ('t2', 'fa'), ('t2', 'fb'), ('t3', 'fb')) x(test, f) USING (test) GROUP BY 1, 2) GROUP BY 1""")
 def _(spark, d):
-    return V.feature_level(V.verdict_rollup(_verdicts(spark, d), _tf(spark, d)))
+    return V.feature_level(V.verdict_rollup(_verdicts(spark, d), _tf(spark, d))).withColumn("fail_pct", F.round("fail_pct", 6))
 
 
 @check("agg_failing_boots", "SELECT test, device, b AS boot_index FROM verd WHERE verdict = 'FAIL'")

@@ -173,16 +173,16 @@ FROM fpts""")
 @check("video_loss", """
 SELECT count(*) file_count, min(start_time) min_start_time, max(start_time) max_start_time, cast(sum(observed) AS bigint) observed_total,
   count(*) * 60 expected_total, cast(greatest(count(*) * 60 - sum(observed), 0) AS bigint) missing_total, cast(sum(missing) AS bigint) rows_missing_signal,
-  greatest(count(*) * 60 - sum(observed), 0) * 100.0 / (count(*) * 60) video_loss_pct FROM frames""")
+  round(greatest(count(*) * 60 - sum(observed), 0) * 100.0 / (count(*) * 60), 6) video_loss_pct FROM frames""")
 def _(spark, d):
-    return O.video_loss(obs(spark, d), samples(spark, d), keys=KEY)
+    return O.video_loss(obs(spark, d), samples(spark, d), keys=KEY).withColumn("video_loss_pct", F.round("video_loss_pct", 6))
 
 
 @check("top_loss_hotspots", """
-SELECT device_id, file_name, start_time, observed AS observed_frames, greatest(60 - observed, 0) missing_frames, greatest(60 - observed, 0) * 100.0 / 60 missing_pct
+SELECT device_id, file_name, start_time, observed AS observed_frames, greatest(60 - observed, 0) missing_frames, round(greatest(60 - observed, 0) * 100.0 / 60, 6) missing_pct
 FROM frames ORDER BY missing_frames DESC, start_time DESC, device_id, file_name LIMIT 10""")
 def _(spark, d):
-    return O.loss_hotspots(obs(spark, d), samples(spark, d), keys=KEY)
+    return O.loss_hotspots(obs(spark, d), samples(spark, d), keys=KEY).withColumn("missing_pct", F.round("missing_pct", 6))
 
 
 _NUM = "CASE WHEN regexp_matches(num_frames_out, '^[0-9]+$') THEN cast(num_frames_out AS bigint) END"

@@ -125,3 +125,53 @@ def test_safe_select(spark):
         with pytest.raises(ValueError):
             safe_select(spark, bad)
     assert F.lit(1) is not None
+
+
+def hits_of(spark, rows):
+    return spark.createDataFrame([("d", k, t, g) for k, t, g in rows], "device string, key string, ts bigint, groups map<string,string>")
+
+
+def values(df):
+    return sorted((r["metric"], r["ts"], r["value"]) for r in df.collect())
+
+
+BOOTS = "device string, boot_index int, eff_start bigint, end bigint, version string, svc_start bigint, anchor bigint"
+
+
+def test_low_latency_alert(spark):
+    key = "trip1_part2_1.0_2.0_0.0_1700000000000_y"
+    h = hits_of(spark, [
+        ("lla_msg_send", 1700000010000, {"key": key, "uuid": "u", "end": "1700000009000"}), ("ndc_lla_message", 1700000010100, {}),
+        ("lla_hs_add", 1700000010200, {"uuid": "u", "n": "0", "add": "1700000010150"}),
+        ("lla_hs_result", 1700000012000, {"uuid": "u", "n": "0", "start": "1700000010300", "end": "1700000011000", "status": "fail"}),
+        ("lla_hs_result", 1700000016000, {"uuid": "u", "n": "1", "start": "1700000015000", "end": "1700000016000", "status": "pass"})])
+    got = {m: v for m, _, v in values(M.low_latency(h))}
+    assert got == {"lla_rec_start": 10.0, "lla_ndc_create": 0.1, "lla_ndc_notify": 0.15, "lla_api_trigger": 0.3, "lla_api_ok": 6.0,
+                   "lla_total": 7.0, "lla_retry_n": 1.0, "lla_retry_s": 5.0}
+
+
+def test_cyclic_restart(spark):
+    h = hits_of(spark, [("uptime_long", 900_000, {"s": "180000"}), ("soak_done", 910_000, {}), ("soak_done", 2_000_000, {}),
+                        ("shutdown_reason", 950_000, {"reason": "SHUTDOWN_FOR_CYCLIC_REBOOT", "mode": "restarting"})])
+    assert values(M.cyclic_uptime(h)) == [("cyclic_reboot_uptime", 910_000, 50.0)]
+
+
+def test_power_cut_and_watchdog(spark):
+    h = hits_of(spark, [("alive", 50_000, {"svc": "svc"}), ("ndc_system_uptime", 120_000, {"s": "20"}),
+                        ("sm_prev_shutdown", 121_000, {"reason": ":SHUTDOWN_STATE:POWER_DOWN"}), ("first_frame", 130_000, {"epoch": "130000"}),
+                        ("alive", 400_000, {"svc": "svc"}), ("ndc_system_uptime", 520_000, {"s": "20"}), ("pm_start", 525_000, {}),
+                        ("wakeup_reason", 526_000, {"wakeup": "X", "reset": "TEGRA_WATCHDOG"})])
+    boots = spark.createDataFrame([], BOOTS)
+    powers = M.power_ons(h)
+    units = M.with_units(h, powers, boots)
+    assert values(M.abrupt_power(units, h)) == [("down_abrupt", 130_000, 80.0), ("down_abrupt_reboot", 130_000, 30.0)]
+    assert values(M.watchdog(units, powers, M.unit_reasons(units), h)) == [("wdt_reboot_time", 525_000, 125.0), ("wdt_resets", 500_000, 1.0)]
+
+
+def test_update_outage_and_package(spark):
+    h = hits_of(spark, [("updater_start", 1_000, {}), ("conn_exit", 5_000, {}), ("alive", 7_000, {"svc": "conn_mgr"}), ("data_connected", 60_000, {}),
+                        ("ota_target_check", 100_000, {"version": "v2"}), ("ota_size", 150_000, {"bytes": "5000000"}), ("ota_size", 900_000, {"bytes": "1"})])
+    assert values(M.update_outage(h)) == [("down_lte_ota", 60_000, 53.0)]
+    boots = spark.createDataFrame([("d", 1, 0, 200_000, "v1", 5, None), ("d", 2, 200_000, None, "v2", 230_000, 201_000)], BOOTS)
+    assert values(M.package_sizes(h, boots)) == [("ota_size", 200_000, 5.0)]
+    assert values(M.boot_start(boots)) == [("boot_power_on", 200_000, 29.0)]
