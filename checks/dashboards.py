@@ -9,6 +9,7 @@ from checks.views import ev, pattern_map, table
 from tripline.functions import text as X
 from tripline.plans import classify as C
 from tripline.plans import events as E
+from tripline.session import scratch
 from tripline.sources import sinks as K
 
 A, B = "2024-01-05", "2024-01-20"
@@ -306,10 +307,8 @@ def _(spark, d):
 @check("src_load_devices", """
 SELECT cast(c_custkey AS varchar) device_id, min(c_mktsegment) AS tenant FROM customer WHERE c_nationkey < 12 GROUP BY 1""")
 def _(spark, d):
-    import tempfile
-
     c = table(spark, d, "customer")
-    out = tempfile.mkdtemp(prefix="tripline-csv-")
+    out = scratch(spark)
     rows = c.select(F.col("c_custkey").alias("Device_ID"), F.when(F.col("c_nationkey") < 12, "installed ").otherwise("NEW").alias("Device_State"),
                     F.col("c_mktsegment").alias("Tenant_Display_Name"))
     for i, part in enumerate((rows.withColumn("Tenant_Display_Name", F.lit("old")), rows)):
@@ -575,9 +574,7 @@ def _(spark, d):
 @check("snk_replace_window", f"""
 SELECT event_id, CASE WHEN {WIN} THEN 'new' ELSE 'old' END AS gen FROM ev WHERE NOT ({WIN}) OR type = 'ERROR'""")
 def _(spark, d):
-    import tempfile
-
-    path = tempfile.mkdtemp(prefix="tripline-win-") + "/t"
+    path = scratch(spark)
     e = ev(spark, d).select("event_id", "ts", "type")
     e.withColumns({"gen": F.lit("old"), "day": F.to_date("ts")}).write.partitionBy("day").parquet(path)
     K.replace_window(e.filter("type = 'ERROR'").withColumn("gen", F.lit("new")), path, A, B)

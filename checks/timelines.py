@@ -9,6 +9,7 @@ from checks.views import ev, ms
 from tripline.operators import asof as A
 from tripline.operators import intervals as I
 from tripline.operators import sequences as Q
+from tripline.session import scratch
 
 H = 3_600_000
 
@@ -300,13 +301,11 @@ def _(spark, d):
 @check("str_stream_classify", """
 SELECT event_id, n.pattern, coalesce(p.type, 'INFO') AS type, CASE WHEN p.type IS NULL THEN 'model' ELSE 'map' END matched_via FROM norm n LEFT JOIN pmap p ON n.pattern = p.description_pattern""")
 def _(spark, d):
-    import tempfile
-
     from checks.views import pattern_map
     from tripline.plans.classify import classify
     from tripline.streaming.incremental import stream_classify
 
-    root = tempfile.mkdtemp(prefix="tripline-str-")
+    root = scratch(spark)
     e = ev(spark, d).select("event_id", "device_id", "ts", "code", "description", "type", "priority", "process_name")
     pm = pattern_map(e)
     run = lambda b: classify(b, pm, F.lit("INFO"))

@@ -175,3 +175,49 @@ def test_update_outage_and_package(spark):
     boots = spark.createDataFrame([("d", 1, 0, 200_000, "v1", 5, None), ("d", 2, 200_000, None, "v2", 230_000, 201_000)], BOOTS)
     assert values(M.package_sizes(h, boots)) == [("ota_size", 200_000, 5.0)]
     assert values(M.boot_start(boots)) == [("boot_power_on", 200_000, 29.0)]
+
+
+def walk(hits, steps, cursor):
+    """Verdict of one test by the plain rule over all hits."""
+    required, results = any(e == "present" for *_, e, _ in steps), []
+    for _, no, mode, expect, alts in steps:
+        nexts = [min([t for s, a, t in hits if (s, a) == (no, alt) and t >= cursor], default=None) for alt in range(alts)]
+        ever = [any((s, a) == (no, alt) for s, a, _ in hits) for alt in range(alts)]
+        found = [t for t in nexts if t is not None]
+        if expect == "absent":
+            results.append((expect, "FAIL" if found else "PASS"))
+        elif found and (mode != "all" or len(found) == alts):
+            cursor = max(found) if mode == "all" else min(found)
+            results.append((expect, "PASS"))
+        else:
+            first = next(i for i, t in enumerate(nexts) if t is None)
+            results.append((expect, "OUT_OF_ORDER" if ever[first] else "NOT_FOUND"))
+    need = [(e, s) for e, s in results if e != "info" or not required]
+    positive = [s for e, s in need if e != "absent"]
+    if positive and all(s == "NOT_FOUND" for s in positive):
+        return "NOT_TRIGGERED"
+    return "PASS" if all(s == "PASS" for _, s in need) else "FAIL"
+
+
+def test_thinned_hits_give_the_same_verdicts(spark):
+    import random
+
+    r = random.Random(5)
+    steps = [("t", 1, "any", "present", 2), ("t", 2, "all", "present", 2), ("t", 3, "any", "absent", 1), ("t", 4, "any", "present", 1)]
+    rows, want = [], {}
+    for boot in range(150):
+        # long runs of one pattern, equal times and gaps
+        hits, t = [], 10
+        for _ in range(r.randrange(12)):
+            s, a = r.choice([(1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (4, 0)])
+            for _ in range(r.choice((1, 1, 6))):
+                hits.append((s, a, t))
+                t += r.choice((0, 1, 5))
+        rows += [("d", boot, "t", s, a, x) for s, a, x in hits]
+        want[boot] = walk(hits, steps, 0)
+    h = spark.createDataFrame(rows, "device string, boot_index int, test string, step_no int, alt int, ts bigint")
+    s = spark.createDataFrame(steps, "test string, step_no int, mode string, expect string, alts int")
+    b = spark.createDataFrame([("d", i, 0) for i in want], "device string, boot_index int, start bigint")
+    assert V.thin_hits(h).count() < h.distinct().count()
+    assert {x["boot_index"]: x["verdict"] for x in V.evaluate_steps(h, s, b).collect()} == want
+    assert len(set(want.values())) == 3

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tripline.operators.timeline import scan
+
 # Fixed value: state windows tried per test and boot
 MAX_WINDOWS = 20
 VERDICTS = ("PASS", "FAIL", "NOT_TRIGGERED", "CONDITION_NOT_MET", "NOT_APPLICABLE", "NO_LOG_CHECKS")
@@ -17,13 +19,29 @@ VERDICTS = ("PASS", "FAIL", "NOT_TRIGGERED", "CONDITION_NOT_MET", "NOT_APPLICABL
 _BOOT = ["device", "boot_index"]
 
 
-def _step_arrays(hits: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Sorted distinct match times per (key, step, pattern), gathered to one row per key.
+def thin_hits(hits: DataFrame, breaks: DataFrame | None = None) -> DataFrame:
+    """Hits that can decide a verdict: of a run of hits of one pattern only the first.
 
-    The hits of one boot and test; repeated times are removed before they are gathered.
+    A step looks for the first match at or after a cursor, and a cursor is a match of another
+    step, a boot's start or one of the ``breaks`` (device, boot_index, test, ts).  Between two
+    neighbouring times at which only the same pattern matched there is no such cursor, so the
+    later one is never the answer.  A pattern that matches every line thus leaves few rows.
     """
-    alts = hits.select(*key, "step_no", "alt", "ts").distinct().groupBy(*key, "step_no", "alt").agg(
-        F.array_sort(F.collect_list("ts")).alias("times"))
+    key = [*_BOOT, "test"]
+    rows = hits.select(*key, "ts", F.struct("step_no", "alt").alias("kind"))
+    if breaks is not None:
+        mark = F.struct(F.lit(-1).alias("step_no"), F.lit(-1).alias("alt"))
+        rows = rows.unionByName(breaks.select(*key, "ts", mark.alias("kind")))
+    at = rows.groupBy(*key, "ts").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    seen = scan(at, key, "ts", lag={"before": "kinds"})
+    same = (F.size("kinds") == 1) & F.col("kinds").eqNullSafe(F.col("before"))
+    return seen.filter(~same).select(*key, F.explode("kinds").alias("kind"), "ts").filter("kind.step_no >= 0").select(
+        *key, "kind.step_no", "kind.alt", "ts")
+
+
+def _step_arrays(hits: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Sorted match times per (key, step, pattern), gathered to one row per key, of thinned hits."""
+    alts = hits.groupBy(*key, "step_no", "alt").agg(F.array_sort(F.collect_list("ts")).alias("times"))
     steps = alts.groupBy(*key, "step_no").agg(F.map_from_entries(F.collect_list(F.struct("alt", "times"))).alias("alts"))
     return steps.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("step_no", "alts"))).alias("by_step"))
 
@@ -95,7 +113,8 @@ def evaluate_steps(hits: DataFrame, steps: DataFrame, boots: DataFrame, cursor:
     rows = boots.select(*_BOOT, F.coalesce(F.col(cursor or "start"), F.lit(0)).alias("cursor")).withColumn(
         "t", F.explode(table.scalar())).select(*_BOOT, "cursor", "t.test", "t.steps")
     key = [*_BOOT, "test"]
-    rows = rows.join(_step_arrays(hits, key), key, "left")
+    breaks = rows.select(*key, F.col("cursor").alias("ts")) if cursor else None
+    rows = rows.join(_step_arrays(thin_hits(hits, breaks), key), key, "left")
     none = F.create_map().cast("map<int,map<int,array<bigint>>>")
     rows = rows.withColumn("by_step", F.coalesce("by_step", none))
     out = rows.withColumn("results", _walk(F.col("cursor")))
@@ -128,7 +147,8 @@ def evaluate_in_windows(hits: DataFrame, steps: DataFrame, boots: DataFrame, win
     starts = boots.select(*_BOOT, F.coalesce("start", F.lit(0)).alias("b_start"))
     key = [*_BOOT, "test", "w"]
     rows = started.join(starts, _BOOT).withColumn("cursor", F.greatest("lo", "b_start"))
-    rows = rows.join(_test_table(steps), "test").join(_step_arrays(hits, [*_BOOT, "test"]), [*_BOOT, "test"])
+    kept = thin_hits(hits, rows.select(*_BOOT, "test", F.col("cursor").alias("ts")))
+    rows = rows.join(_test_table(steps), "test").join(_step_arrays(kept, [*_BOOT, "test"]), [*_BOOT, "test"])
     judged = rows.withColumn("j", _judge(_walk(F.col("cursor")))).select(*key, "j.verdict", "j.reason").filter(
         F.col("verdict").isin("PASS", "FAIL"))
     best = judged.groupBy(*_BOOT, "test").agg(F.min_by(F.struct("verdict", "reason"), "w").alias("b"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,11 +45,21 @@ def settle(df: DataFrame) -> DataFrame:
     without that setting and without a folder of its own (a test on one machine) gets a
     temporary one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tripline-"))
+        context.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return tempfile.mkdtemp(prefix="tripline-")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder all executors can reach, for tables a job writes and reads again."""
+    return f"{_shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
