@@ -142,6 +142,24 @@ def test_fold_operators(spark, limit):
             assert c["id"] == min(r[2] for r in seq if start <= r[1] <= start + limit and r[1] < min([w for w in want if w > start], default=1 << 60))
 
 
+@pytest.mark.parametrize("limit", [7, 50])
+def test_fold_of_a_key_that_never_pauses(spark, limit):
+    # One run over thousands of limits: folded block by block, equal to the plain rule
+    r = random.Random(limit)
+    t, rows = 10 ** 12, []
+    for i in range(4000):
+        t += r.choice((0, 1, 3, limit)) * 100
+        rows.append(("hot" if i % 50 else "k", t, i))
+    df = frame(spark, rows)
+    thin = Q.thin_events(df, ["key"], "ts", limit * 100, ["id"], width_s=1).collect()
+    clusters = Q.anchor_clusters(df, ["key"], "ts", limit * 100, ["id"], width_s=1).collect()
+    for key, seq in by_key(rows).items():
+        want = fold([x[1] for x in seq], limit * 100)
+        assert sorted(x["ts"] for x in thin if x["key"] == key) == want
+        assert sum(x["cluster_size"] for x in clusters if x["key"] == key) == len(seq)
+        assert sorted(x["cluster_start"] // 1000 for x in clusters if x["key"] == key) == want
+
+
 def test_gap_equal_to_the_window_does_not_split(spark):
     rows = [("a", 0, 0), ("a", 10, 1), ("a", 21, 2), ("b", 5, 3)]
     got = {r["id"]: (r["batch"], r["batch_size"]) for r in Q.gap_sessions(frame(spark, rows), ["key"], "ts", 10, ["id"], width_s=1).collect()}

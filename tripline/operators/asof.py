@@ -26,7 +26,7 @@ def asof_join(
     prefix: str = "",
     width_s: int = DAY_S,
 ) -> DataFrame:
-    """Add to every left row the columns of its as-of match on the right (NULL without one).
+    """JOI-12 .. JOI-15: every left row with the columns of its as-of match on the right (NULL without one).
 
     ``direction``: ``backward`` (last at or before), ``forward`` (first at or after) or
     ``nearest`` (ties go to the earlier row).  ``allow_exact=False`` excludes equal times.

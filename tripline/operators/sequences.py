@@ -76,34 +76,97 @@ def nth_in_session(df: DataFrame, by: Sequence[str], ts: str, gap_ms: int, n: in
     return counted.filter(F.col("__n") == n).drop("session", "__n", "__one")
 
 
+def _segments(pdf: pd.DataFrame, keys: Sequence[str]) -> Iterator[tuple[object, int, int]]:
+    """(key, from, to) of the runs of equal keys in sorted rows."""
+    ids = list(zip(*[pdf[c].tolist() for c in keys]))
+    lo = 0
+    for i in range(1, len(ids) + 1):
+        if i == len(ids) or ids[i] != ids[lo]:
+            yield ids[lo], lo, i
+            lo = i
+
+
+def _carried(runs: DataFrame, keys: Sequence[str], limit: int, width: int) -> DataFrame:
+    """Last anchor before each block of a run that spans several blocks: keys, ``__blk``, ``__carry``.
+
+    Per block, and at once for all blocks: for every row that could be the block's first anchor
+    (the ones within the limit of its start), the block's last anchor if it is.  Then one pass
+    along the run over these short lists picks the row the anchor before leads to.
+    """
+    keys = list(keys)
+    cells = [*keys, "__blk"]
+    long = runs.groupBy(*keys).agg(F.min("__blk").alias("lo"), F.max("__blk").alias("hi")).filter("lo < hi").select(*keys)
+    times = runs.select(*cells, "__us").join(long, keys, "left_semi").distinct()
+
+    def choices(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["__us"].to_numpy(dtype="int64"))
+        after = np.searchsorted(t, t + limit, side="right")
+        last = np.arange(len(t))
+        for i in range(len(t) - 1, -1, -1):
+            if after[i] < len(t):
+                last[i] = last[after[i]]
+        first = pdf.iloc[0]
+        m = min(int(np.searchsorted(t, int(first["__blk"]) * width + limit, side="right")) + 1, len(t))
+        out = pd.DataFrame({c: [first[c]] * m for c in cells})
+        return out.assign(__entry=t[:m], __last=t[last[:m]])
+
+    base = times.select(*cells)
+    kinds = base.withColumns({"__entry": F.lit(0).cast("bigint"), "__last": F.lit(0).cast("bigint")}).schema
+    lists = times.groupBy(*cells).applyInPandas(choices, kinds)
+    ordered = lists.repartition(*keys).sortWithinPartitions(*cells, "__entry")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, block, anchor, chosen = None, None, None, True
+        for pdf in batches:
+            rows, carry = [], []
+            for i, (ids, entry, last) in enumerate(zip(zip(*[pdf[c].tolist() for c in cells]), pdf["__entry"], pdf["__last"])):
+                if ids[:-1] != run:
+                    run, block, anchor, chosen = ids[:-1], None, None, True
+                if ids[-1] != block:
+                    block, chosen = ids[-1], False
+                    if anchor is not None:
+                        rows.append(i)
+                        carry.append(int(anchor))
+                if not chosen and (anchor is None or entry > anchor + limit):
+                    anchor, chosen = last, True
+            yield pdf.iloc[rows][cells].assign(__carry=np.array(carry, dtype="int64"))
+
+    return ordered.mapInPandas(walk, base.withColumn("__carry", F.lit(0).cast("bigint")).schema)
+
+
 def _fold(df: DataFrame, by: Sequence[str], ts: str, limit_ms: int, tie: Sequence[str], name: str,
           width_s: int) -> DataFrame:
     """Start time (epoch us) of the anchor each row belongs to.
 
     An anchor takes every row at most ``limit`` after it; the next row opens the next anchor.
     That depends on where the anchors before it fell, so it is sequential - but a gap above
-    the limit between neighbours always opens an anchor.  The rows are cut there first and
-    each run is folded on its own, streaming over sorted Arrow batches with one anchor kept.
+    the limit between neighbours always opens an anchor.  The rows are cut there first.  A run
+    without such gaps is cut into time blocks as well, each of which gets the anchor before
+    it, so a key that never pauses is folded in as many tasks as it has blocks.  Rows stream
+    through sorted Arrow batches with one anchor kept.
     """
     by, tie = list(by), list(tie)
+    limit, columns = limit_ms * 1000, list(df.columns)
+    width = max(8 * limit, min(width_s, 600) * 1_000_000)
     runs = session_numbers(df, by, ts, limit_ms, tie, name="__run", width_s=width_s)
-    runs = runs.withColumn("__us", epoch_us(runs, ts))
+    runs = runs.withColumn("__us", epoch_us(runs, ts)).withColumn("__blk", F.floor(F.col("__us") / F.lit(width)).cast("bigint"))
     keys = [*by, "__run"]
-    spread = runs.repartition(*keys).sortWithinPartitions(*keys, ts, *tie)
-    limit, columns = limit_ms * 1000, list(df.columns)
+    cells = [*keys, "__blk"]
+    rows = runs.join(_carried(runs, keys, limit, width), cells, "left")
+    spread = rows.repartition(*cells).sortWithinPartitions(*cells, ts, *tie)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, anchor = None, 0
+        cell, anchor = None, 0
         for pdf in batches:
-            if pdf.empty:
-                continue
             us = pdf["__us"].to_numpy(dtype="int64")
-            ids = pdf[keys].astype(object).apply(tuple, axis=1).to_numpy() if len(keys) > 1 else pdf[keys[0]].to_numpy()
-            change = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            carry = pdf["__carry"].tolist()
             anchors = np.empty(len(us), dtype="int64")
-            for lo, hi in zip([0, *change], [*change, len(us)]):
+            for ids, lo, hi in _segments(pdf, cells):
                 i = lo
-                if ids[lo] == run:
+                fresh = ids != cell
+                if fresh and pd.notna(carry[lo]):
+                    anchor, fresh = int(carry[lo]), False
+                if not fresh:
                     i = lo + int(np.searchsorted(us[lo:hi], anchor + limit, side="right"))
                     anchors[lo:i] = anchor
                 while i < hi:
@@ -111,12 +174,11 @@ def _fold(df: DataFrame, by: Sequence[str], ts: str, limit_ms: int, tie: Sequenc
                     j = i + int(np.searchsorted(us[i:hi], anchor + limit, side="right"))
                     anchors[i:j] = anchor
                     i = j
-                run = ids[lo]
+                cell = ids
             pdf[name] = anchors
             yield pdf[[*columns, name]]
 
-    out = df.withColumn(name, F.lit(0).cast("bigint")).schema
-    return spread.mapInPandas(fold, out)
+    return spread.mapInPandas(fold, df.withColumn(name, F.lit(0).cast("bigint")).schema)
 
 
 def anchor_clusters(df: DataFrame, by: Sequence[str], ts: str, limit_ms: int = 5_000,

@@ -163,7 +163,10 @@ _AFTER_IGNITION = (("dl_adv", "driver_adv_start"), ("dl_scan_start", "driver_sca
 
 
 def counts(hits: DataFrame) -> DataFrame:
-    """WIN-27 metrics: one sample per line, or per distinct group tuple of the device (earliest kept)."""
+    """WIN-27 metrics: one sample per line, or per distinct group tuple of the device (earliest kept).
+
+    KPI-26, the retries of a transfer, counts a failed attempt +1 and a given-up one -1.
+    """
     rules = []
     for metric, key, unique, where in _COUNTS:
         test = F.col("key") == key
@@ -178,7 +181,7 @@ def counts(hits: DataFrame) -> DataFrame:
     plain = rows.filter(F.col("ident").isNull()).select("device", "metric", "ts")
     once = rows.filter(F.col("ident").isNotNull()).groupBy("device", "metric", "ident").agg(F.min("ts").alias("ts"))
     both = plain.unionByName(once.select("device", "metric", "ts"))
-    retries = _hits(hits, "vod_attempt_failed", "vod_exhausted")  # KPI-26
+    retries = _hits(hits, "vod_attempt_failed", "vod_exhausted")
     signed = F.when(F.col("key") == "vod_exhausted", -1).otherwise(1)
     return _samples(both, F.col("metric"), F.lit(1)).unionByName(_samples(retries, "rt_video_n", signed))
 
