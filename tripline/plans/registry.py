@@ -179,7 +179,7 @@ _METRICS = {
     "kpi-root": "root_size GB last",
     "kpi-waf": "waf_ext WAF last; waf_int WAF last",
     "kpi-watchdog": "wdt_resets count sum; wdt_pm_start s mean; wdt_reboot_time s mean",
-    "kpi-driveri": "dl_ign s mean; dl_adv s mean; dl_scan_start s mean; dl_scan_stop s mean",
+    "kpi-driver-app": "dl_ign s mean; dl_adv s mean; dl_scan_start s mean; dl_scan_stop s mean",
     "kpi-obs-upload": "ou_received s mean; ou_files_added s mean; ou_zip s mean; ou_upload_start s mean; ou_upload_ok s mean",
     "kpi-retry": "rt_eventdata_n count sum; rt_eventdata_s s mean; rt_video_n count sum; rt_video_s s mean; rt_obs_n count sum; "
                  "rt_obs_s s mean; rt_videolist_n count sum; rt_videolist_s s mean; rt_status_n count sum; rt_status_s s mean",
