@@ -142,8 +142,9 @@ def test_fold_operators(spark, limit):
             assert c["id"] == min(r[2] for r in seq if start <= r[1] <= start + limit and r[1] < min([w for w in want if w > start], default=1 << 60))
 
 
-@pytest.mark.parametrize("limit", [7, 50])
-def test_fold_of_a_key_that_never_pauses(spark, limit):
+@pytest.mark.parametrize("limit, whole", [(7, 100), (50, 100), (7, 1_000_000)])
+def test_fold_of_a_key_that_never_pauses(spark, monkeypatch, limit, whole):
+    monkeypatch.setattr(Q, "WHOLE_RUN", whole)
     # One run over thousands of limits: folded block by block, equal to the plain rule
     r = random.Random(limit)
     t, rows = 10 ** 12, []
