@@ -42,9 +42,10 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a document of smaller id holds.  Bytes of a character cut in two go with the passage; a
     document of nothing but such passages stays, with an empty text."""
     prepare(spark)
-    kept = suffix_dedup.suffix_dedup(docs).where("size(span_start) > 0").groupBy("doc_id").agg(F.min("kept").alias("_kept"))
+    kept = suffix_dedup.suffix_dedup(docs).where("size(span_start) > 0").groupBy("doc_id", F.col("digest").alias("_digest")).agg(F.min("kept").alias("_kept"))
     at = docs.columns.index("text")
-    joined = docs.join(kept, "doc_id", "left").select(*docs.columns, "_kept")
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    joined = docs.withColumn("_digest", digest).join(kept, ["doc_id", "_digest"], "left").select(*docs.columns, "_kept")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

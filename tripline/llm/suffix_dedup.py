@@ -16,6 +16,7 @@ Anchors only decide which suffix array a window meets; every removal comes from
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -269,7 +270,7 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, kept, span_start, span_end): the remaining bytes and the removed runs of every row of ``docs``.
+    """(doc_id, digest, n_bytes, kept, span_start, span_end): md5 of the text, the remaining bytes and the removed runs of every row of ``docs``.
 
     Null text is empty.  Rows with one doc_id do not remove each other's bytes; rows with a null doc_id count as the largest id.  Texts below ``length`` bytes stay
     whole.  Other columns are ignored, an empty table gives no rows.
@@ -390,15 +391,16 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for lo in range(0, len(chunk.doc), 1000):
                 some = range(lo, min(lo + 1000, len(chunk.doc)))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([None if chunk.doc[i] == NULL_ID else int(chunk.doc[i]) for i in some], pa.int64()), pa.array([int(chunk.end[i] - chunk.start[i]) for i in some], pa.int64()),
+                    pa.array([None if chunk.doc[i] == NULL_ID else int(chunk.doc[i]) for i in some], pa.int64()),
+                    pa.array([hashlib.md5(chunk.buf[chunk.start[i] : chunk.end[i]]).hexdigest() for i in some], pa.string()), pa.array([int(chunk.end[i] - chunk.start[i]) for i in some], pa.int64()),
                     pa.array([chunk.buf[chunk.start[i] : chunk.end[i]][~gone[chunk.start[i] : chunk.end[i]]].tobytes() for i in some], pa.binary()),
                     *(pa.array([(v[at[i] : at[i + 1]] - chunk.start[i]).tolist() for i in some], pa.list_(pa.int64())) for v in (on, off))],
-                    ["doc_id", "n_bytes", "kept", "span_start", "span_end"])
+                    ["doc_id", "digest", "n_bytes", "kept", "span_start", "span_end"])
 
     chunk_rows = chunks.repartition(parts, "chunk").groupBy("chunk")
     pieces = chunk_rows.cogroup(shared.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(send_pieces, "shard long, chunk long, hashes binary, sizes binary, least binary, most binary, texts binary")
     runs = pieces.repartition(parts, "shard").groupBy("shard").applyInArrow(search, "chunk long, hashes binary, first binary, last binary, least binary")
     back = runs.withColumn("shared", F.lit(None).cast("binary")).unionByName(shared, allowMissingColumns=True)
     return chunk_rows.cogroup(back.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(
-        lambda a, b: pa.Table.from_batches(list(remove(a, b)), pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("span_start", pa.list_(pa.int64())), ("span_end", pa.list_(pa.int64()))])),
-        "doc_id long, n_bytes long, kept binary, span_start array<long>, span_end array<long>")
+        lambda a, b: pa.Table.from_batches(list(remove(a, b)), pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("span_start", pa.list_(pa.int64())), ("span_end", pa.list_(pa.int64()))])),
+        "doc_id long, digest string, n_bytes long, kept binary, span_start array<long>, span_end array<long>")
