@@ -219,9 +219,9 @@ def solve(texts: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndar
     """
     n = int(size.sum())
     new = np.cumsum(size + 1) - size - 1
-    s = np.ones(n + len(size) + 1, np.int64)  # 1 ends a piece, 0 ends all
+    s = np.ones(n + len(size) + 1, np.int32)  # 1 ends a piece, 0 ends all
     inside = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
-    s[np.repeat(new, size) + inside] = texts[np.repeat(start, size) + inside].astype(np.int64) + 2
+    s[np.repeat(new, size) + inside] = texts[np.repeat(start, size) + inside].astype(np.int32) + 2
     s[-1] = 0
     sa = suffix_array(s)
     shared = common_prefixes(s, sa, new, size, length)
@@ -280,7 +280,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     chunks = table(pack_chunks(docs))
     total = chunks.agg(F.sum("bytes")).head()[0] or 0
-    shards = max(2 * partitions(spark), -(-total // CHUNK_BYTES))
+    shards = max(2 * partitions(spark), -(-total // (2 * CHUNK_BYTES)))
     parts = max(partitions(spark), -(-total // (4 * CHUNK_BYTES)))
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,17 +10,16 @@ from __future__ import annotations
 import numpy as np
 
 
-def _ranks(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each entry how many equal ones precede it; and the distinct values with their counts."""
+def _ranks(c: np.ndarray) -> np.ndarray:
+    """For each entry how many equal ones precede it."""
     order = np.argsort(c.astype(np.uint16) if len(c) and c.max() < 1 << 16 else c, kind="stable")  # 16 bits sort by radix
     s = c[order]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(s)))
+    here = np.arange(len(s))
     rank = np.empty(len(s), np.int64)
-    rank[order] = np.arange(len(s)) - np.repeat(at, count)
-    return rank, s[at], count
+    rank[order] = here - np.maximum.accumulate(np.where(new, here, 0))
+    return rank
 
 
 def _induce_larger(text: np.ndarray, larger: np.ndarray, sa: np.ndarray, head: np.ndarray) -> None:
@@ -33,17 +32,15 @@ def _induce_larger(text: np.ndarray, larger: np.ndarray, sa: np.ndarray, head: n
         keep = larger[j]
         source, j = source[keep], j[keep]
         c = text[j]
-        rank, value, count = _ranks(c)
-        to = head[c] + rank
+        to = head[c] + _ranks(c)
         cut = hi
         if len(to):
             cut = min(hi, int(to.min()))
             if cut < hi:
                 k = int(np.searchsorted(source, cut - i))
                 j, to, c = j[:k], to[:k], c[:k]
-                value, count = np.unique(c, return_counts=True)
             sa[to] = j
-            head[value] += count
+            head[c] = to + 1  # of equal ones the last counts
         m = min(max(2 * (cut - i), 256), 1 << 17)
         i = cut
 
@@ -59,17 +56,15 @@ def _induce_smaller(text: np.ndarray, larger: np.ndarray, sa: np.ndarray, tail:
         keep = ~larger[j]
         source, j = source[keep], j[keep]
         c = text[j]
-        rank, value, count = _ranks(c)
-        to = tail[c] - 1 - rank
+        to = tail[c] - 1 - _ranks(c)
         cut = lo
         if len(to):
             cut = max(lo, int(to.max()) + 1)
             if cut > lo:
                 k = int(np.searchsorted(source, i - cut))
                 j, to, c = j[:k], to[:k], c[:k]
-                value, count = np.unique(c, return_counts=True)
             sa[to] = j
-            tail[value] -= count
+            tail[c] = to
         m = min(max(2 * (i - cut), 256), 1 << 17)
         i = cut
 
@@ -77,14 +72,15 @@ def _induce_smaller(text: np.ndarray, larger: np.ndarray, sa: np.ndarray, tail:
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix array of non-negative integers; the last one must be 0 and the only 0."""
     n = len(text)
-    text = text.astype(np.int64, copy=False)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    text = text.astype(kind, copy=False)
     if n == 1:
         return np.zeros(1, np.int64)
     # types: compare with the next different value
     sign = np.empty(n, np.int8)
     sign[:-1] = np.sign(text[:-1] - text[1:])
     sign[-1] = -1
-    at = np.where(sign != 0, np.arange(n), n - 1)
+    at = np.where(sign != 0, np.arange(n, dtype=kind), kind(n - 1))
     at = np.minimum.accumulate(at[::-1])[::-1]
     larger = sign[at] > 0
     lms = np.flatnonzero(~larger[1:] & larger[:-1]) + 1
@@ -93,9 +89,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     begin = end - count
 
     def induced(order: np.ndarray) -> np.ndarray:
-        sa = np.full(n, -1, np.int64)
+        sa = np.full(n, -1, kind)
         c = text[order]
-        rank, _, _ = _ranks(c[::-1])
+        rank = _ranks(c[::-1])
         sa[end[c] - 1 - rank[::-1]] = order
         _induce_larger(text, larger, sa, begin.copy())
         placed = np.flatnonzero(sa >= 0)
@@ -111,7 +107,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     is_lms[lms] = True
     order = sa[is_lms[sa]]
     # names: equal LMS substrings share one
-    upto = np.zeros(n, np.int64)
+    upto = np.zeros(n, kind)
     upto[lms] = np.append(np.diff(lms), 0) + 1
     a, b = order[:-1], order[1:]
     same = upto[a] == upto[b]
@@ -123,9 +119,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         same[alive[differ]] = False
         alive = alive[~differ]
         t += 1
-    name = np.concatenate(([0], np.cumsum(~same)))
+    name = np.concatenate(([0], np.cumsum(~same))).astype(kind)
     if name[-1] + 1 < len(lms):
-        names = np.zeros(n, np.int64)
+        names = np.zeros(n, kind)
         names[order] = name
         order = lms[suffix_array(names[lms])]
     return induced(order)
@@ -138,9 +134,9 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, start: np.ndarray, length:
     Positions outside the pieces stay 0.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, sa.dtype)
     before[sa[1:]] = sa[:-1]
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int16 if most < 1 << 15 else np.int64)
     order = np.argsort(-length, kind="stable")
     start, length = start[order], length[order]
     have = np.zeros(len(start), np.int64)
