@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     Every step is a minimum per node, combined before the shuffle, and a join with it; node lists are never gathered.  Links shrink to stars within
     a number of rounds that grows with the logarithm of the largest component.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         # large star: the greater neighbours of each node move to its smallest neighbour

@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     member = table(known.select("doc_id", "digest").distinct().join(reps, "digest").select("doc_id", "node"))
     band = known.join(reps.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"]).select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     lead = band.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("top")).where("lead <> top").select("key", "lead")
-    stars = band.join(lead, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    stars = band.join(lead, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     candidates = table(components(stars))
     links = table(verified_links(candidates, docs, similarity, bands, rows, width, block))
     # a doc_id with several texts joins their nodes

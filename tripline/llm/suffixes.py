@@ -69,6 +69,42 @@ def _induce_smaller(text: np.ndarray, larger: np.ndarray, sa: np.ndarray, tail:
         i = cut
 
 
+def _sort_substrings(text: np.ndarray, larger: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """LMS positions in the order of their substrings (each up to the next LMS position), and names, equal for equal ones.
+
+    Several symbols with their types (L before S) make one sort key; only groups that still agree are sorted by the next ones.
+    """
+    n, count = len(text), len(lms)
+    length = np.append(lms[1:], n - 1) - lms + 1
+    bits = int(2 * int(text.max()) + 1).bit_length()
+    per = 63 // bits
+    order = np.arange(count)
+    same = np.zeros(count, bool)  # as the one before
+    same[1:] = True
+    slots = np.arange(count)
+    done = 0
+    while len(slots):
+        who = order[slots]
+        key = np.zeros(len(slots), np.int64)
+        for k in range(done, done + per):
+            at = np.minimum(lms[who] + k, n - 1)
+            key = key << bits | np.where(k < length[who], 2 * text[at].astype(np.int64) + ~larger[at], 0)
+        group = np.cumsum(~same[slots])
+        by = np.lexsort((key, group)) if done else np.argsort(key, kind="stable")
+        order[slots] = who = who[by]
+        key, group = key[by], group[by]
+        new = np.ones(len(slots), bool)
+        new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+        same[slots] = ~new
+        done += per
+        # groups of several whose substrings go on
+        open_ = length[who] > done
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(slots)))
+        slots = slots[np.repeat((size > 1) & open_[first], size)]
+    return lms[order], (np.cumsum(~same) - 1).astype(text.dtype)
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix array of non-negative integers; the last one must be 0 and the only 0."""
     n = len(text)
@@ -102,24 +138,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         _induce_smaller(text, larger, sa, tail)
         return sa
 
-    sa = induced(lms)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = sa[is_lms[sa]]
-    # names: equal LMS substrings share one
-    upto = np.zeros(n, kind)
-    upto[lms] = np.append(np.diff(lms), 0) + 1
-    a, b = order[:-1], order[1:]
-    same = upto[a] == upto[b]
-    alive = np.flatnonzero(same)
-    t = 0
-    while len(alive):
-        alive = alive[t < upto[a[alive]]]
-        differ = text[a[alive] + t] != text[b[alive] + t]
-        same[alive[differ]] = False
-        alive = alive[~differ]
-        t += 1
-    name = np.concatenate(([0], np.cumsum(~same))).astype(kind)
+    order, name = _sort_substrings(text, larger, lms)
     if name[-1] + 1 < len(lms):
         names = np.zeros(n, kind)
         names[order] = name
