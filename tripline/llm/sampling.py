@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tripline.llm.text import blocks, prefix_hash, span_hash, splitmix
 from tripline.llm.tokens import tokenizer_path
 
-ALPHA, SEED, BLOCK = 1.0, 1, 1 << 20
+ALPHA, SEED, BLOCK = 1.0, 1, 1 << 19
 _MARK, _LITERAL = 0x2581, 0x110000  # a U+2581 of the text itself is kept apart
 _MODELS: dict[str, "Lattice"] = {}
 
