@@ -137,7 +137,7 @@ def _(spark, d):
 
 @check("unique_combinations", """
 SELECT code, code_aux, description, count(*) rows_count FROM ev WHERE contains(version, '.rc.1') AND process_name IN ('error', 'click') AND tenant_id IN (1, 4)
-GROUP BY 1, 2, 3 ORDER BY 4 DESC, 1, 2, 3 LIMIT 10000""")
+GROUP BY 1, 2, 3 ORDER BY 4 DESC, 1, 2, 3""")
 def _(spark, d):
     return E.unique_combinations(ev(spark, d), ".rc.1", ["error", "click"], [1, 4])
 
@@ -364,7 +364,7 @@ def _(spark, d):
 
     rep = obs(spark, d).select(F.lit("prod").alias("environment"), F.col("ota").alias("version"), F.col("start_time").alias("at"))
     runs = ev(spark, d).select(F.lit("prod").alias("environment"), "version", F.col("ts").alias("at"))
-    return E.known_versions(rep, runs, "prod")
+    return E.known_versions(rep, runs, "prod", 100)
 
 
 # ── classification ──
@@ -592,4 +592,4 @@ def _(spark, d):
     from tripline.plans.adhoc import safe_select
 
     ev(spark, d).createOrReplaceTempView("critical_events")
-    return safe_select(spark, "select version, count(*) as n from critical_events group by version order by n desc, version", 5000)
+    return safe_select(spark, "select version, count(*) as n from critical_events group by version order by n desc, version", 1000)

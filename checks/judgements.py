@@ -388,7 +388,7 @@ def _(spark, d):
 SELECT s_name AS feat_name, num AS flow_number, name AS flow_name, type AS flow_type, cast(auto AS varchar) AS flow_automated FROM flow JOIN supplier ON f = s_suppkey WHERE contains(lower(s_name), '0000001') AND lower(type) = 'economy' AND auto = 1
 ORDER BY 1, 2, 3 LIMIT 100""")
 def _(spark, d):
-    return G.list_flows(graph(spark, d), "0000001", "Economy", 1)
+    return G.list_flows(graph(spark, d), "0000001", "Economy", 1, 100)
 
 
 view("oneflow", "SELECT * FROM flow WHERE num = 3 ORDER BY num, name LIMIT 1")
@@ -403,7 +403,7 @@ def _(spark, d):
 
 @check("gra_applicable_flows", "SELECT n_name AS svc_name, s_name AS feat_name, name AS flow_name FROM gfeat g JOIN flow ON flow.f = g.f WHERE r_regionkey = 1 AND g.f % 3 = 1 ORDER BY 1, 2, 3 LIMIT 200")
 def _(spark, d):
-    return G.applicable_flows(graph(spark, d), "R1")
+    return G.applicable_flows(graph(spark, d), "R1", 200)
 
 
 @check("gra_features_not_applicable", "SELECT n_name AS svc_name, s_name AS feat_name FROM gfeat WHERE r_regionkey = 1 AND f % 3 <> 1")

@@ -223,7 +223,7 @@ def _(spark, d):
 
 @check("top_devices", "SELECT device_id, count(*) rows_count FROM obs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def _(spark, d):
-    return O.top_devices(obs(spark, d))
+    return O.top_devices(obs(spark, d), 20)
 
 
 @check("files_per_day", "SELECT cast(cast(start_time AS date) AS varchar) AS day, count(*) files FROM obs GROUP BY 1")

@@ -119,8 +119,11 @@ def test_safe_select(spark):
     from tripline.plans.adhoc import safe_select
 
     spark.range(5000).createOrReplaceTempView("numbers")
-    assert safe_select(spark, "select id from numbers", 5000).count() == 1000
-    assert safe_select(spark, " SELECT id FROM numbers", 0).count() == 1
+    assert safe_select(spark, "select id from numbers", 1000).count() == 1000
+    assert safe_select(spark, " SELECT id, 'failed to load; update' as t FROM numbers", 1).count() == 1
+    for limit in (0, 1001):
+        with pytest.raises(ValueError):
+            safe_select(spark, "select id from numbers", limit)
     for bad in ("drop table numbers", "select 1; select 2", "insert into numbers values (1)", "with a as (select 1) select * from a", "select delete from x"):
         with pytest.raises(ValueError):
             safe_select(spark, bad)

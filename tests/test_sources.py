@@ -74,6 +74,17 @@ def test_window_is_replaced_once(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [0, 1, 3, 4, 7]
 
 
+def test_replacing_half_a_day_keeps_the_other_half(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.range(24).select("id", (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("ts"))
+    old.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(path)
+    for _ in range(2):
+        K.replace_window(old.filter("id % 6 = 0"), path, "2024-01-01 12:00:00", "2024-01-02 00:00:00")
+        assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [*range(12), 12, 18]
+    K.replace_window(old.filter("id < 0"), path, "2024-01-01 12:00:00", "2024-01-02 00:00:00")
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(12))
+
+
 def test_registry(spark, tmp_path):
     path = str(tmp_path / "reg")
     K.registry_append(spark, path, "a", "b", "s", "completed", at="2024-01-01 00:00:00")

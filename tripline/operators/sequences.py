@@ -13,10 +13,6 @@ from pyspark.sql.window import Window as W
 from tripline.operators.timeline import DAY_S, block_of, epoch_us, scan
 
 
-# Rows of a run that one task folds whole; longer runs are folded by blocks, with the same result
-WHOLE_RUN = 1_000_000
-
-
 def session_numbers(df: DataFrame, by: Sequence[str], ts: str, gap_ms: int, tie: Sequence[str] = (),
                     name: str = "session", width_s: int = DAY_S) -> DataFrame:
     """Number of a row's gap session within its key: a gap above ``gap_ms`` to the row before starts one.
@@ -90,7 +86,7 @@ def _segments(pdf: pd.DataFrame, keys: Sequence[str]) -> Iterator[tuple[object,
             lo = i
 
 
-def _carried(runs: DataFrame, long: DataFrame, keys: Sequence[str], limit: int, width: int) -> DataFrame:
+def _carried(runs: DataFrame, several: DataFrame, keys: Sequence[str], limit: int, width: int) -> DataFrame:
     """Last anchor before each block of a long run: keys, ``__blk``, ``__carry``.
 
     Per block, and at once for all blocks: for every row that could be the block's first anchor
@@ -99,7 +95,7 @@ def _carried(runs: DataFrame, long: DataFrame, keys: Sequence[str], limit: int,
     """
     keys = list(keys)
     cells = [*keys, "__blk"]
-    times = runs.select(*cells, "__us").join(long, keys, "left_semi").distinct()
+    times = runs.select(*cells, "__us").join(several, keys, "left_semi").distinct()
 
     def choices(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["__us"].to_numpy(dtype="int64"))
@@ -143,9 +139,8 @@ def _fold(df: DataFrame, by: Sequence[str], ts: str, limit_ms: int, tie: Sequenc
 
     An anchor takes every row at most ``limit`` after it; the next row opens the next anchor.
     That depends on where the anchors before it fell, so it is sequential - but a gap above
-    the limit between neighbours always opens an anchor.  The rows are cut there first.  A run
-    of more than ``WHOLE_RUN`` rows without such gaps is cut into time blocks as well, each of
-    which gets the anchor before it, so a key that never pauses is folded in as many tasks as
+    the limit between neighbours always opens an anchor.  The rows are cut there first.  Runs
+    without such gaps are cut into time blocks as well, each of which gets the anchor before it, so a key that never pauses is folded in as many tasks as
     it has blocks.  Rows stream through sorted Arrow batches with one anchor kept.
     """
     by, tie = list(by), list(tie)
@@ -155,10 +150,10 @@ def _fold(df: DataFrame, by: Sequence[str], ts: str, limit_ms: int, tie: Sequenc
     keys = [*by, "__run"]
     cells = [*keys, "__blk"]
     runs = runs.withColumn("__us", epoch_us(runs, ts))
-    long = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > WHOLE_RUN).drop("__n")
-    block = F.when(F.col("__long"), F.floor(F.col("__us") / F.lit(width))).otherwise(0).cast("bigint")
-    runs = runs.join(long.withColumn("__long", F.lit(True)), keys, "left").withColumn("__blk", block).drop("__long")
-    rows = runs.join(_carried(runs, long, keys, limit, width), cells, "left")
+    runs = runs.withColumn("__blk", F.floor(F.col("__us") / F.lit(width)).cast("bigint"))
+    # a run inside one block has no anchor before it
+    several = runs.groupBy(*keys).agg(F.min("__blk").alias("__a"), F.max("__blk").alias("__b")).filter("__a < __b").select(*keys)
+    rows = runs.join(_carried(runs, several, keys, limit, width), cells, "left")
     spread = rows.repartition(*cells).sortWithinPartitions(*cells, ts, *tie)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

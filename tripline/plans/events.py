@@ -211,7 +211,7 @@ def staging_devices(df: DataFrame) -> DataFrame:
 
 
 def unique_combinations(df: DataFrame, version: str = "", processes: Sequence[str] = (),
-                        tenants: Sequence[int] = (), limit: int = 10_000) -> DataFrame:
+                        tenants: Sequence[int] = (), limit: int | None = None) -> DataFrame:
     """AGG-26: distinct code, aux and description with their rows, most frequent first."""
     if version:
         df = df.filter(F.contains("version", F.lit(version)))
@@ -220,8 +220,8 @@ def unique_combinations(df: DataFrame, version: str = "", processes: Sequence[st
     if tenants:
         df = df.filter(F.col("tenant_id").isin(*tenants))
     keys = ["code", "code_aux", "description"]
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_count"))
-            .orderBy(F.desc("rows_count"), *[F.asc_nulls_last(k) for k in keys]).limit(limit))
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_count")).orderBy(F.desc("rows_count"), *[F.asc_nulls_last(k) for k in keys])
+    return rows if limit is None else rows.limit(limit)
 
 
 def distinct_codes(df: DataFrame, version: str, start: str, end: str) -> DataFrame:
@@ -402,7 +402,7 @@ def state_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("state").agg(F.count(F.lit(1)).alias("devices"))
 
 
-def devices_capped(df: DataFrame, limit: int = 200, field_states: Sequence[str] = ("INSTALLED",)) -> DataFrame:
+def devices_capped(df: DataFrame, limit: int, field_states: Sequence[str] = ("INSTALLED",)) -> DataFrame:
     """AGG-29: per version at most ``limit`` devices, field states first."""
     rank = F.when(F.col("state").isin(*field_states), 0).otherwise(1)
     w = W.partitionBy("version").orderBy(rank, "state", "device_id")
@@ -455,8 +455,8 @@ def order_versions(df: DataFrame, configured: DataFrame) -> DataFrame:
     return rows.orderBy(F.asc_nulls_last("rank"), X.version_key("version").desc())
 
 
-def known_versions(reports: DataFrame, runs: DataFrame, env: str, limit: int = 100) -> DataFrame:
+def known_versions(reports: DataFrame, runs: DataFrame, env: str, limit: int | None = None) -> DataFrame:
     """JOI-26: versions of reports and runs with their newest time."""
     both = reports.select("environment", "version", "at").unionByName(runs.select("environment", "version", "at"))
-    return (both.filter(F.col("environment") == env).groupBy("version").agg(F.max("at").alias("newest"))
-            .orderBy(F.desc("newest"), "version").limit(limit))
+    rows = both.filter(F.col("environment") == env).groupBy("version").agg(F.max("at").alias("newest")).orderBy(F.desc("newest"), "version")
+    return rows if limit is None else rows.limit(limit)

@@ -77,7 +77,7 @@ def symmetric_edges(g: Graph, kind: str) -> DataFrame:
     return e.agg(F.count(F.lit(1)).alias("edges")).withColumn("symmetric_pairs", pairs.scalar())
 
 
-def graph_search(nodes: DataFrame, text: str, limit: int = 25) -> DataFrame:
+def graph_search(nodes: DataFrame, text: str, limit: int) -> DataFrame:
     """GRA-04: nodes whose name, description or display name contains a text, with a snippet."""
     def prop(p: str) -> Column:
         return F.try_element_at("props", F.lit(p))
@@ -105,7 +105,7 @@ def feature_detail(g: Graph, name: str) -> DataFrame:
 
 
 def list_flows(g: Graph, feature: str | None = None, flow_type: str | None = None, automated: int | None = None,
-               limit: int = 100) -> DataFrame:
+               limit: int | None = None) -> DataFrame:
     """GRA-06: flows by feature name, type and automation, each optional."""
     feats, flows = g.label("Feature", "feat", name="name"), g.label("Flow", "flow", **_FLOW)
     if feature is not None:
@@ -115,9 +115,10 @@ def list_flows(g: Graph, feature: str | None = None, flow_type: str | None = Non
     if automated is not None:
         flows = flows.filter(F.col("flow_automated") == str(automated))
     number = F.col("flow_number").cast("bigint")
-    return (feats.join(g.edge("HAS_FLOW", "feat", "flow"), "feat_id").join(flows, "flow_id")
+    rows = (feats.join(g.edge("HAS_FLOW", "feat", "flow"), "feat_id").join(flows, "flow_id")
             .select("feat_name", number.alias("flow_number"), "flow_name", "flow_type", "flow_automated")
-            .orderBy("feat_name", "flow_number", "flow_name").limit(limit))
+            .orderBy("feat_name", "flow_number", "flow_name"))
+    return rows if limit is None else rows.limit(limit)
 
 
 def flow_detail(g: Graph, name: str | None = None, number: int | None = None) -> DataFrame:
@@ -149,7 +150,7 @@ def _line_features(g: Graph, sku: str) -> DataFrame:
                                          | (F.lower(x) == F.lower("line_name")) | (F.lower(x) == F.lower("line_sku")))))
 
 
-def applicable_flows(g: Graph, sku: str, limit: int = 200) -> DataFrame:
+def applicable_flows(g: Graph, sku: str, limit: int) -> DataFrame:
     """GRA-08: flows of the features that name the product line or SKU."""
     return (_line_features(g, sku).filter("fits").join(g.edge("HAS_FLOW", "feat", "flow"), "feat_id")
             .join(g.label("Flow", "flow", **_FLOW), "flow_id").select("svc_name", "feat_name", "flow_name")

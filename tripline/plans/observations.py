@@ -35,6 +35,12 @@ def apply_conditions(df: DataFrame, named: Sequence[tuple[str, Column]] | None =
     return df.withColumn("condition", F.explode(F.filter(tags, lambda t: t.isNotNull())))
 
 
+def _within(name: str, value: int, low: int, high: int) -> int:
+    if not low <= value <= high:
+        raise ValueError(f"{name} must be {low} .. {high}")
+    return value
+
+
 def window_filter(
     df: DataFrame,
     hours: int | None = None,
@@ -58,7 +64,7 @@ def window_filter(
             text = end.strip()
             out = out.filter(F.col(ts) <= F.lit(text + " 23:59:59" if len(text) == 10 else text).cast(kind))
     else:
-        span = max(1, min(hours if hours is not None else 24, 2160))
+        span = _within("hours", hours if hours is not None else 24, 1, 2160)
         base = now if now is not None else F.current_timestamp()
         out = out.filter(F.col(ts) >= (base - F.expr(f"INTERVAL {span} HOURS")).cast(kind))
     if device:
@@ -225,7 +231,7 @@ def obs_with_samples(obs: DataFrame, samples: DataFrame, where: Column | None =
 def gps_kpis(obs: DataFrame, samples: DataFrame, where: Column | None = None, expected: int = 60,
              levels: Sequence[str] = ("fleet", "device", "version"), keys: Sequence[str] = KEYS) -> DataFrame:
     """AGG-07: accuracy KPIs for the fleet, per device and per version from one pass (grouping sets)."""
-    n = max(1, min(expected, 600))
+    n = _within("expected", expected, 1, 600)
     acc = F.col("accuracy")
     points = samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pts"), F.count_if(acc > 0).alias("valid_acc"),
@@ -271,7 +277,7 @@ def _frames_per_file(obs: DataFrame, samples: DataFrame, where: Column | None, k
 def video_loss(obs: DataFrame, samples: DataFrame, where: Column | None = None, expected: int = 60,
                keys: Sequence[str] = KEYS) -> DataFrame:
     """AGG-08: frames seen against frames expected over all recordings."""
-    n = max(1, min(expected, 600))
+    n = _within("expected", expected, 1, 600)
     total = F.count(F.lit(1)) * n
     missing = F.greatest(total - F.coalesce(F.sum("observed_frames"), F.lit(0)), F.lit(0))
     return _frames_per_file(obs, samples, where, keys).agg(
@@ -285,7 +291,7 @@ def video_loss(obs: DataFrame, samples: DataFrame, where: Column | None = None,
 def loss_hotspots(obs: DataFrame, samples: DataFrame, where: Column | None = None, expected: int = 60,
                   k: int = 10, keys: Sequence[str] = KEYS) -> DataFrame:
     """TOP-01: the recordings that miss most frames, newest first on ties."""
-    n = max(1, min(expected, 600))
+    n = _within("expected", expected, 1, 600)
     miss = F.greatest(F.lit(n) - F.col("observed_frames"), F.lit(0))
     return (_frames_per_file(obs, samples, where, keys)
             .select("device_id", "file_name", "start_time", "observed_frames", miss.alias("missing_frames"),
@@ -351,10 +357,10 @@ def observation_overview(obs: DataFrame, where: Column | None = None) -> DataFra
         F.countDistinct("device_id").alias("devices"), F.countDistinct("ota").alias("versions"))
 
 
-def top_devices(df: DataFrame, n: int = 20) -> DataFrame:
+def top_devices(df: DataFrame, n: int) -> DataFrame:
     """AGG-13: devices with most rows, unnamed ones left out."""
     return (df.filter(F.col("device_id") != "").groupBy("device_id").agg(F.count(F.lit(1)).alias("rows_count"))
-            .orderBy(F.desc("rows_count"), "device_id").limit(max(1, min(n, 100))))
+            .orderBy(F.desc("rows_count"), "device_id").limit(n))
 
 
 def files_per_day(obs: DataFrame) -> DataFrame:

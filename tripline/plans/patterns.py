@@ -161,8 +161,9 @@ def merge_timeline(lines: DataFrame, device: str = "device") -> DataFrame:
 
 def grep_context(lines: DataFrame, pattern: str, n: int = 3, m: int = 20, by: Sequence[str] = ("file",),
                  line: str = "line") -> DataFrame:
-    """TOP-08: the first m (<= 50) matching lines in file order with n lines around each, and the total."""
-    m = max(1, min(m, 50))
+    """TOP-08: the first m (1 .. 50) matching lines in file order with n lines around each, and the total."""
+    if not 1 <= m <= 50:
+        raise ValueError("m must be 1 .. 50")
     hit = F.col(line).rlike("(?i)" + pattern)
     total = lines.filter(hit).agg(F.count(F.lit(1)))
     first = lines.filter(hit).orderBy(*by, "line_no").limit(m).select(*by, F.col("line_no").alias("match_no"))

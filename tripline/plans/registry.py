@@ -153,52 +153,129 @@ CAMS = tuple(range(9))
 OPTIONAL_CAMS = (4, 5, 6, 7, 8)
 
 # Metric, unit, aggregation.  Ids ending in * have one metric per camera.
-_METRICS = {
-    "kpi-alerts": "alerts_detected count sum; alerts_uploaded count sum; alerts_not_uploaded count sum; "
-                  "alerts_unique count sum; alerts_ed_calls count sum; alerts_cards count sum; alerts_video_cam* count sum",
-    "kpi-alert-upload": "au_rec_start s mean; au_inertial s mean; au_vision s mean; au_api_trigger s mean; au_api_ok s mean; "
-                        "au_vod_req_cam* s mean; au_video_ok_cam* s mean; au_total s mean",
-    "kpi-boot": "boot_power_on s mean; boot_reboot_log s mean; system_uptime s mean; service_uptime s mean; modem_enum s mean; "
-                "svc_start s mean; analytics_start s mean; zmq_socket s mean; first_frame s mean; data_connectivity s mean; "
-                "keep_alive_reboot s mean; gps_ttff_lpw s mean; gps_ttff_cyclic s mean; cyclic_reboot_uptime h mean; "
-                "cyclic_crank_high s mean; shutdown_time s mean",
-    "kpi-ota": "ota_size MB last; ota_update_time s last; aon_version text last; isp_version text last; obd_version text last; "
-               "bands text last",
-    "kpi-downtime": "down_ota s mean; down_cyclic s mean; down_iot s mean; down_cam_crash s mean; down_abrupt s mean; "
-                    "down_abrupt_supercap s mean; down_abrupt_reboot s mean; down_lte_ota s mean; down_lte_disconnect s mean",
-    "kpi-crash": "crash_cam* count sum; crash_cam*_pct % pct",
-    "kpi-video-hd": "hd_size_cam* MB mean; hd_fps_cam* fps mean",
-    "kpi-video-ld": "ld_size_cam0 MB mean; ld_size_cam1 MB mean; ld_size_cam2 MB mean; ld_size_cam3 MB mean; "
-                    "ld_size_cam4 MB mean; ld_size_cam5 MB mean; ld_size_cam6 MB mean; ld_size_cam7 MB mean; "
-                    "ld_size_cam8 MB mean; ld_fps_cam0 fps mean; ld_fps_cam1 fps mean",
-    "kpi-preview": "pv_ld_cam0 MB last; pv_ld_cam1 MB last; pv_hd_cam0 MB last; pv_hd_cam1 MB last",
-    "kpi-obs": "obs_alloc MB last; obs_hd_max count last; obs_hd_avg KB mean; obs_ld_max count last; obs_ld_avg KB mean; "
-               "obs_gps_size KB mean",
-    "kpi-emmc": "emmc_cam0 count last; emmc_cam1 count last; emmc_cam2 count last; emmc_cam3 count last; emmc_ext count last; "
-                "emmc_obs count last; emmc_hours h last",
-    "kpi-root": "root_size GB last",
-    "kpi-waf": "waf_ext WAF last; waf_int WAF last",
-    "kpi-watchdog": "wdt_resets count sum; wdt_pm_start s mean; wdt_reboot_time s mean",
-    "kpi-driver-app": "dl_ign s mean; dl_adv s mean; dl_scan_start s mean; dl_scan_stop s mean",
-    "kpi-obs-upload": "ou_received s mean; ou_files_added s mean; ou_zip s mean; ou_upload_start s mean; ou_upload_ok s mean",
-    "kpi-retry": "rt_eventdata_n count sum; rt_eventdata_s s mean; rt_video_n count sum; rt_video_s s mean; rt_obs_n count sum; "
-                 "rt_obs_s s mean; rt_videolist_n count sum; rt_videolist_s s mean; rt_status_n count sum; rt_status_s s mean",
-    "kpi-lla": "lla_rec_start s mean; lla_ndc_create s mean; lla_ndc_notify s mean; lla_api_trigger s mean; lla_api_ok s mean; "
-               "lla_total s mean; lla_retry_n count sum; lla_retry_s s mean",
-    "kpi-health-central": "hc_attempted count sum; hc_success count sum; hc_failed count sum; hc_upload_s s mean; "
-                          "hc_missing count sum",
-}
+_METRICS = (
+    ("kpi-alerts", "alerts_detected", "count", "sum"),
+    ("kpi-alerts", "alerts_uploaded", "count", "sum"),
+    ("kpi-alerts", "alerts_not_uploaded", "count", "sum"),
+    ("kpi-alerts", "alerts_unique", "count", "sum"),
+    ("kpi-alerts", "alerts_ed_calls", "count", "sum"),
+    ("kpi-alerts", "alerts_cards", "count", "sum"),
+    ("kpi-alerts", "alerts_video_cam*", "count", "sum"),
+    ("kpi-alert-upload", "au_rec_start", "s", "mean"),
+    ("kpi-alert-upload", "au_inertial", "s", "mean"),
+    ("kpi-alert-upload", "au_vision", "s", "mean"),
+    ("kpi-alert-upload", "au_api_trigger", "s", "mean"),
+    ("kpi-alert-upload", "au_api_ok", "s", "mean"),
+    ("kpi-alert-upload", "au_vod_req_cam*", "s", "mean"),
+    ("kpi-alert-upload", "au_video_ok_cam*", "s", "mean"),
+    ("kpi-alert-upload", "au_total", "s", "mean"),
+    ("kpi-boot", "boot_power_on", "s", "mean"),
+    ("kpi-boot", "boot_reboot_log", "s", "mean"),
+    ("kpi-boot", "system_uptime", "s", "mean"),
+    ("kpi-boot", "service_uptime", "s", "mean"),
+    ("kpi-boot", "modem_enum", "s", "mean"),
+    ("kpi-boot", "svc_start", "s", "mean"),
+    ("kpi-boot", "analytics_start", "s", "mean"),
+    ("kpi-boot", "zmq_socket", "s", "mean"),
+    ("kpi-boot", "first_frame", "s", "mean"),
+    ("kpi-boot", "data_connectivity", "s", "mean"),
+    ("kpi-boot", "keep_alive_reboot", "s", "mean"),
+    ("kpi-boot", "gps_ttff_lpw", "s", "mean"),
+    ("kpi-boot", "gps_ttff_cyclic", "s", "mean"),
+    ("kpi-boot", "cyclic_reboot_uptime", "h", "mean"),
+    ("kpi-boot", "cyclic_crank_high", "s", "mean"),
+    ("kpi-boot", "shutdown_time", "s", "mean"),
+    ("kpi-ota", "ota_size", "MB", "last"),
+    ("kpi-ota", "ota_update_time", "s", "last"),
+    ("kpi-ota", "aon_version", "text", "last"),
+    ("kpi-ota", "isp_version", "text", "last"),
+    ("kpi-ota", "obd_version", "text", "last"),
+    ("kpi-ota", "bands", "text", "last"),
+    ("kpi-downtime", "down_ota", "s", "mean"),
+    ("kpi-downtime", "down_cyclic", "s", "mean"),
+    ("kpi-downtime", "down_iot", "s", "mean"),
+    ("kpi-downtime", "down_cam_crash", "s", "mean"),
+    ("kpi-downtime", "down_abrupt", "s", "mean"),
+    ("kpi-downtime", "down_abrupt_supercap", "s", "mean"),
+    ("kpi-downtime", "down_abrupt_reboot", "s", "mean"),
+    ("kpi-downtime", "down_lte_ota", "s", "mean"),
+    ("kpi-downtime", "down_lte_disconnect", "s", "mean"),
+    ("kpi-crash", "crash_cam*", "count", "sum"),
+    ("kpi-crash", "crash_cam*_pct", "%", "pct"),
+    ("kpi-video-hd", "hd_size_cam*", "MB", "mean"),
+    ("kpi-video-hd", "hd_fps_cam*", "fps", "mean"),
+    ("kpi-video-ld", "ld_size_cam0", "MB", "mean"),
+    ("kpi-video-ld", "ld_size_cam1", "MB", "mean"),
+    ("kpi-video-ld", "ld_size_cam2", "MB", "mean"),
+    ("kpi-video-ld", "ld_size_cam3", "MB", "mean"),
+    ("kpi-video-ld", "ld_size_cam4", "MB", "mean"),
+    ("kpi-video-ld", "ld_size_cam5", "MB", "mean"),
+    ("kpi-video-ld", "ld_size_cam6", "MB", "mean"),
+    ("kpi-video-ld", "ld_size_cam7", "MB", "mean"),
+    ("kpi-video-ld", "ld_size_cam8", "MB", "mean"),
+    ("kpi-video-ld", "ld_fps_cam0", "fps", "mean"),
+    ("kpi-video-ld", "ld_fps_cam1", "fps", "mean"),
+    ("kpi-preview", "pv_ld_cam0", "MB", "last"),
+    ("kpi-preview", "pv_ld_cam1", "MB", "last"),
+    ("kpi-preview", "pv_hd_cam0", "MB", "last"),
+    ("kpi-preview", "pv_hd_cam1", "MB", "last"),
+    ("kpi-obs", "obs_alloc", "MB", "last"),
+    ("kpi-obs", "obs_hd_max", "count", "last"),
+    ("kpi-obs", "obs_hd_avg", "KB", "mean"),
+    ("kpi-obs", "obs_ld_max", "count", "last"),
+    ("kpi-obs", "obs_ld_avg", "KB", "mean"),
+    ("kpi-obs", "obs_gps_size", "KB", "mean"),
+    ("kpi-emmc", "emmc_cam0", "count", "last"),
+    ("kpi-emmc", "emmc_cam1", "count", "last"),
+    ("kpi-emmc", "emmc_cam2", "count", "last"),
+    ("kpi-emmc", "emmc_cam3", "count", "last"),
+    ("kpi-emmc", "emmc_ext", "count", "last"),
+    ("kpi-emmc", "emmc_obs", "count", "last"),
+    ("kpi-emmc", "emmc_hours", "h", "last"),
+    ("kpi-root", "root_size", "GB", "last"),
+    ("kpi-waf", "waf_ext", "WAF", "last"),
+    ("kpi-waf", "waf_int", "WAF", "last"),
+    ("kpi-watchdog", "wdt_resets", "count", "sum"),
+    ("kpi-watchdog", "wdt_pm_start", "s", "mean"),
+    ("kpi-watchdog", "wdt_reboot_time", "s", "mean"),
+    ("kpi-driver-app", "dl_ign", "s", "mean"),
+    ("kpi-driver-app", "dl_adv", "s", "mean"),
+    ("kpi-driver-app", "dl_scan_start", "s", "mean"),
+    ("kpi-driver-app", "dl_scan_stop", "s", "mean"),
+    ("kpi-obs-upload", "ou_received", "s", "mean"),
+    ("kpi-obs-upload", "ou_files_added", "s", "mean"),
+    ("kpi-obs-upload", "ou_zip", "s", "mean"),
+    ("kpi-obs-upload", "ou_upload_start", "s", "mean"),
+    ("kpi-obs-upload", "ou_upload_ok", "s", "mean"),
+    ("kpi-retry", "rt_eventdata_n", "count", "sum"),
+    ("kpi-retry", "rt_eventdata_s", "s", "mean"),
+    ("kpi-retry", "rt_video_n", "count", "sum"),
+    ("kpi-retry", "rt_video_s", "s", "mean"),
+    ("kpi-retry", "rt_obs_n", "count", "sum"),
+    ("kpi-retry", "rt_obs_s", "s", "mean"),
+    ("kpi-retry", "rt_videolist_n", "count", "sum"),
+    ("kpi-retry", "rt_videolist_s", "s", "mean"),
+    ("kpi-retry", "rt_status_n", "count", "sum"),
+    ("kpi-retry", "rt_status_s", "s", "mean"),
+    ("kpi-lla", "lla_rec_start", "s", "mean"),
+    ("kpi-lla", "lla_ndc_create", "s", "mean"),
+    ("kpi-lla", "lla_ndc_notify", "s", "mean"),
+    ("kpi-lla", "lla_api_trigger", "s", "mean"),
+    ("kpi-lla", "lla_api_ok", "s", "mean"),
+    ("kpi-lla", "lla_total", "s", "mean"),
+    ("kpi-lla", "lla_retry_n", "count", "sum"),
+    ("kpi-lla", "lla_retry_s", "s", "mean"),
+    ("kpi-health-central", "hc_attempted", "count", "sum"),
+    ("kpi-health-central", "hc_success", "count", "sum"),
+    ("kpi-health-central", "hc_failed", "count", "sum"),
+    ("kpi-health-central", "hc_upload_s", "s", "mean"),
+    ("kpi-health-central", "hc_missing", "count", "sum"),
+)
 
 
 def metrics() -> list[tuple[str, str, str, str]]:
-    """(table, metric, unit, aggregation) of the whole registry."""
-    out = []
-    for table, text in _METRICS.items():
-        for entry in text.split(";"):
-            name, unit, agg = entry.split()
-            cams = CAMS if "*" in name else (None,)
-            out.extend((table, name if c is None else name.replace("*", str(c)), unit, agg) for c in cams)
-    return out
+    """(table, metric, unit, aggregation) of the whole registry; a metric with * is one per camera."""
+    return [(table, name.replace("*", str(cam)), unit, agg) for table, name, unit, agg in _METRICS for cam in (CAMS if "*" in name else ("",))]
 
 
 # Count metrics that are 0 only in boots with this line; metrics of the first boot's startup

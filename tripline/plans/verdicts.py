@@ -10,8 +10,6 @@ from pyspark.sql.window import Window as W
 
 from tripline.operators.timeline import scan
 
-# Fixed value: state windows tried per test and boot
-MAX_WINDOWS = 20
 VERDICTS = ("PASS", "FAIL", "NOT_TRIGGERED", "CONDITION_NOT_MET", "NOT_APPLICABLE", "NO_LOG_CHECKS")
 
 # hits:  device, boot_index, test, step_no, alt (index of the step's pattern), ts
@@ -132,14 +130,16 @@ def applicable(verdicts: DataFrame, tests: DataFrame, boots: DataFrame) -> DataF
                             ).drop("device_types", "device_type")
 
 
-def evaluate_in_windows(hits: DataFrame, steps: DataFrame, boots: DataFrame, windows: DataFrame) -> DataFrame:
-    """WIN-42: verdicts judged only where a test started inside a state window (at most 20 per boot).
+def evaluate_in_windows(hits: DataFrame, steps: DataFrame, boots: DataFrame, windows: DataFrame, most: int | None = None) -> DataFrame:
+    """WIN-42: verdicts judged only where a test started inside a state window (all, or the first ``most`` of a boot).
 
     The first window with a starting line that gives PASS or FAIL decides.  Without one the
     test is NOT_TRIGGERED when it never started, else CONDITION_NOT_MET.
     """
     w = W.partitionBy(*_BOOT).orderBy("start")
-    wins = windows.withColumn("w", F.row_number().over(w)).filter(F.col("w") <= MAX_WINDOWS)
+    wins = windows.withColumn("w", F.row_number().over(w))
+    if most is not None:
+        wins = wins.filter(F.col("w") <= most)
     trigger = steps.filter("expect != 'absent'").groupBy("test").agg(F.min("step_no").alias("step_no"))
     first = hits.join(trigger, ["test", "step_no"], "left_semi").select(*_BOOT, "test", "ts").distinct()
     started = first.join(wins.select(*_BOOT, "w", F.col("start").alias("lo"), F.col("end").alias("hi")), _BOOT).filter(

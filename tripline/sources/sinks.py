@@ -8,23 +8,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripline.operators.sequences import global_rank
+from tripline.session import settle
 
 
 def replace_window(df: DataFrame, path: str, start: str, end: str, ts: str = "ts") -> None:
     """SNK-01: the rows of [start, end) replace what the table holds of it.
 
-    The window is whole days and the table is partitioned by day: dynamic overwrite swaps the
-    days that have rows, days of the window left without rows are emptied.  Running it again
-    gives the same table.
+    The table is partitioned by day.  Rows that the two edge days hold outside the window are read
+    back, settled and written with the new ones, so dynamic overwrite swaps whole days and loses none;
+    days left without rows are emptied.  Running it again gives the same table.
     """
     spark = df.sparkSession
     kind = df.schema[ts].dataType
     rows = df.filter((F.col(ts) >= F.lit(start).cast(kind)) & (F.col(ts) < F.lit(end).cast(kind))).withColumn("day", F.to_date(ts))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    if hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop.Path(path)):
+        lo, hi = F.lit(start).cast(kind), F.lit(end).cast(kind)
+        edge = spark.read.schema(rows.schema).parquet(path).filter(F.col("day").isin(F.to_date(lo), F.to_date(hi)) & ((F.col(ts) < lo) | (F.col(ts) >= hi)))
+        rows = rows.unionByName(settle(edge))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
     # One row per day of the window: days to empty
-    days = spark.sql(f"select explode(sequence(to_date('{start}'), date_sub(to_date('{end}'), 1))) as day")
+    days = spark.sql(f"select explode(sequence(to_date('{start}'), to_date(timestamp'{end}' - interval 1 microsecond))) as day")
     empty = days.join(rows.select("day").distinct(), "day", "left_anti")
-    hadoop = spark._jvm.org.apache.hadoop.fs
     for r in empty.collect():
         p = hadoop.Path(f"{path}/day={r['day']}")
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -157,13 +162,14 @@ def size_summary(files: DataFrame) -> DataFrame:
         F.sum(kb).alias("sum_kb"), (F.sum("bytes") / 1024 / 1024).alias("mb"))
 
 
-def list_runs(runs: DataFrame, n: int = 50, status: str | None = None, environment: str | None = None) -> DataFrame:
-    """TOP-06: the last n runs by number."""
+def list_runs(runs: DataFrame, n: int | None = None, status: str | None = None, environment: str | None = None) -> DataFrame:
+    """TOP-06: runs by falling number, all or the last n."""
     if status:
         runs = runs.filter(F.col("status") == status)
     if environment:
         runs = runs.filter(F.col("environment") == environment)
-    return runs.orderBy(F.desc("run_id")).limit(n)
+    rows = runs.orderBy(F.desc("run_id"))
+    return rows if n is None else rows.limit(n)
 
 
 def latest_report(reports: DataFrame, by: Sequence[str] = ("device",)) -> DataFrame:
