@@ -83,7 +83,8 @@ def test_suffix_dedup_against_brute_force(spark, odd, monkeypatch, hot):
         assert (r.n_bytes, bytes(r.kept), len(r.span_start)) == want[(1 << 63) - 1 if r.doc_id is None else r.doc_id]
 
 
-def test_suffix_dedup_of_the_documents(spark):
+def test_suffix_dedup_of_the_documents(spark, empty):
+    assert suffix_dedup.suffix_dedup(empty).count() == 0
     docs = spark.read.parquet(f"{D}/documents.parquet")
     want = brute_dedup([(r.doc_id, r.text) for r in docs.collect()])
     for r in suffix_dedup.suffix_dedup(docs).collect():

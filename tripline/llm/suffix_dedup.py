@@ -309,7 +309,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         order = np.lexsort((anchor, chunk))
         anchor, chunk, hot = anchor[order], chunk[order], hot[order]
         ids, at = np.unique(chunk, return_index=True)
-        cuts = list(zip(at, np.append(at[1:], len(chunk)), strict=True))
+        cuts = list(zip(at, np.append(at, len(chunk))[1:], strict=True))
         return pa.table({"chunk": pa.array(ids, pa.int64()), "shared": pa.array([_blob(anchor[a:b] << np.uint64(1) | hot[a:b].astype(np.uint64), "<u8") for a, b in cuts], pa.binary())})
 
     shared = table(chunks.select("chunk", "doc", "sizes", "bytes", "packed").mapInArrow(send_anchors, "shard long, chunk long, anchors binary")
