@@ -201,7 +201,8 @@ def verified_links(candidates: DataFrame, docs: DataFrame, similarity: float, ba
     pairs = (split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node"))
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows_in = pairs.join(text, "node").select("component", "i", "j", "own", "node", "text").repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "own", "node", "text")
+    # one way of joining at every size: which documents are candidates is never broadcast
+    rows_in = pairs.hint("merge").join(text, "node").select("component", "i", "j", "own", "node", "text").repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "own", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, 3):
