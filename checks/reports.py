@@ -446,9 +446,9 @@ def _(spark, d):
     return config_json_rows(docs.unionByName(bad))
 
 
-def _ini(spark, d, ordered=False):
-    """Parts as INI text: one file per device, sections in key order; repeated keys keep their first value."""
-    p = table(spark, d, "part").select(F.concat(F.lit("f"), (F.col("p_partkey") % 40).cast("string")).alias("file"), "p_partkey", "p_type", "p_brand", "p_size")
+def _ini(spark, d, files=40):
+    """Parts as INI text: ``files`` files, sections in key order; repeated keys keep their first value."""
+    p = table(spark, d, "part").select(F.concat(F.lit("f"), (F.col("p_partkey") % files).cast("string")).alias("file"), "p_partkey", "p_type", "p_brand", "p_size")
     return p.select("file", F.explode(F.array(
         F.struct((F.col("p_partkey") * 4).alias("line_no"), F.concat(F.lit(" ["), "p_type", F.lit("]")).alias("line")),
         F.struct((F.col("p_partkey") * 4 + 1).alias("line_no"), F.lit("; note = 1").alias("line")),
@@ -468,29 +468,29 @@ def _(spark, d):
 
 
 @check("src_merge_ini", f"""
-SELECT section, key, coalesce(max(CASE WHEN file = 'f3' THEN value END), max(CASE WHEN file = 'f5' THEN value END)) AS value FROM ({INI}) WHERE file IN ('f3', 'f5') GROUP BY 1, 2""")
+SELECT section, key, coalesce(max(CASE WHEN file = 'f1' THEN value END), max(CASE WHEN file = 'f0' THEN value END)) AS value FROM ({INI.replace('% 40', '% 2')}) GROUP BY 1, 2""")
 def _(spark, d):
     from tripline.sources.readers import ini_rows, merge_ini
 
-    rows = ini_rows(_ini(spark, d))
-    return merge_ini(rows.filter("file = 'f3'"), rows.filter("file = 'f5'"))
+    rows = ini_rows(_ini(spark, d, 2))
+    return merge_ini(rows.filter("file = 'f1'"), rows.filter("file = 'f0'"))
 
 
 @check("src_features", """
-SELECT p_type AS feature, p_brand AS section, 'size' AS key, cast(arg_min(p_size, p_partkey) AS varchar) AS expected FROM part WHERE p_partkey % 40 = 0 GROUP BY 1, 2""")
+SELECT p_type AS feature, p_brand AS section, 'size' AS key, cast(arg_min(p_size, p_partkey) AS varchar) AS expected FROM part GROUP BY 1, 2""")
 def _(spark, d):
     from tripline.sources.readers import features_of, ini_rows
 
-    rows = _ini(spark, d).filter("file = 'f0'").withColumn("line", F.regexp_replace("line", r'^(\S+) = "(\d+)".*$', '$1 = {"size": $2}'))
+    rows = _ini(spark, d, 1).withColumn("line", F.regexp_replace("line", r'^(\S+) = "(\d+)".*$', '$1 = {"size": $2}'))
     return features_of(ini_rows(rows))
 
 
 @check("src_state_rules", """
-SELECT p_type AS dimension, p_brand AS value, 'svc' || p_size AS service, 'a | b ' || p_partkey AS pattern FROM part WHERE p_partkey % 40 = 0""")
+SELECT p_type AS dimension, p_brand AS value, 'svc' || p_size AS service, 'a | b ' || p_partkey AS pattern FROM part""")
 def _(spark, d):
     from tripline.sources.readers import state_rules_of
 
-    p = table(spark, d, "part").filter("p_partkey % 40 = 0")
+    p = table(spark, d, "part")
     rows = p.select(F.lit("f").alias("file"), F.explode(F.array(
         F.struct((F.col("p_partkey") * 4).alias("line_no"), F.concat(F.lit("["), "p_type", F.lit("]")).alias("line")),
         F.struct((F.col("p_partkey") * 4 + 1).alias("line_no"), F.lit("default = idle").alias("line")),
@@ -582,14 +582,14 @@ view("feat", "SELECT p_type AS feature, p_type AS section, p_brand AS key, cast(
 view("fstate", """
 SELECT u.device, f.feature, f.section, f.key, CASE WHEN l.v IS NOT NULL THEN CASE WHEN nv(l.v) = nv(f.want) THEN 'log_ok' ELSE 'log_off' END WHEN (u.device, f.key) IN (SELECT (device, key) FROM covr) THEN 'ovr'
   WHEN c.v IS NULL THEN 'na' WHEN nv(c.v) = nv(f.want) THEN 'ok' ELSE 'off' END AS state FROM (SELECT DISTINCT p_partkey % 40 AS device FROM part) u, feat f
-LEFT JOIN clog l ON l.device = u.device AND l.section = f.section AND l.key = f.key LEFT JOIN (SELECT section, key, v FROM cdef WHERE device = 7) c ON c.section = f.section AND c.key = f.key""".replace("nv(", "("))
+LEFT JOIN clog l ON l.device = u.device AND l.section = f.section AND l.key = f.key LEFT JOIN cdef c ON c.device = u.device AND c.section = f.section AND c.key = f.key""".replace("nv(", "("))
 
 
 def _states(spark, d):
     p = table(spark, d, "part")
-    units = p.select((F.col("p_partkey") % 40).alias("device"), F.lit("v").alias("version")).distinct()
+    units = p.select((F.col("p_partkey") % 40).alias("device"), (F.col("p_partkey") % 40).alias("version")).distinct()
     feats = p.groupBy(F.col("p_type").alias("feature"), F.col("p_type").alias("section"), F.col("p_brand").alias("key")).agg(F.min("p_size").cast("string").alias("expected"))
-    defaults = conf(spark, d, F.min, "p_partkey % 5 <> 0").filter("device = 7").withColumn("version", F.lit("v"))
+    defaults = conf(spark, d, F.min, "p_partkey % 5 <> 0").withColumnRenamed("device", "version")
     ovr = p.filter("p_partkey % 11 = 0").select((F.col("p_partkey") % 40).alias("device"), F.col("p_brand").alias("key")).distinct()
     return C.condition_states(units, feats, defaults, ovr, conf(spark, d, F.max, "p_partkey % 7 = 0"))
 
@@ -637,10 +637,11 @@ def _(spark, d):
 
 
 @check("cfg_remaining_conditions", """
-SELECT b.device, k.section, k.key, c.v AS "default" FROM (SELECT DISTINCT device FROM cpln) b, (SELECT DISTINCT section, key FROM feat) k LEFT JOIN (SELECT * FROM cdef WHERE device = 7) c ON c.section = k.section AND c.key = k.key
+SELECT b.device, k.section, k.key, c.v AS "default" FROM (SELECT DISTINCT device FROM cpln) b, (SELECT DISTINCT section, key FROM feat) k LEFT JOIN (SELECT p_type AS section, p_brand AS key, cast(min(p_size) AS varchar) AS v FROM part WHERE p_partkey % 5 <> 0 GROUP BY 1, 2) c ON c.section = k.section AND c.key = k.key
 WHERE (b.device, k.key) NOT IN (SELECT (device, key) FROM cpln)""")
 def _(spark, d):
     p = table(spark, d, "part")
     feats = p.select(F.col("p_type").alias("section"), F.col("p_brand").alias("key")).distinct()
     plain = p.filter("p_partkey % 3 = 0").select((F.col("p_partkey") % 40).alias("device"), F.col("p_brand").alias("key")).distinct()
-    return C.remaining_conditions(feats, plain, conf(spark, d, F.min, "p_partkey % 5 <> 0").filter("device = 7"))
+    defaults = p.filter("p_partkey % 5 <> 0").groupBy(F.col("p_type").alias("section"), F.col("p_brand").alias("key")).agg(F.min("p_size").cast("string").alias("value"))
+    return C.remaining_conditions(feats, plain, defaults)
