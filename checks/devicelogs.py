@@ -406,9 +406,12 @@ def _(spark, d):
     return M.event_codes(M.code_counts(M.alert_lists(hits(spark, d)))).withColumn("p90", F.round("p90", 6))
 
 
-@check("kpi_session_calls", """
-SELECT device, t AS ts, s AS session FROM (SELECT *, last_value(CASE WHEN hkey = 'eventdata_summary' THEN sess END IGNORE NULLS) OVER (PARTITION BY device, tid ORDER BY t ROWS UNBOUNDED PRECEDING) s
+view("scall", """
+SELECT device, t, s AS session FROM (SELECT *, last_value(CASE WHEN hkey = 'eventdata_summary' THEN sess END IGNORE NULLS) OVER (PARTITION BY device, tid ORDER BY t ROWS UNBOUNDED PRECEDING) s
 FROM hit WHERE hkey IN ('eventdata_summary', 'eventdata_call')) WHERE hkey = 'eventdata_call' AND s IS NOT NULL""")
+
+
+@check("kpi_session_calls", "SELECT device, t AS ts, session FROM scall")
 def _(spark, d):
     return M.session_calls(hits(spark, d)).withColumn("session", F.regexp_extract("session", r"^trip(\d)", 1).cast("bigint"))
 
@@ -419,12 +422,13 @@ SELECT device, m AS metric, ts, round(v, 6) AS value FROM (WITH det AS (SELECT d
 SELECT device, 'au_rec_start' m, d AS ts, (d - 1700000000000 - session) / 1000 v FROM det UNION ALL SELECT device, 'au_vision', d, (d - 1700000000000 - session) / 1000 FROM det
 UNION ALL SELECT device, m, x, (x - d) / 1000 FROM (SELECT h.device, d, CASE hkey WHEN 'eventdata_ok' THEN 'au_api_ok' WHEN 'vod_req' THEN 'au_vod_req_cam' || cam ELSE 'au_video_ok_cam' || cam END m, min(t) x
   FROM hit h JOIN det ON h.device = det.device AND h.sess = det.session WHERE hkey IN ('eventdata_ok', 'vod_req', 'video_ok') GROUP BY h.device, session, d, 3) WHERE x >= d
+UNION ALL SELECT device, 'au_api_trigger', x, (x - d) / 1000 FROM (SELECT c.device, d, min(t) x FROM scall c JOIN det ON c.device = det.device AND c.session = det.session GROUP BY c.device, c.session, d) WHERE x >= d
 UNION ALL SELECT device, 'au_total', max(x), (max(x) - d) / 1000 FROM (SELECT h.device, session, d, cam, min(t) x FROM hit h JOIN det ON h.device = det.device AND h.sess = det.session
   WHERE hkey = 'video_ok' GROUP BY 1, 2, 3, 4) GROUP BY device, session, d HAVING max(x) >= d)""")
 def _(spark, d):
     h = hits(spark, d)
     lists = M.alert_lists(h)
-    return _shape(M.alert_steps(M.alert_sessions(h, lists, M.alert_keys(h, lists)))).filter("metric <> 'au_api_trigger'")
+    return _shape(M.alert_steps(M.alert_sessions(h, lists, M.alert_keys(h, lists))))
 
 
 @check("kpi_alert_session_rows", "SELECT device, session FROM akeys")

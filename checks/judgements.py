@@ -268,13 +268,17 @@ def _totals(spark, d, odd):
 
 _OV = (("devices", "count(DISTINCT device_id)", "NULL"), ("boots", "count(*)", "NULL"), ("drive_hours", "sum(k) / 60", "NULL"), ("short_drives_pct", "100.0 * count(*) FILTER (WHERE k BETWEEN 6 AND 15) / count(*) FILTER (WHERE k > 5)", "TRUE"),
        ("low_power_boots_pct", "100.0 * count(*) FILTER (WHERE k = 1) / count(*)", "TRUE"), ("sessions_stored_pct", "100.0 * count(*) FILTER (WHERE cnt > 1) / sum(cnt)", "FALSE"),
-       ("improper_runs_per_hour", "count(*) FILTER (WHERE k = 2) / (sum(k) / 60)", "TRUE"), ("boots_per_device", "count(*) / count(DISTINCT device_id)", "NULL"))
+       ("improper_runs_per_hour", "count(*) FILTER (WHERE k = 2) / (sum(k) / 60)", "TRUE"), ("boots_per_device", "count(*) / count(DISTINCT device_id)", "NULL"),
+       ("hours_per_device", "sum(k) / 60 / count(DISTINCT device_id)", "NULL"), ("drives_per_hour", "count(*) FILTER (WHERE k > 5) / (sum(k) / 60)", "NULL"),
+       ("low_power_devices_pct", "100.0 * count(DISTINCT CASE WHEN k = 1 THEN device_id END) / count(DISTINCT device_id)", "TRUE"),
+       ("over_6h_devices_pct", "100.0 * count(DISTINCT CASE WHEN k > 50 THEN device_id END) / count(DISTINCT device_id)", "NULL"),
+       ("sessions_per_hour", "sum(cnt) / (sum(k) / 60)", "NULL"), ("session_issues_pct", "100.0 * count(*) FILTER (WHERE k = 9) / count(*) FILTER (WHERE k > 5)", "TRUE"))
 
 
 @check("agg_compare_overview", "SELECT metric, round(a, 5) AS a, round(b, 5) AS b, CASE WHEN w IS NULL OR coalesce(abs((b - a) * 100 / abs(a)) < 10, TRUE) THEN 'same' WHEN (b > a) = w THEN 'worse' ELSE 'better' END AS verdict FROM (" + " UNION ALL ".join(
     f"SELECT '{m}' AS metric, max(CASE WHEN s = 0 THEN v END) a, max(CASE WHEN s = 1 THEN v END) b, cast({w} AS boolean) AS w FROM (SELECT user_id % 2 AS s, cast({x} AS double) AS v FROM ev GROUP BY 1)" for m, x, w in _OV) + ")")
 def _(spark, d):
-    out = X.compare_overview(_totals(spark, d, 0), _totals(spark, d, 1)).filter(F.col("metric").isin(*[m for m, _, _ in _OV]))
+    out = X.compare_overview(_totals(spark, d, 0), _totals(spark, d, 1))
     return out.select("metric", F.round("a", 5).alias("a"), F.round("b", 5).alias("b"), "verdict")
 
 
