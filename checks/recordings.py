@@ -138,7 +138,7 @@ def _(spark, d):
 @check("join_obs_with_samples", """
 SELECT device_id, count(*) n, round(sum(accuracy), 2) acc FROM obs JOIN smp USING (file_name) WHERE ota = '2.6.0' GROUP BY 1""")
 def _(spark, d):
-    out = O.obs_with_samples(obs(spark, d), samples(spark, d), F.col("ota") == "2.6.0")
+    out = O.obs_with_samples(obs(spark, d), samples(spark, d), F.col("ota") == "2.6.0", keys=KEY)
     return out.groupBy("device_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("accuracy"), 2).alias("acc"))
 
 

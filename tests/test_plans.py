@@ -49,3 +49,20 @@ def test_entry_and_oracles_line_up(spark):
     assert set(o) <= set(q) and len(q) >= 250 and len(o) >= 240
     out = entry.entry(spark)
     assert out.count() > 0 and "condition" in out.columns
+
+
+def test_sample_window_reaches_both_scans(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tripline.plans import observations as O
+
+    spark.range(8).selectExpr("cast(id % 2 as string) device_id", "'f' file_name", "id start_time", "cast(id % 2 as string) ota").where("start_time < 2").write.parquet(f"{tmp_path}/obs")
+    spark.range(8).selectExpr("cast(id % 2 as string) device_id", "'f' file_name", "id start_time", "1.0 accuracy").write.parquet(f"{tmp_path}/smp")
+    obs, smp = spark.read.parquet(f"{tmp_path}/obs"), spark.read.parquet(f"{tmp_path}/smp")
+    window = (F.col("start_time") >= 0) & (F.col("start_time") < 6)
+    for df in (O.gps_kpis(obs, smp, window, samples_where=window), O.files_with_counts(obs, smp, window, samples_where=window),
+               O.obs_with_samples(obs, smp, window, samples_where=window)):
+        assert plan(df).count("LessThan(start_time") == 2
+    # one file name on two devices: each sample meets its own device's recording
+    rows = O.obs_with_samples(obs, smp, window, samples_where=window).groupBy("device_id").count().collect()
+    assert sorted(map(tuple, rows)) == [("0", 3), ("1", 3)]

@@ -202,6 +202,10 @@ def gps_summary(files: DataFrame) -> DataFrame:
 # ── fleet KPIs (recordings may repeat a key: files are collapsed first) ──────
 
 
+def _rows(df: DataFrame, where: Column | None) -> DataFrame:
+    return df if where is None else df.filter(where)
+
+
 def files_of(obs: DataFrame, keep: Sequence[str] = ("ota",)) -> DataFrame:
     """One row per (device, file); a repeated key keeps its smallest values (JOI-02)."""
     return obs.groupBy("device_id", "file_name").agg(
@@ -214,32 +218,36 @@ def sample_counts(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def files_with_counts(obs: DataFrame, samples: DataFrame, where: Column | None = None,
-                      keep: Sequence[str] = ("ota",), keys: Sequence[str] = KEYS) -> DataFrame:
-    """JOI-02: distinct recordings with the number of their samples, 0 without any."""
-    files = files_of(obs if where is None else obs.filter(where), keep)
-    return (files.join(sample_counts(samples, keys), list(keys), "left")
+                      keep: Sequence[str] = ("ota",), keys: Sequence[str] = KEYS, samples_where: Column | None = None) -> DataFrame:
+    """JOI-02: distinct recordings with the number of their samples, 0 without any.
+
+    ``samples_where`` is the same window in the columns of the samples (start time, device), here and below: it reaches
+    their scan, which a predicate on recordings can't.
+    """
+    files = files_of(_rows(obs, where), keep)
+    return (files.join(sample_counts(_rows(samples, samples_where), keys), list(keys), "left")
             .withColumn("pts", F.coalesce("pts", F.lit(0))))
 
 
-def obs_with_samples(obs: DataFrame, samples: DataFrame, where: Column | None = None) -> DataFrame:
-    """JOI-03: samples of the recordings that meet a predicate."""
-    left = obs if where is None else obs.filter(where)
-    extra = [c for c in samples.columns if c not in ("device_id", "start_time")]
-    return left.join(samples.select(*extra), "file_name")
+def obs_with_samples(obs: DataFrame, samples: DataFrame, where: Column | None = None, samples_where: Column | None = None,
+                     keys: Sequence[str] = KEYS) -> DataFrame:
+    """JOI-03: samples of the recordings that meet a predicate; file names may repeat over devices, so both keys count."""
+    extra = [c for c in samples.columns if c not in ("device_id", "file_name", "start_time")]
+    return _rows(obs, where).join(_rows(samples, samples_where).select(*keys, *extra), list(keys))
 
 
 def gps_kpis(obs: DataFrame, samples: DataFrame, where: Column | None = None, expected: int = 60,
-             levels: Sequence[str] = ("fleet", "device", "version"), keys: Sequence[str] = KEYS) -> DataFrame:
+             levels: Sequence[str] = ("fleet", "device", "version"), keys: Sequence[str] = KEYS, samples_where: Column | None = None) -> DataFrame:
     """AGG-07: accuracy KPIs for the fleet, per device and per version from one pass (grouping sets)."""
     n = _within("expected", expected, 1, 600)
     acc = F.col("accuracy")
-    points = samples.groupBy(*keys).agg(
+    points = _rows(samples, samples_where).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pts"), F.count_if(acc > 0).alias("valid_acc"),
         F.count_if(acc.isNull() | (acc <= 0)).alias("invalid_acc"),
         *[F.count_if((acc > 0) & (acc <= limit)).alias(name) for name, limit in BUCKETS],
         F.count_if(acc > 10).alias("gt_10"), F.sum(F.when(acc > 0, acc)).alias("acc_sum"))
     counts = ["pts", "valid_acc", "invalid_acc", *[b for b, _ in BUCKETS], "gt_10"]
-    joined = files_of(obs if where is None else obs.filter(where)).join(points, list(keys), "left")
+    joined = files_of(_rows(obs, where)).join(points, list(keys), "left")
     sets = {"fleet": [], "device": [F.col("device_id")], "version": [F.col("ota")]}
     total = F.count(F.lit(1)) * n
     missing = F.greatest(total - F.coalesce(F.sum("valid_acc"), F.lit(0)), F.lit(0))
@@ -265,8 +273,9 @@ def _frames() -> Column:
     return F.when(text.rlike("^[0-9]+$"), text.try_cast("bigint"))
 
 
-def _frames_per_file(obs: DataFrame, samples: DataFrame, where: Column | None, keys: Sequence[str]) -> DataFrame:
-    files = files_with_counts(obs, samples, where, ("num_frames_out",), keys)
+def _frames_per_file(obs: DataFrame, samples: DataFrame, where: Column | None, keys: Sequence[str],
+                     samples_where: Column | None) -> DataFrame:
+    files = files_with_counts(obs, samples, where, ("num_frames_out",), keys, samples_where)
     return files.select(
         "device_id", "file_name", F.col("min_start").alias("start_time"),
         F.coalesce(_frames(), F.nullif("pts", F.lit(0)), F.lit(0).cast("bigint")).alias("observed_frames"),
@@ -275,12 +284,12 @@ def _frames_per_file(obs: DataFrame, samples: DataFrame, where: Column | None, k
 
 
 def video_loss(obs: DataFrame, samples: DataFrame, where: Column | None = None, expected: int = 60,
-               keys: Sequence[str] = KEYS) -> DataFrame:
+               keys: Sequence[str] = KEYS, samples_where: Column | None = None) -> DataFrame:
     """AGG-08: frames seen against frames expected over all recordings."""
     n = _within("expected", expected, 1, 600)
     total = F.count(F.lit(1)) * n
     missing = F.greatest(total - F.coalesce(F.sum("observed_frames"), F.lit(0)), F.lit(0))
-    return _frames_per_file(obs, samples, where, keys).agg(
+    return _frames_per_file(obs, samples, where, keys, samples_where).agg(
         F.count(F.lit(1)).alias("file_count"), F.min("start_time").alias("min_start_time"),
         F.max("start_time").alias("max_start_time"), F.sum("observed_frames").alias("observed_total"),
         total.alias("expected_total"), missing.alias("missing_total"),
@@ -289,11 +298,11 @@ def video_loss(obs: DataFrame, samples: DataFrame, where: Column | None = None,
 
 
 def loss_hotspots(obs: DataFrame, samples: DataFrame, where: Column | None = None, expected: int = 60,
-                  k: int = 10, keys: Sequence[str] = KEYS) -> DataFrame:
+                  k: int = 10, keys: Sequence[str] = KEYS, samples_where: Column | None = None) -> DataFrame:
     """TOP-01: the recordings that miss most frames, newest first on ties."""
     n = _within("expected", expected, 1, 600)
     miss = F.greatest(F.lit(n) - F.col("observed_frames"), F.lit(0))
-    return (_frames_per_file(obs, samples, where, keys)
+    return (_frames_per_file(obs, samples, where, keys, samples_where)
             .select("device_id", "file_name", "start_time", "observed_frames", miss.alias("missing_frames"),
                     (miss * 100.0 / n).alias("missing_pct"))
             .orderBy(F.desc("missing_frames"), F.desc_nulls_last("start_time"), "device_id", "file_name").limit(k))
@@ -303,9 +312,9 @@ _HEALTH = ("ota", "ignition_status", "num_frames_out", "metadatastatus")
 
 
 def session_health(obs: DataFrame, samples: DataFrame, where: Column | None = None,
-                   keys: Sequence[str] = KEYS) -> DataFrame:
+                   keys: Sequence[str] = KEYS, samples_where: Column | None = None) -> DataFrame:
     """AGG-09: health of all recordings in one row."""
-    f = files_with_counts(obs, samples, where, _HEALTH, keys)
+    f = files_with_counts(obs, samples, where, _HEALTH, keys, samples_where)
     return f.agg(
         F.count(F.lit(1)).alias("total_files"), F.countDistinct("device_id").alias("devices"),
         F.countDistinct("ota").alias("versions"), F.min("min_start").alias("earliest_start"),
@@ -320,9 +329,9 @@ def session_health(obs: DataFrame, samples: DataFrame, where: Column | None = No
 
 
 def session_health_by_device(obs: DataFrame, samples: DataFrame, where: Column | None = None,
-                             n: int = 20, keys: Sequence[str] = KEYS) -> DataFrame:
+                             n: int = 20, keys: Sequence[str] = KEYS, samples_where: Column | None = None) -> DataFrame:
     """AGG-10: health per device and version, the n with most recordings."""
-    f = files_with_counts(obs, samples, where, _HEALTH, keys).filter(F.col("device_id") != "")
+    f = files_with_counts(obs, samples, where, _HEALTH, keys, samples_where).filter(F.col("device_id") != "")
     out = f.groupBy("device_id", "ota").agg(
         F.count(F.lit(1)).alias("file_count"), F.min("min_start").alias("first_session"),
         F.max("min_start").alias("last_session"),
@@ -331,16 +340,16 @@ def session_health_by_device(obs: DataFrame, samples: DataFrame, where: Column |
         F.count_if(_frames().isNotNull()).alias("with_frames"),
         F.round(F.avg(F.coalesce(_frames(), F.lit(0))), 1).alias("avg_frames"),
         F.count_if(F.col("metadatastatus") == "full").alias("full_metadata"))
-    return out.orderBy(F.desc("file_count"), "device_id", "ota").limit(max(1, min(n, 100)))
+    return out.orderBy(F.desc("file_count"), "device_id", "ota").limit(_within("n", n, 1, 100))
 
 
 def sample_overview(obs: DataFrame, samples: DataFrame, where: Column | None = None,
-                    keys: Sequence[str] = KEYS) -> DataFrame:
+                    keys: Sequence[str] = KEYS, samples_where: Column | None = None) -> DataFrame:
     """AGG-11: recordings with samples, sample totals and the speed range."""
-    points = samples.groupBy(*keys).agg(
+    points = _rows(samples, samples_where).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pts"), F.count_if(F.col("valid") == 1).alias("valid_pts"),
         F.min("speed").alias("lo"), F.max("speed").alias("hi"))
-    files = (obs if where is None else obs.filter(where)).select("device_id", "file_name").distinct()
+    files = _rows(obs, where).select("device_id", "file_name").distinct()
     return files.join(points, list(keys), "left").agg(
         F.count(F.lit(1)).alias("files"), F.count_if(F.col("pts") > 0).alias("files_with_samples"),
         F.coalesce(F.sum("pts"), F.lit(0)).alias("samples"),
@@ -350,7 +359,7 @@ def sample_overview(obs: DataFrame, samples: DataFrame, where: Column | None = N
 
 def observation_overview(obs: DataFrame, where: Column | None = None) -> DataFrame:
     """AGG-12: rows, time range, frame texts, devices and versions."""
-    return (obs if where is None else obs.filter(where)).agg(
+    return _rows(obs, where).agg(
         F.count(F.lit(1)).alias("total_rows"), F.min("start_time").alias("min_start_time"),
         F.max("start_time").alias("max_start_time"),
         F.count("num_frames_out").alias("rows_with_frames"),
