@@ -295,13 +295,13 @@ def _(spark, d):
 
 
 @check("agg_compare_codes", """
-SELECT code, a_alerts, b_alerts FROM (SELECT '1.' || k AS code, count(*) FILTER (WHERE user_id % 2 = 0) a_alerts, count(*) FILTER (WHERE user_id % 2 = 1) b_alerts, k FROM ev GROUP BY k)
+SELECT code, a_alerts, b_alerts, round(a_alerts / 10, 6) AS a, round(b_alerts / 20, 6) AS b, round((b_alerts / 20 - a_alerts / 10) * 100 / nullif(a_alerts / 10, 0), 6) AS change_pct FROM (SELECT '1.' || k AS code, count(*) FILTER (WHERE user_id % 2 = 0) a_alerts, count(*) FILTER (WHERE user_id % 2 = 1) b_alerts, k FROM ev GROUP BY k)
 WHERE a_alerts = 0 OR abs(b_alerts / 20 - a_alerts / 10) * 100 / (a_alerts / 10) >= 10 ORDER BY abs(b_alerts / 20 - a_alerts / 10) DESC, k LIMIT 25""")
 def _(spark, d):
     def codes(odd):
         return ev(spark, d).filter(F.col("user_id") % 2 == odd).groupBy(F.concat(F.lit("1."), F.col("k").cast("string")).alias("code")).agg(F.count(F.lit(1)).alias("alerts"))
 
-    return X.compare_codes(codes(0), codes(1), 10, 20).select("code", "a_alerts", "b_alerts")
+    return X.compare_codes(codes(0), codes(1), 10, 20).select("code", "a_alerts", "b_alerts", *[F.round(c, 6).alias(c) for c in ("a", "b", "change_pct")])
 
 
 # ── graph: regions > nations > suppliers > parts as product lines > services > features > flows ──
