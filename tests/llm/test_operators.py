@@ -246,6 +246,16 @@ def test_nearest_against_brute_force(spark):
     assert ann.nearest(everything.limit(0), "id % 20 = 0").count() == 0
 
 
+def test_nearest_of_a_repeated_row(spark):
+    """One row 30 times beside other ids of the same vector, larger ones included: every id is found once."""
+    rows_ = [(1, [1.0, 2.0])] * 30 + [(20, [1.0, 2.0]), (31, [1.0, 2.0]), (40, [2.0, 0.5])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows_, "vec_id long, embedding array<float>"), "id in (1, 20, 40)").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert {q: sorted(x) for q, x in got.items()} == {1: [(1, 20, 5.0), (2, 31, 5.0), (3, 40, 3.0)], 20: [(1, 1, 5.0), (2, 31, 5.0), (3, 40, 3.0)],
+                                                      40: [(1, 1, 3.0), (2, 20, 3.0), (3, 31, 3.0)]}
+
+
 def zip64(members):
     """A ZIP file whose directory keeps all sizes in ZIP64 fields."""
     out, central = b"", b""

@@ -171,10 +171,10 @@ def nearest(vectors: DataFrame, queries: str, k: int = K, id_column: str = "vec_
     among all other usable rows with the largest inner product (double precision), ties to the smaller id.
 
     Vectors that are null, zero, of another length or hold null or non-finite numbers take no part, nor do null ids.  Of repeated ids each
-    row is a candidate, and a query never finds its own id; other columns are ignored; without candidates there are no rows.
+    distinct vector is a candidate, equal rows count once, and a query never finds its own id; other columns are ignored; without candidates there are no rows.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, id_column, column)
+    rows = usable(vectors, id_column, column).distinct()
     first = Window.partitionBy("v").orderBy("id")
     nodes = table(rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
                   .withColumn("sq", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
@@ -194,7 +194,7 @@ def nearest(vectors: DataFrame, queries: str, k: int = K, id_column: str = "vec_
 
     built = table(nodes.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int")).select("shard", "v", "ids")
                   .groupBy("shard").applyInArrow(index, "shard int, vectors binary, ids binary, n_ids binary, levels array<binary>"))
-    asked = rows.where(queries).dropDuplicates(["id", "v"])
+    asked = rows.where(queries)
     salts = max(1, math.ceil(asked.count() / QUERIES_PER_TASK))
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
