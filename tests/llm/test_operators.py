@@ -343,6 +343,37 @@ def test_language_id(spark, odd, empty):
     assert (language_id.word_scores(w, model)[0] == model.word_log[np.searchsorted(model.hashes, w.hashes[0])]).all()
 
 
+def test_language_id_knows_every_word_and_gram(spark):
+    """The few words a task holds change no result, and no word or n-gram of training is lost: scores are those of a count in Python."""
+    texts = [("en", "the the the the cat sat onward"), ("fr", "le le le chat"), ("de", "der der hund straße")]
+    docs = prepare(spark).createDataFrame([(i, x, lang) for i, (lang, x) in enumerate(texts)], "doc_id long, text string, lang string")
+    asked = ["the cat", "chat", "sat strasse", "qqq", "hunde le hunde", "1"]
+    words, grams = {}, {}
+    for lang, x in texts:
+        for w in x.split():
+            words.setdefault(w, Counter())[lang] += 1
+            for n in range(1, 5):
+                for at in range(len(w) + 3 - n):
+                    grams.setdefault(n, {}).setdefault(f" {w} "[at : at + n], Counter())[lang] += 1
+    log = lambda table, key, lang: math.log((table[key][lang] + 0.5) / (sum(c[lang] for c in table.values()) + 0.5 * len(table)))
+
+    def score(w, lang):
+        if w in words:
+            return log(words, w, lang)
+        n = next(n for n in (4, 3, 2, 1) if any(f" {w} "[a : a + n] in grams[n] for a in range(len(w) + 3 - n)))
+        hit = [g for a in range(len(w) + 3 - n) if (g := f" {w} "[a : a + n]) in grams[n]]
+        return sum(log(grams[n], g, lang) for g in hit) / len(hit)
+
+    for local in (0, 3, 1000):
+        model = language_id.train(docs, local)
+        got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.language_id(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+        for i, x in enumerate(asked):
+            sums = {lang: 0.2 * sum(score(w, lang) for w in x.split()) for lang in ("de", "en", "fr")}
+            top = max(sums, key=sums.get)
+            assert got[i] == ("und", 0.0) if x == "1" else got[i][0] == top and math.isclose(got[i][1], 1 / sum(math.exp(v - sums[top]) for v in sums.values()), abs_tol=1e-5)
+    assert language_id.keep_known(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model, 0.0).count() == 5
+
+
 def test_quality_classifier(spark, odd, empty):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     held = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
