@@ -250,8 +250,8 @@ def _(spark, d):
     key = F.col("o_orderkey").cast("string")
     doc = F.concat(
         F.lit('{"deviceId":"'), F.col("o_custkey").cast("string"), F.lit('","app_ver":"4.6.1","videoName":"v'), key, F.lit('.mp4","startTime":'),
-        ms("o_orderdate").cast("string"), F.lit(',"endTime":'), ms("o_orderdate").cast("string"), F.lit(',"deviceModes":{"ignition":"'),
-        (F.col("o_orderkey") % 2).cast("string"), F.lit('","uptime":"7"},"networkInfo":{"rssi":"-70"},"videoMetaData":[{"speed":'),
+        ms("o_orderdate").cast("string"), F.lit(',"endTime":'), ms("o_orderdate").cast("string"), F.lit(',"deviceModes":{"ignition_status":"'),
+        (F.col("o_orderkey") % 2).cast("string"), F.lit('"},"systemUpTime":7,"networkInfo":{"rssi":"-70","rat":"LTE"},"videoMetaData":[{"speed":'),
         (F.col("o_orderkey") % 300).cast("string"), F.lit('},{"speed":500}],"inference_data":"{\\"alerts_data\\":null,\\"objects\\":1}"}'))
     docs = table(spark, d, "orders").select(F.from_json(doc, OBSERVATION_SCHEMA).alias("j")).select("j.*")
     out = O.project_observation(docs)

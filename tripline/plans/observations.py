@@ -402,29 +402,101 @@ def explode_samples(docs: DataFrame, array: str = "samples", parent: Mapping[str
     return rows.filter(F.col("__s").isNotNull()).select(*keep, "seq_no", "__s.*")
 
 
+#: Members of the processing sections that are no models.
+_NOT_INWARD = ("annotation_image_scale", "annotation_driver_side", "process_fps", "drop_packet", "nrt_code_version", "frame_rate", "annotation_start_idx",
+               "frames_processed_info", "process_rate", "annotation_driving_side")
+_NOT_OUTWARD = ("peak_intensity", "locale", "frameRate", "highg_thread_retries", "localSpeedUnit", "videoDelay", "splitVideoMode", "dnnSubsampleFactor",
+                "lowg_thread_retries", "module", "highg_classification_enabled", "lowg_classification_enabled", "numFrames", "laneCalSuccess",
+                "objTrackerMinTrackLength")
+_NOT_DMS = ("nrt_code_version", "privacy", "frame_rate", "process_fps", "drop_packet", "frames_processed_info", "process_rate")
+
+
 def project_observation(docs: DataFrame, narrow: bool = False) -> DataFrame:
-    """PRJ-01 / PRJ-02: flat recording columns out of the nested document.
+    """PRJ-01 / PRJ-02: flat recording columns out of the nested document (``readers.OBSERVATION_SCHEMA``).
 
-    The narrow form is the same select with fewer columns; the reader prunes the rest.
+    Structured members stay compact JSON text, numbers that are none give NULL, and lists of models are sorted.  ``file_name`` is the
+    video's name without its extension, ``current_videoname`` the whole.  ``path``, ``product_line`` and ``trigger_hash`` of the caller's are taken where
+    ``docs`` has them.  The narrow form is the same select with fewer columns; the reader prunes the rest.
     """
+    inf = lambda path: F.get_json_object("inference_data", f"$.{path}")
+    mode = lambda name: F.get_json_object("deviceModes", f"$.{name}")
+    own = lambda name: F.col(name) if name in docs.columns else F.lit(None).cast("string")
+    n_keys = lambda c: F.coalesce(F.size(F.json_object_keys(c)), F.lit(0))
+    n_rows = lambda c: F.coalesce(F.json_array_length(c), F.lit(0))
+    models = lambda section, skip: F.coalesce(S.keys_except(inf(section), skip), F.array().cast("array<string>"))
+    processed = lambda kind: S.any_contains(F.from_json(inf("observations_data.module"), "array<string>"), kind)
+    joined = lambda name: F.coalesce(F.array_join(F.filter(F.transform(F.from_json("irled_states", f"array<struct<{name}:string>>"), lambda x: x[name]),
+                                                           lambda x: x.isNotNull()), ","), F.lit(""))
+
+    def alerts(section: str, **fields: str) -> Column:
+        """Some members of a section's alerts as JSON text; members without a value are null."""
+        rows = F.from_json(inf(f"{section}.alerts"), "array<struct<" + ",".join(f"{x}:string" for x in fields.values()) + ">>")
+        cut = F.transform(F.filter(rows, lambda a: a.isNotNull()), lambda a: F.struct(*[a[x].alias(n) for n, x in fields.items()]))
+        return F.coalesce(F.to_json(cut, {"ignoreNullFields": "false"}), F.lit("[]"))
+
     cols = {
         "device_id": F.col("deviceId").cast("string"),
         "file_name": F.regexp_replace("videoName", r"\.[A-Za-z0-9]+$", ""),
         "ota": F.col("app_ver"),
         "start_time": S.epoch_to_timestamp("startTime"),
         "end_time": S.epoch_to_timestamp("endTime"),
-        "ignition_status": S.to_int("deviceModes.ignition", 64),
-        "uptime": S.to_int("deviceModes.uptime", 64),
+        "ignition_status": S.to_int(mode("ignition_status"), 64),
+        "uptime": S.to_int("systemUpTime", 64),
     }
     if not narrow:
         speeds = F.transform("videoMetaData", lambda m: m["speed"])
+        stamp = F.regexp_extract("videoName", r"_(\d{13})_", 1).try_cast("long")
         cols |= {
+            "product_line": own("product_line"), "trigger_hash": own("trigger_hash"), "s3_path": own("path"), "udid": F.col("udid"),
+            "file_timestamp": F.when(stamp.between(0, S.LAST_EPOCH_MS), stamp),
+            "service_uptime": S.to_int("serviceUpTime", 64), "privacymode": S.to_int(mode("privacymode"), 64), "dismode": mode("disMode"),
+            "voltage": S.to_float(F.col("`Voltage in Volts`")), "processing_mode": S.to_int(mode("processing_mode"), 64),
+            "inertial_processed": processed("inertial"), "vision_processed": processed("vision"), "inward_vision_processed": processed("inward_vision"),
+            "nrt_status": F.col("NRT_STATUS"), "tripno": F.col("tripNo"),
             "sample_count": F.coalesce(F.size("videoMetaData"), F.lit(0)),
-            "min_speed": S.array_low(speeds), "max_speed": S.array_high(speeds),
+            "videometadatastatus": F.coalesce(F.size("videoMetaData"), F.lit(0)),
+            "min_speed": S.array_low(speeds), "max_speed": S.array_high(speeds), "speed_data": F.lit(None).cast("string"),
+            "sensormetadata_count": n_rows("sensorMetaData"), "driverinvariantsession": F.col("driverInvariantSession"),
+            "driverid": F.element_at(F.split(F.nullif(F.get_json_object("driverId", "$[0]"), F.lit("")), ": "), -1),
+            "vehclass": F.col("vehClass"), "vehicleid": F.col("vehicleId"), "cameras": S.to_int("cameras", 64),
+            "prevvideoname": F.col("prevVideoName"), "current_videoname": F.col("videoName"), "nextvideoname": F.col("nextVideoName"),
+            "devicemodes_itemscount": n_keys("deviceModes"), "inference_data_itemscount": n_keys("inference_data"),
+            "canmetadata": F.coalesce(inf("observations_data.canMetaData"), F.lit("[]")),
+            "alerts_data_num_alerts": S.to_int(inf("alerts_data.num_alerts"), 64), "alerts_data": alerts("alerts_data", uuid="uuid"),
+            "audio_events_num_alerts": S.to_int(inf("audio_events.num_alerts"), 64),
+            "audio_events_data": alerts("audio_events", uuid="uuid", event_code="event_code", playback_reason="reason", playback_success="playback_success"),
+            "events_data_num_alerts": S.to_int(inf("events_data.num_alerts"), 64),
+            "events_data": alerts("events_data", uuid="uuid", event_code="event_code", description="description", event_initialization_time="event_initialization_time"),
+            "num_alerts": S.to_int(inf("events_data.num_alerts"), 64),
             "metadatastatus": F.coalesce(F.col("metadataStatus"), F.lit("full")),
+            "starttime": F.col("startTime").cast("string"), "starttimeld": F.col("startTimeLd"), "inwardstarttime": F.col("inwardStartTime"),
+            "inwardstarttimeld": F.col("inwardStartTimeLd"),
             "rssi": S.to_int("networkInfo.rssi", 64), "sinr": S.to_float("networkInfo.sinr"),
-            "nw_source": F.col("networkInfo.source"),
+            "nw_source": F.col("networkInfo.rat"), "nw_recorded_time": F.col("networkInfo.recordedTime"),
+            "vin": F.col("vin"), "can_firmware_ver": F.col("can_firmware_ver"), "offset": F.col("offset"),
+            **{n: F.coalesce(n, F.lit("{}")) for n in ("session_embedding", "burst_mode", "fuel_report")},
+            "can_src": F.col("can_src"), "can_sn": F.col("can_sn"), "engine_status": F.col("engine_status"),
+            "protocol_info": inf("observations_data.protocol_info"), "idling_report": F.coalesce(inf("observations_data.idling_report"), F.lit("{}")),
+            "tc_recommendation": inf("video_data.transcode_recommendation"),
+            "num_frames_out": S.to_int(inf("observations_data.numFrames"), 64),
+            "num_frames_in": S.to_int(inf("inward.frames_processed_info.num_frames_processed"), 64),
+            "num_frames_dms": S.to_int(inf("dms.frames_processed_info.num_frames_processed"), 64),
+            "inward_models_processed": models("inward", _NOT_INWARD), "outward_models_processed": models("observations_data", _NOT_OUTWARD),
+            "dms_models_processed": models("dms", _NOT_DMS),
+            "is_inward_processed": inf("is_inward_processed_on_device").try_cast("boolean"), "is_dms_processed": inf("is_dms_processed_on_device").try_cast("boolean"),
+            "irled_status": F.col("irled_status"), "irled_states_timestamp": joined("time"), "irled_states_status": joined("status"),
+            "faceImageCaptured": inf("faceImageCaptured").try_cast("boolean"),
+            "obs_filetype": F.when(S.has_key("inference_data", "observations_data"), "Observation").otherwise("Metadata"),
+            "audioEnable": F.col("audioEnable"), "user_generated_alert": F.coalesce("user_generated_alert", F.lit("[]")),
+            "rtc_valid": F.col("rtcValid"), "rtc_jump_from": F.col("rtc_jump_from"), "rtc_jump_to": F.col("rtc_jump_to"),
+            "session_count": S.to_int("sessionCount", 64), "valid_gps_entries": S.to_int("validGPSEntries", 64),
+            "gps_start_time": F.col("gpsStartTime"), "gps_end_time": F.col("gpsEndTime"),
+            "idle": S.to_int(mode("idle"), 64), "obdformat": F.col("obdFormat"),
+            "is_inward_cam_obstructed": inf("is_inward_cam_obstructed").try_cast("boolean"),
+            "has_multi_lane": S.has_key(inf("observations_data"), "multiLane"),
+            "has_road_boundary_tracks": S.has_key(inf("observations_data"), "roadBoundaryTracks"),
+            "has_ipc_events": S.has_key(inf("inward"), "ipc_events"), "is_hd_file": S.has_key(inf("observations_data"), "carBoxTrackerListCompressed"),
             "inference_keys": S.keys_except("inference_data", ("alerts_data",)),
             "has_alerts": S.has_key("inference_data", "alerts_data"),
         }
-    return docs.filter(F.col("deviceId").isNotNull()).select(*[c.alias(n) for n, c in cols.items()])
+    return docs.filter(F.coalesce("deviceId", F.lit("")) != "").select(*[c.alias(n) for n, c in cols.items()])

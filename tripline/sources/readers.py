@@ -11,17 +11,20 @@ from pyspark.sql import types as T
 from tripline.functions import text as X
 from tripline.operators.timeline import scan
 
+_TEXT_FIELDS = ("deviceId", "app_ver", "videoName", "metadataStatus", "udid", "systemUpTime", "serviceUpTime", "Voltage in Volts", "NRT_STATUS", "tripNo",
+                "driverInvariantSession", "vehClass", "vehicleId", "cameras", "prevVideoName", "nextVideoName", "startTimeLd", "inwardStartTime",
+                "inwardStartTimeLd", "vin", "can_firmware_ver", "offset", "can_src", "can_sn", "engine_status", "irled_status", "audioEnable", "rtcValid",
+                "rtc_jump_from", "rtc_jump_to", "sessionCount", "validGPSEntries", "gpsStartTime", "gpsEndTime", "obdFormat")
+#: Objects and arrays kept as JSON text.
+_JSON_FIELDS = ("deviceModes", "inference_data", "sensorMetaData", "driverId", "session_embedding", "burst_mode", "fuel_report", "irled_states",
+                "user_generated_alert")
 OBSERVATION_SCHEMA = T.StructType([
-    T.StructField("deviceId", T.StringType()), T.StructField("app_ver", T.StringType()),
-    T.StructField("videoName", T.StringType()), T.StructField("startTime", T.LongType()),
-    T.StructField("endTime", T.LongType()), T.StructField("metadataStatus", T.StringType()),
-    T.StructField("deviceModes", T.StructType([T.StructField("ignition", T.StringType()), T.StructField("uptime", T.StringType())])),
-    T.StructField("networkInfo", T.StructType([T.StructField("rssi", T.StringType()), T.StructField("sinr", T.StringType()),
-                                               T.StructField("source", T.StringType())])),
+    *[T.StructField(n, T.StringType()) for n in (*_TEXT_FIELDS, *_JSON_FIELDS)],
+    T.StructField("startTime", T.LongType()), T.StructField("endTime", T.LongType()),
+    T.StructField("networkInfo", T.StructType([T.StructField(n, T.StringType()) for n in ("rssi", "sinr", "rat", "recordedTime")])),
     T.StructField("videoMetaData", T.ArrayType(T.StructType([
         T.StructField("valid", T.BooleanType()), T.StructField("accuracy", T.DoubleType()), T.StructField("lat", T.DoubleType()),
         T.StructField("lon", T.DoubleType()), T.StructField("speed", T.DoubleType()), T.StructField("timestamp", T.LongType())]))),
-    T.StructField("inference_data", T.StringType()),
 ])
 
 
