@@ -202,6 +202,14 @@ def test_near_duplicates_against_all_pairs(spark):
         assert rows(near_dedup.near_duplicates(docs, block=block), "doc_id", "class_id") == [(d, root(d)) for d in ids]
 
 
+def test_registers_lose_fewer_pairs_than_bands():
+    n = near_dedup.BANDS * near_dedup.ROWS
+    agree = near_dedup.SIMILARITY + (1 - near_dedup.SIMILARITY) / 256  # sketches of 8 bits agree by chance, too
+    least = math.ceil(n * (near_dedup.SIMILARITY - near_dedup.SLACK) - 1e-9)
+    lost = sum(math.comb(n, k) * agree**k * (1 - agree) ** (n - k) for k in range(least))
+    assert lost + (1 - near_dedup.SIMILARITY**near_dedup.ROWS) ** near_dedup.BANDS < 1e-4
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = dict(rows(near_dedup.near_duplicates(odd), "doc_id", "class_id"))
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 1, 8: 8, 9: 9, 10: 10, 11: 11, None: None} and near_dedup.near_duplicates(odd).count() == 13
