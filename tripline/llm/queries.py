@@ -124,3 +124,56 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
 
     ids = decode(encode(read(spark, d, "documents")))
     return checksum(ids, "ids", "ids_crc32").select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+# the low two bits of CRC-32, byte by byte and bit by bit, decide how many opening turns are shared
+_TRIE_SQL = r"""
+WITH RECURSIVE src AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+     turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS pos, role, text FROM src),
+     convs AS (SELECT c, c - c % 20 AS donor,
+                      xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+                                      lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) % 4 AS h
+               FROM (SELECT DISTINCT c FROM src)),
+     taken AS (SELECT v.c, t.pos, t.role, t.text FROM convs v JOIN turns t ON t.c = v.donor AND t.pos <= v.h),
+     k AS (SELECT v.c, v.h, count(t.pos) AS k FROM convs v LEFT JOIN taken t ON t.c = v.c GROUP BY v.c, v.h),
+     rebuilt AS (SELECT c, pos, role, text FROM taken UNION ALL SELECT t.c, t.pos - k.h + k.k, t.role, t.text FROM turns t JOIN k ON k.c = t.c WHERE t.pos > k.h),
+     chain AS (SELECT c, pos AS depth, list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY pos) AS path, text FROM rebuilt),
+     member AS (SELECT c, depth, path, text FROM chain UNION ALL SELECT c, 0, [], '' FROM convs),
+     named AS (SELECT c, depth, min(c) OVER (PARTITION BY depth, path) AS node, length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM member),
+     node AS (SELECT node, depth, count(*) AS n_convs, max(words) AS words FROM named GROUP BY node, depth),
+     linked AS (SELECT n.*, p.node AS parent FROM node n LEFT JOIN named p ON p.c = n.node AND p.depth = n.depth - 1),
+     kids AS (SELECT n.node, n.depth, n.parent, n.n_convs, n.words, count(k.node) AS n_children FROM linked n LEFT JOIN linked k ON k.parent = n.node AND k.depth = n.depth + 1 GROUP BY ALL),
+     total AS (SELECT a.node, a.depth, sum((k.n_children = 0)::BIGINT) AS n_leaves, sum((k.n_convs - 1) * k.words) AS saved_tokens
+               FROM kids k JOIN named a ON a.c = k.node AND a.depth <= k.depth GROUP BY a.node, a.depth),
+     tail AS (SELECT c, max(depth) AS depth FROM member GROUP BY c),
+     ends AS (SELECT n.node, n.depth, string_agg(t.c::VARCHAR, ',' ORDER BY t.c) AS ids FROM tail t JOIN named n USING (c, depth) GROUP BY n.node, n.depth)
+SELECT k.node AS conv_id, k.depth::BIGINT AS depth, k.parent AS parent_conv_id, k.n_convs, k.n_children, t.n_leaves::BIGINT AS n_leaves, t.saved_tokens::BIGINT AS saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM kids k JOIN total t USING (node, depth) LEFT JOIN ends e USING (node, depth)
+"""
+
+
+@query("op12_prefix_trie", _TRIE_SQL)
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    from tripline.llm.prefix_trie import rebuilt_trie
+
+    return rebuilt_trie(read(spark, d, "conversations"))
+
+
+_NEGATIVES_SQL = """
+WITH v AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+     p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INT AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
+
+@query("op13_hard_negatives", _NEGATIVES_SQL)
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    from tripline.llm.hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector")), "id % 100 = 0")
