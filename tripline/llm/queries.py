@@ -126,6 +126,26 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
     return checksum(ids, "ids", "ids_crc32").select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+_JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1 : i + 3], ' ')) END) AS s FROM d),
+     n AS (SELECT doc_id, len(s) AS n FROM g),
+     u AS (SELECT doc_id, unnest(s) AS x FROM g),
+     inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+     link AS (SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+     both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+     reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b)
+SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
+@query("op11_jaccard_join", _JACCARD_SQL)
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    from tripline.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(read(spark, d, "documents"))
+
+
 # the low two bits of CRC-32, byte by byte and bit by bit, decide how many opening turns are shared
 _TRIE_SQL = r"""
 WITH RECURSIVE src AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
