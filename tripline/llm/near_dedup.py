@@ -236,3 +236,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     joined = components(links.unionByName(member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).join(member.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("a")), "a", "left_semi")))
     classes = member.join(joined, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("class_id"))
     return sketched.select("doc_id").join(classes, "doc_id", "left")
+
+
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its class, all columns.
+
+    Of rows that repeat that id all stay; a row without id is in no class and stays.  An empty table gives no rows.
+    """
+    gone = near_duplicates(docs, similarity).where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

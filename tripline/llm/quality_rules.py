@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripline.llm.text import SPACE, Block, blocks, duplicated, fixed_sample, per_doc, span_hash
+from tripline.llm.text import SPACE, Block, blocks, duplicated, fixed_sample, per_doc, span_hash, splitmix
 
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
-#: Labelled documents the CRF is trained on, and lines of one training sequence (longer texts give several).
-SAMPLE_DOCS, SEQUENCE = 2000, 64
+#: Labelled documents the CRF is trained on, lines of one training sequence (longer texts give several), and sequences of one document.
+SAMPLE_DOCS, SEQUENCE, SAMPLE_PARTS = 2000, 64, 4
 #: A document is kept when at least this share of its words stands in lines marked content.
 CONTENT_SHARE = 0.5
 
@@ -176,10 +176,14 @@ def train_crf(features: list[np.ndarray], labels: list[int], rounds: int = 60) -
     return Crf(theta[:-4].reshape(emit.shape), theta[-4:].reshape(2, 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf:
-    """Train on at most ``sample_docs`` documents with a quality label; the sample is bounded, so it is broadcast."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_parts: int = SAMPLE_PARTS) -> Crf:
+    """Train on at most ``sample_docs`` documents with a quality label; the sample is bounded, so it is broadcast.
+
+    Of a sampled document at most ``sample_parts`` sequences of ``SEQUENCE`` lines are learnt, those of smallest hash, so every
+    document keeps its share however long others are.  Of texts that share a doc_id the smallest counts; null texts, ids and labels do not.
+    """
     sample = fixed_sample(labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y")), sample_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,16 +192,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
             for block in blocks(batch.column(1)):
                 m = measure(block)
                 for i in range(block.size):
-                    for part, at in enumerate(range(int(m.first[i]), int(m.first[i + 1]), SEQUENCE)):
+                    starts = list(range(int(m.first[i]), int(m.first[i + 1]), SEQUENCE))
+                    drawn = np.sort(np.argsort(splitmix(np.arange(len(starts), dtype=np.uint64)), kind="stable")[:sample_parts])
+                    for part, at in ((int(k), starts[k]) for k in drawn):
                         out[0].append(ids[block.lo + i])
                         out[1].append(part)
                         out[2].append(ys[block.lo + i])
                         out[3].append(m.features[at : min(at + SEQUENCE, int(m.first[i + 1]))].astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["doc_id", "part", "y", "f"])
 
-    # long texts give many sequences; of each document at most this many are drawn, so the sample stays bounded
-    got = rows.mapInArrow(sequences, "doc_id long, part int, y int, f binary").orderBy(F.xxhash64("doc_id", "part"), "doc_id", "part").limit(4 * sample_docs).collect()
-    got = sorted(got, key=lambda r: (r.doc_id, r.part))
+    got = rows.mapInArrow(sequences, "doc_id long, part int, y int, f binary").collect()
+    got = sorted(got, key=lambda r: (r.doc_id, r.part, r.f))
     return train_crf([np.frombuffer(r.f, np.uint8).reshape(-1, N_FEATURES) for r in got], [r.y for r in got])
 
 

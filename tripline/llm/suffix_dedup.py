@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripline.llm.suffixes import common_prefixes, suffix_array
-from tripline.llm.text import BLOCK_BYTES, BYTE_VALUES, partitions, prefix_hash, raw, span_hash, splitmix, table
+from tripline.llm.text import BLOCK_BYTES, BYTE_VALUES, free_name, partitions, prefix_hash, raw, span_hash, splitmix, table
 
 LENGTH, GRAM, HOT, CHUNK_BYTES = 50, 16, 2000, 4 << 20
 _SEGMENT = 1 << 16
@@ -404,3 +404,25 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return chunk_rows.cogroup(back.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(
         lambda a, b: pa.Table.from_batches(list(remove(a, b)), pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("span_start", pa.list_(pa.int64())), ("span_end", pa.list_(pa.int64()))])),
         "doc_id long, digest string, n_bytes long, kept binary, span_start array<long>, span_end array<long>")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, with texts cut by ``suffix_dedup``.
+
+    Bytes of a character cut in two go with the passage; a document of nothing but such passages stays, with an empty text; a text without such passages, null
+    included, stays as it is.  Rows of one doc_id and text are cut alike, as little as the least cut of them.  A column ``n_chars`` is counted anew.
+    Columns of any other name are kept as they are.
+    """
+    key, left, at = free_name(docs, "_digest"), free_name(docs, "_kept"), docs.columns.index("text")
+    kept = suffix_dedup(docs).where("size(span_start) > 0").groupBy(F.col("doc_id").alias("doc_id"), F.col("digest").alias(key)).agg(F.min("kept").alias(left))
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    joined = docs.withColumn(key, digest).join(kept, ["doc_id", key], "left").select(*docs.columns, left)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, rest = batch.column(at).to_pylist(), batch.column(len(batch.columns) - 1).to_pylist()
+            text = pa.array([t if k is None else k.decode("utf-8", "ignore") for t, k in zip(whole, rest, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(batch.columns[:-1])], batch.schema.names[:-1])
+
+    out = joined.mapInArrow(cut, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out
