@@ -1,27 +1,23 @@
 """From raw documents to packed training sequences: quality rules, language, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's documents.
+Empty tables, null and repeated rows and extra columns of any name pass through all stages; what each does with them is said at the operator.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tripline.llm import language_id, near_dedup, packing, quality_rules, suffix_dedup
 from tripline.llm.text import prepare, table
 
-#: Packing and the models have no SQL; tests/llm compares run() with a brute-force version.
+#: Packing and the models have no SQL; tests/llm/test_pipeline.py works the stages out plainly.
 ORACLE_SQL = None
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose lines read as content; the model learns from the labels of these documents."""
-    prepare(spark)
-    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    labels = prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     return quality_rules.keep_good(docs, quality_rules.train(docs, labels))
 
 
@@ -32,29 +28,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class; of rows that repeat its id all stay.  A row without id is in no class and stays."""
+    """The document of smallest id of each class of near duplicates."""
     prepare(spark)
-    gone = near_dedup.near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return near_dedup.keep_first(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a document of smaller id holds.  Bytes of a character cut in two go with the passage; a
-    document of nothing but such passages stays, with an empty text."""
+    """Documents without the passages that a document of smaller id holds."""
     prepare(spark)
-    kept = suffix_dedup.suffix_dedup(docs).where("size(span_start) > 0").groupBy("doc_id", F.col("digest").alias("_digest")).agg(F.min("kept").alias("_kept"))
-    at = docs.columns.index("text")
-    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.withColumn("_digest", digest).join(kept, ["doc_id", "_digest"], "left").select(*docs.columns, "_kept")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole, left = batch.column(at).to_pylist(), batch.column(len(batch.columns) - 1).to_pylist()
-            text = pa.array([t if k is None else k.decode("utf-8", "ignore") for t, k in zip(whole, left, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(batch.columns[:-1])], batch.schema.names[:-1])
-
-    out = joined.mapInArrow(cut, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out
+    return suffix_dedup.without_repeats(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
