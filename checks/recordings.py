@@ -108,7 +108,7 @@ def _(spark, d):
 @check("flt_window_hours", """
 SELECT file_name FROM obs WHERE start_time >= TIMESTAMP '1999-06-01' - INTERVAL 2160 HOUR""")
 def _(spark, d):
-    return O.window_filter(obs(spark, d), hours=9999, now=F.lit("1999-06-01").cast("timestamp")).select("file_name")
+    return O.window_filter(obs(spark, d), hours=2160, now=F.lit("1999-06-01").cast("timestamp")).select("file_name")
 
 
 @check("flt_inclusive_end", """

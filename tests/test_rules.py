@@ -126,7 +126,7 @@ def test_safe_select(spark):
             safe_select(spark, "select id from numbers", limit)
     for bad in ("drop table numbers", "select 1; select 2", "insert into numbers values (1)", "with a as (select 1) select * from a", "select delete from x"):
         with pytest.raises(ValueError):
-            safe_select(spark, bad)
+            safe_select(spark, bad, 10)
     assert F.lit(1) is not None
 
 

@@ -11,7 +11,7 @@ FORBIDDEN = ("insert", "update", "delete", "drop", "alter", "create", "truncate"
 MOST_ROWS = 1000
 
 
-def safe_select(spark: SparkSession, sql: str, limit: int = 200) -> DataFrame:
+def safe_select(spark: SparkSession, sql: str, limit: int) -> DataFrame:
     """FLT-07: a single SELECT without changing words, at most ``limit`` (1 .. 1000) rows.
 
     Spark parses the text; nothing but a query gets a plan with columns.
