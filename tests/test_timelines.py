@@ -160,6 +160,16 @@ def test_fold_of_a_key_that_never_pauses(spark, limit):
         assert sorted(x["cluster_start"] // 1000 for x in clusters if x["key"] == key) == want
 
 
+def test_fold_over_a_thousand_blocks_that_depend_on_their_history(spark):
+    # steady steps keep the phase of the first anchor for ever, so no block's outcome is known without the ones before it
+    rows = [("hot", 60 * i, i) for i in range(21_000)] + [("other", 60 * i + 7, i) for i in range(40)] + [("none", None, 1)]
+    thin = Q.thin_events(frame(spark, rows), ["key"], "ts", 100, ["id"], width_s=1)
+    maps = Q._block_maps(frame(spark, rows).filter("ts is not null").selectExpr("key", "ts * 1000 as __us", "ts div 1000 as __blk"), ["key"], 100_000, 1_000_000)
+    assert maps.filter("key = 'hot' and size(__steps) > 1").count() > 1_000
+    got = by_key([(x["key"], x["ts"], x["id"]) for x in thin.collect()])
+    assert {k: [x[1] for x in v] for k, v in got.items()} == {k: fold([60 * i + 7 * (k == "other") for i in range(n)], 100) for k, n in (("hot", 21_000), ("other", 40))}
+
+
 def test_gap_equal_to_the_window_does_not_split(spark):
     rows = [("a", 0, 0), ("a", 10, 1), ("a", 21, 2), ("b", 5, 3)]
     got = {r["id"]: (r["batch"], r["batch_size"]) for r in Q.gap_sessions(frame(spark, rows), ["key"], "ts", 10, ["id"], width_s=1).collect()}

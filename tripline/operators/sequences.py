@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tripline.operators.timeline import DAY_S, block_of, epoch_us, scan
+from tripline.session import settle
 
 
 def session_numbers(df: DataFrame, by: Sequence[str], ts: str, gap_ms: int, tie: Sequence[str] = (),
@@ -76,110 +78,172 @@ def nth_in_session(df: DataFrame, by: Sequence[str], ts: str, gap_ms: int, n: in
     return counted.filter(F.col("__n") == n).drop("session", "__n", "__one")
 
 
-def _segments(pdf: pd.DataFrame, keys: Sequence[str]) -> Iterator[tuple[object, int, int]]:
-    """(key, from, to) of the runs of equal keys in sorted rows."""
-    ids = list(zip(*[pdf[c].tolist() for c in keys]))
-    lo = 0
-    for i in range(1, len(ids) + 1):
-        if i == len(ids) or ids[i] != ids[lo]:
-            yield ids[lo], lo, i
-            lo = i
+class _Cells:
+    """Sorted distinct times of many cells at once; a cell is one key in one time block.
 
+    ``row`` counts time from each cell's block on one axis, on which cells lie further apart than the limit, so one binary
+    search finds each time's next anchor.
+    """
 
-def _carried(runs: DataFrame, several: DataFrame, keys: Sequence[str], limit: int, width: int) -> DataFrame:
-    """Last anchor before each block of a long run: keys, ``__blk``, ``__carry``.
-
-    Per block, and at once for all blocks: for every row that could be the block's first anchor
-    (the ones within the limit of its start), the block's last anchor if it is.  Then one pass
-    along the run over these short lists picks the row the anchor before leads to.
+    def __init__(self, us: np.ndarray, starts: np.ndarray, blk: np.ndarray, limit: int, width: int):
+        self.us, self.starts, self.limit, self.stride = us, starts, limit, width + limit + 1
+        self.ends = np.append(starts[1:], len(us))
+        self.cell = np.repeat(np.arange(len(starts)), self.ends - starts)
+        self.base = blk * width
+        self.row = self.cell * self.stride + (us - self.base[self.cell])
+        after = np.searchsorted(self.row, self.row + limit, side="right")
+        self.next = np.where(after < self.ends[self.cell], after, np.arange(len(us)))
+
+    def last_anchor(self) -> np.ndarray:
+        """For every time the block's last anchor if an anchor falls on it."""
+        last = self.next
+        while (further := last[last]).tobytes() != last.tobytes():
+            last = further
+        return last
+
+    def from_entry(self, entry: np.ndarray) -> np.ndarray:
+        """First time of each cell that is more than the limit after ``entry``; the cell's end if none is."""
+        offset = np.clip(entry + self.limit - self.base, -1, self.stride - 1)
+        return np.searchsorted(self.row, np.arange(len(self.starts)) * self.stride + offset, side="right")
+
+    def anchors(self, first: np.ndarray) -> np.ndarray:
+        """Marks of the anchors that follow from the first ones, by doubling the step."""
+        marked = np.zeros(len(self.us), bool)
+        marked[first[first < self.ends]] = True
+        step = self.next
+        while True:
+            marked[step[marked]] = True
+            further = step[step]
+            if (further == step).all():
+                return marked
+            step = further
+
+
+def _cell_starts(rows: pa.Table, names: Sequence[str]) -> np.ndarray:
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for name in names:
+        code = rows.column(name).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _block_maps(df: DataFrame, by: Sequence[str], limit: int, width: int) -> DataFrame:
+    """Per key and time block: its times, and the map from the last anchor before the block to the last one in it.
+
+    The map is a list of steps (t, l) in time order: the first step with t > anchor + limit tells that l is the block's last
+    anchor.  Only times less than the limit into the block, and the one after them, can take the first anchor; neighbours with one
+    outcome are one step.  A block that ends within the limit may be ``open``: past its last step the anchor before stays.
     """
-    keys = list(keys)
-    cells = [*keys, "__blk"]
-    times = runs.select(*cells, "__us").join(several, keys, "left_semi").distinct()
-
-    def choices(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["__us"].to_numpy(dtype="int64"))
-        after = np.searchsorted(t, t + limit, side="right")
-        last = np.arange(len(t))
-        for i in range(len(t) - 1, -1, -1):
-            if after[i] < len(t):
-                last[i] = last[after[i]]
-        first = pdf.iloc[0]
-        m = min(int(np.searchsorted(t, int(first["__blk"]) * width + limit, side="right")) + 1, len(t))
-        out = pd.DataFrame({c: [first[c]] * m for c in cells})
-        return out.assign(__entry=t[:m], __last=t[last[:m]])
-
-    base = times.select(*cells)
-    kinds = base.withColumns({"__entry": F.lit(0).cast("bigint"), "__last": F.lit(0).cast("bigint")}).schema
-    lists = times.groupBy(*cells).applyInPandas(choices, kinds)
-    ordered = lists.repartition(*keys).sortWithinPartitions(*cells, "__entry")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, block, anchor, chosen = None, None, None, True
-        for pdf in batches:
-            rows, carry = [], []
-            for i, (ids, entry, last) in enumerate(zip(zip(*[pdf[c].tolist() for c in cells]), pdf["__entry"], pdf["__last"])):
-                if ids[:-1] != run:
-                    run, block, anchor, chosen = ids[:-1], None, None, True
-                if ids[-1] != block:
-                    block, chosen = ids[-1], False
-                    if anchor is not None:
-                        rows.append(i)
-                        carry.append(int(anchor))
-                if not chosen and (anchor is None or entry > anchor + limit):
-                    anchor, chosen = last, True
-            yield pdf.iloc[rows][cells].assign(__carry=np.array(carry, dtype="int64"))
-
-    return ordered.mapInPandas(walk, base.withColumn("__carry", F.lit(0).cast("bigint")).schema)
-
-
-def _fold(df: DataFrame, by: Sequence[str], ts: str, limit_ms: int, tie: Sequence[str], name: str,
-          width_s: int) -> DataFrame:
-    """Start time (epoch us) of the anchor each row belongs to.
-
-    An anchor takes every row at most ``limit`` after it; the next row opens the next anchor.
-    That depends on where the anchors before it fell, so it is sequential - but a gap above
-    the limit between neighbours always opens an anchor.  The rows are cut there first.  Runs
-    without such gaps are cut into time blocks as well, each of which gets the anchor before it, so a key that never pauses is folded in as many tasks as
-    it has blocks.  Rows stream through sorted Arrow batches with one anchor kept.
+    cells = [*by, "__blk"]
+    spread = df.select(*cells, "__us").repartition(*cells).sortWithinPartitions(*cells, "__us")
+
+    def maps(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        us, blk = rows.column("__us").to_numpy(), rows.column("__blk").to_numpy()[starts]
+        new = np.ones(len(us), bool)
+        new[1:] = us[1:] != us[:-1]
+        new[starts] = True
+        c = _Cells(us[new], np.cumsum(new)[starts] - 1, blk, limit, width)
+        last = c.last_anchor()
+        sure = np.searchsorted(c.row, np.arange(len(starts)) * c.stride + limit, side="left")
+        at = np.flatnonzero(np.arange(len(c.us)) <= sure[c.cell])
+        step = np.ones(len(at), bool)
+        step[:-1] = (c.cell[at[1:]] != c.cell[at[:-1]]) | (last[at[1:]] != last[at[:-1]])
+        at = at[step]
+        offsets = lambda of: pa.array(np.append(np.searchsorted(of, np.arange(len(starts))), len(of)).astype(np.int32))
+        pairs = pa.StructArray.from_arrays([pa.array(c.us[at]), pa.array(c.us[last[at]])], ["t", "l"])
+        keys = rows.take(pa.array(starts)).combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [*(keys.column(k).chunk(0) for k in cells), pa.ListArray.from_arrays(offsets(c.cell), pa.array(c.us)),
+             pa.ListArray.from_arrays(offsets(c.cell[at]), pairs), pa.array(sure == c.ends)], [*cells, "__times", "__steps", "__open"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
+            if rows.num_rows:
+                starts = _cell_starts(rows, cells)
+                held = rows.slice(starts[-1])
+                if len(starts) > 1:
+                    yield maps(rows.slice(0, starts[-1]), starts[:-1])
+        if held is not None:
+            yield maps(held, np.zeros(1, np.int64))
+
+    step = T.StructType([T.StructField("t", T.LongType()), T.StructField("l", T.LongType())])
+    kinds = T.StructType([*[df.schema[c] for c in by], T.StructField("__blk", T.LongType()), T.StructField("__times", T.ArrayType(T.LongType())),
+                          T.StructField("__steps", T.ArrayType(step)), T.StructField("__open", T.BooleanType())])
+    return spread.mapInArrow(run, kinds)
+
+
+def _apply(steps: str, anchor: str, limit: int) -> str:
+    """SQL: where a map leads from the last anchor before."""
+    return f"coalesce(get(filter({steps}, s -> s.t > {anchor} + {limit}), 0).l, {anchor})"
+
+
+def _carries(maps: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
+    """(by, ``__blk``, ``__carry``): the last anchor before each block, null for a key's first.
+
+    A block whose map has one outcome, or that is a key's first, needs no history.  For the others maps are composed by pointer doubling: every round
+    joins a block's map with that of the block it points to, which halves what is left of the longest chain.  No task sees a
+    whole key's rows, only one row per block.
     """
-    by, tie = list(by), list(tie)
-    limit, columns = limit_ms * 1000, list(df.columns)
+    by = list(by)
+    order = W.partitionBy(*by).orderBy("__blk")
+    known = F.expr("case when __prev is null or (size(__steps) = 1 and not __open) then __steps[0].l end")
+    cells = (maps.select(*by, "__blk", "__steps", "__open", F.lag("__blk").over(order).alias("__prev")).withColumn("__out", known)
+             .withColumn("__base", F.lag("__out").over(order)))
+    left = settle(cells.filter("__out is null").drop("__out"))
+    while not left.filter("__base is null").isEmpty():
+        earlier = left.select(*by, F.col("__blk").alias("__prev"), F.col("__steps").alias("__s"), F.col("__open").alias("__o"), F.col("__prev").alias("__p"), F.col("__base").alias("__b"))
+        open_ = left.filter("__base is null").join(earlier, [*by, "__prev"])
+        through = f"transform(__s, x -> named_struct('t', x.t, 'l', {_apply('__steps', 'x.l', limit)}))"
+        joined = open_.withColumn("__c", F.expr(f"case when __b is null then concat({through}, if(__o, __steps, array())) else __steps end"))
+        merged = joined.withColumn("__c", F.expr("filter(__c, (x, i) -> i = size(__c) - 1 or x.l <> __c[i + 1].l)"))
+        sure = "__b is null and size(__c) = 1 and not (__o and __open)"
+        moved = merged.select(*by, "__blk", F.col("__c").alias("__steps"), F.expr("__open and (__b is not null or __o)").alias("__open"), F.col("__p").alias("__prev"),
+                              # a map of one outcome leads there from anywhere: any base will do
+                              F.expr(f"case when __b is not null then {_apply('__s', '__b', limit)} when {sure} then __c[0].t - {limit} - 1 end").alias("__base"))
+        left = settle(left.filter("__base is not null").select(moved.columns).unionByName(moved))
+    outs = left.select(*by, "__blk", F.expr(_apply("__steps", "__base", limit)).alias("__late"))
+    done = cells.select(*by, "__blk", "__out").join(outs, [*by, "__blk"], "left")
+    return done.select(*by, "__blk", F.lag(F.coalesce("__out", "__late")).over(order).alias("__carry"))
+
+
+def _fold(df: DataFrame, by: Sequence[str], ts: str, limit_ms: int, name: str, width_s: int, only_anchors: bool = False) -> DataFrame:
+    """Start time (epoch us) of the anchor each row belongs to; rows without a time are left out.
+
+    An anchor takes every row at most ``limit`` after it; the next row opens the next anchor.  That depends on where the anchors
+    before it fell, so it is sequential - but what a block of time needs to know is one anchor.  Blocks are summed up as maps, maps are composed
+    along the key, and all blocks are folded at once from the anchor before each.  Python sees distinct times only; rows are
+    joined to them.
+    """
+    by = list(by)
+    limit = limit_ms * 1000
     width = max(8 * limit, min(width_s, 600) * 1_000_000)
-    runs = session_numbers(df, by, ts, limit_ms, tie, name="__run", width_s=width_s)
-    keys = [*by, "__run"]
-    cells = [*keys, "__blk"]
-    runs = runs.withColumn("__us", epoch_us(runs, ts))
-    runs = runs.withColumn("__blk", F.floor(F.col("__us") / F.lit(width)).cast("bigint"))
-    # a run inside one block has no anchor before it
-    several = runs.groupBy(*keys).agg(F.min("__blk").alias("__a"), F.max("__blk").alias("__b")).filter("__a < __b").select(*keys)
-    rows = runs.join(_carried(runs, several, keys, limit, width), cells, "left")
-    spread = rows.repartition(*cells).sortWithinPartitions(*cells, ts, *tie)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, anchor = None, 0
-        for pdf in batches:
-            us = pdf["__us"].to_numpy(dtype="int64")
-            carry = pdf["__carry"].tolist()
-            anchors = np.empty(len(us), dtype="int64")
-            for ids, lo, hi in _segments(pdf, cells):
-                i = lo
-                fresh = ids != cell
-                if fresh and pd.notna(carry[lo]):
-                    anchor, fresh = int(carry[lo]), False
-                if not fresh:
-                    i = lo + int(np.searchsorted(us[lo:hi], anchor + limit, side="right"))
-                    anchors[lo:i] = anchor
-                while i < hi:
-                    anchor = us[i]
-                    j = i + int(np.searchsorted(us[i:hi], anchor + limit, side="right"))
-                    anchors[i:j] = anchor
-                    i = j
-                cell = ids
-            pdf[name] = anchors
-            yield pdf[[*columns, name]]
-
-    return spread.mapInPandas(fold, df.withColumn(name, F.lit(0).cast("bigint")).schema)
+    rows = df.withColumn("__us", epoch_us(df, ts)).filter("__us is not null")
+    maps = settle(_block_maps(rows.withColumn("__blk", F.floor(F.col("__us") / F.lit(width)).cast("bigint")), by, limit, width))
+    cells = maps.select(*by, "__blk", "__times").join(_carries(maps, by, limit), [*by, "__blk"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            times, carry = batch.column("__times"), batch.column("__carry")
+            starts = times.offsets.to_numpy()
+            c = _Cells(times.flatten().to_numpy(), (starts - starts[0])[:-1].astype(np.int64), batch.column("__blk").to_numpy(), limit, width)
+            fresh = carry.is_null().to_numpy(zero_copy_only=False)
+            entry = carry.fill_null(0).to_numpy()
+            marked = c.anchors(np.where(fresh, c.starts, c.from_entry(entry)))
+            at = np.maximum.accumulate(np.where(marked, np.arange(len(marked)), -1))
+            anchor = np.where(at >= c.starts[c.cell], c.us[at], entry[c.cell])
+            keep = marked if only_anchors else np.ones(len(marked), bool)
+            of = pa.array(c.cell[keep])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in by), pa.array(c.us[keep]), pa.array(anchor[keep])], [*by, "__us", name])
+
+    kinds = T.StructType([*[df.schema[c] for c in by], T.StructField("__us", T.LongType()), T.StructField(name, T.LongType())])
+    found = cells.select(*by, "__blk", "__times", "__carry").mapInArrow(fold, kinds)
+    return rows.join(found, [*by, "__us"]).select(*df.columns, name)
 
 
 def anchor_clusters(df: DataFrame, by: Sequence[str], ts: str, limit_ms: int = 5_000,
@@ -187,9 +251,9 @@ def anchor_clusters(df: DataFrame, by: Sequence[str], ts: str, limit_ms: int = 5
     """WIN-02: clusters no wider than ``limit`` from their first row, one representative each.
 
     The representative is the row with the lowest ``prio``, then the earliest; rows gain
-    ``cluster_start`` (epoch us) and ``cluster_size``.
+    ``cluster_start`` (epoch us) and ``cluster_size``.  Rows without a time are left out.
     """
-    folded = _fold(df, by, ts, limit_ms, prio, "cluster_start", width_s)
+    folded = _fold(df, by, ts, limit_ms, "cluster_start", width_s)
     best = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(*[F.col(c) for c in [*prio, ts]]))
     out = folded.groupBy(*by, "cluster_start").agg(best.alias("__r"), F.count(F.lit(1)).alias("cluster_size"))
     return out.select("__r.*", "cluster_start", "cluster_size")
@@ -199,9 +263,10 @@ def thin_events(df: DataFrame, by: Sequence[str], ts: str, limit_ms: int = 1_000
                 width_s: int = DAY_S) -> DataFrame:
     """WIN-03: keep a row only when it is more than ``limit`` after the last kept one of its key.
 
-    Put the outcome column into ``by`` to compare only rows of one outcome.
+    Put the outcome column into ``by`` to compare only rows of one outcome.  Of rows at one time the first by ``tie`` is
+    kept; rows without a time are left out.
     """
-    folded = _fold(df, by, ts, limit_ms, tie, "__anchor", width_s)
+    folded = _fold(df, by, ts, limit_ms, "__anchor", width_s, only_anchors=True)
     first = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(F.col(ts), *[F.col(c) for c in tie]))
     return folded.groupBy(*by, "__anchor").agg(first.alias("__r")).select("__r.*")
 
