@@ -379,7 +379,7 @@ def test_language_id_knows_every_word_and_gram(spark):
             sums = {lang: 0.2 * sum(score(w, lang) for w in x.split()) for lang in ("de", "en", "fr")}
             top = max(sums, key=sums.get)
             assert got[i] == ("und", 0.0) if x == "1" else got[i][0] == top and math.isclose(got[i][1], 1 / sum(math.exp(v - sums[top]) for v in sums.values()), abs_tol=1e-5)
-    assert language_id.keep_known(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model, 0.0).count() == 5
+    assert language_id.keep_known(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), lambda: model, 0.0).count() == 5
 
 
 def test_quality_classifier(spark, odd, empty):

@@ -12,7 +12,7 @@ and its score goes back to the documents by a second join.  Frequent words never
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripline.llm.text import blocks, free_name, per_doc, prefix_hash, span_hash, splitmix, table
+from tripline.llm.text import blocks, finished, free_name, per_doc, prefix_hash, span_hash, splitmix, table
 
 #: Frequent words a task holds itself, of training and again of the scored documents: a matter of speed, not of results.
 KNOWN_WORDS, LONGEST, TEMPER = 100_000, 4, 0.2
@@ -263,12 +263,12 @@ def language_id(docs: DataFrame, model: Model, held_out: str = "false", temper:
     return _predicted(rows, model, temper).select(*RESULT.names)
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.5, temper: float = TEMPER) -> DataFrame:
-    """The rows of ``docs`` with a predicted language of at least probability ``least``, all columns.
+def keep_known(docs: DataFrame, trained: Callable[[], Model], least: float = 0.5, temper: float = TEMPER) -> DataFrame:
+    """The rows of ``docs`` with a predicted language of at least probability ``least``, all columns; the model's tables go with the decision.
 
     Equal texts are kept or dropped alike; null, empty and letterless texts are dropped.  Columns of any name are kept as they are.
     """
     digest, key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), free_name(docs, "_digest")
-    gone = (_predicted(docs.select(digest.alias(key), F.col("text").cast("string").alias("text")), model, temper)
-            .where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(key).distinct())
-    return docs.withColumn(key, digest).join(table(gone), key, "left_anti").select(docs.columns)
+    rows = docs.select(digest.alias(key), F.col("text").cast("string").alias("text"))
+    gone = finished(lambda: _predicted(rows, trained(), temper).where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(key).distinct())
+    return docs.withColumn(key, digest).join(gone, key, "left_anti").select(docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripline.llm.components import components
-from tripline.llm.text import Block, blocks, partitions, splitmix, table
+from tripline.llm.text import Block, blocks, finished, partitions, splitmix, table
 
 WIDTH, SIMILARITY, BANDS, ROWS, BLOCK = 5, 0.8, 32, 6, 4096
 #: Registers' agreement may fall this far below the similarity before a pair is dropped unverified: at a
@@ -243,5 +243,5 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Of rows that repeat that id all stay; a row without id is in no class and stays.  An empty table gives no rows.
     """
-    gone = near_duplicates(docs, similarity).where("doc_id <> class_id").select("doc_id").distinct()
+    gone = finished(lambda: near_duplicates(docs, similarity).where("doc_id <> class_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

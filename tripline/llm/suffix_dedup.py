@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripline.llm.suffixes import common_prefixes, suffix_array
-from tripline.llm.text import BLOCK_BYTES, BYTE_VALUES, free_name, partitions, prefix_hash, raw, span_hash, splitmix, table
+from tripline.llm.text import BLOCK_BYTES, BYTE_VALUES, finished, free_name, partitions, prefix_hash, raw, span_hash, splitmix, table
 
 LENGTH, GRAM, HOT, CHUNK_BYTES = 50, 16, 2000, 4 << 20
 _SEGMENT = 1 << 16
@@ -414,7 +414,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Columns of any other name are kept as they are.
     """
     key, left, at = free_name(docs, "_digest"), free_name(docs, "_kept"), docs.columns.index("text")
-    kept = suffix_dedup(docs).where("size(span_start) > 0").groupBy(F.col("doc_id").alias("doc_id"), F.col("digest").alias(key)).agg(F.min("kept").alias(left))
+    kept = finished(lambda: suffix_dedup(docs).where("size(span_start) > 0").groupBy(F.col("doc_id").alias("doc_id"), F.col("digest").alias(key)).agg(F.min("kept").alias(left)))
     digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
     joined = docs.withColumn(key, digest).join(kept, ["doc_id", key], "left").select(*docs.columns, left)
 

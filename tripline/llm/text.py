@@ -7,7 +7,7 @@ comes from two prefix sums, whatever its length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,6 +22,8 @@ BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+#: Folders of the tables written inside each ``finished`` that is under way.
+_SCOPES: list[list[str]] = []
 
 #: Space and \t \n \v \f \r end a word.
 SPACE = np.zeros(256, bool)
@@ -50,9 +52,26 @@ def table(df: DataFrame) -> DataFrame:
 
     folder = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(folder)
+    if _SCOPES:
+        _SCOPES[-1].append(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def finished(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, as a table; the tables it wrote on the way are deleted once this one is there."""
+    _SCOPES.append([])
+    try:
+        made = make()
+    finally:
+        used = _SCOPES.pop()
+    out = table(made)
+    hadoop, conf = out.sparkSession._jvm.org.apache.hadoop.fs, out.sparkSession._jsc.hadoopConfiguration()
+    for folder in used:
+        path = hadoop.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    return out
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
