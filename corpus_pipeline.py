@@ -24,7 +24,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language."""
     prepare(spark)
-    return language_id.keep_known(docs, language_id.train(docs.select("text", "lang")))
+    return language_id.keep_known(docs, lambda: language_id.train(docs.select("text", "lang")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
