@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import check, view
-from checks.views import ev, pattern_map, table
+from checks.views import ev, ms, pattern_map, table
 from tripline.functions import text as X
 from tripline.plans import classify as C
 from tripline.plans import events as E
@@ -593,3 +593,62 @@ def _(spark, d):
 
     ev(spark, d).createOrReplaceTempView("critical_events")
     return safe_select(spark, "select version, count(*) as n from critical_events group by version order by n desc, version", 1000)
+
+
+# ── one-to-one matching ──
+
+
+@check("join_greedy_matching", """
+SELECT version, section, issue, score FROM (
+  WITH RECURSIVE c AS (SELECT event_id // 40 AS version, k % 7 AS section, user_id % 9 AS issue, value AS score, row_number() OVER (PARTITION BY event_id // 40 ORDER BY value DESC, k % 7, user_id % 9, event_id) AS r FROM ev),
+  walk AS (SELECT DISTINCT version, 0::BIGINT AS r, NULL::BIGINT AS section, NULL::BIGINT AS issue, NULL::DOUBLE AS score, false AS took, []::BIGINT[] AS ss, []::BIGINT[] AS ii FROM c
+    UNION ALL SELECT version, r, section, issue, score, free, CASE WHEN free THEN list_append(ss, section) ELSE ss END, CASE WHEN free THEN list_append(ii, issue) ELSE ii END
+    FROM (SELECT c.version, c.r, c.section::BIGINT AS section, c.issue::BIGINT AS issue, c.score, w.ss, w.ii, NOT list_contains(w.ss, c.section) AND NOT list_contains(w.ii, c.issue) AS free FROM walk w JOIN c ON c.version = w.version AND c.r = w.r + 1))
+  SELECT * FROM walk WHERE took)""")
+def _(spark, d):
+    from tripline.operators.matching import greedy_matching
+
+    pairs = ev(spark, d).select(F.floor(F.col("event_id") / 40).alias("version"), (F.col("k") % 7).cast("bigint").alias("section"), (F.col("user_id") % 9).cast("bigint").alias("issue"), F.col("value").alias("score"))
+    return greedy_matching(pairs, ["version", "section"], ["version", "issue"], tie=["section", "issue"])
+
+
+@check("join_assign_issues")
+def _(spark, d):
+    """Parts of a brand as issues of a version, their kinds as sections; the sequence ratio has no SQL (tests/test_issues.py)."""
+    from tripline.plans.issues import assign_issues
+
+    part = table(spark, d, "part")
+    kinds = part.groupBy("p_brand", "p_name", "p_type").agg(F.min("p_partkey").alias("section_no"))
+    sections = kinds.select(F.col("p_brand").alias("version"), "section_no", F.concat(F.lit("## ["), F.lower("p_type"), F.lit("] "), "p_name", F.lit("\n"), "p_brand").alias("text"))
+    issues = part.select(F.col("p_brand").alias("version"), F.col("p_partkey").alias("issue_no"), F.concat(F.lit("K-"), F.col("p_partkey").cast("string")).alias("issue_key"),
+                         F.concat("p_name", F.lit(" "), "p_type").alias("summary"), F.col("p_size").cast("string").alias("description"))
+    return assign_issues(sections, issues)
+
+
+@check("agg_p90", "SELECT process_name, tenant_id, quantile_cont(value, 0.9) AS p90 FROM ev GROUP BY 1, 2")
+def _(spark, d):
+    from tripline.plans.metrics import p90
+
+    return p90(ev(spark, d), ["process_name", "tenant_id"], "value")
+
+
+@check("src_read_logs", """
+SELECT 'd' || (user_id % 8) AS device, cast(date_trunc('month', ts) AS date)::VARCHAR AS day, process_name AS service, row_number() OVER (PARTITION BY user_id % 8, date_trunc('month', ts), process_name ORDER BY event_id) - 1 AS line_no,
+  (epoch_us(ts) // 1000) || ': ' || event_id || ': ' || description AS line, (epoch_us(ts) // 1000) AS ts FROM ev""")
+def _(spark, d):
+    from tripline.session import scratch
+    from tripline.sources.readers import read_logs
+
+    rows = ev(spark, d).select(F.concat(F.lit("d"), (F.col("user_id") % 8).cast("string")).alias("device"), F.trunc("ts", "month").cast("string").alias("day"), F.col("process_name").alias("service"), "event_id",
+                               F.concat(ms("ts").cast("string"), F.lit(": "), F.col("event_id").cast("string"), F.lit(": "), "description").alias("line"))
+    folder = scratch(spark)
+    spread = rows.repartition("device", "day", "service").sortWithinPartitions("device", "day", "service", "event_id")
+    spread.drop("event_id").write.partitionBy("device", "day", "service").text(f"{folder}/raw")
+    # one file per device, month and service gets the name a device gives it
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(hadoop.Path(f"{folder}/raw/device=*/day=*/service=*/part-*")):
+        device, day, service = (x.partition("=")[2] for x in found.getPath().toString().split("/")[-4:-1])
+        fs.mkdirs(hadoop.Path(f"{folder}/logs/{device}/{day}/logs"))
+        fs.rename(found.getPath(), hadoop.Path(f"{folder}/logs/{device}/{day}/logs/{service}.log"))
+    return read_logs(spark, f"{folder}/logs").select("device", F.col("day").cast("string").alias("day"), "service", "line_no", "line", "ts")

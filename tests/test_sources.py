@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -26,6 +27,30 @@ def test_logs_keep_line_order(spark, tmp_path):
     assert merged[0].endswith("one\n  continued") and len(merged) == 3
 
 
+def test_log_lines_of_many_splits_are_numbered_per_file(spark, tmp_path):
+    day = tmp_path / "dev1" / "2026-10-28" / "logs"
+    day.mkdir(parents=True)
+    r = random.Random(5)
+    files = {}
+    for name, n in (("big", 4000), ("other", 300), ("one", 1), ("none", 0)):
+        lines = ["" if r.random() < 0.1 else f"{name} {i} " + "x" * r.randrange(60) + ("y" * 5000 if i % 997 == 5 else "") for i in range(n)]
+        (day / f"{name}.log").write_bytes("".join(x + r.choice(("\n", "\r\n")) for x in lines).encode())
+        files[name] = lines
+    (day / "tail.log").write_text("a\n\nb")  # no line end
+    files["tail"] = ["a", "", "b"]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "200")
+        df = R.read_logs(spark, str(tmp_path))
+        assert spark.read.text(str(day / "big.log")).rdd.getNumPartitions() > 20
+        got = {(x["service"], x["line_no"]): x["line"] for x in df.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {(name, i): x for name, lines in files.items() for i, x in enumerate(lines) if x}
+
+
 def test_observations_skip_broken_documents(spark, tmp_path):
     doc = {"deviceId": "d", "videoName": "v.mp4", "startTime": 1793148914428, "endTime": 1793148974428,
            "videoMetaData": [{"valid": True, "accuracy": 1.5}, None, {"accuracy": 2.0}]}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripline.operators.asof import asof_join, asof_many, assign_interval, pair_events
+from tripline.operators.quantiles import quantiles
 from tripline.operators.sequences import (anchor_clusters, carry_key, nth_in_session, request_batches, silence_points,
                                           unanswered)
 from tripline.operators.timeline import scan
@@ -665,9 +666,9 @@ def metric_agg(samples: DataFrame, registry: DataFrame, by: Sequence[str]) -> Da
     return out.withColumn("value", F.round(value, 3)).select(*by, "metric", "unit", "agg", "value", "text", "samples")
 
 
-def p90(col: Column | str) -> Column:
-    """AGG-35: exact 90th percentile with linear interpolation."""
-    return F.percentile(col, F.lit(0.9))
+def p90(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """AGG-35: (by, p90) exact 90th percentile with linear interpolation of the groups that have values."""
+    return quantiles(df, by, value, 0.9, "p90")
 
 
 def fleet_kpis(device_values: DataFrame) -> DataFrame:
@@ -675,20 +676,22 @@ def fleet_kpis(device_values: DataFrame) -> DataFrame:
 
     Ties of the commonest text go to the smaller text.
     """
+    device_values = settle(device_values.select("metric", "agg", "value", "samples", "text"))  # read three times
     v, n = F.col("value"), F.col("samples")
     text = device_values.filter(F.col("text").isNotNull()).groupBy("metric", "text").agg(F.count(F.lit(1)).alias("k"))
     common = text.groupBy("metric").agg(F.min_by("text", F.struct(-F.col("k"), F.col("text"))).alias("common"))
     out = device_values.groupBy("metric", "agg").agg(
-        F.count(F.lit(1)).alias("devices"), p90("value").alias("p90"), F.sum(v).alias("s"), F.sum(v * n).alias("w"),
+        F.count(F.lit(1)).alias("devices"), F.sum(v).alias("s"), F.sum(v * n).alias("w"),
         F.sum(F.when(v.isNotNull(), n)).alias("n"))
     total = F.when(F.col("agg") == "sum", F.col("s")).when(F.col("agg").isin("mean", "pct"), F.col("w") / F.nullif("n", F.lit(0)))
-    return out.join(common, "metric", "left").select("metric", "agg", "devices", "p90", total.alias("total"), "common",
+    return out.join(common, "metric", "left").join(p90(device_values, ["metric", "agg"], "value"), ["metric", "agg"], "left").select("metric", "agg", "devices", "p90", total.alias("total"), "common",
                                                      F.col("n").alias("samples"))
 
 
 def event_codes(device_codes: DataFrame) -> DataFrame:
     """AGG-36: per event code the alerts, devices and P90 of the devices' counts."""
-    return device_codes.groupBy("code").agg(F.sum("n").alias("alerts"), F.count(F.lit(1)).alias("devices"), p90("n").alias("p90"))
+    out = device_codes.groupBy("code").agg(F.sum("n").alias("alerts"), F.count(F.lit(1)).alias("devices"))
+    return out.join(p90(device_codes, ["code"], "n"), "code")
 
 
 def code_counts(lists: DataFrame, by: Sequence[str] = ("device",)) -> DataFrame:

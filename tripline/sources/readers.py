@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from tripline.functions import text as X
 from tripline.operators.timeline import scan
@@ -47,17 +48,29 @@ def path_fields(path) -> dict:
 
 
 def read_logs(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-05: log lines with device, day, service, file and line number, in file order.
+    """SRC-05: log lines with device, day, service, file and line number (from 0, empty lines counted but left out), in file order.
 
-    A device-day service file is read whole so that its lines keep their order, then exploded.
+    Files are read in splits, so a file of any size is read by many tasks.
     """
-    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.log*").text(root, wholetext=True)
-           .withColumn("file", F.input_file_name()))
-    lines = raw.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).filter("line != ''")
+    lines = numbered_lines(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.log*").text(root, lineSep="\n")).filter("line != ''")
     out = lines.select(*[c.alias(n) for n, c in path_fields(F.col("file")).items()], "file", "line_no", "line")
     return out.withColumn("ts", X.line_ts("line"))
 
 
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """(file, line_no, line) of a text scan: numbers count from 0 per file, over all its splits.
+
+    Rows of one split follow each other in one partition, so a row's place in its split is the difference of two
+    increasing ids.  What the splits before it hold is a running sum over one row per split.  A carriage return before the line feed
+    belongs to the line's end.
+    """
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = rows.groupBy("file", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "split", "first", before.alias("before"))
+    return rows.join(starts, ["file", "split"]).select("file", (F.col("id") - F.col("first") + F.col("before")).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
+
+
 def load_devices(spark: SparkSession, glob: str, state: str = "INSTALLED") -> DataFrame:
     """SRC-06: devices of a state with their tenant; the later file (by path) wins."""
     rows = spark.read.option("header", True).csv(glob).withColumn("path", F.input_file_name())
