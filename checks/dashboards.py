@@ -447,6 +447,14 @@ def _(spark, d):
     return C.predict_type(model, held_out, margin=True).select("doc_id", "type", "predicted_type", "margin")
 
 
+@check("ml_training_counts", """
+SELECT CASE WHEN type = 'OTHER' THEN 'dropped' WHEN ('0x' || substr(md5('42|' || (type = 'ERROR')::INT || '|' || text), 1, 8))::BIGINT % 100 < 20 THEN 'test' ELSE 'train' END AS part,
+  nullif(type, 'OTHER') AS type, count(*) AS rows_count
+FROM (SELECT coalesce(text, '') AS text, CASE WHEN doc_id % 11 = 0 THEN 'OTHER' WHEN quality = 1 THEN 'INFO' ELSE 'ERROR' END AS type FROM documents JOIN labels USING (doc_id)) GROUP BY 1, 2""")
+def _(spark, d):
+    return C.training_counts(_labelled(spark, d).withColumn("type", F.when(F.col("doc_id") % 11 == 0, "OTHER").otherwise(F.col("type"))))
+
+
 @check("ml_confusion", """
 SELECT CASE WHEN quality = 1 THEN 'INFO' ELSE 'ERROR' END AS type, CASE WHEN n_chars % 3 = 0 THEN 'ERROR' ELSE 'INFO' END AS predicted_type, count(*) rows_count
 FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2""")

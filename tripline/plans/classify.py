@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripline.functions import scalars as S
 from tripline.functions import text as X
+from tripline.plans.textmodel import AccentStripper, SmoothIDF, SublinearTF
 
 
 def match_patterns(df: DataFrame, patterns: DataFrame, text: str = "description", salts: int = 32) -> DataFrame:
@@ -45,60 +46,55 @@ def match_patterns(df: DataFrame, patterns: DataFrame, text: str = "description"
 # ── trained model ────────────────────────────────────────────────────────────
 
 
-class _Stages:
-    """Names of the columns between the stages."""
-
-    WORDS, PAIRS, TERMS, TF, LOG_TF, FEATURES = "__words", "__pairs", "__terms", "__tf", "__logtf", "features"
-
-
-class SublinearTF(Transformer):
-    """Replace term counts by 1 + ln(count), keeping vectors sparse."""
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        from pyspark.ml.linalg import SparseVector, VectorUDT
-
-        @F.udf(VectorUDT())
-        def scale(v):  # one small sparse vector per row
-            import numpy as np
+def labelled_rows(df: DataFrame, text: str = "description", label: str = "type") -> DataFrame:
+    """Rows with a usable label; 1 is ERROR.  A null text counts as empty."""
+    up = F.upper(F.trim(label))
+    return df.filter(up.isin("ERROR", "INFO")).withColumns({"label": (up == "ERROR").cast("double"), "text": F.coalesce(F.col(text), F.lit(""))})
 
-            return SparseVector(v.size, v.indices, 1.0 + np.log(v.values))
 
-        return dataset.withColumn(_Stages.LOG_TF, scale(F.col(_Stages.TF)))
+def _held_out(seed: int, share: int) -> Column:
+    """Whether a labelled row is held out: by hash of text and label, so equal rows stay together and re-run tasks agree."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("label").cast("int").cast("string"), F.col("text")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100 < share
 
 
-def labelled_rows(df: DataFrame, text: str = "description", label: str = "type") -> DataFrame:
-    """Rows with a usable label; 1 is ERROR."""
-    up = F.upper(F.trim(label))
-    return (df.filter(up.isin("ERROR", "INFO") & F.col(text).isNotNull())
-            .withColumns({"label": (up == "ERROR").cast("double"), "text": F.col(text)}))
+def training_counts(df: DataFrame, text: str = "description", label: str = "type", seed: int = 42, share: int = 20) -> DataFrame:
+    """ML-01: (part, type, rows_count): rows trained on, held out, and dropped for their label (type null)."""
+    rows = labelled_rows(df, text, label)
+    parts = rows.groupBy(F.when(_held_out(seed, share), "test").otherwise("train").alias("part"), F.when(F.col("label") == 1, "ERROR").otherwise("INFO").alias("type")).agg(F.count(F.lit(1)).alias("rows_count"))
+    invalid = ~F.coalesce(F.upper(F.trim(label)).isin("ERROR", "INFO"), F.lit(False))
+    return parts.unionByName(df.filter(invalid).groupBy().agg(F.count(F.lit(1)).alias("rows_count")).select(F.lit("dropped").alias("part"), F.lit(None).cast("string").alias("type"), "rows_count"))
 
 
-def train_type_model(df: DataFrame, text: str = "description", label: str = "type", features: int = 1 << 18,
-                     min_rows: int = 100, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
+def train_type_model(df: DataFrame, text: str = "description", label: str = "type", features: int = 250_000,
+                     min_rows: int = 100, seed: int = 42, share: int = 20) -> tuple[PipelineModel, DataFrame]:
     """ML-01: TF-IDF of words and word pairs into a class-weighted linear SVM.
 
-    Returns the model and the held-out fifth.  The split is by class and by hash of the
-    text, so it does not change when tasks are re-run.
+    Texts are lower-cased and lose their accents; words have two characters or more; terms in one row only are left out; counts n weigh
+    1 + ln(n), times ln((1 + rows) / (1 + rows with the term)) + 1, and rows have length 1.  Classes weigh alike.  Returns the model, which can be saved, and
+    the held-out ``share`` per cent of the rows.
     """
-    rows = labelled_rows(df, text, label)
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(counts.values())
-    if n < min_rows or len(counts) < 2:
+    rows = labelled_rows(df, text, label).withColumn("__test", _held_out(seed, share))
+    counts = {(r["__test"], r["label"]): r["n"] for r in rows.groupBy("__test", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    train = {k: n for (test, k), n in counts.items() if not test}
+    if sum(counts.values()) < min_rows or len(train) < 2:
         raise ValueError(f"need at least {min_rows} rows of both types, got {counts}")
-    weight = F.when(F.col("label") == 1, n / (2 * counts[1.0])).otherwise(n / (2 * counts[0.0]))
-    part = F.pmod(F.xxhash64(F.col("text"), F.col("label"), F.lit(seed)), F.lit(100))
-    rows = rows.withColumns({"weight": weight, "__part": part})
-    train, held_out = rows.filter("__part >= 20").drop("__part"), rows.filter("__part < 20").drop("__part")
+    n = sum(train.values())
+    weight = F.when(F.col("label") == 1, n / (2 * train[1.0])).otherwise(n / (2 * train[0.0]))
+    rows = rows.withColumn("weight", weight)
     stages = [
-        RegexTokenizer(inputCol="text", outputCol=_Stages.WORDS, pattern=r"\b\w\w+\b", gaps=False),
-        NGram(n=2, inputCol=_Stages.WORDS, outputCol=_Stages.PAIRS),
-        SQLTransformer(statement=f"SELECT *, concat({_Stages.WORDS}, {_Stages.PAIRS}) AS {_Stages.TERMS} FROM __THIS__"),
-        CountVectorizer(inputCol=_Stages.TERMS, outputCol=_Stages.TF, minDF=2, vocabSize=features),
-        SublinearTF(),
-        IDF(inputCol=_Stages.LOG_TF, outputCol=_Stages.FEATURES),
-        LinearSVC(featuresCol=_Stages.FEATURES, labelCol="label", weightCol="weight", maxIter=50),
+        AccentStripper(inputCol="text", outputCol="__plain"),
+        RegexTokenizer(inputCol="__plain", outputCol="__words", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=False),
+        NGram(n=2, inputCol="__words", outputCol="__pairs"),
+        SQLTransformer(statement="SELECT *, concat(__words, __pairs) AS __terms FROM __THIS__"),
+        CountVectorizer(inputCol="__terms", outputCol="__tf", minDF=2, vocabSize=features),
+        SublinearTF(inputCol="__tf", outputCol="__log_tf"),
+        SmoothIDF(inputCol="__log_tf", outputCol="__tf_idf"),
+        Normalizer(p=2.0, inputCol="__tf_idf", outputCol="features"),
+        # one unit of loss per weighted row against half the squared weights, as usual for a support vector machine with C = 1
+        LinearSVC(featuresCol="features", labelCol="label", weightCol="weight", maxIter=50, regParam=1.0 / n, standardization=False),
     ]
-    return Pipeline(stages=stages).fit(train), held_out
+    return Pipeline(stages=stages).fit(rows.filter("not __test").drop("__test")), rows.filter("__test").drop("__test")
 
 
 def predict_type(model: PipelineModel, df: DataFrame, text: str = "description", margin: bool = False) -> DataFrame:
