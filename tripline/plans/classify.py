@@ -14,32 +14,16 @@ from pyspark.sql import types as T
 
 from tripline.functions import scalars as S
 from tripline.functions import text as X
+from tripline.operators.templates import match_templates
 from tripline.plans.textmodel import AccentStripper, SmoothIDF, SublinearTF
 
 
-def match_patterns(df: DataFrame, patterns: DataFrame, text: str = "description", salts: int = 32) -> DataFrame:
-    """TXT-05: type of the first pattern (by ``rank``) a text matches; ``<N>`` stands for any text.
+def match_patterns(df: DataFrame, patterns: DataFrame, text: str = "description", most_patterns: int = 2_000, most_texts: int = 50_000) -> DataFrame:
+    """TXT-05: type of the first pattern (by ``rank``) a text matches; ``<N>`` stands for any text of one character or more.
 
-    Distinct texts are matched once.  A pattern's literal head word (or, failing that, its
-    tail word) is an equi key; patterns with neither are spread over ``salts`` copies so that
-    no task sees all texts.
+    Distinct texts are matched once, each against a trie of the patterns that share a word with it.
     """
-    literal = F.regexp_replace("description_pattern", r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    rx = F.concat(F.lit("(?s)^"), F.replace(literal, F.lit(X.MASK), F.lit(".+?")), F.lit("$"))
-    word = r"^([^\s<>]+)\s"
-    tail = r"\s([^\s<>]+)$"
-    head_p, tail_p = (F.regexp_extract("description_pattern", p, 1) for p in (word, tail))
-    pats = patterns.select("rank", "type", rx.alias("rx"), F.when(head_p != "", F.array(F.concat(F.lit("h"), head_p)))
-                           .when(tail_p != "", F.array(F.concat(F.lit("t"), tail_p)))
-                           .otherwise(F.transform(F.sequence(F.lit(0), F.lit(salts - 1)),
-                                                  lambda i: F.concat(F.lit("s"), i.cast("string")))).alias("keys"))
-    pats = pats.withColumn("key", F.explode("keys")).drop("keys")
-    texts = df.select(text).filter(F.col(text).isNotNull()).distinct()
-    head_t, tail_t = (F.regexp_extract(text, p, 1) for p in (r"^(\S+)\s", r"\s(\S+)$"))
-    salt = F.concat(F.lit("s"), F.pmod(F.xxhash64(text), F.lit(salts)).cast("string"))
-    keyed = texts.withColumn("key", F.explode(F.array(F.concat(F.lit("h"), head_t), F.concat(F.lit("t"), tail_t), salt)))
-    hit = keyed.join(pats, "key").filter(F.expr(f"{text} rlike rx"))
-    first = hit.groupBy(text).agg(F.min_by("type", "rank").alias("matched_type"))
+    first = match_templates(df, patterns, text, most_patterns, most_texts).select(F.col("text").alias(text), F.col("type").alias("matched_type"))
     return df.join(first, text, "left")
 
 
