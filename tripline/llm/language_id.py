@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripline.llm.text import blocks, finished, free_name, per_doc, prefix_hash, span_hash, splitmix, table
+from tripline.llm.text import blocks, finished, free_name, per_doc, prefix_hash, span_hash, splitmix, table, tidy
 
 #: Frequent words a task holds itself, of training and again of the scored documents: a matter of speed, not of results.
 KNOWN_WORDS, LONGEST, TEMPER = 100_000, 4, 0.2
@@ -167,7 +167,7 @@ def train(docs: DataFrame, known_words: int = KNOWN_WORDS, longest: int = LONGES
     ``known_words`` is how many frequent words tasks hold themselves; it changes no result.
     """
     counts = table(docs.where("lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-                   .mapInArrow(_tally(True, np.zeros(0, np.uint64)), "lang string, key long, word string, n long").groupBy("key", "lang").agg(F.min("word").alias("word"), F.sum("n").alias("n")))
+                   .mapInArrow(tidy(_tally(True, np.zeros(0, np.uint64))), "lang string, key long, word string, n long").groupBy("key", "lang").agg(F.min("word").alias("word"), F.sum("n").alias("n")))
     size = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(size)
     if not langs:
@@ -209,7 +209,7 @@ def _predicted(docs: DataFrame, model: Model, temper: float) -> DataFrame:
     if not model.langs:
         return docs.select(*others, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     k = len(model.langs)
-    found = (docs.select("text").mapInArrow(_tally(False, model.hashes), "lang string, key long, word string, n long")
+    found = (docs.select("text").mapInArrow(tidy(_tally(False, model.hashes)), "lang string, key long, word string, n long")
              .groupBy("key").agg(F.min("word").alias("word"), F.sum("n").alias("n")))
     scored = table(score_words(found, model))
     hashes, log = _frequent(scored, KNOWN_WORDS)
@@ -242,7 +242,7 @@ def _predicted(docs: DataFrame, model: Model, temper: float) -> DataFrame:
 
     shape = T.StructType([*docs.select(*others).schema.fields, T.StructField("_row", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_sums", T.ArrayType(T.DoubleType())),
                           T.StructField("_keys", T.ArrayType(T.LongType())), T.StructField("_times", T.ArrayType(T.IntegerType()))])
-    base = table(docs.select(*others, F.monotonically_increasing_id().alias("_row"), "text").mapInArrow(run, shape))  # written, so that row numbers stay
+    base = table(docs.select(*others, F.monotonically_increasing_id().alias("_row"), "text").mapInArrow(tidy(run), shape))  # written, so that row numbers stay
     more = (base.select("_row", F.explode(F.arrays_zip("_keys", "_times")).alias("w")).select("_row", F.col("w._keys").alias("key"), F.col("w._times").alias("t"))
             .join(scored.select("key", "s"), "key").groupBy("_row").agg(*(F.sum(F.col("s")[i].cast("double") * F.col("t")).alias(f"_m{i}") for i in range(k))))
     total = F.array(*(F.col("_sums")[i] + F.coalesce(F.col(f"_m{i}"), F.lit(0.0)) for i in range(k)))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripline.llm.components import components
-from tripline.llm.text import Block, blocks, finished, partitions, splitmix, table
+from tripline.llm.text import Block, blocks, finished, partitions, splitmix, table, tidy
 
 WIDTH, SIMILARITY, BANDS, ROWS, BLOCK = 5, 0.8, 32, 6, 4096
 #: Registers' agreement may fall this far below the similarity before a pair is dropped unverified: at a
@@ -89,7 +89,7 @@ def band_rows(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("text")).mapInArrow(run, "doc_id long, digest string, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("text")).mapInArrow(tidy(run), "doc_id long, digest string, bands array<long>")
 
 
 def exact_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -214,7 +214,7 @@ def verified_links(candidates: DataFrame, docs: DataFrame, similarity: float, ba
             found = links_in(group.column("text").to_pylist(), similarity, bands, rows, width, cut)
             yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], ["a", "b"])
 
-    return rows_in.mapInArrow(run, "a long, b long")
+    return rows_in.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, block: int = BLOCK) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripline.llm.text import SPACE, Block, blocks, duplicated, fixed_sample, per_doc, span_hash, splitmix
+from tripline.llm.text import SPACE, Block, blocks, duplicated, fixed_sample, per_doc, span_hash, splitmix, tidy
 
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
 #: Labelled documents the CRF is trained on, lines of one training sequence (longer texts give several), and sequences of one document.
@@ -228,7 +228,7 @@ def quality_rules(docs: DataFrame, model: Crf, share: float = CONTENT_SHARE) ->
             if parts:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate([p[n] for p in parts])) for n in RESULT.names[1:])], RESULT.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), RESULT)
 
 
 def keep_good(docs: DataFrame, model: Crf, share: float = CONTENT_SHARE) -> DataFrame:
@@ -241,4 +241,4 @@ def keep_good(docs: DataFrame, model: Crf, share: float = CONTENT_SHARE) -> Data
             if parts:
                 yield batch.filter(pa.array(np.concatenate(parts)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

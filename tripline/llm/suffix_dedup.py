@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripline.llm.suffixes import common_prefixes, suffix_array
-from tripline.llm.text import BLOCK_BYTES, BYTE_VALUES, finished, free_name, partitions, prefix_hash, raw, span_hash, splitmix, table
+from tripline.llm.text import BLOCK_BYTES, BYTE_VALUES, finished, free_name, partitions, prefix_hash, raw, span_hash, splitmix, table, tidy
 
 LENGTH, GRAM, HOT, CHUNK_BYTES = 50, 16, 2000, 4 << 20
 _SEGMENT = 1 << 16
@@ -83,7 +83,7 @@ def pack_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             yield flush()
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "chunk long, doc binary, sizes binary, bytes long, packed binary"))
+            .mapInArrow(tidy(run), "chunk long, doc binary, sizes binary, bytes long, packed binary"))
 
 
 def unpack(doc: bytes, sizes: bytes, n: int, packed: bytes) -> Chunk:
@@ -312,7 +312,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         cuts = list(zip(at, np.append(at, len(chunk))[1:], strict=True))
         return pa.table({"chunk": pa.array(ids, pa.int64()), "shared": pa.array([_blob(anchor[a:b] << np.uint64(1) | hot[a:b].astype(np.uint64), "<u8") for a, b in cuts], pa.binary())})
 
-    shared = table(chunks.select("chunk", "doc", "sizes", "bytes", "packed").mapInArrow(send_anchors, "shard long, chunk long, anchors binary")
+    shared = table(chunks.select("chunk", "doc", "sizes", "bytes", "packed").mapInArrow(tidy(send_anchors), "shard long, chunk long, anchors binary")
                    .repartition(parts, "shard").groupBy("shard").applyInArrow(find_shared, "chunk long, shared binary"))
 
     def keys(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:

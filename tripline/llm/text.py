@@ -7,6 +7,8 @@ comes from two prefix sums, whatever its length.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -72,6 +74,17 @@ def finished(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives the memory it has freed back to the machine when a task ends: workers live on and the next stage's need theirs."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
