@@ -489,6 +489,32 @@ def _(spark, d):
     return M.boot_samples(M.all_samples(h, b), h, b)
 
 
+@check("kpi_boot_codes", """
+SELECT device, boot_index, c AS code, count(*) AS n FROM (SELECT a.device, b.n AS boot_index, unnest(['a.' || (k % 3), 'b']) c FROM alist a JOIN hboot b ON a.device = b.device AND a.t >= b.s AND (b.e IS NULL OR a.t < b.e)
+  WHERE k % 20 <> 0) GROUP BY 1, 2, 3""")
+def _(spark, d):
+    h = hits(spark, d)
+    return M.boot_codes(M.alert_lists(h), boots(spark, d, h))
+
+
+@check("kpi_fallback_boots", """
+SELECT * FROM (WITH s AS (SELECT device_id AS device, epoch_us(ts) // 1000 AS t, CASE process_name WHEN 'error' THEN 'system_uptime' WHEN 'click' THEN 'boot_power_on' ELSE 'shutdown_time' END AS metric FROM ev),
+  lim AS (SELECT device, max(t) AS hi FROM s GROUP BY 1),
+  b AS (SELECT device, n, s, e, false AS fallback FROM hboot WHERE device::INT % 3 <> 0 UNION ALL
+        SELECT device, 0, -1, hi, true FROM lim WHERE device NOT IN (SELECT device FROM hboot WHERE device::INT % 3 <> 0))
+SELECT s.device, b.n AS boot_index, metric, count(*) AS samples FROM s JOIN b ON s.device = b.device AND s.t >= b.s AND (b.e IS NULL OR s.t < b.e)
+WHERE NOT (fallback AND metric IN ('system_uptime', 'boot_power_on')) GROUP BY 1, 2, 3)""")
+def _(spark, d):
+    # devices of every third id have no logged start: one boot up to their last event, without start-up times
+    h = settle(hits(spark, d))
+    kind = F.when(F.col("process_name") == "error", "system_uptime").when(F.col("process_name") == "click", "boot_power_on").otherwise("shutdown_time")
+    rows = ev(spark, d).select(F.col("device_id").alias("device"), kind.alias("metric"), ms("ts").alias("ts"), (F.col("event_id") + 1.0).alias("value"), F.lit(None).cast("string").alias("text"))
+    ranges = rows.groupBy("device").agg(F.lit(None).cast("bigint").alias("lo"), F.max("ts").alias("hi"))
+    b = M.fallback_boots(boots(spark, d, h).filter(F.col("device").cast("int") % 3 != 0), ranges)
+    out = M.boot_samples(rows, h, b).filter("value <> 0")
+    return out.groupBy("device", "boot_index", "metric").agg(F.count(F.lit(1)).alias("samples"))
+
+
 view("samp", "SELECT device_id device, process_name AS metric, epoch_us(ts) // 1000 AS ts, value, event_id FROM ev")
 
 

@@ -99,6 +99,21 @@ def _(spark, d):
     return V.applicable(v, tests, boots).select("device", F.col("boot_index").cast("bigint").alias("boot_index"), "test", "verdict")
 
 
+@check("win_step_device_types", """
+SELECT device, b AS boot_index, test, CASE
+  WHEN test = 't2' AND b % 3 = 0 THEN 'NOT_APPLICABLE'
+  WHEN test = 't1' AND b % 3 = 0 THEN CASE WHEN c IS NULL THEN 'NOT_TRIGGERED' ELSE 'PASS' END
+  WHEN test = 't3' AND b % 3 = 1 THEN CASE WHEN c IS NULL THEN 'NOT_TRIGGERED' ELSE 'PASS' END ELSE verdict END AS verdict FROM verd JOIN vd USING (device, b)""")
+def _(spark, d):
+    # days are devices of type a (no second step of t1, no t2), b (no absent step of t3) or unknown
+    hits, boots = _hits(spark, d)
+    types = F.when((F.col("test") == "t1") & (F.col("step_no") == 2), F.array(F.lit("b"), F.lit("c"))).when(F.col("test") == "t2", F.array(F.lit("b"))).when(
+        (F.col("test") == "t3") & (F.col("step_no") == 2), F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
+    typed = boots.withColumn("device_type", F.when(F.col("boot_index") % 3 == 0, "a").when(F.col("boot_index") % 3 == 1, "b"))
+    out = V.evaluate_steps(hits, _steps(spark, d).withColumn("device_types", types), typed)
+    return out.select("device", F.col("boot_index").cast("bigint").alias("boot_index"), "test", "verdict")
+
+
 @check("win_usable_requirements", """
 SELECT test, 'dim' AS dimension, string_agg(v, ',' ORDER BY v) AS "values" FROM (SELECT DISTINCT 't' || (k % 7) AS test, process_name v FROM ev) GROUP BY 1 HAVING bool_and(v IN (SELECT process_name FROM ev WHERE k % 7 <> 9))""")
 def _(spark, d):

@@ -224,3 +224,31 @@ def test_thinned_hits_give_the_same_verdicts(spark):
     assert V.thin_hits(h).count() < h.distinct().count()
     assert {x["boot_index"]: x["verdict"] for x in V.evaluate_steps(h, s, b).collect()} == want
     assert len(set(want.values())) == 3
+
+
+@pytest.mark.parametrize("device_type", ["a", "b", None])
+def test_steps_for_other_devices_are_left_out(spark, device_type):
+    import random
+
+    r = random.Random(3)
+    steps = [("t", 1, "any", "present", 1, ["a"]), ("t", 2, "any", "info", 1, []), ("t", 3, "any", "present", 1, ["b"]), ("t", 4, "any", "absent", 1, ["b"]), ("t", 5, "any", "present", 1, None),
+             ("info", 1, "any", "info", 1, None), ("info", 2, "any", "present", 1, ["b"]), ("only a", 1, "any", "present", 1, ["a"])]
+    rows, want = [], {}
+    for boot in range(60):
+        for test in ("t", "info", "only a"):
+            mine = [s for s in steps if s[0] == test]
+            hits = sorted((r.randrange(30), r.choice(mine)[1]) for _ in range(r.randrange(7)))
+            rows += [("d", boot, test, s, 0, ts) for ts, s in hits]
+            left = [s for s in mine if not s[5] or device_type is None or device_type in s[5]]
+            want[boot, test] = walk([(s, 0, ts) for ts, s in hits], [s[:5] for s in left], 0) if left else "NOT_APPLICABLE"
+    h = spark.createDataFrame(rows, "device string, boot_index int, test string, step_no int, alt int, ts bigint")
+    s = spark.createDataFrame(steps, "test string, step_no int, mode string, expect string, alts int, device_types array<string>")
+    b = spark.createDataFrame([("d", i, 0, device_type) for i in range(60)], "device string, boot_index int, start bigint, device_type string")
+    got = V.evaluate_steps(h, s, b).collect()
+    assert {(x["boot_index"], x["test"]): x["verdict"] for x in got} == want
+    assert all(x["reason"] == "Not run on b" for x in got if x["verdict"] == "NOT_APPLICABLE")
+    # one window over everything judges as no window does, but for tests that never started
+    wins = spark.createDataFrame([("d", i, 0, None) for i in range(60)], "device string, boot_index int, start bigint, end bigint")
+    inside = {(x["boot_index"], x["test"]): x["verdict"] for x in V.evaluate_in_windows(h, s, b, wins).collect()}
+    for key, verdict in want.items():
+        assert inside[key] == verdict or (inside[key] == "CONDITION_NOT_MET" and verdict in ("PASS", "FAIL"))

@@ -142,3 +142,35 @@ def test_rank_over_blocks(spark):
     got = {r["id"]: r["n"] for r in global_rank(df, "ts", ["id"], "n", width_s=1).collect()}
     want = {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), start=1)}
     assert got == want
+
+
+def test_writers_cut_hot_keys_and_pack_small_ones(spark, tmp_path):
+    from tripline.sources import sinks as K
+
+    rows = [("hot" if i % 3 else f"d{i % 40}", f"f{i:05d}", 1_700_000_000 + 700 * i) for i in range(3000)] + [(None, "f", 1_700_000_000), ("same", "g", None)]
+    rows += [("hour", f"h{i:04d}", 1_700_003_000) for i in range(450)]
+    obs = spark.createDataFrame(rows, "device_id string, file_name string, at bigint").selectExpr("device_id", "file_name", "timestamp_seconds(at) as start_time")
+    K.write_observations(obs, obs.withColumn("speed", F.lit(1.5)), str(tmp_path), file_rows=200)
+    for name in ("observations", "samples"):
+        back = spark.read.parquet(str(tmp_path / name))
+        assert sorted(map(str, back.select(obs.columns).collect())) == sorted(map(str, obs.collect()))
+        files = {}
+        for r in back.withColumn("path", F.input_file_name()).collect():
+            files.setdefault(r["path"], []).append(r)
+        # twice the target at most: a range ends with a whole hour, and packing goes by hash
+        assert max(map(len, files.values())) <= 420 and len(files) < 60
+        assert len([p for p, x in files.items() if any(r["device_id"] == "hot" for r in x)]) >= 10
+        for x in files.values():
+            assert [(r["device_id"] or "", r["file_name"]) for r in x] == sorted((r["device_id"] or "", r["file_name"]) for r in x)
+        spans = {}
+        for p, x in files.items():
+            hot = [r["start_time"] for r in x if r["device_id"] == "hot"]
+            if hot:
+                spans.setdefault(x[0]["month"], []).append((min(hot), max(hot)))
+        for v in spans.values():
+            assert all(a[1] < b[0] for a, b in zip(sorted(v), sorted(v)[1:]))  # ranges of time, not a hash
+    K.write_csv_by(obs.select("device_id", "file_name"), str(tmp_path / "csv"), "device_id", ["file_name"], file_rows=500)
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert sorted((r["device_id"] or "", r["file_name"]) for r in back.collect()) == sorted((r[0] or "", r[1]) for r in rows)
+    assert len(list((tmp_path / "csv" / "device_id=hot").glob("part-*"))) >= 4 and len(list((tmp_path / "csv" / "device_id=d3").glob("part-*"))) == 1
+    K.write_csv_by(obs.limit(0), str(tmp_path / "none"))

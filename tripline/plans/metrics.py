@@ -625,28 +625,48 @@ def metric_table(like: DataFrame) -> DataFrame:
     return like.sparkSession.createDataFrame(R.metrics(), "tab string, metric string, unit string, agg string")
 
 
+def fallback_boots(boots: DataFrame, ranges: DataFrame) -> DataFrame:
+    """KPI-29: ``boots`` and, for every device of ``ranges`` (device, lo, hi) without one, a boot 0 that takes its range.
+
+    Such a boot began before the logs; ``fallback`` marks it.  An open end of a range is null.
+    """
+    alone = ranges.join(boots.select("device").distinct(), "device", "left_anti").select(
+        "device", F.lit(0).cast(boots.schema["boot_index"].dataType).alias("boot_index"), F.coalesce("lo", F.lit(-(1 << 50))).alias("eff_start"), F.col("hi").alias("end"), F.lit(True).alias("fallback"))
+    return boots.withColumn("fallback", F.lit(False)).unionByName(alone, allowMissingColumns=True)
+
+
+def boot_codes(lists: DataFrame, boots: DataFrame) -> DataFrame:
+    """KPI-29: alerts per boot and event code of the final alert lists."""
+    b = boots.select("device", "boot_index", F.col("eff_start").alias("b_start"), F.col("end").alias("b_end"))
+    placed = assign_interval(lists.select("device", "ts", "codes"), b, ["device"], "ts", "b_start", "b_end", how="inner")
+    return code_counts(placed, ["device", "boot_index"])
+
+
 def boot_samples(samples: DataFrame, hits: DataFrame, boots: DataFrame) -> DataFrame:
     """KPI-29: samples placed in boots; count metrics are 0 where their lines could have been logged.
 
-    Optional cameras count only on devices that named them.
+    Optional cameras count only on devices that named them.  A boot marked ``fallback`` began before the logs, so it has no start-up
+    metrics.
     """
-    b = boots.select("device", "boot_index", F.col("eff_start").alias("b_start"), F.col("end").alias("b_end"))
+    fallback = F.col("fallback") if "fallback" in boots.columns else F.lit(False)
+    b = boots.select("device", "boot_index", F.col("eff_start").alias("b_start"), F.col("end").alias("b_end"), F.coalesce(fallback, F.lit(False)).alias("fallback"))
     placed = assign_interval(samples, b, ["device"], "ts", "b_start", "b_end", how="inner").select(
-        "device", "boot_index", "metric", "ts", "value", "text")
+        "device", "boot_index", "metric", "ts", "value", "text", "fallback")
     marks = assign_interval(_hits(hits, *R.DETAILED, *R.ZERO_ONLY_WITH.values()).select("device", "key", "ts"), b, ["device"], "ts",
                             "b_start", "b_end", how="inner")
     seen = marks.groupBy("device", "boot_index").agg(
         F.bool_or(F.col("key").isin(*R.DETAILED)).alias("detailed"),
         *[F.bool_or(F.col("key") == k).alias(f"has_{k}") for k in R.ZERO_ONLY_WITH.values()])
-    zeros = boots.select("device", "boot_index", F.col("eff_start").alias("ts")).join(seen, ["device", "boot_index"], "left")
+    zeros = b.select("device", "boot_index", F.col("b_start").alias("ts"), "fallback").join(seen, ["device", "boot_index"], "left")
     sums = [(t, m) for t, m, _, agg in R.metrics() if agg == "sum"]
     tests = F.array(*[F.when(
         (F.lit(True) if m in R.CRITICAL_COUNTS else F.coalesce("detailed", F.lit(False)))
         & (F.coalesce(f"has_{R.ZERO_ONLY_WITH[t]}", F.lit(False)) if t in R.ZERO_ONLY_WITH else F.lit(True)), F.lit(m))
         for t, m in sums])
     zero = zeros.select("device", "boot_index", F.explode(F.filter(tests, lambda m: m.isNotNull())).alias("metric"), "ts",
-                        F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("text"))
-    out = placed.unionByName(zero)
+                        F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("text"), "fallback")
+    start_up = [m for t, m, _, _ in R.metrics() if t == R.START_UP]
+    out = placed.unionByName(zero).filter(~(F.col("fallback") & F.col("metric").isin(*start_up))).drop("fallback")
     cam = F.regexp_extract("metric", r"_cam([4-8])(?:_pct)?$", 1).try_cast("int")
     own = cameras(hits).withColumn("own", F.lit(True))
     return (out.withColumn("cam", cam).join(own, ["device", "cam"], "left")

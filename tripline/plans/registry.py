@@ -278,7 +278,8 @@ def metrics() -> list[tuple[str, str, str, str]]:
     return [(table, name.replace("*", str(cam)), unit, agg) for table, name, unit, agg in _METRICS for cam in (CAMS if "*" in name else ("",))]
 
 
-# Count metrics that are 0 only in boots with this line; metrics of the first boot's startup
+# Table of the metrics of a boot's start-up; count metrics that are 0 only in boots with this line
+START_UP = "kpi-boot"
 ZERO_ONLY_WITH = {"kpi-health-central": "hc_config"}
 # Count metrics whose lines are all in critical logs
 CRITICAL_COUNTS = ("rt_video_n", *[f"crash_cam{c}" for c in CAMS])

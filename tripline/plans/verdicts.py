@@ -13,7 +13,9 @@ from tripline.operators.timeline import scan
 VERDICTS = ("PASS", "FAIL", "NOT_TRIGGERED", "CONDITION_NOT_MET", "NOT_APPLICABLE", "NO_LOG_CHECKS")
 
 # hits:  device, boot_index, test, step_no, alt (index of the step's pattern), ts
-# steps: test, step_no, mode (any / all), expect (present / absent / info), alts (number of patterns)
+# steps: test, step_no, mode (any / all), expect (present / absent / info), alts (number of patterns); optional device_types (array):
+#        the types of device the step is made for, null or empty for all
+# boots: device, boot_index, start; optional device_type, null where it is not known: every step counts
 _BOOT = ["device", "boot_index"]
 
 
@@ -44,9 +46,24 @@ def _step_arrays(hits: DataFrame, key: Sequence[str]) -> DataFrame:
     return steps.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("step_no", "alts"))).alias("by_step"))
 
 
+def _device_type(boots: DataFrame) -> Column:
+    return (F.col("device_type") if "device_type" in boots.columns else F.lit(None)).cast("string").alias("device_type")
+
+
+def _fits(types: Column, device_type: Column) -> Column:
+    """Whether something made for ``types`` of devices counts on a device."""
+    return types.isNull() | (F.size(types) == 0) | device_type.isNull() | F.array_contains(types, device_type)
+
+
 def _walk(cursor: Column) -> Column:
-    """Fold the steps in order, moving the cursor to every match; one status per step."""
+    """Fold the ``steps`` in order, moving the cursor to every match; one status per step.
+
+    A step that is not made for the row's ``device_type`` is NOT_FOR_DEVICE: it is not looked for, and the cursor stays.  Informational steps
+    are wanted only where no expected step counts; the others that are not found say so with INFO_ in front.
+    """
     none = F.lit(None).cast("bigint")
+    fits = lambda s: _fits(s["device_types"], F.col("device_type"))
+    expected = F.exists(F.col("steps"), lambda s: fits(s) & (s["expect"] == "present"))
 
     def step(state: Column, s: Column) -> Column:
         alts = F.try_element_at(F.col("by_step"), s["step_no"])
@@ -59,13 +76,13 @@ def _walk(cursor: Column) -> Column:
         times = F.transform(found, lambda n: n["next"])
         hit_all = (s["mode"] == "all") & (F.size(found) == count)
         hit_any = (s["mode"] != "all") & (F.size(found) > 0)
-        hit = (s["expect"] != "absent") & (hit_all | hit_any)
+        hit = fits(s) & (s["expect"] != "absent") & (hit_all | hit_any)
         at = F.when(hit_all, F.array_max(times)).otherwise(F.array_min(times))
         # The first alternative that was not found names the failure
         missing = F.get(F.filter(nexts, lambda n: n["next"].isNull()), F.lit(0))["ever"]
         bad = F.when(F.coalesce(missing, F.lit(False)), "OUT_OF_ORDER").otherwise("NOT_FOUND")
-        status = (F.when(s["expect"] == "absent", F.when(F.size(found) > 0, "FAIL").otherwise("PASS"))
-                  .when(hit, "PASS").otherwise(bad))
+        status = (F.when(~fits(s), "NOT_FOR_DEVICE").when(s["expect"] == "absent", F.when(F.size(found) > 0, "FAIL").otherwise("PASS"))
+                  .when(hit, "PASS").when((s["expect"] == "info") & expected, F.concat(F.lit("INFO_"), bad)).otherwise(bad))
         return F.struct(F.when(hit, at).otherwise(state["cursor"]).alias("cursor"),
                         F.concat(state["out"], F.array(F.struct(
                             s["step_no"].alias("step_no"), s["expect"].alias("expect"), status.alias("status"),
@@ -76,7 +93,8 @@ def _walk(cursor: Column) -> Column:
                        lambda s: s["out"])
 
 
-def _judge(results: Column) -> Column:
+def _judge(all_results: Column) -> Column:
+    results = F.filter(all_results, lambda r: r["status"] != "NOT_FOR_DEVICE")
     present = F.exists(results, lambda r: r["expect"] == "present")
     # Informational steps are required only in tests without an expected one
     required = F.filter(results, lambda r: (r["expect"] == "present") | (r["expect"] == "absent")
@@ -87,7 +105,8 @@ def _judge(results: Column) -> Column:
     first = F.get(failed, F.lit(0))
     what = F.when(first["status"] == "NOT_FOUND", "not found").when(
         first["status"] == "OUT_OF_ORDER", "only found before the previous step").otherwise("found but expected absent")
-    return F.when(untouched, F.struct(F.lit("NOT_TRIGGERED").alias("verdict"),
+    return F.when(F.size(results) == 0, F.struct(F.lit("NOT_APPLICABLE").alias("verdict"), F.concat(F.lit("Not run on "), F.col("device_type")).alias("reason"))
+    ).when(untouched, F.struct(F.lit("NOT_TRIGGERED").alias("verdict"),
                                       F.lit("None of the expected log lines appear in this boot").alias("reason"))).when(
         F.size(failed) == 0, F.struct(F.lit("PASS").alias("verdict"), F.lit("All expected log lines found in order").alias("reason"))
     ).otherwise(F.struct(F.lit("FAIL").alias("verdict"), F.concat(
@@ -96,7 +115,8 @@ def _judge(results: Column) -> Column:
 
 def _test_table(steps: DataFrame) -> DataFrame:
     """One row per test with its steps in order: as long as the test suite."""
-    cols = F.struct("step_no", "mode", "expect", "alts")
+    types = F.col("device_types") if "device_types" in steps.columns else F.lit(None)
+    cols = F.struct("step_no", "mode", "expect", "alts", types.cast("array<string>").alias("device_types"))
     return steps.groupBy("test").agg(F.array_sort(F.collect_list(cols)).alias("steps"))
 
 
@@ -104,12 +124,13 @@ def evaluate_steps(hits: DataFrame, steps: DataFrame, boots: DataFrame, cursor:
     """WIN-41: verdict of every test in every boot.
 
     Each step must match at or after the match before it; a step with several patterns needs
-    one of them (``any``) or all.  Boots without a hit of a test are judged without a fold.
+    one of them (``any``) or all.  Steps for other types of device are left out; a test of which no step is left is
+    NOT_APPLICABLE.  Boots without a hit of a test are judged without a fold.
     """
     tests = _test_table(steps)
     table = tests.agg(F.collect_list(F.struct("test", "steps")))
-    rows = boots.select(*_BOOT, F.coalesce(F.col(cursor or "start"), F.lit(0)).alias("cursor")).withColumn(
-        "t", F.explode(table.scalar())).select(*_BOOT, "cursor", "t.test", "t.steps")
+    rows = boots.select(*_BOOT, F.coalesce(F.col(cursor or "start"), F.lit(0)).alias("cursor"), _device_type(boots)).withColumn(
+        "t", F.explode(table.scalar())).select(*_BOOT, "cursor", "device_type", "t.test", "t.steps")
     key = [*_BOOT, "test"]
     breaks = rows.select(*key, F.col("cursor").alias("ts")) if cursor else None
     rows = rows.join(_step_arrays(thin_hits(hits, breaks), key), key, "left")
@@ -124,7 +145,7 @@ def applicable(verdicts: DataFrame, tests: DataFrame, boots: DataFrame) -> DataF
     """WIN-41: tests not made for a boot's device type become NOT_APPLICABLE."""
     t = tests.select("test", "device_types")
     rows = verdicts.join(t, "test", "left").join(boots.select(*_BOOT, "device_type"), _BOOT)
-    fits = F.col("device_types").isNull() | F.col("device_type").isNull() | F.array_contains("device_types", F.col("device_type"))
+    fits = _fits(F.col("device_types"), F.col("device_type"))
     return rows.withColumns({"verdict": F.when(fits, F.col("verdict")).otherwise("NOT_APPLICABLE"),
                              "reason": F.when(fits, F.col("reason")).otherwise(F.concat(F.lit("Not run on "), "device_type"))}
                             ).drop("device_types", "device_type")
@@ -140,11 +161,15 @@ def evaluate_in_windows(hits: DataFrame, steps: DataFrame, boots: DataFrame, win
     wins = windows.withColumn("w", F.row_number().over(w))
     if most is not None:
         wins = wins.filter(F.col("w") <= most)
-    trigger = steps.filter("expect != 'absent'").groupBy("test").agg(F.min("step_no").alias("step_no"))
-    first = hits.join(trigger, ["test", "step_no"], "left_semi").select(*_BOOT, "test", "ts").distinct()
+    # a test starts with its first expected step that counts on the device
+    tests = _test_table(steps).agg(F.collect_list(F.struct("test", "steps")))
+    per = boots.select(*_BOOT, _device_type(boots)).withColumn("t", F.explode(tests.scalar()))
+    starting = F.get(F.filter("t.steps", lambda s: (s["expect"] != "absent") & _fits(s["device_types"], F.col("device_type"))), F.lit(0))
+    trigger = per.select(*_BOOT, "t.test", starting["step_no"].alias("step_no"))
+    first = hits.join(trigger, [*_BOOT, "test", "step_no"], "left_semi").select(*_BOOT, "test", "ts").distinct()
     started = first.join(wins.select(*_BOOT, "w", F.col("start").alias("lo"), F.col("end").alias("hi")), _BOOT).filter(
         (F.col("ts") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("ts") < F.col("hi")))).select(*_BOOT, "test", "w", "lo").distinct()
-    starts = boots.select(*_BOOT, F.coalesce("start", F.lit(0)).alias("b_start"))
+    starts = boots.select(*_BOOT, F.coalesce("start", F.lit(0)).alias("b_start"), _device_type(boots))
     key = [*_BOOT, "test", "w"]
     rows = started.join(starts, _BOOT).withColumn("cursor", F.greatest("lo", "b_start"))
     kept = thin_hits(hits, rows.select(*_BOOT, "test", F.col("cursor").alias("ts")))
@@ -156,9 +181,10 @@ def evaluate_in_windows(hits: DataFrame, steps: DataFrame, boots: DataFrame, win
     has_window = wins.select(*_BOOT).distinct().withColumn("has_window", F.lit(True))
     out = whole.join(best, [*_BOOT, "test"], "left").join(has_window, _BOOT, "left")
     never = F.col("has_window").isNull()
-    verdict = (F.when(never, "CONDITION_NOT_MET").when(F.col("b").isNotNull(), F.col("b.verdict"))
+    left_out = F.col("verdict") == "NOT_APPLICABLE"
+    verdict = (F.when(left_out, F.col("verdict")).when(never, "CONDITION_NOT_MET").when(F.col("b").isNotNull(), F.col("b.verdict"))
                .when(F.col("verdict") == "NOT_TRIGGERED", "NOT_TRIGGERED").otherwise("CONDITION_NOT_MET"))
-    reason = (F.when(never, "The boot never had the state").when(F.col("b").isNotNull(), F.col("b.reason"))
+    reason = (F.when(left_out, F.col("reason")).when(never, "The boot never had the state").when(F.col("b").isNotNull(), F.col("b.reason"))
               .when(F.col("verdict") == "NOT_TRIGGERED", F.col("reason"))
               .otherwise("Its log lines only appear while the boot did not have the state"))
     return out.select(*_BOOT, "test", verdict.alias("verdict"), reason.alias("reason"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tripline.operators.sequences import global_rank
 from tripline.session import settle
@@ -46,11 +49,49 @@ def with_month(df: DataFrame, ts: str = "start_time") -> DataFrame:
     return df.withColumn("month", F.date_format(ts, "yyyy-MM"))
 
 
-def write_observations(obs: DataFrame, samples: DataFrame, root: str) -> None:
-    """SNK-03: recordings and samples of one extract, both by month and sorted by device and file."""
+#: Rows of one file a writer aims at.
+FILE_ROWS = 1_000_000
+
+
+def planned(df: DataFrame, folder: Sequence[str], key: str | None, order: Sequence[str], ts: str | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
+    """``df`` dealt to tasks by weight, for a write that is partitioned by ``folder``: files of about ``file_rows`` rows, sorted by ``order``, one task each.
+
+    Rows are counted first, per folder, key and hour of ``ts`` (without it, per hash of the row).  A key above the target is cut into ranges of
+    hours by a running count over one row per hour, and an hour above it by hash; so a hot key is many tasks and many files, each of a
+    range of time.  The other keys of a folder are packed together, as many files as their rows fill, each key whole in one.  Null keys and times count as values.
+    """
+    folder, keys = list(folder), [*folder, *([key] if key else [])]
+    if ts:
+        span = F.coalesce(F.unix_seconds(F.date_trunc("hour", F.col(ts).cast("timestamp"))), F.lit(-(1 << 40)))
+    else:
+        span = F.pmod(F.xxhash64(*df.columns), F.lit(1024))
+    rows = df.withColumn("__span", span.cast("bigint"))
+    counts = settle(rows.groupBy(*keys, "__span").agg(F.count(F.lit(1)).alias("__n")))
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__n"))
+    null_safe = lambda left, right, names: reduce(and_, [left[c].eqNullSafe(right[c]) for c in names])
+    large = totals.filter(F.col("__n") > file_rows).drop("__n")
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*keys).orderBy("__span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cut = counts.join(large, null_safe(counts, large, keys), "left_semi").select(
+        *[F.col(c).alias(f"__p_{c}") for c in [*keys, "__span"]], F.floor(before / file_rows).alias("__range"), F.ceil(F.col("__n") / file_rows).alias("__pieces"))
+    packed = totals.filter(F.col("__n") <= file_rows).groupBy(*[F.col(c).alias(f"__f_{c}") for c in folder]).agg(F.ceil(F.sum("__n") / file_rows).alias("__files"))
+    placed = rows.join(cut, reduce(and_, [rows[c].eqNullSafe(cut[f"__p_{c}"]) for c in [*keys, "__span"]]), "left")
+    placed = placed.join(packed, reduce(and_, [placed[c].eqNullSafe(packed[f"__f_{c}"]) for c in folder]), "left")
+    piece = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    label = lambda p, i: F.concat_ws("-", F.lit("l"), F.xxhash64(*[F.col(f"{p}{c}") for c in keys]), F.lpad(F.col("__range").cast("string"), 12, "0"), i)
+    small = lambda i: F.concat_ws("-", F.lit("s"), i)
+    named = placed.withColumn("__file", F.when(F.col("__range").isNotNull(), label("", F.pmod(F.xxhash64(*df.columns), F.col("__pieces")))).otherwise(small(F.pmod(F.xxhash64(*keys), F.col("__files")))))
+    # one row per file; its number is the task that writes it
+    files = (cut.withColumn("__i", piece("__pieces")).select(*[F.col(f"__p_{c}").alias(f"__g_{c}") for c in folder], label("__p_", F.col("__i")).alias("__name")).distinct()
+             .unionByName(packed.withColumn("__i", piece("__files")).select(*[F.col(f"__f_{c}").alias(f"__g_{c}") for c in folder], small(F.col("__i")).alias("__name"))))
+    files = settle(files.withColumn("__id", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*[f"__g_{c}" for c in folder], "__name")) - 1).cast("int")))
+    same = reduce(and_, [named[c].eqNullSafe(files[f"__g_{c}"]) for c in folder]) & (named["__file"] == files["__name"])
+    return named.join(files, same).repartitionById(max(1, files.count()), "__id").sortWithinPartitions(*folder, *order).select(*df.columns)
+
+
+def write_observations(obs: DataFrame, samples: DataFrame, root: str, file_rows: int = FILE_ROWS) -> None:
+    """SNK-03: recordings and samples of one extract, both by month and sorted by device and file; a device's month of any size is cut into files."""
     for df, name in ((obs, "observations"), (samples, "samples")):
-        (with_month(df).repartition("month", "device_id").sortWithinPartitions("device_id", "file_name")
-         .write.mode("append").partitionBy("month").parquet(f"{root}/{name}"))
+        planned(with_month(df), ["month"], "device_id", ["device_id", "file_name"], "start_time", file_rows).write.mode("append").partitionBy("month").parquet(f"{root}/{name}")
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
@@ -60,9 +101,9 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) ->
         "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
 
 
-def write_csv_by(df: DataFrame, path: str, key: str = "device_id") -> None:
-    """SNK-05: one CSV folder per key."""
-    df.repartition(key).write.mode("overwrite").option("header", True).partitionBy(key).csv(path)
+def write_csv_by(df: DataFrame, path: str, key: str = "device_id", order: Sequence[str] = (), file_rows: int = FILE_ROWS) -> None:
+    """SNK-05: one CSV folder per key, with one file unless the key has more than ``file_rows`` rows."""
+    planned(df, [key], None, order, None, file_rows).write.mode("overwrite").option("header", True).partitionBy(key).csv(path)
 
 
 def side_by_side(blocks: Mapping[str, tuple[DataFrame, str, Sequence[str]]]) -> DataFrame:
