@@ -498,7 +498,7 @@ def _(spark, d):
 
 
 @check("kpi_fallback_boots", """
-SELECT * FROM (WITH s AS (SELECT device_id AS device, epoch_us(ts) // 1000 AS t, CASE process_name WHEN 'error' THEN 'system_uptime' WHEN 'click' THEN 'boot_power_on' ELSE 'shutdown_time' END AS metric FROM ev),
+SELECT * FROM (WITH s AS (SELECT device_id AS device, epoch_us(ts) // 1000 AS t, CASE process_name WHEN 'error' THEN 'system_uptime' WHEN 'click' THEN 'boot_power_on' ELSE 'obs_hd_max' END AS metric FROM ev),
   lim AS (SELECT device, max(t) AS hi FROM s GROUP BY 1),
   b AS (SELECT device, n, s, e, false AS fallback FROM hboot WHERE device::INT % 3 <> 0 UNION ALL
         SELECT device, 0, -1, hi, true FROM lim WHERE device NOT IN (SELECT device FROM hboot WHERE device::INT % 3 <> 0))
@@ -507,7 +507,7 @@ WHERE NOT (fallback AND metric IN ('system_uptime', 'boot_power_on')) GROUP BY 1
 def _(spark, d):
     # devices of every third id have no logged start: one boot up to their last event, without start-up times
     h = settle(hits(spark, d))
-    kind = F.when(F.col("process_name") == "error", "system_uptime").when(F.col("process_name") == "click", "boot_power_on").otherwise("shutdown_time")
+    kind = F.when(F.col("process_name") == "error", "system_uptime").when(F.col("process_name") == "click", "boot_power_on").otherwise("obs_hd_max")
     rows = ev(spark, d).select(F.col("device_id").alias("device"), kind.alias("metric"), ms("ts").alias("ts"), (F.col("event_id") + 1.0).alias("value"), F.lit(None).cast("string").alias("text"))
     ranges = rows.groupBy("device").agg(F.lit(None).cast("bigint").alias("lo"), F.max("ts").alias("hi"))
     b = M.fallback_boots(boots(spark, d, h).filter(F.col("device").cast("int") % 3 != 0), ranges)
@@ -583,3 +583,22 @@ def _(spark, d):
     from tripline.plans.findings import missed_per_device
 
     return missed_per_device(M.check_baselines(_device_values(spark, d), _baselines(spark, d)))
+
+
+@check("txt_drive_events", """
+SELECT DISTINCT device, kind, ts, k::BIGINT AS uptime, a, b, text FROM (
+  SELECT device_id AS device, epoch_us(ts) // 1000 AS ts, k, event_id, unnest(CASE process_name WHEN 'error' THEN [{'kind': 'pm_start', 'a': NULL::BIGINT, 'b': NULL::BIGINT, 'text': NULL::VARCHAR}]
+    WHEN 'click' THEN [{'kind': 'crank', 'a': k % 2, 'b': NULL, 'text': NULL}] WHEN 'view' THEN [{'kind': 'wakeup', 'a': k, 'b': k + 3, 'text': NULL}]
+    WHEN 'purchase' THEN [{'kind': 'shutdown', 'a': NULL, 'b': NULL, 'text': CASE WHEN k % 3 = 0 THEN 'NA' ELSE 'low' || (k % 3) END}] ELSE [{'kind': 'record', 'a': NULL, 'b': NULL, 'text': NULL}] END, recursive := true) FROM ev)""")
+def _(spark, d):
+    """Power and drive lines rendered from events, one kind per process."""
+    from tripline.plans.patterns import drive_events
+
+    p, k = F.col("process_name"), F.col("k").cast("string")
+    body = (F.when(p == "error", "STARTING POWER MONITOR").when(p == "click", F.concat(F.lit("crank voltage state changed "), (F.col("k") % 2).cast("string")))
+            .when(p == "view", F.concat(F.lit("lowpower_wakeups "), k, F.lit(" < cfg.max_lowpower_wakeups "), (F.col("k") + 3).cast("string")))
+            .when(p == "purchase", F.concat(F.lit("previous_shutdown_reason: "), F.when(F.col("k") % 3 == 0, "").otherwise(F.concat(F.lit("low"), (F.col("k") % 3).cast("string")))))
+            .otherwise(F.concat(F.lit('udid_node.index 1 udid_node.udid 12 "drive_start": 5, "drive_end": 9, '), k)))
+    line = F.concat(ms("ts").cast("string"), F.lit(": "), k, F.lit(": TAG: I: 1: 1: "), body)
+    service = F.when(p.isin("error", "click", "view", "purchase"), "power_mon").otherwise("time_sync")
+    return drive_events(ev(spark, d).select(F.col("device_id").alias("device"), service.alias("service"), line.alias("line"))).select("device", "kind", "ts", "uptime", "a", "b", "text")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import check, view
-from checks.views import obs, samples
+from checks.views import ev, obs, samples, table
 from tripline.plans import observations as O
+from tripline.session import scratch
+from tripline.sources import readers as R
+from tripline.sources import sinks as K
 
 KEY = ("file_name",)
 START, END = "1996-01-01", "1999-12-31"
@@ -257,3 +260,69 @@ def _(spark, d):
     out = O.project_observation(docs)
     return out.select("device_id", "file_name", "ota", F.col("start_time").cast("timestamp_ntz").alias("start_time"), "ignition_status", "sample_count",
                       "max_speed", "metadatastatus", F.array_join("inference_keys", ",").alias("inference_keys"), "has_alerts")
+
+
+# ── round trips of readers and writers ──
+
+
+@check("snk_write_observations", """
+SELECT part, device_id, file_name, start_time, strftime(start_time, '%Y-%m') AS month FROM obs, (VALUES ('observations'), ('samples')) v(part)""")
+def _(spark, d):
+    folder = scratch(spark)
+    rows = obs(spark, d).select("device_id", "file_name", "start_time")
+    K.write_observations(rows, rows, folder, file_rows=500)
+    both = [spark.read.parquet(f"{folder}/{n}").withColumn("part", F.lit(n)) for n in ("observations", "samples")]
+    return both[0].unionByName(both[1]).select("part", "device_id", "file_name", "start_time", F.col("month").cast("string").alias("month"))
+
+
+@check("snk_csv_by", "SELECT device_id, event_id, process_name FROM ev")
+def _(spark, d):
+    folder = scratch(spark)
+    K.write_csv_by(ev(spark, d).select("device_id", "event_id", "process_name"), folder, "device_id", ["event_id"], file_rows=100)
+    return spark.read.schema("event_id bigint, process_name string, device_id string").option("header", True).csv(folder).select("device_id", "event_id", "process_name")
+
+
+@check("snk_write_csv", "SELECT event_id::VARCHAR AS event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM ev")
+def _(spark, d):
+    folder = scratch(spark)
+    K.write_csv(ev(spark, d), folder, ["event_id", "ts"])
+    return spark.read.option("header", True).csv(folder)
+
+
+@check("src_observations", """
+SELECT 'S' || s_suppkey AS "deviceId", s_name AS "videoName", 1700000000000 + s_suppkey AS "startTime", CASE WHEN s_suppkey % 2 = 0 THEN 'lte' END AS rat, s_acctbal AS accuracy FROM supplier WHERE s_suppkey % 5 <> 0""")
+def _(spark, d):
+    # one document per file; every fifth has no device
+    s = table(spark, d, "supplier")
+    docs = s.select(F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))).alias("deviceId"), F.col("s_name").alias("videoName"),
+                    (F.lit(1_700_000_000_000) + F.col("s_suppkey")).alias("startTime"), F.struct(F.when(F.col("s_suppkey") % 2 == 0, "lte").alias("rat")).alias("networkInfo"),
+                    F.array(F.struct(F.lit(True).alias("valid"), F.col("s_acctbal").alias("accuracy"))).alias("videoMetaData"), F.col("s_suppkey").cast("int").alias("n"))
+    folder = scratch(spark)
+    docs.repartitionById(s.count(), "n").drop("n").write.json(folder)
+    return R.read_observations(spark, folder).select("deviceId", "videoName", "startTime", F.col("networkInfo.rat").alias("rat"), F.col("videoMetaData")[0]["accuracy"].alias("accuracy"))
+
+
+@check("src_known_patterns", "SELECT DISTINCT p_name AS pattern, p_type AS explanation FROM part")
+def _(spark, d):
+    folder = scratch(spark)
+    rows = table(spark, d, "part").select(F.col("p_name").alias("pattern"), F.col("p_type").alias("explanation")).distinct()
+    none = R.read_known_patterns(spark, f"{folder}/none")
+    rows.write.json(f"{folder}/known")
+    return R.read_known_patterns(spark, f"{folder}/known").unionByName(none)
+
+
+@check("src_pattern_csv", "SELECT p_partkey || ' ' || p_name || ', <N>' AS description_pattern, CASE WHEN p_size % 2 = 0 THEN 'ERROR' ELSE 'INFO' END AS type FROM part WHERE p_size % 7 <> 0")
+def _(spark, d):
+    folder = scratch(spark)
+    rows = table(spark, d, "part").select(F.concat(F.lit("  "), F.col("p_partkey").cast("string"), F.lit(" "), "p_name", F.lit(", <N> ")).alias("description_pattern"),
+                                          F.when(F.col("p_size") % 7 == 0, "").when(F.col("p_size") % 2 == 0, "ERROR ").otherwise("INFO").alias("TYPE"))
+    rows.write.option("header", True).csv(folder)
+    return R.read_pattern_csv(spark, folder).select("description_pattern", "type")
+
+
+@check("src_copy_range", f"SELECT event_id, ts, cast(ts AS date)::VARCHAR AS day FROM ev WHERE ts >= TIMESTAMP '2024-01-05 10:00:00' AND ts < TIMESTAMP '2024-01-09'")
+def _(spark, d):
+    folder = scratch(spark)
+    R.copy_range(ev(spark, d).select("event_id", "ts"), folder, "2024-01-05 10:00:00", "2024-01-07")
+    R.copy_range(ev(spark, d).select("event_id", "ts"), folder, "2024-01-07", "2024-01-09")
+    return spark.read.parquet(folder).select("event_id", "ts", F.col("day").cast("string").alias("day"))
