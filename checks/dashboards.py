@@ -660,3 +660,54 @@ def _(spark, d):
         fs.mkdirs(hadoop.Path(f"{folder}/logs/{device}/{day}/logs"))
         fs.rename(found.getPath(), hadoop.Path(f"{folder}/logs/{device}/{day}/logs/{service}.log"))
     return read_logs(spark, f"{folder}/logs").select("device", F.col("day").cast("string").alias("day"), "service", "line_no", "line", "ts")
+
+
+# ── lists in parts ──
+
+_PARTS = """
+SELECT process_name, code, {aux} upper(type) AS type, priority, pattern, n // 3 AS segment, min(n // 3 * 3) AS first_no, string_agg(device_id, ',' ORDER BY device_id) AS devices
+FROM (SELECT *, row_number() OVER (PARTITION BY process_name, code, {aux} type, priority, pattern ORDER BY device_id) - 1 AS n
+  FROM (SELECT DISTINCT process_name, code, {aux} type, priority, regexp_replace(description, '\\S*[0-9]\\S*', '<N>', 'g') AS pattern, device_id FROM ev)) GROUP BY ALL"""
+
+
+@check("agg_process_code_devices", _PARTS.format(aux="code_aux,"))
+def _(spark, d):
+    return E.process_code_devices(ev(spark, d), 3).withColumn("devices", F.array_join("devices", ","))
+
+
+@check("agg_merged_code_devices", _PARTS.format(aux=""))
+def _(spark, d):
+    return E.process_code_devices(ev(spark, d), 3, aux=False).withColumn("devices", F.array_join("devices", ","))
+
+
+@check("agg_process_code_counts", """
+SELECT process_name, code, code_aux, upper(type) AS type, priority, regexp_replace(description, '\\S*[0-9]\\S*', '<N>', 'g') AS pattern, min(description) AS sample, cast(sum(cnt) AS bigint) AS occurrences,
+  count(DISTINCT device_id) AS n_devices FROM ev GROUP BY ALL""".replace("\\\\", "\\"))
+def _(spark, d):
+    return E.process_code_table(ev(spark, d), lists=False)
+
+
+@check("snk_devices_by_state_rows", """
+SELECT version, state, n // 50 AS segment, min(n) AS first_no, string_agg(device_id, ',' ORDER BY device_id) AS devices
+FROM (SELECT *, row_number() OVER (PARTITION BY version, state ORDER BY device_id) - 1 AS n FROM devs) GROUP BY version, state, n // 50""")
+def _(spark, d):
+    return K.devices_by_state(_list(spark, d), 50).withColumn("devices", F.array_join("devices", ","))
+
+
+@check("agg_error_files", """
+SELECT pattern, n // 2 AS segment, min(n) AS first_no, string_agg(file, ',' ORDER BY file) AS files FROM (SELECT pattern, file, row_number() OVER (PARTITION BY pattern ORDER BY file) - 1 AS n
+  FROM (SELECT DISTINCT regexp_replace(description, '\\S*[0-9]\\S*', '<N>', 'g') AS pattern, device_id AS file FROM ev)) GROUP BY pattern, n // 2""")
+def _(spark, d):
+    from tripline.plans.patterns import error_files
+
+    return error_files(ev(spark, d).select(F.col("description").alias("message"), F.col("device_id").alias("file")), 2).withColumn("files", F.array_join("files", ","))
+
+
+@check("agg_outlier_devices", """
+SELECT metric, n // 4 AS segment, min(n) AS first_no, string_agg(device, ',' ORDER BY o DESC, device) AS devices FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY o DESC, device) - 1 AS n
+  FROM (SELECT process_name AS metric, device_id AS device, max(k) AS o FROM ev WHERE k > 50 GROUP BY 1, 2)) GROUP BY metric, n // 4""")
+def _(spark, d):
+    from tripline.plans.findings import outlier_devices
+
+    rows = ev(spark, d).select(F.col("process_name").alias("metric"), F.col("device_id").alias("device"), F.col("k").alias("off_by"), (F.col("k") > 50).alias("outside"))
+    return outlier_devices(rows, 4).withColumn("devices", F.array_join("devices", ","))

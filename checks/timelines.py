@@ -298,6 +298,23 @@ def _(spark, d):
     return late_days(index, F.lit("2024-01-25").cast("timestamp")).withColumn("day", F.col("day").cast("string"))
 
 
+@check("str_reading_events", """
+WITH_U SELECT device, day, 'upload' AS reason, max(up)::VARCHAR AS "at", count(*) AS uploads FROM u GROUP BY 1, 2
+UNION ALL SELECT device, day, 'final', (day::DATE + INTERVAL 2 DAY)::VARCHAR, count(*) FROM u GROUP BY 1, 2 HAVING day::DATE + INTERVAL 2 DAY < (SELECT max(up) FROM u)""".replace(
+    "WITH_U ", "SELECT * FROM (WITH u AS (SELECT device_id[1:1] AS device, cast(ts AS date)::VARCHAR AS day, date_trunc('second', ts) + to_hours(k % 30) AS up FROM ev) ") + ")")
+def _(spark, d):
+    from tripline.session import scratch
+    from tripline.streaming.incremental import run_readings
+
+    folder = scratch(spark)
+    e = ev(spark, d)
+    rows = e.select(F.substring("device_id", 1, 1).alias("device"), F.to_date("ts").alias("day"), (F.date_trunc("second", "ts") + F.make_dt_interval(hours=F.col("k") % 30)).cast("timestamp").alias("uploaded_at"))
+    rows.write.parquet(f"{folder}/in")
+    run_readings(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state")
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select("device", F.col("day").cast("string").alias("day"), "reason", F.col("at").cast("string").alias("at"), "uploads")
+
+
 @check("str_stream_classify", """
 SELECT event_id, n.pattern, coalesce(p.type, 'INFO') AS type, CASE WHEN p.type IS NULL THEN 'model' ELSE 'map' END matched_via FROM norm n LEFT JOIN pmap p ON n.pattern = p.description_pattern""")
 def _(spark, d):

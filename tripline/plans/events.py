@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from tripline.functions import scalars as S
 from tripline.functions import text as X
+from tripline.operators.lists import SEGMENT, segmented_lists
 
 # Columns of the event table
 COLUMNS = {
@@ -133,15 +134,30 @@ def version_devices(df: DataFrame, version: str, start: str | None = None, end:
     return rows.select("device_id").distinct().orderBy("device_id")
 
 
-def process_code_table(df: DataFrame) -> DataFrame:
+_CODE_KEYS = ["process_name", "code", "code_aux", "type", "priority", "pattern"]
+
+
+def _code_keys() -> list[Column]:
+    return ["process_name", "code", "code_aux", S.clean_label("type").alias("type"), S.clean_label("priority", "UNMAPPED", upper=False).alias("priority"),
+            X.mask_tokens("description").alias("pattern")]
+
+
+def process_code_devices(df: DataFrame, size: int = SEGMENT, aux: bool = True) -> DataFrame:
+    """AGG-20 / AGG-21: devices of every row of ``process_code_table`` (or, without ``aux``, of ``merge_ignoring_aux``), in parts of ``size``."""
+    keys = [k for k in _CODE_KEYS if aux or k != "code_aux"]
+    return segmented_lists(df.filter(F.col("device_id") != "").select(*_code_keys(), "device_id"), keys, "device_id", size, name="devices")
+
+
+def process_code_table(df: DataFrame, lists: bool = True) -> DataFrame:
     """AGG-20: per process, code, aux, type, priority and masked text: sample, summed count, devices.
 
-    Devices are made distinct by partial aggregation before the sorted list is built.
+    Devices are made distinct by partial aggregation before the sorted list is built.  The list is one cell of the report; without ``lists`` the
+    table has their number, ``n_devices``, and ``process_code_devices`` has the devices of any number.
     """
-    keys = [
-        "process_name", "code", "code_aux", S.clean_label("type").alias("type"),
-        S.clean_label("priority", "UNMAPPED", upper=False).alias("priority"), X.mask_tokens("description").alias("pattern"),
-    ]
+    keys = _code_keys()
+    if not lists:
+        once = df.groupBy(*keys, F.when(F.col("device_id") != "", F.col("device_id")).alias("__d")).agg(F.min("description").alias("sample"), F.sum("cnt").alias("n"))
+        return once.groupBy(*_CODE_KEYS).agg(F.min("sample").alias("sample"), F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"), F.count("__d").alias("n_devices"))
     return df.groupBy(*keys).agg(
         F.min("description").alias("sample"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("occurrences"),
         F.array_sort(F.collect_set(F.when(F.col("device_id") != "", F.col("device_id")))).alias("devices"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tripline.operators.lists import SEGMENT, segmented_lists
 from tripline.operators.sequences import global_rank
 
 # Drive minutes per expected call by api; shares and limits of the rules
@@ -154,6 +155,12 @@ def kpi_outliers(checked_devices: DataFrame, checked_fleet: DataFrame) -> DataFr
         "outside_count", F.coalesce("outside_count", F.lit(0)))
 
 
+def outlier_devices(checked_devices: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """AGG-49: the devices outside of every metric, furthest off first, in parts of ``size``."""
+    rows = checked_devices.filter("outside").groupBy("metric", "device").agg((-F.max("off_by")).alias("nearness"))
+    return segmented_lists(rows, ["metric"], "device", size, ["nearness"], "devices")
+
+
 def missed_per_device(checked_devices: DataFrame) -> DataFrame:
     """AGG-49: metrics a device misses."""
     return checked_devices.filter("outside").groupBy("device").agg(F.count(F.lit(1)).alias("missed"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tripline.functions import text as X
 from tripline.operators.asof import asof_join
+from tripline.operators.lists import SEGMENT, segmented_lists
 from tripline.operators.timeline import scan
 
 
@@ -125,6 +126,11 @@ def error_report(errors: DataFrame) -> DataFrame:
     ).orderBy(F.desc("occurrences"), "pattern")
 
 
+def error_files(errors: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """AGG-25: the files of every pattern of the report, in parts of ``size``."""
+    return segmented_lists(errors.select(X.mask_tokens("message").alias("pattern"), "file"), ["pattern"], "file", size, name="files")
+
+
 def drop_known(report: DataFrame, known: DataFrame) -> DataFrame:
     """JOI-11: patterns not explained yet."""
     return report.join(known.select("pattern").distinct(), "pattern", "left_anti")

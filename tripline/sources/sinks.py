@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tripline.operators.lists import SEGMENT, segmented_lists
 from tripline.operators.sequences import global_rank
 from tripline.session import settle
 
@@ -150,6 +151,11 @@ def devices_by_state_json(df: DataFrame) -> DataFrame:
         F.collect_list(F.struct("state", "ids"))))).alias("states"))
 
 
+def devices_by_state(df: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """SNK-09: the same lists as rows (version, state, segment, devices) of at most ``size`` devices, for versions with very many."""
+    return segmented_lists(df, ["version", "state"], "device_id", size, name="devices")
+
+
 # ── run registry ─────────────────────────────────────────────────────────────
 
 REGISTRY_SCHEMA = "window_start string, window_end string, signature string, status string, started_at timestamp, note string"
