@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tripline.functions import scalars as S
 from tripline.functions import text as X
+from tripline.operators.nearest import nearest_in_blocks
 from tripline.operators.templates import match_templates
 from tripline.plans.textmodel import AccentStripper, SmoothIDF, SublinearTF
 
@@ -136,24 +137,19 @@ def predict_with(df: DataFrame, load: Callable[[], Callable[[Sequence[str]], Seq
 
 
 def nearest_prototype(df: DataFrame, protos: DataFrame, key: str, vec: str = "embedding", label: str = "label",
-                      by: str | None = None, k: int = 2) -> DataFrame:
-    """ML-05: best and second-best prototype of every vector by cosine, 6 decimals.
+                      by: str | None = None, k: int = 2, block: int = 4096) -> DataFrame:
+    """ML-05: best and second-best prototype of every vector by cosine, 6 decimals; ties go to the smaller label.  ``k`` <= 2.
 
-    Prototypes are one short list per type: they are gathered into a single array column and
-    scored inside the row, so no (vector, prototype) pairs are ever shuffled.  ``k`` <= 2.
+    Rows of a type without prototypes are left out (without ``by`` they have no label); a null vector and one of length 0 have no label, prototypes like that and without label take no part.  A type's prototypes are scored in blocks.
     """
-    groups = [by] if by else []
-    table = protos.groupBy(*groups).agg(F.array_sort(F.collect_list(
-        F.struct(F.col(label).alias("label"), F.col(vec).alias("vec")))).alias("__protos"))
-    rows = df.join(table, by) if by else df.withColumn("__protos", table.scalar())
-    scored = F.transform("__protos", lambda p: F.struct(
-        (-F.round(S.cosine(F.col(vec), p["vec"]), 6)).alias("neg"), p["label"].alias("label")))
-    ranked = rows.withColumn("__r", F.slice(F.array_sort(scored), 1, k))
-    out = [key, *groups, F.get("__r", F.lit(0))["label"].alias("best_label"),
-           (-F.get("__r", F.lit(0))["neg"]).alias("best_score")]
-    if k > 1:
-        out += [F.get("__r", F.lit(1))["label"].alias("second_label"), (-F.get("__r", F.lit(1))["neg"]).alias("second_score")]
-    return ranked.select(*out)
+    work = df.withColumn("__g", F.col(by) if by else F.lit(0))
+    known = protos.select((F.col(by) if by else F.lit(0)).alias("__g"), F.col(label).alias("label"), F.col(vec).alias("v"))
+    rows, top = nearest_in_blocks(work, known, vec, k, block)
+    out = [key, *([by] if by else [])]
+    for i, name in enumerate(["best", "second"][:k]):
+        out += [F.get("top", F.lit(i))["label"].alias(f"{name}_label"), (-F.get("top", F.lit(i))["neg"]).alias(f"{name}_score")]
+    kept = rows.join(known.select("__g").distinct(), "__g", "left_semi") if by else rows
+    return kept.join(top, "__id", "left").select(*out)
 
 
 # ── cascade ──────────────────────────────────────────────────────────────────

@@ -89,7 +89,8 @@ def score_tile(sections: pd.DataFrame, issues: pd.DataFrame, threshold: float) -
         matcher.set_seq1(part)
         scores[n, i] = max(scores[n, i], matcher.ratio())
     n, i = np.nonzero(scores >= threshold)
-    return pd.DataFrame({"section_no": sections["no"].to_numpy()[n], "issue_no": issues["no"].to_numpy()[i], "issue_key": issues["key"].to_numpy()[i], "score": scores[n, i]})
+    keys = pd.Series([issues["key"].iloc[k] for k in i], dtype="object")
+    return pd.DataFrame({"section_no": sections["no"].to_numpy()[n], "issue_no": issues["no"].to_numpy()[i], "issue_key": keys, "score": scores[n, i]})
 
 
 def score_pairs(sections: DataFrame, issues: DataFrame, by: Sequence[str] = ("version",), threshold: float = THRESHOLD, tile: int = 256) -> DataFrame:
@@ -117,7 +118,7 @@ def score_pairs(sections: DataFrame, issues: DataFrame, by: Sequence[str] = ("ve
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         side = pdf["__side"].to_numpy()
         if not (side == 0).any() or not (side == 1).any():
-            return pd.DataFrame({c: [] for c in [*by, "section_no", "issue_no", "issue_key", "score"]})
+            return pd.DataFrame([], columns=[*by, "section_no", "issue_no", "issue_key", "score"], dtype="object")
         found = score_tile(pdf[side == 0], pdf[side == 1], threshold)
         for c in reversed(by):
             found.insert(0, c, pdf[c].iloc[0])
