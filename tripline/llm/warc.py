@@ -5,12 +5,13 @@ archive/data.warc (the records), indexes/index.cdxj (one JSON line per record: o
 in the shared folder and renames it, so a repeated task replaces equal bytes.
 
 ``read_archives`` opens an archive for random access, parses the end record, the ZIP64 records if any, the central directory and the
-members' local headers, reads the index, and then ranges of neighbouring records; nothing is extracted.
+members' local headers, reads every index below indexes/, and then ranges of neighbouring records of every member below archive/; nothing is extracted.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from tripline.llm.text import partitions, table
 
 ARCHIVE_BYTES, RANGE_BYTES = 16 << 20, 4 << 20
-DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
+ARCHIVES, INDEXES = "archive/", "indexes/"
+DATA, INDEX = f"{ARCHIVES}data.warc", f"{INDEXES}index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -47,7 +49,7 @@ def pack_archive(records: list[tuple[int | None, bytes]]) -> bytes:
     """A ZIP file of stored members; sizes are kept in ZIP64 fields where they need it."""
     index, at = [], 0
     for page_id, data in records:
-        index.append(json.dumps({"page": page_id, "offset": at, "length": len(data)}))
+        index.append(json.dumps({"page": page_id, "filename": DATA.removeprefix(ARCHIVES), "offset": at, "length": len(data)}))
         at += len(data)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
@@ -133,20 +135,47 @@ def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, fields(http.decode("latin-1").split("\r\n")[1:]), payload
 
 
+def index_entries(name: str, data: bytes, files: dict[str, Member]) -> Iterator[tuple[str, int, int, dict]]:
+    """(member, offset, length, entry) of an index's lines: JSON alone, or key, time and JSON.  An entry names its file, unless there is only one."""
+    for line in (gzip.decompress(data) if name.endswith(".gz") else data).decode().split("\n"):
+        at = line.find("{")
+        if at < 0 or line.startswith("!"):  # blank, or about the index itself
+            continue
+        e = json.loads(line[at:])
+        file = e.get("filename") or (next(iter(files)) if len(files) == 1 else "")
+        member = file if file in files else f"{ARCHIVES}{file}"
+        if member not in files:
+            raise ValueError(f"{name}: no member {file!r}")
+        yield member, int(e["offset"]), int(e["length"]), e
+
+
 def records_of(read: Ranges, size: int, most: int = RANGE_BYTES) -> Iterator[tuple[int | None, bytes]]:
-    """Every record of an archive by its index; neighbours are read in one range of up to ``most`` bytes."""
+    """Every record of a package: all members below archive/ by all indexes below indexes/, in the order of names and places.
+
+    Neighbours of a member are read in one range of up to ``most`` bytes; records of a .gz member are unpacked one by one.  A member that is not
+    stored, one without an entry, and an entry without its member end in a ValueError: no record is passed over.
+    """
     members = directory(read, size)
-    base = data_start(read, members[DATA])
-    text = read(data_start(read, members[INDEX]), members[INDEX].size).decode()
-    entries = sorted((json.loads(x) for x in text.split("\n") if x), key=lambda e: e["offset"])
-    i = 0
-    while i < len(entries):
-        j, start = i, entries[i]["offset"]
-        while j + 1 < len(entries) and entries[j + 1]["offset"] + entries[j + 1]["length"] - start <= most:
+    files = {n: m for n, m in members.items() if n.startswith(ARCHIVES) and not n.endswith("/") and m.size}
+    entries: set[tuple[str, int, int]] = set()
+    pages: dict[tuple[str, int, int], int | None] = {}
+    for name, m in members.items():
+        if name.startswith(INDEXES) and not name.endswith(("/", ".idx")):  # .idx lists the blocks of another index
+            for member, offset, length, e in index_entries(name, read(data_start(read, m), m.size), files):
+                entries.add((member, offset, length))
+                pages[member, offset, length] = e.get("page")
+    for name in files.keys() - {e[0] for e in entries}:
+        raise ValueError(f"{name} is in no index")
+    base = {n: data_start(read, m) for n, m in files.items()}
+    ordered, i = sorted(entries), 0
+    while i < len(ordered):
+        j, (member, start, _) = i, ordered[i]
+        while j + 1 < len(ordered) and ordered[j + 1][0] == member and ordered[j + 1][1] + ordered[j + 1][2] - start <= most:
             j += 1
-        data = read(base + start, entries[j]["offset"] + entries[j]["length"] - start)
-        for e in entries[i : j + 1]:
-            yield e["page"], data[e["offset"] - start : e["offset"] - start + e["length"]]
+        data = read(base[member] + start, max(o + n for _, o, n in ordered[i : j + 1]) - start)
+        for e in ordered[i : j + 1]:
+            one = data[e[1] - start : e[1] - start + e[2]]
+            yield pages[e], gzip.decompress(one) if member.endswith(".gz") else one
         i = j + 1
 
 
@@ -165,16 +194,22 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
     n_archives = max(2 * partitions(spark), -(-total // archive_bytes))
     response = light.where((F.col("n") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "response")
     revisit = light.where(F.col("n") >= least_bytes).select("page_id", "digest").distinct().join(response, "digest").where("page_id <> response").select("page_id", "digest", "response")
-    dealt = (rows.join(revisit, ["page_id", "digest"], "left").select(F.pmod(F.xxhash64("page_id", "digest"), F.lit(n_archives)).alias("archive"), "page_id", "url", "payload", "digest", "response"))
+    # payloads are shuffled once; which of them are revisits comes beside them, without payload
+    archive = F.pmod(F.xxhash64("page_id", "digest"), F.lit(n_archives)).alias("archive")
+    none = lambda kind: F.lit(None).cast(kind)
+    dealt = rows.select(archive, "page_id", "url", "payload", "digest", none("long").alias("response")).unionByName(
+        revisit.select(archive, "page_id", none("string").alias("url"), none("binary").alias("payload"), "digest", "response"))
 
     def write(t: pa.Table) -> pa.Table:
         from pyspark import TaskContext
 
         name = f"archive-{t.column('archive')[0].as_py():06d}.wacz"
         out = []
-        for r in sorted(t.to_pylist(), key=lambda r: (r["page_id"] is not None, r["page_id"] or 0, r["digest"], r["url"])):
+        each = t.to_pylist()
+        response = {(r["page_id"], r["digest"]): r["response"] for r in each if r["payload"] is None}
+        for r in sorted((r for r in each if r["payload"] is not None), key=lambda r: (r["page_id"] is not None, r["page_id"] or 0, r["digest"], r["url"])):
             digest = base64.b32encode(bytes.fromhex(r["digest"])).decode()
-            out.append((r["page_id"], record(r["page_id"], r["url"], r["payload"], digest, r["response"], date)))
+            out.append((r["page_id"], record(r["page_id"], r["url"], r["payload"], digest, response.get((r["page_id"], r["digest"])), date)))
         fs, root = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         part = f"{root}/.{name}-{TaskContext.get().taskAttemptId()}"
@@ -183,7 +218,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
         fs.move(part, f"{root}/{name}")
         return pa.table({"archive": t.column("archive")[:1], "path": pa.array([f"{folder}/{name}"]), "records": pa.array([len(out)], pa.int64())})
 
-    return table(dealt.groupBy("archive").applyInArrow(write, "archive long, path string, records long"))
+    return table(dealt.repartition(n_archives, "archive").groupBy("archive").applyInArrow(write, "archive long, path string, records long"))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
