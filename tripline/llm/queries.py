@@ -60,9 +60,10 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("op5_token_output")
 def op5(spark: SparkSession, d: str) -> DataFrame:
-    from tripline.llm.token_output import ids_crc32, read_tokens, write_tokens
+    from tripline.llm.token_output import decoded, ids_crc32, with_starts, write_tokens
 
-    return ids_crc32(read_tokens(write_tokens(read(spark, d, "documents"))))
+    written = write_tokens(read(spark, d, "documents"))
+    return with_starts(ids_crc32(decoded(written)), written)
 
 
 @query("op10_packing")

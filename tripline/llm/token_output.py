@@ -175,8 +175,10 @@ def read_file(content: bytes, codes: Codes, blocks: range | None = None) -> tupl
 
 @dataclass
 class TokenFiles:
+    """``files`` (part, n_tokens, content) and ``lengths`` (id, bits), both written tables: what a later program needs to read the ids back."""
+
     files: DataFrame
-    lengths: dict[int, int]
+    lengths: DataFrame
 
 
 def write_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", file_ids: int = FILE_IDS) -> TokenFiles:
@@ -205,12 +207,18 @@ def write_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", file_id
         return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int64()), "n_tokens": pa.array([sum(len(x) for _, x in pairs)], pa.int64()), "content": pa.array([write_file(pairs, codes)], pa.binary())})
 
     dealt = tokens.mapInArrow(number, "part long, doc_id long, n long, ids binary").select("part", "doc_id", "ids")
-    return TokenFiles(table(dealt.groupBy("part").applyInArrow(encode, "part long, n_tokens long, content binary")), lengths)
+    return TokenFiles(table(dealt.groupBy("part").applyInArrow(encode, "part long, n_tokens long, content binary")),
+                      table(spark.createDataFrame(sorted(lengths.items()) or [], "id int, bits int")))
 
 
 def read_tokens(written: TokenFiles) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document, decoded from the files; ``ids`` are unsigned 16-bit numbers."""
-    codes = canonical(written.lengths)
+    return with_starts(decoded(written), written)
+
+
+def decoded(written: TokenFiles) -> DataFrame:
+    """(part, doc_id, inside, n_tokens, ids): documents of each file with the ids before them in it.  The codes are made from the stored lengths, one row per id of the vocabulary."""
+    codes = canonical({r.id: r.bits for r in written.lengths.collect()})
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,9 +230,13 @@ def read_tokens(written: TokenFiles) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([part] * (hi - lo), pa.int64()), pa.array(doc[lo:hi], pa.int64()), pa.array(end[lo:hi] - n[lo:hi]), pa.array(n[lo:hi].astype(np.int64)),
                                                       pa.array([ids[e - k : e].tobytes() for e, k in zip(end[lo:hi], n[lo:hi], strict=True)], pa.binary())], ["part", "doc_id", "inside", "n_tokens", "ids"])
 
+    return written.files.select("part", "content").mapInArrow(decode, "part long, doc_id long, inside long, n_tokens long, ids binary")
+
+
+def with_starts(rows: DataFrame, written: TokenFiles) -> DataFrame:
+    """``rows`` of ``decoded`` with ``start``, the ids of all documents before, instead of part and place.  Drop what is long first: the rows are joined with the files' sums."""
     before = written.files.select("part", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("before"))
-    rows = written.files.select("part", "content").mapInArrow(decode, "part long, doc_id long, inside long, n_tokens long, ids binary")
-    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), *[c for c in rows.columns if c not in ("part", "doc_id", "inside")])
 
 
 def checksum(rows: DataFrame, column: str, name: str) -> DataFrame:
