@@ -123,6 +123,10 @@ def test_token_files_round_trip(spark, odd, empty):
     assert [(d, x) for _, d, x in got] == want
     assert [s for s, _, _ in got] == [sum(len(x) for _, x in want[:i]) for i in range(len(want))]
     assert token_output.read_tokens(token_output.write_tokens(empty)).count() == 0
+    # another program has the folders only
+    spark, written = odd.sparkSession, token_output.write_tokens(odd, file_ids=5000)
+    again = token_output.TokenFiles(*(spark.read.parquet(t._folder) for t in (written.files, written.lengths)))
+    assert sorted(map(str, token_output.read_tokens(again).collect())) == sorted(map(str, token_output.read_tokens(written).collect()))
 
 
 def test_packing(spark, odd, empty):
@@ -276,6 +280,26 @@ def zip64(members):
     return out + central + end + struct.pack("<4sIQI", b"PK\6\7", 0, at + len(central), 1) + struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
 
 
+def test_members_and_indexes_are_found_in_the_directory():
+    import gzip
+    import json
+
+    one = [warc.record(i, f"http://a/{i}", b"first %d" % i, "D", None, "2020-01-01T00:00:00Z") for i in range(4)]
+    two = [warc.record(10 + i, f"http://b/{i}", b"second %d" % i, "D", None, "2020-01-01T00:00:00Z") for i in range(3)]
+    packed = [gzip.compress(x) for x in two]
+    lines = lambda name, parts, cdxj: "\n".join((f"com,a)/{i} 20200101000000 " if cdxj else "") + json.dumps(
+        {"filename": name, "offset": str(sum(map(len, parts[:i]))) if cdxj else sum(map(len, parts[:i])), "length": str(len(p)) if cdxj else len(p)}) for i, p in enumerate(parts)).encode()
+    members = [(b"archive/a.warc", b"".join(one)), (b"archive/b.warc.gz", b"".join(packed)), (b"indexes/a.cdxj", b"!meta {}\n" + lines("a.warc", one, True)),
+               (b"indexes/b.cdx.gz", gzip.compress(lines("archive/b.warc.gz", packed, False))), (b"indexes/b.idx", b"not read"), (b"pages/pages.jsonl", b"{}"), (b"archive/empty.warc", b"")]
+    for most in (50, 1 << 20):
+        data = zip64(members)
+        assert [d for _, d in warc.records_of(lambda at, n: data[at : at + n], len(data), most)] == one + two
+    for broken in (members[:2] + members[2:3], members[1:], members[:1] + members[2:]):
+        data = zip64(broken)
+        with pytest.raises(ValueError):
+            list(warc.records_of(lambda at, n: data[at : at + n], len(data)))
+
+
 def test_zip_directories():
     records = [(i, warc.record(i, "http://x", b"p%d" % i, "D", None, "2020-01-01T00:00:00Z")) for i in range(5)]
     plain = warc.pack_archive(records)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripline.llm.text import blocks, finished, free_name, per_doc, prefix_hash, span_hash, splitmix, table, tidy
+from tripline.llm.text import blocks, drop, finished, free_name, per_doc, prefix_hash, span_hash, splitmix, table, tidy
 
 #: Frequent words a task holds itself, of training and again of the scored documents: a matter of speed, not of results.
 KNOWN_WORDS, LONGEST, TEMPER = 100_000, 4, 0.2
@@ -174,6 +174,7 @@ def train(docs: DataFrame, known_words: int = KNOWN_WORDS, longest: int = LONGES
         return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), longest=longest)
     each = F.array(*(F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in langs))
     words = table(counts.groupBy("key").agg(F.min("word").alias("word"), each.alias("c"), F.sum("n").alias("n")))
+    drop(counts)  # languages and words are summed up in ``size`` and ``words``
     words_scored = words.select("key", _logs("c", [size[x] for x in langs], words.count()).alias("s"), "n")
     # n-grams are cut from distinct words, so even the most common one has few rows a word
     cut = words.select("c", F.explode(F.concat(*(grams_of(F.col("word"), n) for n in range(1, longest + 1)))).alias("gram"))

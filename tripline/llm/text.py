@@ -56,7 +56,22 @@ def table(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(folder)
     if _SCOPES:
         _SCOPES[-1].append(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``table`` that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, [df._folder])
+
+
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = hadoop.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def finished(make: Callable[[], DataFrame]) -> DataFrame:
@@ -67,10 +82,7 @@ def finished(make: Callable[[], DataFrame]) -> DataFrame:
     finally:
         used = _SCOPES.pop()
     out = table(made)
-    hadoop, conf = out.sparkSession._jvm.org.apache.hadoop.fs, out.sparkSession._jsc.hadoopConfiguration()
-    for folder in used:
-        path = hadoop.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    _delete(out.sparkSession, used)
     return out
 
 
