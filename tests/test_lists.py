@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tripline.operators.lists import joined_lists, segmented_lists
+from tripline.operators.lists import joined_lists, ranked, segmented_lists
 
 
 @pytest.mark.parametrize("size", [1, 7, 1000])
@@ -30,3 +30,11 @@ def test_segments_by_another_order(spark):
     df = spark.createDataFrame([("m", f"d{i}", float((i * 7) % 11)) for i in range(11)], "g string, v string, o double")
     got = sorted((x["segment"], x["values"]) for x in segmented_lists(df, ["g"], "v", 4, ["o"]).collect())
     assert [v for _, part in got for v in part] == [v for _, v in sorted(((i * 7) % 11, f"d{i}") for i in range(11))]
+
+
+def test_ranks_of_a_hot_value(spark):
+    r = random.Random(4)
+    rows = [(7 if r.random() < 0.7 else r.choice([1, 9, None]), f"d{i:04d}") for i in range(900)]
+    r.shuffle(rows)
+    got = {x["d"]: x["rank"] for x in ranked(spark.createDataFrame(rows, "s int, d string").repartition(5), ["s", "d"], "rank").collect()}
+    assert got == {d: i + 1 for i, (_, d) in enumerate(sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1])))}

@@ -43,3 +43,15 @@ def joined_lists(segments: DataFrame, by: Sequence[str], name: str = "values", m
     rows = segments if most is None else segments.filter(F.col("first_no") < most)
     cell = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("segment", name))), lambda x: x[name]))
     return rows.groupBy(*by).agg((cell if most is None else F.slice(cell, 1, most)).alias(name))
+
+
+def ranked(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """1-based place of every row in the order of ``order`` over the whole frame; rows equal in it are numbered in any order.
+
+    Rows are dealt by ranges, however many share the first columns of the order, and counted per range.
+    """
+    dealt = settle(df.repartitionByRange(*order).withColumn("__share", F.spark_partition_id()))
+    shares = dealt.groupBy("__share").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(F.lit(0)).orderBy("__share").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row per task
+    inside = F.row_number().over(W.partitionBy("__share").orderBy(*order))
+    return dealt.withColumn("__at", inside).join(shares.select("__share", before.alias("__before")), "__share").select(*df.columns, (F.col("__at") + F.col("__before")).alias(name))

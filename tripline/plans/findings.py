@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tripline.operators.lists import SEGMENT, segmented_lists
-from tripline.operators.sequences import global_rank
+from tripline.operators.lists import SEGMENT, ranked, segmented_lists
 
 # Drive minutes per expected call by api; shares and limits of the rules
 PER_DRIVE_MINUTES = {1: 10, 2: 10, 8: 5, 7: 10, 10: 10}
@@ -102,12 +101,8 @@ def device_profiles(findings: DataFrame, areas: DataFrame) -> DataFrame:
 
 
 def rank_profiles(profiles: DataFrame) -> DataFrame:
-    """AGG-46: rank by score, then device.
-
-    Scores are few and small; devices are counted per score and ranked inside it.
-    """
-    keyed = profiles.withColumn("__order", (-F.col("score") * 3_600_000).cast("bigint"))
-    return global_rank(keyed, "__order", ["device"], "rank").drop("__order")
+    """AGG-46: rank by score, then device; a score that very many devices share is ranked by many tasks."""
+    return ranked(profiles.withColumn("__order", -F.col("score")), ["__order", "device"], "rank").drop("__order")
 
 
 def issue_labels(findings: DataFrame, profiles: DataFrame) -> DataFrame:
