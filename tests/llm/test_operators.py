@@ -300,6 +300,22 @@ def test_members_and_indexes_are_found_in_the_directory():
             list(warc.records_of(lambda at, n: data[at : at + n], len(data)))
 
 
+def test_classifier_features_are_words_and_code_points():
+    texts = ["na\u00efve \u65e5\u672c\u8a9e ok", "", "a", "\U0001f600\U0001f600 ab", "plain ascii text"]
+    block = next(blocks(pa.array(texts)))
+    code, _ = quality_classifier.characters(np.frombuffer("\n".join(["", *texts, ""]).encode(), np.uint8))
+    assert len(code) == len("\n".join(["", *texts, ""]))
+    seen = {}
+    for (ids, first), n in zip(quality_classifier.features(block), (3, 4, 0)):
+        for i, t in enumerate(texts):
+            mine = ids[first[i] : first[i + 1]].tolist()
+            marked = f"\n{t}\n"
+            grams = [marked[k : k + n] for k in range(len(marked) - n + 1)] if n else t.split()
+            assert len(mine) == len(grams), (t, n)
+            for g, x in zip(grams, mine):
+                assert seen.setdefault((n, g), x) == x  # one id per gram, wherever it stands
+
+
 def test_zip_directories():
     records = [(i, warc.record(i, "http://x", b"p%d" % i, "D", None, "2020-01-01T00:00:00Z")) for i in range(5)]
     plain = warc.pack_archive(records)

@@ -1,6 +1,6 @@
 """Operator 3, quality classifier: supervised subword embeddings.
 
-Features are hashed words and hashed byte n-grams (3 and 4) of the whole text with a boundary newline at both ends.  A document is the average of its features'
+Features are hashed words and hashed character n-grams (3 and 4 code points) of the whole text with a boundary newline at both ends.  A document is the average of its features'
 vectors; a softmax layer over two classes sits on top; both are learned by plain stochastic gradient descent in numpy.
 Because the layer is linear, the two-class logit is an average of one number per feature, so scoring gathers
 one float per feature from a table of 2^``BITS`` numbers.
@@ -34,21 +34,31 @@ class Model:
     bias: float
 
 
+def characters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number per character of UTF-8 bytes, made of its bytes, and where it begins."""
+    at = np.flatnonzero((buf & 0xC0) != 0x80)
+    size = np.diff(np.append(at, len(buf)))
+    code = buf[at].astype(np.uint64)
+    for k in (1, 2, 3):
+        long = np.flatnonzero(size > k)
+        code[long] |= buf[at[long] + k].astype(np.uint64) << np.uint64(8 * k)
+    return code, at
+
+
 def features(block: Block, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of feature ids and, per document, the first of them (one more than documents)."""
-    buf = np.concatenate((np.array([10], np.uint8), block.buf)).astype(np.uint32)  # a newline before the first text
-    shift = np.uint32(32 - bits)
+    code, at = characters(np.concatenate((np.array([10], np.uint8), block.buf)))  # a newline before the first text
     out = []
-    start, end = block.start, block.end + 2  # with both newlines, in the longer buffer
-    for n, mult in ((3, 0x9E3779B1), (4, 0x85EBCA6B)):
-        if len(buf) < n:
+    start, end = np.searchsorted(at, block.start), np.searchsorted(at, block.end + 2)  # characters, with both newlines
+    for n in (3, 4):
+        if len(code) < n:
             out.append((np.zeros(0, np.uint32), np.zeros(block.size + 1, np.int64)))
             continue
-        x = buf[: len(buf) - n + 1].copy()
-        for k in range(1, n):
-            x |= buf[k : len(buf) - n + 1 + k] << np.uint32(8 * k)
-        x ^= x >> np.uint32(15)
-        ids = (x * np.uint32(mult)) >> shift
+        x = np.full(len(code) - n + 1, n, np.uint64)
+        for k in range(n):
+            x = (x ^ code[k : len(code) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(29)
+        ids = (x >> np.uint64(64 - bits)).astype(np.uint32)
         # windows that reach into the next text are left out
         inside = np.ones(len(ids), bool)
         for k in range(1, n - 1):
