@@ -1,7 +1,7 @@
 """Operator 6, WARC: ZIP-packaged archives, read by byte ranges.
 
 ``write_archives`` groups pages into archives of about ``ARCHIVE_BYTES``.  An archive is a ZIP file with stored members:
-archive/data.warc (the records), indexes/index.cdxj (one JSON line per record: offset and length) and datapackage.json.  A task writes its archive under another name
+archive/data.warc.gz (the records, each packed by itself), indexes/index.cdxj (one JSON line per record: offset and length) and datapackage.json.  A task writes its archive under another name
 in the shared folder and renames it, so a repeated task replaces equal bytes.
 
 ``read_archives`` opens an archive for random access, parses the end record, the ZIP64 records if any, the central directory and the
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from tripline.llm.text import partitions, table
 
-ARCHIVE_BYTES, RANGE_BYTES = 16 << 20, 4 << 20
+ARCHIVE_BYTES, RANGE_BYTES, GZIP_LEVEL = 16 << 20, 4 << 20, 4
 ARCHIVES, INDEXES = "archive/", "indexes/"
-DATA, INDEX = f"{ARCHIVES}data.warc", f"{INDEXES}index.cdxj"
+DATA, INDEX = f"{ARCHIVES}data.warc.gz", f"{INDEXES}index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -46,14 +46,16 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
 
 
 def pack_archive(records: list[tuple[int | None, bytes]]) -> bytes:
-    """A ZIP file of stored members; sizes are kept in ZIP64 fields where they need it."""
-    index, at = [], 0
-    for page_id, data in records:
+    """A ZIP file of stored members; sizes are kept in ZIP64 fields where they need it.  Each record is packed by itself, so that a range can be read alone."""
+    index, at, packed = [], 0, []
+    for page_id, plain in records:
+        data = gzip.compress(plain, GZIP_LEVEL, mtime=0)
+        packed.append(data)
         index.append(json.dumps({"page": page_id, "filename": DATA.removeprefix(ARCHIVES), "offset": at, "length": len(data)}))
         at += len(data)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
-        for name, parts in ((DATA, [d for _, d in records]), (INDEX, ["\n".join(index).encode()]), ("datapackage.json", [json.dumps({"profile": "data-package", "resources": [DATA, INDEX]}).encode()])):
+        for name, parts in ((DATA, packed), (INDEX, ["\n".join(index).encode()]), ("datapackage.json", [json.dumps({"profile": "data-package", "resources": [DATA, INDEX]}).encode()])):
             with z.open(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), "w", force_zip64=True) as f:
                 for p in parts:
                     f.write(p)
