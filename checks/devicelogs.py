@@ -602,3 +602,75 @@ def _(spark, d):
     line = F.concat(ms("ts").cast("string"), F.lit(": "), k, F.lit(": TAG: I: 1: 1: "), body)
     service = F.when(p.isin("error", "click", "view", "purchase"), "power_mon").otherwise("time_sync")
     return drive_events(ev(spark, d).select(F.col("device_id").alias("device"), service.alias("service"), line.alias("line"))).select("device", "kind", "ts", "uptime", "a", "b", "text")
+
+
+# ── metrics of rare lines, over hits made of events ──
+
+view("ch", f"SELECT device_id AS device, {T0} + (epoch_us(ts) // 1000 - {T0}) // 600 AS t, process_name AS p, k, event_id FROM ev")
+
+
+def _made_hits(spark, d, kinds):
+    """Hits of the key and groups that ``kinds`` gives for a process."""
+    e = ev(spark, d).withColumn("t", (F.lit(T0) + F.floor((ms("ts") - T0) / 600)).cast("bigint"))
+    parts = [e.filter(F.col("process_name") == p).select(F.col("device_id").alias("device"), F.lit(key).alias("key"), F.col("t").alias("ts"),
+                                                         F.create_map(*[x for n, v in groups.items() for x in (F.lit(n), v.cast("string"))]).alias("groups")) for p, (key, groups) in kinds.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _starts(spark, d, process):
+    return _made_hits(spark, d, {process: ("start", {"k": F.col("k")})}).select("device", F.col("ts").alias("eff_start"), F.col("groups")["k"].cast("bigint").alias("k"))
+
+
+@check("kpi_boot_start", "SELECT device, 'boot_power_on' AS metric, t AS ts, (k * 100 + 7) / 1000.0 AS value FROM ch WHERE p = 'view' AND k % 3 <> 0")
+def _(spark, d):
+    b = _starts(spark, d, "view").withColumns({"anchor": F.when(F.col("k") % 3 != 0, F.col("eff_start") - F.col("k") * 100), "svc_start": F.col("eff_start") + 7})
+    return M.boot_start(b).select("device", "metric", "ts", "value")
+
+
+@check("kpi_package_sizes", """
+SELECT z.device, 'ota_size' AS metric, b.t AS ts, z.k * 1000 / 1e6 AS value
+FROM (SELECT s.device, s.t, s.k, g.v FROM (SELECT * FROM ch WHERE p = 'error') s ASOF JOIN (SELECT device, t, max('v' || (k % 3)) AS v FROM ch WHERE p = 'click' GROUP BY 1, 2) g ON s.device = g.device AND s.t >= g.t
+  WHERE s.t - g.t <= 300000) z
+ASOF JOIN (SELECT DISTINCT device, t, 'v' || (k % 3) AS v FROM ch WHERE p = 'view') b ON z.device = b.device AND z.v = b.v AND z.t < b.t""")
+def _(spark, d):
+    h = _made_hits(spark, d, {"click": ("ota_target_check", {"version": F.concat(F.lit("v"), (F.col("k") % 3).cast("string"))}), "error": ("ota_size", {"bytes": F.col("k") * 1000})})
+    b = _starts(spark, d, "view").withColumn("version", F.concat(F.lit("v"), (F.col("k") % 3).cast("string")))
+    return M.package_sizes(h, b).select("device", "metric", "ts", "value")
+
+
+@check("kpi_cyclic_uptime", """
+SELECT s.device, 'cyclic_reboot_uptime' AS metric, s.t AS ts, u.s / 3600.0 AS value FROM (
+  SELECT a.device, a.t FROM (SELECT * FROM ch WHERE p = 'error') a ASOF JOIN (SELECT DISTINCT device, t FROM ch WHERE p = 'click' AND k % 2 = 0) r ON a.device = r.device AND a.t <= r.t WHERE r.t - a.t <= 120000) s
+ASOF JOIN (SELECT device, t, max(k * 100) AS s FROM ch WHERE p = 'view' GROUP BY 1, 2) u ON s.device = u.device AND s.t >= u.t WHERE s.t - u.t <= 60000""")
+def _(spark, d):
+    mode = F.when(F.col("k") % 2 == 0, "restarting").otherwise("shutdown")
+    h = _made_hits(spark, d, {"error": ("soak_done", {"x": F.lit("")}), "click": ("shutdown_reason", {"reason": F.lit("A_CYCLIC_B"), "mode": mode}), "view": ("uptime_long", {"s": F.col("k") * 100})})
+    return M.cyclic_uptime(h).select("device", "metric", "ts", "value")
+
+
+@check("kpi_update_outage", """
+SELECT device, 'down_lte_ota' AS metric, up AS ts, (up - greatest(CASE WHEN lost >= t THEN lost END, CASE WHEN quiet >= t THEN quiet END)) / 1000.0 AS value FROM (
+  SELECT x.*, q.t AS quiet FROM (SELECT g.*, l.t AS lost FROM (
+      SELECT s.device, s.t, u.t AS up FROM (SELECT device, t, lead(t) OVER (PARTITION BY device ORDER BY t) AS nxt FROM ch WHERE p = 'error') s
+      ASOF JOIN (SELECT DISTINCT device, t FROM ch WHERE p = 'click') u ON s.device = u.device AND s.t < u.t WHERE u.t - s.t <= 1800000 AND (s.nxt IS NULL OR u.t <= s.nxt)) g
+    ASOF LEFT JOIN (SELECT DISTINCT device, t FROM ch WHERE p = 'view') l ON g.device = l.device AND g.up > l.t) x
+  ASOF LEFT JOIN (SELECT DISTINCT device, t FROM ch WHERE p = 'purchase') q ON x.device = q.device AND x.up > q.t) WHERE lost >= t OR quiet >= t""")
+def _(spark, d):
+    blank = {"x": F.lit("")}
+    h = _made_hits(spark, d, {"error": ("updater_start", blank), "click": ("data_connected", blank), "view": ("conn_session_lost", blank), "purchase": ("alive", {"svc": F.lit("conn_mgr")})})
+    return M.update_outage(h).select("device", "metric", "ts", "value")
+
+
+@check("kpi_bands", """
+SELECT device, 'bands' AS metric, max(t) AS ts, string_agg('B' || n, ',' ORDER BY n) AS text FROM (
+  SELECT device, s, max(t) AS t, n FROM (SELECT e.device, b.s, max(e.t) OVER (PARTITION BY e.device, b.s) AS t, unnest(list_filter(range(64), lambda i: (e.k >> i::INT) % 2 = 1 AND i < 32)) + 1 + CASE WHEN e.k % 2 = 0 THEN 64 ELSE 0 END AS n
+    FROM (SELECT * FROM ch WHERE p = 'error') e JOIN (SELECT device, t AS s, lead(t) OVER (PARTITION BY device ORDER BY t) AS e FROM (SELECT DISTINCT device, t FROM ch WHERE p = 'signup')) b
+      ON e.device = b.device AND e.t >= b.s AND (b.e IS NULL OR e.t < b.e)) GROUP BY device, s, n) GROUP BY device, s""")
+def _(spark, d):
+    h = _made_hits(spark, d, {"error": ("band_mask", {"mask": F.lower(F.hex("k")), "range": F.when(F.col("k") % 2 == 0, "65_128").otherwise("1_64")})})
+    starts = _starts(spark, d, "signup").select("device", "eff_start").distinct().withColumn("one", F.lit(1))
+    b = settle(scan(starts, ["device"], "eff_start", lead={"end": "eff_start"}, total={"boot_index": "one"}))
+    return M.bands(h, b).select("device", "metric", "ts", "text")
