@@ -674,3 +674,38 @@ def _(spark, d):
     starts = _starts(spark, d, "signup").select("device", "eff_start").distinct().withColumn("one", F.lit(1))
     b = settle(scan(starts, ["device"], "eff_start", lead={"end": "eff_start"}, total={"boot_index": "one"}))
     return M.bands(h, b).select("device", "metric", "ts", "text")
+
+
+#: Units of the made hits: 100 s of compressed time, powered on at their beginning.
+_UNIT = 100_000
+
+
+def _in_units(h):
+    n = F.floor(F.col("ts") / _UNIT).cast("bigint")
+    return h.withColumns({"unit": F.concat(F.lit("p"), n.cast("string")), "anchor": n * _UNIT})
+
+
+@check("kpi_abrupt_power", f"""
+SELECT * FROM (WITH first AS (SELECT device, t // {_UNIT} AS u, min(t) % 4 AS r FROM ch WHERE p = 'error' GROUP BY 1, 2),
+  at AS (SELECT f.device, f.u, f.r = 0 AS cap, f.u * {_UNIT} AS anchor, c.frame FROM first f JOIN (SELECT device, t // {_UNIT} AS u, min(t) AS frame FROM ch WHERE p = 'click' GROUP BY 1, 2) c ON c.device = f.device AND c.u = f.u WHERE f.r < 2)
+SELECT a.device, CASE WHEN cap THEN 'down_abrupt_supercap' ELSE 'down_abrupt' END AS metric, frame AS ts, (frame - v.t) / 1000.0 AS value FROM at a ASOF JOIN (SELECT DISTINCT device, t FROM ch WHERE p = 'view') v ON a.device = v.device AND a.anchor > v.t
+UNION ALL SELECT device, 'down_abrupt_reboot', frame, (frame - anchor) / 1000.0 FROM at)""".replace("at AS (", "cut AS (").replace("FROM at a ", "FROM cut a ").replace("FROM at)", "FROM cut)"))
+def _(spark, d):
+    t = F.floor((ms("ts") - T0) / 600) + T0
+    reason = F.when(t % 4 == 0, "X_SUPERCAP_DISCHARGE").when(t % 4 == 1, "POWER_DOWN now").when(t % 4 == 2, "SOFT_REBOOT POWER_DOWN").otherwise("OTHER")
+    u = _in_units(_made_hits(spark, d, {"error": ("sm_prev_shutdown", {"reason": reason}), "click": ("first_frame", {"x": F.lit("")})}))
+    return M.abrupt_power(u, _made_hits(spark, d, {"view": ("alive", {"svc": F.lit("x")})})).select("device", "metric", "ts", "value")
+
+
+@check("kpi_watchdog", f"""
+SELECT * FROM (WITH pw AS (SELECT device, t // {_UNIT} AS u, min(t) AS t FROM ch WHERE p = 'signup' GROUP BY 1, 2 HAVING u % 2 = 0),
+  pm AS (SELECT device, t // {_UNIT} AS u, min(t) AS started FROM ch WHERE p = 'error' GROUP BY 1, 2)
+SELECT device, 'wdt_resets' AS metric, t AS ts, 1.0 AS value FROM pw
+UNION ALL SELECT x.device, 'wdt_reboot_time', started, (started - v.t) / 1000.0 FROM (SELECT pw.device, pw.t, pm.started FROM pw JOIN pm ON pw.device = pm.device AND pw.u = pm.u) x
+  ASOF JOIN (SELECT DISTINCT device, t FROM ch WHERE p = 'view') v ON x.device = v.device AND x.t > v.t)""")
+def _(spark, d):
+    on = _in_units(_made_hits(spark, d, {"signup": ("on", {"x": F.lit("")})}))
+    powers = settle(on.groupBy("device", F.floor(F.col("ts") / _UNIT).cast("bigint").alias("segment")).agg(F.min("ts").alias("ts")))
+    reasons = powers.select("device", F.concat(F.lit("p"), F.col("segment").cast("string")).alias("unit"), F.when(F.col("segment") % 2 == 0, "A_WATCHDOG").otherwise("NONE").alias("reasons"))
+    units = _in_units(_made_hits(spark, d, {"error": ("pm_start", {"x": F.lit("")})}))
+    return M.watchdog(units, powers, reasons, _made_hits(spark, d, {"view": ("alive", {"svc": F.lit("x")})})).select("device", "metric", "ts", "value")
