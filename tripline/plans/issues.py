@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripline.operators.matching import greedy_matching
+from tripline.session import settle
 
 #: Least score of a match, and of a shared heading prefix with what the tokens add to it.  Fixed values.
 THRESHOLD = 0.35
+#: Scores down to which pairs are taken before the next worse ones are looked at.
+BANDS = (1.0, 0.8, 0.6)
 PREFIX_SCORE, HEADING_WEIGHT, SECTION_WEIGHT = 0.45, 0.35, 0.20
 
 _LINE = "\r\n|[\n\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
@@ -132,8 +135,20 @@ def score_pairs(sections: DataFrame, issues: DataFrame, by: Sequence[str] = ("ve
 def assign_issues(sections: DataFrame, issues: DataFrame, by: Sequence[str] = ("version",), threshold: float = THRESHOLD, tile: int = 256) -> DataFrame:
     """JOI-22: every section with the issue assigned to it (null: none) and the score.
 
-    Pairs are taken from the best score down, ties by section and issue number; sections and issue keys are used once per group.
+    Pairs are taken from the best score down, ties by section and issue number; sections and issue keys are used once per group.  Pairs of
+    a band of scores come before all worse ones, so bands are worked from the top: each sees only the sections and issues that are left, and the bound of
+    a ratio is held against the band's end.
     """
     by = list(by)
-    taken = greedy_matching(score_pairs(sections, issues, by, threshold, tile), [*by, "section_no"], [*by, "issue_key"], tie=["section_no", "issue_no"])
+    left, right = settle(sections.select(*by, "section_no", "text")), settle(issues.select(*by, "issue_no", "issue_key", "summary", "description"))
+    taken = None
+    for least in [*[b for b in BANDS if b > threshold], threshold]:
+        now = settle(greedy_matching(score_pairs(left, right, by, least, tile), [*by, "section_no"], [*by, "issue_key"], tie=["section_no", "issue_no"])
+                     .select(*by, "section_no", "issue_key", "score"))
+        taken = now if taken is None else taken.unionByName(now)
+        if least > threshold:
+            used = now.select(*by, "section_no"), now.select(*by, "issue_key")
+            left, right = settle(left.join(used[0], [*by, "section_no"], "left_anti")), settle(right.join(used[1], [*by, "issue_key"], "left_anti"))
+            if left.isEmpty() or right.isEmpty():
+                break
     return sections.select(*by, F.col("section_no").cast("long").alias("section_no")).join(taken.select(*by, "section_no", "issue_key", "score"), [*by, "section_no"], "left")
