@@ -117,7 +117,7 @@ def _(spark, d):
     from checks.views import lines
 
     # The message repeats the line number, so distinct messages are lines
-    rows = lines(spark, d).withColumn("line", F.concat(F.regexp_replace("line", r"^(\d{13}): (\d+): ", ""), F.lit(" "), F.col("line_no").cast("string")))
+    rows = lines(spark, d, spread=True).withColumn("line", F.concat(F.regexp_replace("line", r"^(\d{13}): (\d+): ", ""), F.lit(" "), F.col("line_no").cast("string")))
     rows = rows.withColumn("line", F.concat(F.col("ts").cast("string"), F.lit(": "), (F.col("line_no") % 700).cast("string"), F.lit(": "),
                                             F.regexp_replace("line", r"^[A-Z]+: ", "TAG: ")))
     out = B.process_starts(rows, "TAG")
