@@ -83,6 +83,34 @@ def test_suffix_dedup_against_brute_force(spark, odd, monkeypatch, hot):
         assert (r.n_bytes, bytes(r.kept), len(r.span_start)) == want[(1 << 63) - 1 if r.doc_id is None else r.doc_id]
 
 
+@pytest.mark.parametrize("length", [17, 18, 50, 51])
+def test_pieces_that_share_no_side_of_an_anchor_are_not_sorted_and_lots_stay_small(monkeypatch, length):
+    r = random.Random(length)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
+    phrases = [" ".join(word() for _ in range(r.randint(3, 25))) for _ in range(60)]
+    texts = [" ".join(r.choice(phrases) if r.random() < 0.3 else word() for _ in range(r.randint(1, 120))).encode() for _ in range(200)]
+    data = b"".join(texts)
+    chunk = suffix_dedup.unpack(np.arange(200, dtype="<i8").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), len(data), pa.compress(data, "zstd", asbytes=True))
+    p = suffix_dedup.cut(chunk, length)
+    size = p.windows + length - 1
+    order, at = suffix_dedup._groups(suffix_dedup.text_hash(chunk.buf, p.start, size))
+    pick = order[at]
+    least = np.minimum.reduceat(chunk.doc[p.doc[order]], at)
+    for i in pick:  # the anchor lies in all windows of its piece
+        assert p.windows[i] - 1 <= p.at[i] <= length - suffix_dedup.GRAM
+    want, _ = suffix_dedup.solve(chunk.buf, p.start[pick], size[pick], least, length)
+    sorted_ = []
+    solve = suffix_dedup.solve
+    monkeypatch.setattr(suffix_dedup, "solve", lambda texts, start, size, *rest: sorted_.append(int(size.sum())) or solve(texts, start, size, *rest))
+    monkeypatch.setattr(suffix_dedup, "LOT_BYTES", 4000)
+    piece, first, last, low = suffix_dedup.covered(chunk.buf, p.start[pick], size[pick], p.at[pick], least, length)
+    assert np.array_equal(np.repeat(low, last - first + 1), want)
+    assert np.array_equal(np.bincount(piece, last - first + 1), p.windows[pick])
+    one = suffix_dedup.covered(chunk.buf, p.start[:1], size[:1], p.at[:1], np.array([7]), length)
+    assert [x.tolist() for x in one] == [[0], [0], [p.windows[0] - 1], [7]]
+    assert 10 * max(sorted_) < sum(sorted_) < 0.9 * size[pick].sum()
+
+
 def test_suffix_dedup_of_the_documents(spark, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
     docs = spark.read.parquet(f"{D}/documents.parquet")

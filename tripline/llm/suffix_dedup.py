@@ -7,8 +7,10 @@
 3.  Pieces with such an anchor go to the anchor's shard, each text once per chunk with its smallest and largest document.  An anchor
     with more than ``HOT`` different pieces is cut into single windows keyed by their own hash, so that no key
     gathers many rows in one shard.
-4.  A shard builds the suffix array of its pieces by induced sorting and the permuted common prefixes.  Neighbours that agree on
-    ``length`` bytes are one string; the smallest document of each string goes back to the chunks.
+4.  A shard builds suffix arrays of its pieces by induced sorting and the permuted common prefixes.  Neighbours that agree on
+    ``length`` bytes are one string; the smallest document of each string goes back to the chunks.  A window holds half of the bytes beside its
+    anchor on one side of it, so a piece that shares neither side with a different piece shares no window and stays out; the others
+    are sorted in lots of about ``LOT_BYTES``, all pieces of an anchor in one, so that the arrays stay small.
 5.  Each chunk marks the bytes of its windows whose string has a smaller document, and cuts them out.
 
 Anchors only decide which suffix array a window meets; every removal comes from the common prefixes.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from tripline.llm.suffixes import common_prefixes, suffix_array
 from tripline.llm.text import BLOCK_BYTES, BYTE_VALUES, finished, free_name, partitions, prefix_hash, raw, span_hash, splitmix, table, tidy
 
-LENGTH, GRAM, HOT, CHUNK_BYTES = 50, 16, 2000, 4 << 20
+LENGTH, GRAM, HOT, CHUNK_BYTES, LOT_BYTES = 50, 16, 2000, 4 << 20, 1 << 20
 _SEGMENT = 1 << 16
 NULL_ID = (1 << 63) - 1
 
@@ -45,12 +47,13 @@ class Chunk:
 
 @dataclass
 class Pieces:
-    """Runs of windows with one anchor: first window, windows, anchor hash, document index."""
+    """Runs of windows with one anchor: first window, windows, anchor hash, document index, bytes from the first window to the anchor."""
 
     start: np.ndarray
     windows: np.ndarray
     anchor: np.ndarray
     doc: np.ndarray
+    at: np.ndarray
 
 
 def pack_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -104,7 +107,7 @@ def cut(chunk: Chunk, length: int = LENGTH) -> Pieces:
     good = np.cumsum(bad[:n]) == 0
     good[int(chunk.end[-1]) if len(chunk.end) else 0 :] = False
     span = length - GRAM + 1  # grams in a window
-    starts, counts, anchors = [], [], []
+    starts, counts, anchors, offsets = [], [], [], []
     for lo in range(0, n, _SEGMENT - span):
         ok = good[lo : lo + _SEGMENT - span]
         if not ok.any():
@@ -141,11 +144,12 @@ def cut(chunk: Chunk, length: int = LENGTH) -> Pieces:
         starts.append(at + lo)
         counts.append(to - at + 1)
         anchors.append(least[at] >> np.uint64(16))
+        offsets.append((least[at] & np.uint64(0xFFFF)).astype(np.int64) - at)
     if not starts:
         empty = np.zeros(0, np.int64)
-        return Pieces(empty, empty, empty.astype(np.uint64), empty)
+        return Pieces(empty, empty, empty.astype(np.uint64), empty, empty)
     start = np.concatenate(starts)
-    return Pieces(start, np.concatenate(counts), np.concatenate(anchors), np.searchsorted(chunk.start, start, side="right") - 1)
+    return Pieces(start, np.concatenate(counts), np.concatenate(anchors), np.searchsorted(chunk.start, start, side="right") - 1, np.concatenate(offsets))
 
 
 def _chunk_prefixes(buf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -194,7 +198,7 @@ def windows_of(p: Pieces, pick: np.ndarray) -> Pieces:
     """The picked pieces as single windows; their anchor is yet to be set."""
     n = p.windows[pick]
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return Pieces(np.repeat(p.start[pick], n) + inside, np.ones(len(inside), np.int64), np.zeros(len(inside), np.uint64), np.repeat(p.doc[pick], n))
+    return Pieces(np.repeat(p.start[pick], n) + inside, np.ones(len(inside), np.int64), np.zeros(len(inside), np.uint64), np.repeat(p.doc[pick], n), np.repeat(p.at[pick], n) - inside)
 
 
 def selected(chunk: Chunk, shared: np.ndarray, hot: np.ndarray, length: int) -> tuple[Pieces, np.ndarray]:
@@ -203,12 +207,12 @@ def selected(chunk: Chunk, shared: np.ndarray, hot: np.ndarray, length: int) ->
     has = lambda keys: keys[np.minimum(np.searchsorted(keys, p.anchor), len(keys) - 1)] == p.anchor if len(keys) else np.zeros(len(p.anchor), bool)
     is_hot = has(hot)
     plain = np.flatnonzero(has(shared) & ~is_hot)
-    one = Pieces(p.start[plain], p.windows[plain], p.anchor[plain], p.doc[plain])
+    one = Pieces(p.start[plain], p.windows[plain], p.anchor[plain], p.doc[plain], p.at[plain])
     h1 = text_hash(chunk.buf, one.start, one.windows + length - 1)
     w = windows_of(p, np.flatnonzero(is_hot))
     h2 = text_hash(chunk.buf, w.start, w.windows + length - 1)
     w.anchor = h2 >> np.uint64(16)
-    both = Pieces(*(np.concatenate((getattr(one, f), getattr(w, f))) for f in ("start", "windows", "anchor", "doc")))
+    both = Pieces(*(np.concatenate((getattr(one, f), getattr(w, f))) for f in ("start", "windows", "anchor", "doc", "at")))
     return both, np.concatenate((h1, h2))
 
 
@@ -244,6 +248,46 @@ def solve(texts: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndar
     return out, first
 
 
+def candidates(texts: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the different pieces may share a window with another, and the hash of each piece's anchor.  ``start`` rises.
+
+    A window with ``half`` bytes or more before its anchor holds the last ``half`` of them and the anchor, any other the anchor and the
+    ``length - GRAM - half + 1`` bytes behind it.
+    """
+    half = (length - GRAM) // 2
+    before, after = at >= half, at - (size - length) < half
+    some = np.zeros(len(start), bool)
+    for has, back, n in ((before, half, GRAM + half), (after, 0, length - half + 1)):
+        who = np.flatnonzero(has)
+        order, first = _groups(text_hash(texts, start[who] + at[who] - back, np.full(len(who), n)))
+        count = np.diff(np.append(first, len(who)))
+        some[who[order[np.repeat(count > 1, count)]]] = True
+    return some, text_hash(texts, start + at, np.full(len(start), GRAM))
+
+
+def covered(texts: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows whose strings have one smallest document, in order of the pieces: piece, first and last window, document."""
+    by = np.argsort(start)
+    some, anchor = candidates(texts, start[by], size[by], at[by], length)
+    alone, some, anchor = by[~some], by[some], anchor[some]
+    found = [(alone, np.zeros(len(alone), np.int64), size[alone] - length, least[alone])]
+    lots = -(-int(size[some].sum()) // LOT_BYTES)
+    lot = splitmix(anchor) % np.uint64(max(lots, 1))
+    order, first = _groups(lot)
+    for a, b in zip(first, np.append(first[1:], len(order)), strict=False):
+        mine = some[order[a:b]]
+        low, begin_of = solve(texts, start[mine], size[mine], least[mine], length)
+        owner = np.repeat(np.arange(len(mine)), np.diff(begin_of))
+        edge = np.ones(len(low), bool)
+        edge[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
+        begin = np.flatnonzero(edge)
+        stop = np.append(begin[1:], len(low)) - 1
+        found.append((mine[owner[begin]], begin - begin_of[owner[begin]], stop - begin_of[owner[begin]], low[begin]))
+    piece, head, last, low = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((head, piece))
+    return piece[order], head[order], last[order], low[order]
+
+
 def mark(chunk: Chunk, p: Pieces, text: np.ndarray, runs: tuple[np.ndarray, ...], length: int) -> np.ndarray:
     """Which bytes of the buffer go.  ``runs``: text hash, first and last window, smallest document."""
     key, first, last, least = runs
@@ -321,7 +365,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return anchor, anchor[hot]
 
     def send_pieces(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {n: [] for n in ("shard", "chunk", "hashes", "sizes", "least", "most", "texts")}
+        out: dict[str, list] = {n: [] for n in ("shard", "chunk", "hashes", "sizes", "at", "least", "most", "texts")}
         for row in left.to_pylist():
             chunk = unpack(row["doc"], row["sizes"], row["bytes"], row["packed"])
             p, text = selected(chunk, *keys(right), length)
@@ -339,15 +383,15 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             shard = to[pick]
             edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
             for a, b in zip(edge, edge[1:], strict=False):
-                for name, value in zip(out, (int(shard[a]), row["chunk"], _blob(text[pick[a:b]], "<u8"), _blob(size[a:b], "<u2"), _blob(low[a:b], "<i8"), _blob(high[a:b], "<i8"),
+                for name, value in zip(out, (int(shard[a]), row["chunk"], _blob(text[pick[a:b]], "<u8"), _blob(size[a:b], "<u2"), _blob(p.at[pick[a:b]], "<u1"), _blob(low[a:b], "<i8"), _blob(high[a:b], "<i8"),
                                              pa.compress(data[ends[a] : ends[b]].tobytes(), "zstd", asbytes=True)), strict=True):
                     out[name].append(value)
-        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
         return pa.table({n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds, strict=True)})
 
     def search(t: pa.Table) -> pa.Table:
         text, size = _joined(t.column("hashes"), "<u8"), _joined(t.column("sizes"), "<u2").astype(np.int64)
-        least, most = _joined(t.column("least"), "<i8"), _joined(t.column("most"), "<i8")
+        offset, least, most = _joined(t.column("at"), "<u1").astype(np.int64), _joined(t.column("least"), "<i8"), _joined(t.column("most"), "<i8")
         count = np.array([len(x.as_buffer()) // 8 for x in t.column("hashes")])
         row = np.repeat(np.arange(len(count)), count)
         n_bytes = np.add.reduceat(size, np.cumsum(count) - count)
@@ -357,15 +401,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         group = np.empty(len(text), np.int64)
         group[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(text))))
         pick = order[at]
-        low, first = solve(data, start[pick], size[pick], np.minimum.reduceat(least[order], at), length)
-        # runs of windows with one smallest document
-        owner = np.repeat(np.arange(len(pick)), np.diff(first))
-        edge = np.ones(len(low), bool)
-        edge[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
-        begin = np.flatnonzero(edge)
-        stop = np.append(begin[1:], len(low)) - 1
-        run_owner, run_low = owner[begin], low[begin]
-        run_first, run_last = begin - first[run_owner], stop - first[run_owner]
+        run_owner, run_first, run_last, run_low = covered(data, start[pick], size[pick], offset[pick], np.minimum.reduceat(least[order], at), length)
         run_at = np.searchsorted(run_owner, np.arange(len(pick) + 1))
         # to each chunk, for its own pieces, what can cover one of its documents
         n = (run_at[1:] - run_at[:-1])[group]
@@ -398,7 +434,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     ["doc_id", "digest", "n_bytes", "kept", "span_start", "span_end"])
 
     chunk_rows = chunks.repartition(parts, "chunk").groupBy("chunk")
-    pieces = chunk_rows.cogroup(shared.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(send_pieces, "shard long, chunk long, hashes binary, sizes binary, least binary, most binary, texts binary")
+    pieces = chunk_rows.cogroup(shared.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(send_pieces, "shard long, chunk long, hashes binary, sizes binary, at binary, least binary, most binary, texts binary")
     runs = pieces.repartition(parts, "shard").groupBy("shard").applyInArrow(search, "chunk long, hashes binary, first binary, last binary, least binary")
     back = runs.withColumn("shared", F.lit(None).cast("binary")).unionByName(shared, allowMissingColumns=True)
     return chunk_rows.cogroup(back.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(
