@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tripline.functions import scalars as S
@@ -371,25 +374,46 @@ def device_configs(master: DataFrame, configs: DataFrame, vehicle: DataFrame, te
                           "tenant_name": F.coalesce("tenant_name", F.lit("UNKNOWN"))}))
 
 
+def gram_codes(df: DataFrame, key: str, text: str, short: bool) -> DataFrame:
+    """(key, gram): the distinct grams of three characters of each row's text, as numbers; null has none.
+
+    A number holds 21 bits per code point, so different grams differ.  With ``short``, grams of one and two
+    characters are added, their last places 0; without, a text of fewer than three characters is its own gram.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, at = [np.zeros(0, np.int64)], [0]
+            for one in batch.column(1).to_pylist():
+                code = np.frombuffer(f"{one or ''}\0\0".encode("utf-32-le"), np.uint32).astype(np.int64)
+                three = code[:-2] << 42 | code[1:-1] << 21 | code[2:]
+                if short:
+                    three = np.unique(three)
+                    two = np.unique(three >> 21) << 21
+                    three = np.concatenate((three, two, np.unique(two >> 42) << 42))
+                else:
+                    three = three[: max(len(three) - 2, 1)]
+                grams.append(np.unique(three))
+                at.append(at[-1] + len(grams[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(grams)))], [key, "grams"])
+
+    kind = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("grams", T.ArrayType(T.LongType()))])
+    return df.select(key, text).mapInArrow(run, kind).select(key, F.explode("grams").alias("gram"))
+
+
 def related_issues(rows: DataFrame, issues: DataFrame, k: int = 10) -> DataFrame:
     """JOI-21: per distinct error phrase the k newest issues whose text contains it.
 
     Phrase and text meet on one gram (three characters, or the whole phrase when it is
     shorter): the phrase's rarest over the issues.  A text that contains the phrase has all
     its grams, so no match is missed, and containment is tested on those candidates only.
+    Grams are numbers: as texts, one by one, they cost more than all the rest.
     """
     phrases = (rows.filter(F.upper("type") == "ERROR").select(F.lower(X.search_phrase("description")).alias("phrase"))
                .filter("phrase != ''").distinct())
 
-    def grams(c: str, n: int) -> Column:
-        # A look-ahead yields the overlapping grams in one pass over the text
-        return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-
     texts = issues.select("issue_id", "created", F.lower("text").alias("text"))
-    index = texts.select("issue_id", F.explode(F.array_distinct(F.concat(
-        grams("text", 1), grams("text", 2), grams("text", 3)))).alias("gram"))
-    wanted = phrases.select("phrase", F.explode(F.array_distinct(F.when(
-        F.length("phrase") < 3, F.array("phrase")).otherwise(grams("phrase", 3)))).alias("gram"))
+    index = gram_codes(texts, "issue_id", "text", True)
+    wanted = gram_codes(phrases.withColumn("text", F.col("phrase")), "phrase", "text", False)
     counts = index.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"))
     rare = (wanted.join(counts, "gram", "left").groupBy("phrase")
