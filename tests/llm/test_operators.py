@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tripline.llm import ann, language_id, near_dedup, packing, quality_classifier, quality_rules, sampling, suffix_dedup, suffixes, token_output, warc
+from tripline.llm import ann, language_id, near_dedup, packing, quality_classifier, quality_rules, sampling, suffix_dedup, suffixes, text, token_output, warc
 from tripline.llm.text import blocks, prepare
 from tripline.llm.tokens import encoder
 
@@ -111,6 +112,45 @@ def test_pieces_that_share_no_side_of_an_anchor_are_not_sorted_and_lots_stay_sma
     assert 10 * max(sorted_) < sum(sorted_) < 0.9 * size[pick].sum()
 
 
+def peak_of(work):
+    """MB allocated at most while ``work`` runs."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_tasks_of_the_pipeline_hold_little_beside_their_texts(monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join(r.choice(WORDS) + str(r.randrange(1000)) for _ in range(300)).encode() for _ in range(2000)]
+    data = b"".join(texts)
+    chunk = suffix_dedup.unpack(np.arange(2000, dtype="<i8").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), len(data), pa.compress(data, "zstd", asbytes=True))
+    assert 3.5 < len(data) / 1e6 < 5
+    monkeypatch.setattr(text, "_POWERS", {})
+    assert peak_of(lambda: suffix_dedup.anchors_of(chunk, 50)) < 75
+    assert peak_of(lambda: near_dedup.links_in(texts[:1], 0.8, 32, 6, 5)) < 20
+    shared = np.sort(suffix_dedup.anchors_of(chunk, 50)[0])
+    pieces, key = suffix_dedup.selected(chunk, shared, shared[:0], 50)
+    one = np.zeros(1, np.int64)
+    runs = (key[:1], one, one, one - 1)
+    assert peak_of(lambda: suffix_dedup.mark(chunk, pieces, key, runs, 50)) < 45
+    assert peak_of(lambda: near_dedup.links_in(texts, 0.8, 32, 6, 5)) < 150
+    assert sum(p.nbytes for p in text._POWERS.values()) < 20e6  # a worker keeps them
+
+
+def test_pieces_begin_and_end_in_their_documents():
+    texts = [b"", b"x" * 49, b"", b"abc" * 30, b"y" * 50, b""] * 3
+    for length in (17, 50, 51):
+        chunk = suffix_dedup.unpack(np.arange(len(texts), dtype="<i8").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), sum(map(len, texts)), pa.compress(b"".join(texts), "zstd", asbytes=True))
+        p = suffix_dedup.cut(chunk, length)
+        windows = np.concatenate([np.arange(a, a + n) for a, n in zip(p.start, p.windows, strict=True)])
+        want = [i for a, b in zip(chunk.start, chunk.end, strict=True) for i in range(a, b - length + 1)]
+        assert windows.tolist() == want
+        assert (chunk.end[p.doc] - p.start >= p.windows + length - 1).all()
+
+
 def test_suffix_dedup_of_the_documents(spark, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
     docs = spark.read.parquet(f"{D}/documents.parquet")

@@ -81,7 +81,7 @@ def band_rows(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys: list = []
-            for block in blocks(batch.column(2), 4 << 20):
+            for block in blocks(batch.column(2)):
                 doc, h, weight = weighted(block, width)
                 key = band_keys(prob_minhash(doc, h, weight, block.size, bands * rows), bands, rows).view(np.int64)
                 has = np.bincount(doc, minlength=block.size) > 0
@@ -124,7 +124,7 @@ def links_in(texts: list[bytes | str], similarity: float, bands: int, rows: int,
     registers = bands * rows
     ids, weights, sketches, offset = [], [], [], 0
     sizes: list[np.ndarray] = []
-    for block in blocks(pa.array(texts, pa.large_string()), 4 << 20):
+    for block in blocks(pa.array(texts, pa.large_string())):
         doc, h, weight = weighted(block, width)
         sketches.append((prob_minhash(doc, h, weight, block.size, registers) & np.uint64(0xFF)).astype(np.uint8))
         ids.append(h)

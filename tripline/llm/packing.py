@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripline.llm.text import partitions, table
+from tripline.llm.text import BLOCK_BYTES, partitions, table, tidy
 from tripline.llm.tokens import END_ID, crc, encoder
 
 SIZE = 1024
@@ -28,7 +28,7 @@ def piece_rows(docs: DataFrame, size: int = SIZE, vocabulary: str = "byte_bpe_50
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(batch.column(1).to_pylist(), BLOCK_BYTES // 2), strict=True):
                 ids = np.append(ids, np.uint16(END_ID)).astype("<u2")
                 cut = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
                 rows += [(doc, k, a, b - a, crc(ids[a:b]), ids[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
@@ -37,7 +37,7 @@ def piece_rows(docs: DataFrame, size: int = SIZE, vocabulary: str = "byte_bpe_50
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"))
+            .mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"))
 
 
 def reduce(count: np.ndarray, size: int = SIZE) -> list[Pattern]:
@@ -158,7 +158,7 @@ def place(pieces: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence[slot] + number - first[slot]), pa.array(offset[slot])], [*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"{n} {t}" for n, t in pieces.dtypes)
-    return numbered.select(*names, "number").mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return numbered.select(*names, "number").mapInArrow(tidy(run), f"{kinds}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, size: int = SIZE, vocabulary: str = "byte_bpe_50k.json") -> tuple[DataFrame, DataFrame]:

@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
                         out[3].append(m.features[at : min(at + SEQUENCE, int(m.first[i + 1]))].astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["doc_id", "part", "y", "f"])
 
-    got = rows.mapInArrow(sequences, "doc_id long, part int, y int, f binary").collect()
+    got = rows.mapInArrow(tidy(sequences), "doc_id long, part int, y int, f binary").collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.part, r.f))
     return train_crf([np.frombuffer(r.f, np.uint8).reshape(-1, N_FEATURES) for r in got], [r.y for r in got])
 

@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripline.llm.suffixes import common_prefixes, suffix_array
-from tripline.llm.text import BLOCK_BYTES, BYTE_VALUES, finished, free_name, partitions, prefix_hash, raw, span_hash, splitmix, table, tidy
+from tripline.llm.text import BYTE_VALUES, finished, free_name, partitions, prefix_hash, raw, span_hash, splitmix, table, tidy, tidy_cogroup, tidy_group
 
 LENGTH, GRAM, HOT, CHUNK_BYTES, LOT_BYTES = 50, 16, 2000, 4 << 20, 1 << 20
-_SEGMENT = 1 << 16
+_SEGMENT, _PART = 1 << 16, 1 << 18
 NULL_ID = (1 << 63) - 1
 
 
@@ -101,15 +101,14 @@ def unpack(doc: bytes, sizes: bytes, n: int, packed: bytes) -> Chunk:
 def cut(chunk: Chunk, length: int = LENGTH) -> Pieces:
     """All pieces of a chunk, in order."""
     n = len(chunk.buf)
-    bad = np.zeros(n + 1, np.int32)
-    np.add.at(bad, np.maximum(chunk.start, chunk.end - length + 1), 1)
-    np.add.at(bad, np.minimum(chunk.end + 1, n), -1)
-    good = np.cumsum(bad[:n]) == 0
-    good[int(chunk.end[-1]) if len(chunk.end) else 0 :] = False
+    stop_at = np.maximum(chunk.start, chunk.end - length + 1)  # windows of a document start before
     span = length - GRAM + 1  # grams in a window
     starts, counts, anchors, offsets = [], [], [], []
     for lo in range(0, n, _SEGMENT - span):
-        ok = good[lo : lo + _SEGMENT - span]
+        hi = min(lo + _SEGMENT - span, n)
+        a, b = max(int(np.searchsorted(chunk.start, lo, side="right")) - 1, 0), int(np.searchsorted(chunk.start, hi))
+        edge = np.clip(np.append(chunk.start[a:b], hi), lo, hi)
+        ok = np.arange(lo, lo + edge[-1] - edge[0]) < np.repeat(stop_at[a:b], np.diff(edge))
         if not ok.any():
             continue
         part = chunk.buf[lo : lo + _SEGMENT + GRAM - 1]
@@ -154,15 +153,15 @@ def cut(chunk: Chunk, length: int = LENGTH) -> Pieces:
 
 def _chunk_prefixes(buf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Prefix hashes of overlapping parts of a buffer, so that memory stays small; spans of up to 256 bytes lie in one part."""
-    for lo in range(0, len(buf), BLOCK_BYTES):
-        yield lo, prefix_hash(BYTE_VALUES[buf[lo : lo + BLOCK_BYTES + 256]])
+    for lo in range(0, len(buf), _PART):
+        yield lo, prefix_hash(BYTE_VALUES[buf[lo : lo + _PART + 256]])
 
 
 def text_hash(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """64-bit hash of each span; ``start`` rises."""
     out = np.zeros(len(start), np.uint64)
     for lo, prefix in _chunk_prefixes(buf):
-        a, b = np.searchsorted(start, (lo, lo + BLOCK_BYTES))
+        a, b = np.searchsorted(start, (lo, lo + _PART))
         out[a:b] = span_hash(prefix, start[a:b] - lo, start[a:b] - lo + size[a:b])
     return splitmix(out + size.astype(np.uint64))
 
@@ -302,13 +301,18 @@ def mark(chunk: Chunk, p: Pieces, text: np.ndarray, runs: tuple[np.ndarray, ...]
     step = np.zeros(len(chunk.buf) + 1, np.int32)
     np.add.at(step, p.start[of] + first[run], 1)
     np.add.at(step, p.start[of] + last[run] + length, -1)
-    return np.cumsum(step[:-1]) > 0
+    return np.cumsum(step, out=step)[:-1] > 0
 
 
 def _blob(values: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(values).astype(kind).tobytes()
 
 
+def _bytes_of(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+    """The spans of ``buf``, one after the other."""
+    return buf[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())].tobytes()
+
+
 def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer() for x in column if x.is_valid), kind)
 
@@ -357,7 +361,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.table({"chunk": pa.array(ids, pa.int64()), "shared": pa.array([_blob(anchor[a:b] << np.uint64(1) | hot[a:b].astype(np.uint64), "<u8") for a, b in cuts], pa.binary())})
 
     shared = table(chunks.select("chunk", "doc", "sizes", "bytes", "packed").mapInArrow(tidy(send_anchors), "shard long, chunk long, anchors binary")
-                   .repartition(parts, "shard").groupBy("shard").applyInArrow(find_shared, "chunk long, shared binary"))
+                   .repartition(parts, "shard").groupBy("shard").applyInArrow(tidy_group(find_shared), "chunk long, shared binary"))
 
     def keys(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         value = np.unique(_joined(t.column("shared"), "<u8"))
@@ -377,14 +381,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             low, high = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
             pick = order[at]
             size = p.windows[pick] + length - 1
-            where = np.repeat(p.start[pick], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            data = chunk.buf[where]
-            ends = np.concatenate(([0], np.cumsum(size)))
             shard = to[pick]
             edge = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
             for a, b in zip(edge, edge[1:], strict=False):
                 for name, value in zip(out, (int(shard[a]), row["chunk"], _blob(text[pick[a:b]], "<u8"), _blob(size[a:b], "<u2"), _blob(p.at[pick[a:b]], "<u1"), _blob(low[a:b], "<i8"), _blob(high[a:b], "<i8"),
-                                             pa.compress(data[ends[a] : ends[b]].tobytes(), "zstd", asbytes=True)), strict=True):
+                                             pa.compress(_bytes_of(chunk.buf, p.start[pick[a:b]], size[a:b]), "zstd", asbytes=True)), strict=True):
                     out[name].append(value)
         kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
         return pa.table({n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds, strict=True)})
@@ -434,11 +435,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     ["doc_id", "digest", "n_bytes", "kept", "span_start", "span_end"])
 
     chunk_rows = chunks.repartition(parts, "chunk").groupBy("chunk")
-    pieces = chunk_rows.cogroup(shared.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(send_pieces, "shard long, chunk long, hashes binary, sizes binary, at binary, least binary, most binary, texts binary")
-    runs = pieces.repartition(parts, "shard").groupBy("shard").applyInArrow(search, "chunk long, hashes binary, first binary, last binary, least binary")
+    pieces = chunk_rows.cogroup(shared.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(tidy_cogroup(send_pieces), "shard long, chunk long, hashes binary, sizes binary, at binary, least binary, most binary, texts binary")
+    runs = pieces.repartition(parts, "shard").groupBy("shard").applyInArrow(tidy_group(search), "chunk long, hashes binary, first binary, last binary, least binary")
     back = runs.withColumn("shared", F.lit(None).cast("binary")).unionByName(shared, allowMissingColumns=True)
     return chunk_rows.cogroup(back.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(
-        lambda a, b: pa.Table.from_batches(list(remove(a, b)), pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("span_start", pa.list_(pa.int64())), ("span_end", pa.list_(pa.int64()))])),
+        tidy_cogroup(lambda a, b: pa.Table.from_batches(list(remove(a, b)), pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("span_start", pa.list_(pa.int64())), ("span_end", pa.list_(pa.int64()))]))),
         "doc_id long, digest string, n_bytes long, kept binary, span_start array<long>, span_end array<long>")
 
 
@@ -460,5 +461,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             text = pa.array([t if k is None else k.decode("utf-8", "ignore") for t, k in zip(whole, rest, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(batch.columns[:-1])], batch.schema.names[:-1])
 
-    out = joined.mapInArrow(cut, docs.schema)
+    out = joined.mapInArrow(tidy(cut), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out

@@ -86,13 +86,38 @@ def finished(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def give_back() -> None:
+    """Give the memory this process has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, which gives the memory it has freed back to the machine when a task ends: workers live on and the next stage's need theirs."""
+    """``run``, which gives the memory it has freed back when a task ends: workers live on and the next stage's need theirs."""
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a function of one group; what it returns stays."""
+    def tidied(group: pa.Table) -> pa.Table:
+        out = run(group)
+        give_back()
+        return out
+
+    return tidied
+
+
+def tidy_cogroup(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for a function of two groups."""
+    def tidied(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        give_back()
+        return out
 
     return tidied
 
@@ -128,7 +153,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers 0 .. n and their inverses modulo 2^64."""
     have = _POWERS.get("up")
     if have is None or len(have) <= n:
-        size = max(n + 1, 2 * BLOCK_BYTES)
+        size = max(n + n // 8 + 1, BLOCK_BYTES + BLOCK_BYTES // 8)  # both stay with the worker
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
