@@ -529,3 +529,45 @@ def test_sampling_follows_the_lattice_and_decodes(spark, odd, empty):
     r = random.Random(2)
     texts = ["".join(r.choice("abthe  ▁\n\t日é\U0010ffff\U0001f600a1\x00") for _ in range(r.randint(0, 12))) for _ in range(500)]
     assert lat.decode(lat.sample(texts, np.arange(500, dtype=np.uint64))) == [t.encode() for t in texts]
+
+
+def test_pieces_of_a_lattice_are_found_only_while_something_matches(monkeypatch):
+    looked = 0
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            nonlocal looked
+            looked += np.size(at)
+            return np.asarray(self)[at]
+
+    r = random.Random(7)
+    lat = sampling.lattice()
+    texts = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzé日\n▁") for _ in range(r.randint(1, 20))) for _ in range(30)) for _ in range(100)]
+    keys = np.arange(100, dtype=np.uint64)
+    assert zlib.crc32(np.concatenate(lat.sample(texts, keys)).tobytes()) == 2885863298  # as when every length was tried
+    for name, table in vars(lat).items():
+        if isinstance(table, np.ndarray):
+            monkeypatch.setattr(lat, name, table.view(Counted))
+    unknown = [" ".join("".join(chr(0xE000 + r.randrange(200)) for _ in range(40)) for _ in range(30)) for _ in range(100)]
+    lat.sample(unknown, keys)
+    assert looked < 10 * sum(map(len, unknown))  # 14.6 before
+
+
+def test_trie_of_pieces_leads_to_its_words_only():
+    r = random.Random(3)
+    for letters in (1, 2, 3, 60, 700):
+        words = sorted({tuple(r.randint(1, letters) for _ in range(r.randint(1, 4))) for _ in range(400)} | {(c,) for c in range(1, letters + 1)})
+        base, owner, state = sampling._trie([np.array(w) for w in words], letters)
+        known = {w[i:] for w in words for i in range(len(w))}
+        probes = known | {tuple(r.randint(0, letters) for _ in range(r.randint(1, 5))) for _ in range(2000)} | {(c, *w) for w in words for c in (0, 1, letters)}
+        reached = {}
+        for w in probes:
+            s = 0
+            for c in reversed(w):
+                to = int(base[s]) + c
+                s = to if s is not None and owner[to] == s else None
+                if s is None:
+                    break
+            assert (s is not None) == (w in known)
+            reached[w] = s
+        assert [reached[w] for w in words] == state.tolist() and len(set(state.tolist())) == len(words)

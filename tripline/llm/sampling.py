@@ -3,7 +3,8 @@
 A text with its spaces written as U+2581, and one in front, is cut before each run of U+2581 and around control characters; no piece of the vocabulary crosses such a cut,
 so the piece lattice of the text is a chain of the words' lattices.  A piece weighs exp(alpha * log p); p is the model's score for
 unigram models, and for BPE models, whose scores are ranks, 1 / (rank + 2) up to a constant (Zipf's law).  A character without a piece of its own is
-an edge of its UTF-8 byte pieces.  Forward filtering runs once per distinct word of a block, all words side by side; backward
+an edge of its UTF-8 byte pieces.  The pieces that end at a character are found in a trie of the pieces read backwards, from all characters side by side, and
+only while something matches.  Forward filtering runs once per distinct word of a block, all words side by side; backward
 sampling runs for all occurrences side by side.  The random numbers are a hash of row key, occurrence and step, so a row's sample depends on nothing
 but its key, its text, the vocabulary and the seed.  Decoding joins pieces and bytes and gives the text back exactly.
 """
@@ -30,6 +31,53 @@ def _length_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return splitmix(span_hash(prefix, start, end) + (end - start).astype(np.uint64))
 
 
+def _trie(words: list[np.ndarray], letters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of letters 1 .. ``letters``, read backwards, as a double array.
+
+    Letter c leads from state s to state base[s] + c if owner[base[s] + c] is s, and nowhere otherwise; the root is state 0.  Also the state of each word.
+    """
+    children: list[dict[int, int]] = [{}]
+    parent, letter, last = [0], [0], []
+    for word in words:
+        s = 0
+        for c in word[::-1].tolist():
+            if c not in children[s]:
+                children[s][c] = len(children)
+                children.append({})
+                parent.append(s)
+                letter.append(c)
+            s = children[s][c]
+        last.append(s)
+    # the root's children lie at 1 .. letters; states of several children look for room above, the largest first, and single children fill the gaps
+    size = np.fromiter(map(len, children), np.int64, len(children))
+    base = np.zeros(len(children), np.int64)
+    free = np.ones(2 * (letters + len(children)), bool)
+    free[: letters + 1] = False
+    several = np.flatnonzero(size[1:] > 1) + 1
+    lo = letters + 1
+    for s in several[np.argsort(-size[several], kind="stable")].tolist():
+        c = np.sort(np.fromiter(children[s], np.int64))
+        while True:
+            if lo + 512 + letters > len(free):
+                free = np.concatenate((free, np.ones(len(free) + 512 + letters, bool)))
+            at = np.flatnonzero(free[lo : lo + 512]) + lo
+            fits = np.flatnonzero(free[at[:, None] + (c - c[0])].all(axis=1))
+            if len(fits):
+                break
+            lo += 512
+        base[s] = at[fits[0]] - c[0]
+        free[base[s] + c] = False
+    single = np.flatnonzero(size[1:] == 1) + 1
+    gaps = np.flatnonzero(np.concatenate((free, np.ones(len(single), bool))))[: len(single)]
+    base[single] = gaps - np.array([c for s in single.tolist() for c in children[s]], np.int64)
+    slot = base[parent] + np.array(letter)
+    room = int(max(base.max(), slot.max())) + letters + 1
+    at_slot, owner = np.zeros(room, np.int64), np.full(room, -1)
+    at_slot[slot] = base
+    owner[slot[1:]] = slot[parent[1:]]
+    return at_slot, owner, slot[last]
+
+
 class Lattice:
     """A vocabulary's pieces; one per worker process."""
 
@@ -56,16 +104,18 @@ class Lattice:
                     words.append(p)
                     ids.append(i)
         logp = scores if unigram else -np.log(np.maximum(-scores, 0) + 2)
+        self.ids, self.weight = np.array(ids, np.int32), alpha * logp[ids]
         code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         size = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(size)
-        keys = _length_hash(prefix_hash(self.values[code]), end - size, end)
-        order = np.argsort(keys)
-        self.keys, self.ids, self.weight = keys[order], np.array(ids, np.int32)[order], (alpha * logp[ids])[order]
+        alphabet = np.unique(code)
+        self.letter = np.zeros(0x110001, np.int64)  # 0: in no piece
+        self.letter[alphabet] = np.arange(1, len(alphabet) + 1)
+        self.base, self.owner, state = _trie(np.split(self.letter[code], np.cumsum(size)[:-1]), len(alphabet))
         self.longest = int(size.max())
-        self.maybe = np.zeros(1 << 20, bool)  # most spans are no piece: one look at a bit tells
-        self.maybe[self.keys >> np.uint64(44)] = True
-        self.fallback = float(alpha * logp[ids].min() * 2)
+        # a state's piece (-1: none) and its weight; the root stands for a character without a piece
+        self.ends, self.score = np.full(len(self.base), -1, np.int64), np.zeros(len(self.base))
+        self.ends[state], self.score[state] = self.ids, self.weight
+        self.score[0] = float(alpha * logp[ids].min() * 2)
         lengths = np.fromiter(map(len, self.piece), np.int64, n)
         self.at, self.size, self.data = np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(self.piece), np.uint8)
 
@@ -97,78 +147,75 @@ class Lattice:
         which, unique = pd.factorize(_length_hash(prefix, start, end))
         at = np.zeros(len(unique), np.int64)
         at[which[::-1]] = np.arange(len(which))[::-1]
-        w_start, w_end = start[at], end[at]
-        size = w_end - w_start
-        # nodes: positions 0 .. size of each word; edges: pieces that end there
-        node0 = np.cumsum(size + 1) - size - 1
-        n_nodes = int((size + 1).sum())
-        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)  # of the last character
-        owner = np.repeat(np.arange(len(size)), size)
-        parts: tuple[list, list, list, list] = ([], [], [], [])
-        for length in range(min(self.longest, int(size.max()) if len(size) else 0), 0, -1):  # longer pieces, which are likelier, come first
-            ok = np.flatnonzero(place >= length - 1)
-            to = w_start[owner[ok]] + place[ok] + 1
-            h = _length_hash(prefix, to - length, to)
-            found = self.maybe[h >> np.uint64(44)]
-            hit = np.minimum(np.searchsorted(self.keys, h[found]), len(self.keys) - 1)
-            real_hit = self.keys[hit] == h[found]
-            found[found] = real_hit
-            hit = hit[real_hit]
-            parts[0].append(node0[owner[ok[found]]] + place[ok[found]] + 1)
-            parts[1].append(np.full(int(found.sum()), length))
-            parts[2].append(self.ids[hit].astype(np.int64))
-            parts[3].append(self.weight[hit])
+        # nodes: positions 0 .. size of each word, all words' first positions first, longest words first; edges: pieces that end there, longest first
+        size = (end - start)[at]
+        order = np.argsort(-size, kind="stable")
+        rank = np.empty(len(size), np.int64)
+        rank[order] = np.arange(len(size))
+        which, size, w_start = rank[which], size[order], start[at][order]
+        count = len(size) - np.searchsorted(size[::-1], np.arange(int(size[0]) + 1 if len(size) else 1))
+        node0 = np.cumsum(count) - count
+        n_nodes = int(count.sum())
+        depth = np.repeat(np.arange(len(count)), count)
+        at = w_start[np.arange(n_nodes) - node0[depth]] + depth - 1  # a node's last character
+        live = np.arange(len(size), n_nodes)
+        letter = self.letter[code]
+        state, char = np.zeros(len(live), np.int64), at[live]
+        found = np.zeros(n_nodes, np.int64)
+        parts: list[tuple[np.ndarray, ...]] = []
+        for length in range(1, self.longest + 1):
+            # no need to look where a word begins: no piece goes on before its U+2581, and none has a control character
+            to = self.base[state] + letter[char]
+            ok = self.owner[to] == state
             if length == 1:
-                lone = ok[~found]
-                c = code[w_start[owner[lone]] + place[lone]]
-                parts[0].append(node0[owner[lone]] + place[lone] + 1)
-                parts[1].append(np.ones(len(lone), np.int64))
-                parts[2].append(-1 - c)  # the character's bytes
-                parts[3].append(np.full(len(lone), self.fallback))
-        to, length, piece, weight = (np.concatenate(p) if p else np.zeros(0) for p in parts)
-        order = np.argsort(to, kind="stable")
-        to, length, piece, weight = to[order].astype(np.int64), length[order].astype(np.int64), piece[order].astype(np.int64), weight[order]
-        local = np.zeros(n_nodes, np.int64)
-        local[np.repeat(node0, size) + place + 1] = place + 1
-        # forward filtering, one position of all words at a time
-        depth = local[to]
-        by = np.argsort(depth.astype(np.uint16) if not len(depth) or depth.max() < 1 << 16 else depth, kind="stable")
-        cut = np.searchsorted(depth[by], np.arange(1, (int(size.max()) if len(size) else 0) + 2))
-        alpha = np.zeros(n_nodes)
-        for a, b in zip(cut, cut[1:], strict=False):
-            e = by[a:b]
-            if not len(e):
-                continue
-            value = alpha[to[e] - length[e]] + weight[e]
-            head = np.flatnonzero(np.concatenate(([True], to[e[1:]] != to[e[:-1]])))
+                lone = live[~ok | (self.ends[to] < 0)]
+                parts.append((lone, found[lone], lone - node0[depth[lone]] + node0[depth[lone] - 1], np.zeros(len(lone), np.int64)))
+                found[lone] = 1
+            live, state, char = live[ok], to[ok], char[ok] - 1
+            if not len(live):
+                break
+            hit = self.ends[state] >= 0
+            node = live[hit]
+            parts.append((node, found[node], node - node0[depth[node]] + node0[depth[node] - length], state[hit]))
+            found[node] += 1
+        edge0 = np.concatenate(([0], np.cumsum(found)))
+        source, state = np.zeros((2, int(edge0[-1])), np.int64)
+        for node, shorter, below, by in parts:
+            e = edge0[node + 1] - 1 - shorter
+            source[e], state[e] = below, by
+        piece, weight = self.ends[state], self.score[state]
+        piece[edge0[lone + 1] - 1] = -1 - code[at[lone]]  # the character's bytes
+        # forward filtering, one position of all words at a time; an edge's share is of its node's total
+        alpha, total, share = np.zeros(n_nodes), np.ones(n_nodes), np.zeros(len(source))
+        for n, m in zip(node0[1:], np.append(node0, n_nodes)[2:], strict=True):
+            a, b = edge0[n], edge0[m]
+            head = edge0[n:m] - a
+            value = alpha[source[a:b]] + weight[a:b]
             top = np.maximum.reduceat(value, head)
-            total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(head, len(e))))), head)
-            alpha[to[e[head]]] = top + np.log(total)
-        p = np.exp(alpha[to - length] + weight - alpha[to]) if len(to) else np.zeros(0)
-        edge0 = np.concatenate(([0], np.cumsum(np.bincount(to, minlength=n_nodes))))
-        cum = np.cumsum(p)
-        cum = cum - np.concatenate(([0.0], cum))[edge0[to]] if len(to) else cum
-        if len(to):
-            cum[edge0[1:][np.diff(edge0) > 0] - 1] = 2.0  # a node's last edge takes what rounding leaves
+            share[a:b] = np.exp(value - np.repeat(top, found[n:m]))
+            total[n:m] = np.add.reduceat(share[a:b], head)
+            alpha[n:m] = top + np.log(total[n:m])
+        share[edge0[len(size) + 1 :] - 1] = np.inf  # a node's last edge takes what rounding leaves
         # backward sampling, one piece of all occurrences at a time
         doc = np.repeat(np.arange(len(texts)), np.diff(first))
         seed = splitmix(keys[doc] + splitmix(np.arange(len(which), dtype=np.uint64) - first[doc].astype(np.uint64)))
         live = np.arange(len(which))
-        node = node0[which] + size[which]
-        bottom = node0[which]
+        node = node0[size[which]] + which
         taken: list[tuple[np.ndarray, np.ndarray]] = []
         while len(live):
             seed = splitmix(seed)
             u = ((seed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
             e = edge0[node]
-            on = np.flatnonzero(cum[e] < u)
+            left = u * total[node]
+            on = np.flatnonzero(left > share[e])
             while len(on):
+                left[on] -= share[e[on]]
                 e[on] += 1
-                on = on[cum[e[on]] < u[on]]
+                on = on[left[on] > share[e[on]]]
             taken.append((live, piece[e]))
-            node = node - length[e]
-            going = node > bottom
-            live, node, bottom, seed = live[going], node[going], bottom[going], seed[going]
+            node = source[e]
+            going = node >= len(size)
+            live, node, seed = live[going], node[going], seed[going]
         steps = np.zeros(len(which), np.int64)
         for who, _ in taken:
             steps[who] += 1
@@ -180,13 +227,16 @@ class Lattice:
         # characters without a piece become their bytes
         odd = np.flatnonzero(out < 0)
         if len(odd):
-            chars = {int(c): np.array([self.bytes_id[b] for b in ("▁" if -1 - c == _LITERAL else chr(-1 - c)).encode("utf-8", "surrogatepass")], np.int64) for c in np.unique(out[odd])}
+            lone, kind = np.unique(-1 - out[odd], return_inverse=True)
+            parts = [("▁" if c == _LITERAL else chr(c)).encode("utf-8", "surrogatepass") for c in lone.tolist()]
+            n_bytes = np.fromiter(map(len, parts), np.int64, len(parts))
+            data = self.bytes_id[np.frombuffer(b"".join(parts), np.uint8)]
             n = np.ones(len(out), np.int64)
-            n[odd] = [len(chars[int(c)]) for c in out[odd]]
+            n[odd] = n_bytes[kind]
             new_at = np.concatenate(([0], np.cumsum(n)))
             wide = np.repeat(out, n)
-            for i in odd:
-                wide[new_at[i] : new_at[i + 1]] = chars[int(out[i])]
+            step = np.arange(int(n[odd].sum())) - np.repeat(np.cumsum(n[odd]) - n[odd], n[odd])
+            wide[np.repeat(new_at[odd], n[odd]) + step] = data[np.repeat((np.cumsum(n_bytes) - n_bytes)[kind], n[odd]) + step]
             out, bounds = wide, new_at[bounds]
         return [out[a:b].astype(np.int32) for a, b in zip(bounds, bounds[1:], strict=False)]
 
